@@ -6,6 +6,7 @@ import importlib
 
 _QUERIES = {
     "op5_minhash_neardup": ("neardup", "op5_minhash"),
+    "op7_bpe_codec": ("bpe", "op7_bpe"),
 }
 
 
