@@ -7,6 +7,8 @@ import importlib
 _QUERIES = {
     "op5_minhash_neardup": ("neardup", "op5_minhash"),
     "op7_bpe_codec": ("bpe", "op7_bpe"),
+    "op8_line_spread": ("linededup", "op8_lines"),
+    "op9_warc_chain": ("warc", "op9_warc"),
 }
 
 
@@ -21,5 +23,8 @@ def queries() -> dict:
     return {k: _query(*v) for k, v in _QUERIES.items()}
 
 
+_SQL = {"op8_line_spread": ("linededup", "OP8_SQL"), "op9_warc_chain": ("warc", "OP9_SQL")}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: getattr(importlib.import_module(f"graphloom.llm.{m}"), name) for k, (m, name) in _SQL.items()}
