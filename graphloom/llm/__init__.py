@@ -9,6 +9,7 @@ _QUERIES = {
     "op7_bpe_codec": ("bpe", "op7_bpe"),
     "op8_line_spread": ("linededup", "op8_lines"),
     "op9_warc_chain": ("warc", "op9_warc"),
+    "op10_secret_entropy": ("secrets", "op10_secrets"),
 }
 
 
