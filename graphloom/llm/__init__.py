@@ -6,6 +6,7 @@ import importlib
 
 _QUERIES = {
     "op5_minhash_neardup": ("neardup", "op5_minhash"),
+    "op6_containment_search": ("decontam", "op6_contained"),
     "op7_bpe_codec": ("bpe", "op7_bpe"),
     "op8_line_spread": ("linededup", "op8_lines"),
     "op9_warc_chain": ("warc", "op9_warc"),
@@ -24,7 +25,7 @@ def queries() -> dict:
     return {k: _query(*v) for k, v in _QUERIES.items()}
 
 
-_SQL = {"op8_line_spread": ("linededup", "OP8_SQL"), "op9_warc_chain": ("warc", "OP9_SQL")}
+_SQL = {"op6_containment_search": ("decontam", "OP6_SQL"), "op8_line_spread": ("linededup", "OP8_SQL"), "op9_warc_chain": ("warc", "OP9_SQL")}
 
 
 def oracle_sql() -> dict[str, str]:
