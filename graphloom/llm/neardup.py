@@ -6,7 +6,8 @@
    positions are split into m chunks. By the pigeonhole principle two signatures
    that differ in at most r < 2m positions differ in at most one position of some
    chunk, so the chunks are indexed with every allowed error: one key for each
-   chunk and left-out position. No pair with a distance up to r is missed.
+   chunk and left-out position. No pair with a distance up to r is missed. Chunks
+   without an error go first: what they join needs no comparison afterwards.
 3. Index buckets with the same members are one bucket. Members of a bucket are
    compared by Hamming distance in blocks of bounded size; a block returns the
    pairs of small buckets and a spanning forest of large ones, never all pairs.
@@ -56,9 +57,10 @@ def _binomial(n: float, i: int, p: float) -> float:
     return (n if i else 1) * p**i * (1 - p) ** (n - i)
 
 
-def chunk_masks(m: int) -> list[tuple[int, ...]]:
-    """Positions of each index key: a chunk without one of its positions."""
-    return [tuple(p for p in chunk if p != left) for chunk in np.array_split(np.arange(HASHES), m) for left in chunk]
+def chunk_masks(m: int, errors: int) -> list[tuple[int, ...]]:
+    """Positions of each index key: a chunk, or with one error a chunk without one of its positions."""
+    chunks = np.array_split(np.arange(HASHES), m)
+    return [tuple(c) for c in chunks] if not errors else [tuple(p for p in c if p != left) for c in chunks for left in c]
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -94,9 +96,8 @@ def fingerprint_rows(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(rows, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
-def _index_keys(reps: DataFrame, m: int) -> DataFrame:
-    """(key, rep): one row for each chunk and allowed error."""
-    masks = chunk_masks(m)
+def _index_keys(reps: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
+    """(key, rep, part): one row for each mask; ``part`` is the component known so far."""
     rng = np.random.default_rng(7)
     weights = np.zeros((HASHES, len(masks)), np.uint64)
     for v, positions in enumerate(masks):
@@ -107,9 +108,9 @@ def _index_keys(reps: DataFrame, m: int) -> DataFrame:
         for p in parts:
             sig = np.frombuffer(b"".join(p["sig"]), np.uint8).reshape(-1, HASHES).astype(np.uint64) + _U(1)
             keys = mix(sig @ weights + seeds)
-            yield pd.DataFrame({"key": keys.ravel().view(np.int64), "rep": np.repeat(p["rep"].to_numpy(), len(masks))})
+            yield pd.DataFrame({"key": keys.ravel().view(np.int64), "rep": np.repeat(p["rep"].to_numpy(), len(masks)), "part": np.repeat(p["part"].to_numpy(), len(masks))})
 
-    return reps.select("rep", "sig").mapInPandas(rows, "key long, rep long")
+    return reps.select("rep", "part", "sig").mapInPandas(rows, "key long, rep long, part long")
 
 
 def _in_groups(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,12 +161,21 @@ def _grouped(df: DataFrame) -> DataFrame:
     return df.repartition("gid").sortWithinPartitions("gid", "rep")
 
 
-def _close_pairs(members: DataFrame, distance: int) -> DataFrame:
-    """(a, b): pairs of small buckets, a forest of larger ones, by signature distance."""
+def _close_pairs(reps: DataFrame, masks: list[tuple[int, ...]], distance: int) -> DataFrame:
+    """(a, b): for each bucket of the keys of ``masks``, edges by signature distance between different parts.
+
+    Pairs of small buckets, a forest of larger ones. Buckets with the same members
+    are compared once; those within one part not at all.
+    """
+    keys = _index_keys(reps, masks)
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.min("rep").alias("low"), F.min("part").alias("p"), F.max("part").alias("q"))
+    buckets = buckets.filter("p < q").groupBy("n", "x", "y", "low").agg(F.min("key").alias("key")).select("key", "n")
+    members = keys.join(buckets, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
+    members = _blocked(members.join(reps.select("rep", "sig"), "rep"), ["key"], "blocks")
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in _in_groups(parts):
-            gid, rep = p["gid"].to_numpy(), p["rep"].to_numpy()
+            gid, rep, part = p["gid"].to_numpy(), p["rep"].to_numpy(), p["part"].to_numpy()
             sig = np.frombuffer(b"".join(p["sig"]), np.uint8).reshape(-1, HASHES)
             begin = np.flatnonzero(np.diff(gid, prepend=gid[0] - 1))
             sizes = np.diff(np.append(begin, len(gid)))
@@ -181,11 +191,13 @@ def _close_pairs(members: DataFrame, distance: int) -> DataFrame:
                 far = np.zeros((s, s), np.uint8)
                 for k in range(HASHES):
                     far += block[:, k, None] != block[None, :, k]
-                found.append(_forest(far <= distance) + at)
+                own = part[at : at + s]
+                found.append(_forest((far <= distance) | (own[:, None] == own[None, :])) + at)
             edges = np.concatenate(found)
+            edges = edges[part[edges[:, 0]] != part[edges[:, 1]]]
             yield pd.DataFrame({"a": rep[edges[:, 0]], "b": rep[edges[:, 1]]})
 
-    return _grouped(members.select("gid", "rep", "sig")).mapInPandas(rows, "a long, b long").distinct()
+    return _grouped(members.select("gid", "rep", "part", "sig")).mapInPandas(rows, "a long, b long").distinct()
 
 
 def _shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -256,13 +268,12 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     classes = prints.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = durable(classes, "classes")
 
-    # Index buckets, those with the same members once.
-    keys = _index_keys(classes, m)
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.min("rep").alias("low"))
-    buckets = buckets.filter("n > 1").groupBy("n", "x", "y", "low").agg(F.min("key").alias("key")).select("key", "n")
-    members = keys.join(buckets, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
-    members = _blocked(members.join(classes.select("rep", "sig"), "rep"), ["key"], "blocks")
-    coarse = connected_components(_close_pairs(members, distance), "a", "b")
+    # Equal chunks first; then chunks with an error, between what is still apart.
+    reps = classes.select("rep", F.col("rep").alias("part"), "sig")
+    equal = durable(_close_pairs(reps, chunk_masks(m, 0), distance), "equal")
+    parts = connected_components(equal, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("found"))
+    reps = durable(reps.join(parts, "rep", "left").select("rep", F.coalesce("found", "rep").alias("part"), "sig"), "parts")
+    coarse = connected_components(_close_pairs(reps, chunk_masks(m, 1), distance).union(equal), "a", "b")
 
     # Exact comparison inside coarse groups.
     sized = coarse.select(F.col("node").alias("rep"), F.col("component").alias("grp")).join(classes.select("rep", "n_shingles"), "rep")
