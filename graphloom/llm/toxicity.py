@@ -5,8 +5,8 @@ One weight vector is shared by all ordered thresholds: P(grade >= k) =
 logistic(w x - theta_k), and the expected severity is the sum of these over k.
 
 The labels only say toxic or not. Grades are formed from them: 0 is not toxic; toxic
-documents are 1 or 2, 2 if their share of indicative words (those whose features are
-at least ``LIFT`` times as frequent in toxic documents) is above the toxic median.
+documents are 1 or 2, 2 if they have more indicative words (those with a feature that is
+at least ``LIFT`` times as frequent in toxic documents) than the toxic median.
 
 The model is fitted on a bounded sample of labelled documents, the first in hash order:
 ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` others. Every document is scored.
@@ -28,6 +28,8 @@ from graphloom.llm.common import durable, small_batches, table
 TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
 FEATURES = 4096
 LEAST_DOCS = 4
+#: Standard errors by which a feature's frequency must differ between toxic and clean documents.
+TELLING = 4.5
 LIFT = 10.0
 GRADES = 3
 _WORD = re.compile(r"[^\W\d_]+")
@@ -49,7 +51,7 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     part = marks.filter("toxic > 0").orderBy(*order).limit(TOXIC_ROWS).union(marks.filter("toxic <= 0").orderBy(*order).limit(CLEAN_ROWS))
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return durable(text.join(F.broadcast(part), "doc_id").dropDuplicates(["doc_id"]), "labelled")  # at most TOXIC_ROWS + CLEAN_ROWS ids
+    return durable(text.join(F.broadcast(part), "doc_id").dropDuplicates(["doc_id"]).dropDuplicates(["text"]), "labelled")  # at most TOXIC_ROWS + CLEAN_ROWS ids
 
 
 def _frequencies(sample: DataFrame) -> pd.DataFrame:
@@ -65,8 +67,9 @@ def _frequencies(sample: DataFrame) -> pd.DataFrame:
     totals = sample.groupBy().agg(F.sum((F.col("toxic") > 0).cast("double")).alias("t"), F.sum((F.col("toxic") <= 0).cast("double")).alias("c")).first()
     t, c = max(totals["t"] or 0, 1.0), max(totals["c"] or 0, 1.0)
     both = sample.mapInPandas(rows, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    gap = F.abs(F.col("toxic") / t - F.col("clean") / c) / F.sqrt((F.col("toxic") + F.col("clean")) / (t + c))
-    both = both.filter(F.col("toxic") + F.col("clean") >= LEAST_DOCS).withColumn("lift", ((F.col("toxic") + 0.5) / t) / ((F.col("clean") + 0.5) / c))
+    share = (F.col("toxic") + F.col("clean")) / (t + c)
+    gap = F.abs(F.col("toxic") / t - F.col("clean") / c) / F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / t + 1 / c))
+    both = both.filter((F.col("toxic") + F.col("clean") >= LEAST_DOCS) & (gap >= TELLING)).withColumn("lift", ((F.col("toxic") + 0.5) / t) / ((F.col("clean") + 0.5) / c))
     return both.orderBy(gap.desc(), "feature").limit(FEATURES).toPandas()
 
 
@@ -88,10 +91,10 @@ def _examples(sample: DataFrame, index: dict[str, int], telling: set[str]) -> pd
                 words = counts(text)
                 vector = _vector(words, index)
                 hits = sum(n for w, n in words.items() if any(f in telling for f in features(w)))
-                out.append((int(toxic > 0), hits / max(1, sum(words.values())), list(vector), [float(np.log1p(n)) for n in vector.values()]))
-            yield pd.DataFrame(out, columns=["toxic", "share", "at", "value"])
+                out.append((int(toxic > 0), float(hits), list(vector), [float(np.log1p(n)) for n in vector.values()]))
+            yield pd.DataFrame(out, columns=["toxic", "hits", "at", "value"])
 
-    return sample.mapInPandas(rows, "toxic int, share double, at array<int>, value array<double>").toPandas()
+    return sample.mapInPandas(rows, "toxic int, hits double, at array<int>, value array<double>").toPandas()
 
 
 def fit_cumulative_link(at: list[np.ndarray], value: list[np.ndarray], grade: np.ndarray, n_features: int, grades: int = GRADES, rounds: int = 400, decay: float = 3e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -138,8 +141,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[floa
     toxic = rows["toxic"].to_numpy() > 0
     if not toxic.any() or toxic.all():
         return {}, []
-    share = rows["share"].to_numpy()
-    grade = np.where(toxic, np.where(share > np.median(share[toxic]), 2, 1), 0)
+    hits = rows["hits"].to_numpy()
+    grade = np.where(toxic, np.where(hits > np.median(hits[toxic]), 2, 1), 0)
     weights, theta = fit_cumulative_link(rows["at"].tolist(), rows["value"].tolist(), grade, len(index))
     return {f: float(weights[i]) for f, i in index.items()}, theta.tolist()
 
