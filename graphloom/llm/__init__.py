@@ -6,6 +6,7 @@ import importlib
 
 _QUERIES = {
     "op2_string_kernel_lang": ("langid", "op2_langid"),
+    "op3_rarity_digest": ("digest", "op3_digest"),
     "op4_ordinal_severity": ("toxicity", "op4_severity"),
     "op5_minhash_neardup": ("neardup", "op5_minhash"),
     "op6_containment_search": ("decontam", "op6_contained"),
