@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 
 _QUERIES = {
+    "op1_perspective_rotation": ("chat", "op1_perspectives"),
     "op2_string_kernel_lang": ("langid", "op2_langid"),
     "op3_rarity_digest": ("digest", "op3_digest"),
     "op4_ordinal_severity": ("toxicity", "op4_severity"),
@@ -28,7 +29,7 @@ def queries() -> dict:
     return {k: _query(*v) for k, v in _QUERIES.items()}
 
 
-_SQL = {"op6_containment_search": ("decontam", "OP6_SQL"), "op8_line_spread": ("linededup", "OP8_SQL"), "op9_warc_chain": ("warc", "OP9_SQL")}
+_SQL = {"op1_perspective_rotation": ("chat", "OP1_SQL"), "op6_containment_search": ("decontam", "OP6_SQL"), "op8_line_spread": ("linededup", "OP8_SQL"), "op9_warc_chain": ("warc", "OP9_SQL")}
 
 
 def oracle_sql() -> dict[str, str]:
