@@ -1,16 +1,58 @@
-"""Corpus pipeline: stages from raw documents to token ids, each written and read again."""
+"""Corpus pipeline: from raw documents to token ids, each stage written and read again."""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm import bpe, decontam, linededup, neardup, toxicity
+from graphloom.llm.common import durable, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the severity model does not reject; fitted on labelled rows of ``docs``."""
+    scored = toxicity.severity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.filter(~F.col("__toxic")).select(docs.columns)
+
+
+def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that are spread over many sources."""
+    return linededup.remove_spread_lines(docs).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest doc_id of each group of near-duplicates (five words, 0.8); rows without an id stay."""
+    kept = neardup.near_duplicates(docs, 5, 80).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.filter("doc_id IS NULL"))
 
 
-def run(spark, sf_dir):
-    from graphloom.llm.common import durable, table
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    found = decontam.contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, token_ids, decoded_sha256) of each document."""
+    coded = bpe.encode_documents(docs, public_tokenizers.path(bpe.VOCABULARY))
+    return coded.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_boilerplate),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
+
+#: The severity model and the encoder can't be expressed in SQL; tests compare with brute force.
+ORACLE_SQL = None
+
 
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        docs = docs if k == len(STAGES) - 1 else durable(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
