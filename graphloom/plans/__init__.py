@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import importlib
+
+_MODULES = ("reads", "audits", "paths", "search", "vectors", "changes", "tenancy")
+
+
+def _load():
+    for m in _MODULES:
+        importlib.import_module(f"graphloom.plans.{m}")
+    return importlib.import_module("graphloom.plans.registry")
+
 
 def queries() -> dict:
-    return {}
+    return dict(_load().QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_load().SQL)
