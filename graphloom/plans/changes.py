@@ -1 +1,248 @@
-"""Queries."""
+"""Queries of mutations and the change log."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphloom.operators import changelog as C
+from graphloom.operators import mutate as M
+from graphloom.plans.registry import query
+
+_NEW = "new AS (SELECT CAST(c_custkey AS BIGINT) AS pos, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN 'new:' || CAST(c_custkey % 50 AS VARCHAR) ELSE '' END AS name, CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS entity_type FROM customer)"
+
+
+def _new(g):
+    c = g.table("customer")
+    name = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit("new:"), (F.col("c_custkey") % 50).cast("string"))).otherwise("")
+    return c.select(F.col("c_custkey").alias("pos"), name.alias("name"), F.when(F.col("c_custkey") % 2 == 0, "even").otherwise("odd").alias("entity_type"))
+
+
+@query("mut_create_result", _NEW + """,
+f AS (SELECT name, min(pos) AS pos FROM new WHERE name <> '' AND name NOT IN (SELECT name FROM entity) GROUP BY name);;
+SELECT * FROM entity UNION ALL SELECT 7000000000 + f.pos, f.name, new.entity_type FROM f JOIN new ON new.pos = f.pos""")
+def mut_create_result(g):
+    return M.create_entities(g.entity, _new(g), 7_000_000_000)
+
+
+@query("mut_upsert_result", _NEW + ", l AS (SELECT name, arg_max(entity_type, pos) AS t FROM new GROUP BY name);;SELECT id, e.name, coalesce(t, entity_type) AS entity_type FROM entity e LEFT JOIN l USING (name)")
+def mut_upsert_result(g):
+    return M.upsert_types(g.entity, _new(g))
+
+
+_GONE = "gone AS (SELECT id, name FROM entity WHERE id % 7 = 2)"
+
+
+def _deleted(g):
+    return M.delete_entities(g.entity, g.relation, g.observation, g.attribute, g.entity.filter("id % 7 = 2").select("name"))
+
+
+@query("mut_delete_entities", _GONE + ";;SELECT * FROM entity WHERE id NOT IN (SELECT id FROM gone)")
+def mut_delete_entities(g):
+    return _deleted(g)[0]
+
+
+@query("mut_delete_relations", _GONE + ";;SELECT * FROM relation WHERE from_id NOT IN (SELECT id FROM gone) AND to_id NOT IN (SELECT id FROM gone)")
+def mut_delete_relations(g):
+    return _deleted(g)[1]
+
+
+@query("mut_delete_owned", _GONE + ";;SELECT 'observation' AS kind, count(*) AS n FROM observation WHERE entity_id NOT IN (SELECT id FROM gone) UNION ALL SELECT 'attribute', count(*) FROM attribute WHERE owner_id NOT IN (SELECT id FROM gone)")
+def mut_delete_owned(g):
+    _, _, o, a = _deleted(g)
+    return o.agg(F.count(F.lit(1)).alias("n")).select(F.lit("observation").alias("kind"), "n").union(a.agg(F.count(F.lit(1)).alias("n")).select(F.lit("attribute").alias("kind"), "n"))
+
+
+@query("mut_create_relations", """
+new AS (SELECT from_id, to_id + 1 AS to_id, 'near' AS relation_type FROM relation WHERE relation_type = 'bought' UNION ALL SELECT * FROM relation WHERE relation_type = 'in_nation'),
+ok AS (SELECT DISTINCT * FROM new WHERE from_id IN (SELECT id FROM entity) AND to_id IN (SELECT id FROM entity));;
+SELECT * FROM relation UNION SELECT * FROM ok""")
+def mut_create_relations(g):
+    r = g.relation
+    new = r.filter("relation_type = 'bought'").select("from_id", (F.col("to_id") + 1).alias("to_id"), F.lit("near").alias("relation_type")).union(r.filter("relation_type = 'in_nation'"))
+    return M.create_relations(r, g.entity, new)
+
+
+@query("mut_merge_relations", """
+m AS (SELECT CASE WHEN from_id = 4000000001 THEN 4000000002 ELSE from_id END AS from_id, CASE WHEN to_id = 4000000001 THEN 4000000002 ELSE to_id END AS to_id, relation_type FROM relation);;
+SELECT DISTINCT CAST(from_id AS BIGINT) AS from_id, CAST(to_id AS BIGINT) AS to_id, relation_type FROM m""")
+def mut_merge_relations(g):
+    return M.merge_entities(g.entity, g.relation, g.observation, g.attribute, 4_000_000_001, 4_000_000_002)[1]
+
+
+@query("mut_merge_observations", """
+s AS (SELECT body, idx FROM observation WHERE entity_id = 5000000001 AND body NOT IN (SELECT body FROM observation WHERE entity_id = 5000000002)),
+x AS (SELECT max(idx) AS last FROM observation WHERE entity_id = 5000000002);;
+SELECT entity_id, idx, body FROM observation WHERE entity_id <> 5000000001 AND entity_id < 6000000000
+UNION ALL SELECT 5000000002, CAST(last + row_number() OVER (ORDER BY idx) AS INTEGER), body FROM s, x""")
+def mut_merge_observations(g):
+    small = g.observation.filter("entity_id < 6000000000")
+    return M.merge_entities(g.entity, g.relation, small, g.attribute, 5_000_000_001, 5_000_000_002)[2]
+
+
+@query("mut_rename_result", """
+n AS (SELECT name, CASE WHEN id % 2 = 0 THEN name || '*' ELSE 'ASIA' END AS new_name FROM entity WHERE entity_type = 'supplier'),
+f AS (SELECT * FROM n WHERE new_name NOT IN (SELECT name FROM entity));;
+SELECT id, coalesce(new_name, e.name) AS name, entity_type FROM entity e LEFT JOIN f USING (name)""")
+def mut_rename_result(g):
+    s = g.entity.filter("entity_type = 'supplier'")
+    return M.rename_entities(g.entity, s.select("name", F.when(F.col("id") % 2 == 0, F.concat("name", F.lit("*"))).otherwise("ASIA").alias("new_name")))
+
+
+@query("mut_reverse_result", "SELECT CASE WHEN relation_type = 'in_region' THEN to_id ELSE from_id END AS from_id, CASE WHEN relation_type = 'in_region' THEN from_id ELSE to_id END AS to_id, relation_type FROM relation")
+def mut_reverse_result(g):
+    return M.reverse_relations(g.relation, g.relation.filter("relation_type = 'in_region'"))[0]
+
+
+@query("mut_retype_result", "SELECT from_id, to_id, CASE WHEN relation_type = 'supplies' AND to_id % 2 = 0 THEN 'sells' ELSE relation_type END AS relation_type FROM relation")
+def mut_retype_result(g):
+    return M.change_relation_type(g.relation, g.relation.filter("relation_type = 'supplies' AND to_id % 2 = 0"), "sells")[0]
+
+
+_ADDED = "n AS (SELECT CAST(3000000000 + o_custkey AS BIGINT) AS entity_id, o_orderkey AS pos, 'priority: ' || o_orderpriority AS body FROM orders)"
+
+
+def _added(g):
+    o = g.table("orders")
+    return o.select((F.lit(3_000_000_000).cast("long") + F.col("o_custkey")).alias("entity_id"), F.col("o_orderkey").alias("pos"), F.concat(F.lit("priority: "), "o_orderpriority").alias("body"))
+
+
+@query("mut_add_obs_result", _ADDED + """;;
+SELECT entity_id, idx, body FROM observation WHERE entity_id < 4000000000 UNION ALL SELECT entity_id, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY pos) AS INTEGER), body FROM n""")
+def mut_add_obs_result(g):
+    return M.add_observations(g.observation.filter("entity_id < 4000000000"), _added(g))
+
+
+@query("mut_upsert_obs_result", _ADDED + """, f AS (SELECT entity_id, body, min(pos) AS pos FROM n GROUP BY entity_id, body);;
+SELECT entity_id, idx, body FROM observation WHERE entity_id < 4000000000 UNION ALL SELECT entity_id, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY pos) AS INTEGER), body FROM f""")
+def mut_upsert_obs_result(g):
+    return M.add_observations(g.observation.filter("entity_id < 4000000000"), _added(g), only_new=True)
+
+
+@query("mut_delete_obs_result", "SELECT entity_id, idx, body FROM observation WHERE NOT (entity_id BETWEEN 5000000000 AND 5999999999 AND starts_with(body, 'brand: ') AND entity_id % 2 = 0)")
+def mut_delete_obs_result(g):
+    return M.delete_observations(g.observation, g.observation.filter("entity_id BETWEEN 5000000000 AND 5999999999 AND startswith(body, 'brand: ') AND entity_id % 2 = 0"))
+
+
+@query("mut_set_attr_result", "SELECT owner_kind, owner_id, key, CASE WHEN key = 'lang' AND owner_id % 3 = 0 THEN upper(value) ELSE value END AS value FROM attribute UNION ALL SELECT 'entity', id, 'rank', 'top' FROM entity WHERE entity_type = 'region'")
+def mut_set_attr_result(g):
+    a = g.attribute.filter("key = 'lang' AND owner_id % 3 = 0")
+    new = a.select("owner_kind", "owner_id", "key", F.explode(F.array(F.struct(F.lit("x").alias("value"), F.lit(0).alias("pos")), F.struct(F.upper("value").alias("value"), F.lit(1).alias("pos")))).alias("v")).select("owner_kind", "owner_id", "key", "v.value", "v.pos")
+    more = g.entity.filter("entity_type = 'region'").select(F.lit("entity").alias("owner_kind"), F.col("id").alias("owner_id"), F.lit("rank").alias("key"), F.lit("top").alias("value"), F.lit(0).alias("pos"))
+    return M.set_attributes(g.attribute, new.union(more))
+
+
+@query("mut_change_diff", _GONE + """;;
+SELECT id, 'delete' AS operation FROM gone UNION ALL SELECT id, 'update' FROM entity WHERE entity_type = 'part' AND id % 7 <> 2
+UNION ALL SELECT DISTINCT CAST(8000000000 + r_regionkey AS BIGINT), 'create' FROM region""")
+def mut_change_diff(g):
+    e = g.entity
+    after = e.filter("id % 7 <> 2").withColumn("entity_type", F.when(F.col("entity_type") == "part", "article").otherwise(F.col("entity_type")))
+    after = after.union(g.table("region").select((F.lit(8_000_000_000).cast("long") + F.col("r_regionkey")).alias("id"), F.lit("x"), F.lit("y")))
+    return M.changes(e, after, "id", ["name", "entity_type"])
+
+
+@query("mut_counters", _GONE + ";;SELECT entity_type, -count(*) AS delta FROM entity WHERE id IN (SELECT id FROM gone) GROUP BY entity_type")
+def mut_counters(g):
+    return M.counter_deltas(g.entity, _deleted(g)[0], "entity_type")
+
+
+_REVISED = """
+x AS (SELECT *, sum(1 - quiet) OVER (PARTITION BY entity_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s, first_value(quiet) OVER (PARTITION BY entity_id ORDER BY ts, event_id) AS q FROM change),
+revised AS (SELECT event_id, entity_id, operation, quiet, CAST(s + q AS BIGINT) AS entity_revision FROM x)"""
+
+
+@query("event_revisions", _REVISED + ";;SELECT event_id, entity_id, entity_revision FROM revised")
+def event_revisions(g):
+    return C.event_revisions(g.change).select("event_id", "entity_id", "entity_revision")
+
+
+@query("event_quiet", _REVISED + ";;SELECT entity_id, count(*) AS n_quiet, max(entity_revision) AS entity_revision FROM revised WHERE quiet = 1 GROUP BY entity_id")
+def event_quiet(g):
+    rows = C.event_revisions(g.change).filter("quiet = 1")
+    return rows.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n_quiet"), F.max("entity_revision").alias("entity_revision"))
+
+
+_SUBSCRIPTIONS = [("all", [], [], [], "none"), ("creates", ["create"], [], [], "none"), ("deletes", ["delete", "create"], ["customer"], ["app1"], "app2"), ("parts", [], ["part"], [], "none")]
+
+
+@query("outbox_fanout", """
+o AS (SELECT event_id, operation, 'app' || CAST(event_id % 3 AS VARCHAR) AS origin FROM change);;
+SELECT event_id, 'all' AS subscription_id FROM o UNION ALL SELECT event_id, 'creates' FROM o WHERE operation = 'create'
+UNION ALL SELECT event_id, 'deletes' FROM o WHERE operation IN ('delete', 'create') AND origin NOT IN ('app1', 'app2')""")
+def outbox_fanout(g):
+    subs = g.spark.createDataFrame(_SUBSCRIPTIONS, "subscription_id string, operations array<string>, types array<string>, ignored_origins array<string>, own_origin string")
+    rows = g.change.select("event_id", "operation", F.lit("customer").alias("entity_type"), F.concat(F.lit("app"), (F.col("event_id") % 3).cast("string")).alias("origin"))
+    return C.fan_out(rows, subs)
+
+
+_OUTBOX = """outbox AS (SELECT event_id AS delivery_id, user_id AS subscription_id, CASE WHEN event_id % 5 = 0 THEN 'leased' WHEN event_id % 5 = 1 THEN 'done' ELSE 'pending' END AS state,
+  event_id % 97 AS next_attempt, event_id % 61 AS lease_until, event_id % 4 AS epoch FROM events)"""
+
+
+def _outbox(g):
+    e, n = g.table("events"), F.col("event_id")
+    state = F.when(n % 5 == 0, "leased").when(n % 5 == 1, "done").otherwise("pending")
+    return e.select(n.alias("delivery_id"), F.col("user_id").alias("subscription_id"), state.alias("state"), (n % 97).alias("next_attempt"), (n % 61).alias("lease_until"), (n % 4).alias("epoch"))
+
+
+@query("outbox_claim", _OUTBOX + """,
+d AS (SELECT *, row_number() OVER (PARTITION BY subscription_id ORDER BY next_attempt, delivery_id) AS place FROM outbox o
+  WHERE ((state = 'pending' AND next_attempt <= 58) OR (state = 'leased' AND lease_until <= 58))
+    AND subscription_id NOT IN (SELECT subscription_id FROM outbox WHERE state = 'leased' AND lease_until > 58));;
+SELECT subscription_id, delivery_id, epoch + 1 AS epoch FROM d WHERE place = 1""")
+def outbox_claim(g):
+    return C.due_claims(_outbox(g), 58)
+
+
+@query("outbox_transitions", """
+s AS (SELECT event_id AS delivery_id, CASE event_id % 6 WHEN 0 THEN 200 WHEN 1 THEN 404 WHEN 2 THEN 429 WHEN 3 THEN 503 WHEN 4 THEN 408 ELSE 204 END AS status, event_id % 10 AS attempts FROM events);;
+SELECT delivery_id, CASE WHEN status BETWEEN 200 AND 299 THEN 'done' WHEN status IN (408, 429, 503) AND attempts < 8 THEN 'pending' ELSE 'dead' END AS state FROM s""")
+def outbox_transitions(g):
+    n = F.col("event_id")
+    status = F.element_at(F.array(*[F.lit(x) for x in (200, 404, 429, 503, 408, 204)]), (n % 6 + 1).cast("int"))
+    return g.table("events").select(n.alias("delivery_id"), C.delivery_outcome(status, n % 10).alias("state"))
+
+
+@query("job_latest_revision", _REVISED + ";;SELECT entity_id, entity_revision, operation FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY entity_revision DESC, event_id DESC) AS place FROM revised WHERE quiet = 0) WHERE place = 1")
+def job_latest_revision(g):
+    return C.latest_jobs(C.event_revisions(g.change))
+
+
+@query("fenced_commit", _REVISED + """,
+live AS (SELECT entity_id, max(entity_revision) AS revision FROM revised GROUP BY entity_id);;
+SELECT r.event_id FROM revised r JOIN live l ON l.entity_id = r.entity_id AND l.revision = r.entity_revision WHERE r.event_id % 3 = 1 AND r.event_id % 50 > 20""")
+def fenced_commit(g):
+    rows = C.event_revisions(g.change)
+    live = rows.groupBy("entity_id").agg(F.max("entity_revision").alias("revision")).withColumn("epoch", F.lit(1).cast("long"))
+    commits = rows.select("event_id", "entity_id", (F.col("event_id") % 3).alias("epoch"), F.col("entity_revision").alias("revision"), (F.col("event_id") % 50).alias("lease_until"))
+    return C.fenced(commits, live, 20).select("event_id")
+
+
+@query("fullscan_gate", "live AS (SELECT id FROM entity WHERE entity_type = 'document' AND id % 2 = 0);;SELECT id AS owner_id, 'no chunk' AS fault FROM live WHERE id NOT IN (SELECT owner_id FROM chunk_vector) UNION ALL SELECT DISTINCT owner_id, 'no owner' FROM chunk_vector WHERE owner_id NOT IN (SELECT id FROM live)")
+def fullscan_gate(g):
+    return C.missing_chunks(g.entity.filter("entity_type = 'document' AND id % 2 = 0").select(F.col("id").alias("owner_id")), g.chunk_vector)
+
+
+@query("idempotency_conflicts", """
+r AS (SELECT event_id AS request_id, user_id AS principal, event_id % 20 AS key, event_type AS fingerprint FROM events),
+f AS (SELECT principal, key, min(request_id) AS first, arg_min(fingerprint, request_id) AS fp FROM r GROUP BY principal, key);;
+SELECT request_id, CASE WHEN request_id = first THEN 'apply' WHEN fingerprint = fp THEN 'replay' ELSE 'conflict' END AS outcome FROM r JOIN f USING (principal, key)""")
+def idempotency_conflicts(g):
+    e = g.table("events")
+    return C.idempotency(e.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("principal"), (F.col("event_id") % 20).alias("key"), F.col("event_type").alias("fingerprint")))
+
+
+@query("causation_check", """
+e AS (SELECT event_id, CASE WHEN event_id % 4 > 0 THEN event_id - 1 END AS causation, event_id // 4 AS correlation, CASE WHEN event_id % 40 = 7 THEN 9 ELSE event_id % 4 END AS hop FROM events);;
+SELECT a.event_id FROM e a LEFT JOIN e b ON b.event_id = a.causation
+WHERE NOT (a.hop <= 15 AND CASE WHEN a.causation IS NULL THEN a.hop = 0 ELSE a.hop > 0 AND b.event_id IS NOT NULL AND coalesce(b.correlation = a.correlation AND a.hop = b.hop + 1, false) END)""")
+def causation_check(g):
+    n = F.col("event_id")
+    rows = g.table("events").select("event_id", F.when(n % 4 > 0, n - 1).alias("causation"), F.floor(n / 4).alias("correlation"), F.when(n % 40 == 7, F.lit(9).cast("long")).otherwise(n % 4).alias("hop"))
+    return C.causation_faults(rows)
+
+
+@query("next_due", _OUTBOX + ";;SELECT min(due) AS due FROM (SELECT next_attempt + 3 AS due FROM outbox WHERE state = 'pending' UNION ALL SELECT lease_until + 2 FROM outbox WHERE state = 'leased' UNION ALL SELECT delivery_id FROM outbox WHERE state = 'done')")
+def next_due(g):
+    o = _outbox(g)
+    return C.next_due(o.filter("state = 'pending'").select((F.col("next_attempt") + 3).alias("due")), o.filter("state = 'leased'").select((F.col("lease_until") + 2).alias("due")), o.filter("state = 'done'").select(F.col("delivery_id").alias("due")))
