@@ -1 +1,91 @@
-"""Queries."""
+"""Queries of attachments, chunk documents and workspaces. A document's source is its workspace."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from graphloom.operators import access as W
+from graphloom.operators import reads as R
+from graphloom.plans.registry import query
+from graphloom.sources import attachments as T
+
+
+def _pages(g):
+    return g.table("documents").select(F.col("doc_id").alias("id"), "text")
+
+
+@query("attachment_segments", "p AS (SELECT doc_id AS id, text, unnest(range(0, CAST(ceil(length(text) / 1600.0) AS BIGINT))) AS chunk_index FROM documents);;SELECT id, chunk_index, substring(text, chunk_index * 1600 + 1, 1600) AS segment FROM p")
+def attachment_segments(g):
+    return T.segments(_pages(g))
+
+
+@query("attachment_page_window", 'SELECT doc_id AS id, substring(text, 101, 500) AS "window", length(text) <= 600 AS eof FROM documents')
+def attachment_page_window(g):
+    return T.page_window(_pages(g), 100, 500)
+
+
+@query("attachment_hashes", "SELECT doc_id AS id, strlen(text) AS n_bytes, sha256(text) AS sha256 FROM documents")
+def attachment_hashes(g):
+    content = F.encode("text", "utf-8")
+    return _pages(g).select("id", F.octet_length(content).cast("long").alias("n_bytes"), F.sha2(content, 256).alias("sha256"))
+
+
+@query("upload_budget", "SELECT source AS owner, CAST(sum(n_chars) + coalesce(sum(n_chars) FILTER (doc_id % 7 > 3), 0) AS BIGINT) AS used FROM documents GROUP BY source")
+def upload_budget(g):
+    """Stored bytes of each source, and as many reserved for documents whose reservation runs past time 3."""
+    d = g.table("documents")
+    files = d.select(F.col("source").alias("owner"), F.col("n_chars").alias("bytes"))
+    return T.storage_used(files, d.select(F.col("source").alias("owner"), F.col("n_chars").alias("bytes"), (F.col("doc_id") % 7).alias("expires")), 3)
+
+
+@query("upload_complete", """
+u AS (SELECT l_orderkey AS upload_id, count(*) AS n FROM lineitem GROUP BY l_orderkey);;
+SELECT upload_id, upload_id % 5 <> 0 AND (upload_id % 3 <> 0 OR n = 1) AS complete FROM u""")
+def upload_complete(g):
+    """Line items as chunks of ten bytes; every fifth upload declares one byte more, every third has a gap."""
+    items = g.table("lineitem").select(F.col("l_orderkey").alias("upload_id"), F.col("l_linenumber").cast("long").alias("n"))
+    sizes = items.groupBy("upload_id").agg(F.count(F.lit(1)).alias("n"))
+    gap = F.when((F.col("upload_id") % 3 == 0) & (F.col("i") > 0), 10).otherwise(0)
+    chunks = sizes.select("upload_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).select("upload_id", (F.col("i") * 10 + gap).alias("offset"), F.lit(10).cast("long").alias("bytes"))
+    declared = sizes.select("upload_id", (F.col("n") * 10 + F.when(F.col("upload_id") % 5 == 0, 1).otherwise(0)).alias("bytes"))
+    return T.complete_uploads(chunks.union(chunks.filter("offset = 0")), declared)
+
+
+@query("chunk_documents", "SELECT id AS owner_id, 'identity' AS kind, 0 AS chunk_index, name || chr(10) || entity_type AS text FROM entity UNION ALL SELECT entity_id, 'observation', idx, body FROM observation")
+def chunk_documents(g):
+    return T.entity_documents(g.entity, g.observation)
+
+
+@query("type_documents", """
+s AS (SELECT DISTINCT relation_type, a.entity_type AS f, b.entity_type AS t FROM relation JOIN entity a ON a.id = from_id JOIN entity b ON b.id = to_id);;
+SELECT relation_type, relation_type || chr(10) || string_agg(f || '>' || t, chr(10) ORDER BY f, t) AS text FROM s GROUP BY relation_type""")
+def type_documents(g):
+    rows = R.type_signatures(g.relation, g.entity).groupBy("relation_type").agg(F.array_sort(F.collect_list(F.struct("from_type", "to_type"))).alias("s"))
+    shapes = F.transform("s", lambda x: F.concat(x["from_type"], F.lit(">"), x["to_type"]))
+    return rows.select("relation_type", F.array_join(F.concat(F.array("relation_type"), shapes), "\n").alias("text"))
+
+
+_GRANTS = [("src1", "ann", "reader"), ("src1", "ann", "writer"), ("src2", "ann", "reader"), ("src3", "bob", "writer")]
+_WORKSPACES = "w AS (SELECT source AS workspace_id, CASE WHEN source = 'src0' THEN 'ann' ELSE 'bob' END AS owner, source IN ('src5', 'src6') AS public FROM documents GROUP BY source)"
+_ROLES = _WORKSPACES + """, r AS (SELECT workspace_id, CASE WHEN owner = 'ann' THEN 'owner' WHEN workspace_id = 'src1' THEN 'writer' WHEN workspace_id = 'src2' OR public THEN 'reader' END AS role FROM w)"""
+
+
+def _roles(g):
+    w = g.table("documents").groupBy(F.col("source").alias("workspace_id")).agg(F.lit(1).alias("one"))
+    w = w.select("workspace_id", F.when(F.col("workspace_id") == "src0", "ann").otherwise("bob").alias("owner"), F.col("workspace_id").isin("src5", "src6").alias("public"))
+    return W.access(w, g.spark.createDataFrame(_GRANTS, "workspace_id string, principal string, role string"), "ann")
+
+
+@query("workspace_acl", _ROLES + ";;SELECT * FROM r WHERE role IS NOT NULL")
+def workspace_acl(g):
+    return _roles(g)
+
+
+@query("workspace_writable_documents", _ROLES + ";;SELECT doc_id, source FROM documents WHERE source IN (SELECT workspace_id FROM r WHERE role IN ('owner', 'writer'))")
+def workspace_writable_documents(g):
+    return W.visible(g.table("documents").select("doc_id", "source"), W.can_write(_roles(g)), "source").select("doc_id", "source")
+
+
+@query("workspace_page", _ROLES + ";;SELECT * FROM r WHERE role IS NOT NULL AND workspace_id > 'src0' ORDER BY workspace_id LIMIT 3")
+def workspace_page(g):
+    return W.keyset_page(_roles(g), "workspace_id", "src0", 3)[0]
