@@ -28,6 +28,8 @@ from graphloom.llm.common import durable, small_batches, table
 
 SAMPLE = 1600
 LANDMARKS = 96
+#: The most frequent languages that are learned.
+LANGUAGES = 1000
 RIDGE = 1e-3
 SYMBOLS = 64
 OWN = 48
@@ -74,8 +76,11 @@ def has_letter(text: str | None) -> bool:
 def _sample(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(doc_id, text, lang): the first documents of each language in hash order."""
     ids = docs.select(F.col("doc_id").cast("long"), F.col(lang).cast("string").alias("lang")).filter("doc_id IS NOT NULL AND lang IS NOT NULL").withColumn("order", F.xxhash64("doc_id"))
-    # row_number <= n keeps n rows a language in each task before the shuffle.
-    first = ids.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))).filter(F.col("at") <= SAMPLE)
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    # The share of hash values that holds about twice what is wanted of each language.
+    early = (F.col("order") / 2.0**64 + 0.5) * F.col("n") < 2 * SAMPLE
+    near = ids.join(F.broadcast(counts), "lang").filter(early)
+    first = near.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id")))
     ids = durable(first.orderBy("at", "lang").limit(SAMPLE).select("doc_id", "lang"), "sample")
     texts = docs.select(F.col("doc_id").cast("long"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     return durable(texts.join(F.broadcast(ids), ["doc_id", "lang"]).filter("text IS NOT NULL").dropDuplicates(["doc_id"]), "texts")  # SAMPLE ids
