@@ -188,11 +188,11 @@ def digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN
     """
     small_batches(docs.sparkSession)
 
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def code(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = codec(path, pattern)
-        for p in parts:
+        for texts in parts:
             out = []
-            for text in p["text"]:
+            for text in texts:
                 n, ids, back = 0, hashlib.sha256(), hashlib.sha256()
                 chunks = bpe.cut(text or "")
                 for low in range(0, len(chunks), 4096):
@@ -202,23 +202,25 @@ def digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN
                     n += sum([g[0] for g in got])
                     back.update(b"".join([g[2] for g in got]))
                 out.append((n, ids.hexdigest(), back.hexdigest()))
-            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"]).assign(doc_id=p["doc_id"].to_numpy())[["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]]
+            yield pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(F.col("doc_id"), F.col("text").cast("string")).mapInPandas(rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    coded = F.pandas_udf(code, "n_tokens long, ids_sha256 string, decoded_sha256 string")(F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long"), coded.alias("c")).select("doc_id", "c.*")
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(doc_id, n_tokens, token_ids, decoded) for each row: the ids and the text decoded from them."""
     small_batches(docs.sparkSession)
 
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def code(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = codec(path, pattern)
-        for p in parts:
-            ids = [[t for c in bpe.cut(text or "") for t in map(int, bpe.chunk(c)[1].split())] for text in p["text"]]
+        for texts in parts:
+            ids = [[t for c in bpe.cut(text or "") for t in map(int, bpe.chunk(c)[1].split())] for text in texts]
             back = [bpe.decode(x).decode("utf-8", "surrogatepass") for x in ids]
-            yield pd.DataFrame({"doc_id": p["doc_id"], "n_tokens": [len(x) for x in ids], "token_ids": ids, "decoded": back})
+            yield pd.DataFrame({"n_tokens": [len(x) for x in ids], "token_ids": ids, "decoded": back})
 
-    return docs.select(F.col("doc_id"), F.col("text").cast("string")).mapInPandas(rows, "doc_id long, n_tokens long, token_ids array<int>, decoded string")
+    coded = F.pandas_udf(code, "n_tokens long, token_ids array<int>, decoded string")(F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long"), coded.alias("c")).select("doc_id", "c.*")
 
 
 def op7_bpe(spark, sf_dir: str) -> DataFrame:

@@ -225,7 +225,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rank = corpus_rarity(docs)
 
-    def described(held: list[tuple[int, int | None, str]], last) -> tuple[list[tuple], tuple]:
+    def described(held: list[tuple[int, str | None, str]], last) -> tuple[list[tuple], tuple]:
         """Rows for all but the last held document; ``last`` is the digest of the first, if known."""
         raw = [t.encode("utf-8", "surrogatepass") for _, _, t in held]
         own = ([last] if last else []) + digest(raw[1 if last else 0 :], rank)
@@ -243,14 +243,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[tuple[int, int | None, str]] = []
+        held: list[tuple[int, str | None, str]] = []
         last, size, closed = None, 0, None
         for p in parts:
             out = []
-            for bucket, donor, doc, text in zip(p["bucket"], p["donor"], p["doc_id"].astype(object), p["text"], strict=True):
+            for bucket, donor, doc, text in zip(p["bucket"], p["donor"], p["doc_id"], p["text"], strict=True):
                 if closed == bucket:
                     continue  # further rows with the donor's id
-                held.append((bucket, None if doc is None or doc != doc else int(doc), text))
+                held.append((bucket, doc, text))
                 size += len(text)
                 if donor:
                     out += described(held, last)[0]
@@ -259,9 +259,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     found, last = described(held, last)
                     out += found
                     held, size = held[-1:], 0
-            yield pd.DataFrame(out, columns=columns).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=columns)
 
-    return _in_order(docs).mapInPandas(rows, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    # Ids travel as text: a null among numbers would turn them into floats.
+    ordered = _in_order(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
+    found = ordered.mapInPandas(rows, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def op3_digest(spark, sf_dir: str) -> DataFrame:

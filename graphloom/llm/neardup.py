@@ -84,16 +84,16 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 def fingerprint_rows(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, digest, sig) for each row of ``docs``."""
 
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            sets = list(shingle_sets(p["text"].tolist(), width, SPACES))
+    def prints(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            sets = list(shingle_sets(texts.tolist(), width, SPACES))
             yield pd.DataFrame({
-                "doc_id": p["doc_id"], "n_shingles": [len(s) for s in sets],
-                "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
+                "n_shingles": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                 "sig": [x.tobytes() for x in signatures(sets)],
             })
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(rows, "doc_id long, n_shingles long, digest binary, sig binary")
+    made = F.pandas_udf(prints, "n_shingles long, digest binary, sig binary")(F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long"), made.alias("p")).select("doc_id", "p.*")
 
 
 def _index_keys(reps: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:

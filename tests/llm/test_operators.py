@@ -303,3 +303,15 @@ def test_perspectives(spark):
         assert (r["rendered"], r["mask"], r["n_turns"], r["n_own"]) == (text, ",".join(spans), len(mine), len(spans))
     assert Counter(r["conv_id"] for r in got) == {1: 9, 2: 2, None: 1, 4: 1}
     assert chat.rotate_perspectives(df.limit(0)).count() == 0
+
+
+def test_large_and_null_ids(spark):
+    big = 2**62 + 1
+    docs = spark.createDataFrame([(big, "one two three four"), (None, "one two three four"), (big + 2, "one two three four"), (None, None)], "doc_id long, text string")
+    want = {None, big, big + 2}
+    path = public_tokenizers.path(bpe.VOCABULARY)
+    for out in (digest.fingerprints(docs), bpe.digests(docs, path), bpe.encode_documents(docs, path), neardup.near_duplicates(docs, 3, 85)):
+        got = [r["doc_id"] for r in out.collect()]
+        assert set(got) == want and len(got) == 4
+    kept = [r["doc_id"] for r in neardup.near_duplicates(docs, 3, 85).filter("kept").collect()]
+    assert sorted(kept, key=str) == sorted([big, None, None], key=str)
