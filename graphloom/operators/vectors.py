@@ -100,33 +100,44 @@ def mmr(candidates: DataFrame, k: int, weight: float = 0.5, group: str = "query_
     return candidates.select(group, "vec_id", "distance", "embedding").groupBy(group).applyInPandas(choose, f"{group} long, place int, vec_id long, score double")
 
 
+#: Queries and chunks that meet in one matrix product, and deals of chunk packs over tasks.
+QUERY_BLOCK, PACK, DEALS = 512, 512, 64
+
+
+def _unit(rows: list) -> np.ndarray:
+    v = np.stack([np.asarray(x, float) for x in rows])
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+
+
 def knn(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, distance): the ``k`` nearest chunks of each stated query (query_id, q).
+    """(query_id, vec_id, distance): the ``k`` nearest chunks of each stated query (query_id, q), by cosine.
 
-    Queries are a bounded set sent to every task; a task keeps its own k best of each
-    before the shuffle, so no candidate pairs are moved.
+    Queries in blocks against all chunks in packs: a block and a pack meet in one matrix
+    product, of which only each query's k best leave the task. Neither side passes
+    through the driver; with one block of queries, each chunk is moved once.
     """
-    held = [(r["query_id"], np.asarray(r["q"], float)) for r in queries.select("query_id", "q").collect()]
-    if not held:
-        return chunks.sparkSession.createDataFrame([], "query_id long, vec_id long, distance double")
-    ids = np.array([i for i, _ in held])
-    q = np.stack([v / (np.linalg.norm(v) or 1) for _, v in held])
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.struct("query_id", "q").alias("x"))
+    asked = asked.groupBy("block").agg(F.collect_list("x").alias("asked")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
+
+    def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            cuts = [p.iloc[i : i + PACK] for i in range(0, len(p), PACK)]
+            yield pd.DataFrame({"ids": [c["vec_id"].tolist() for c in cuts], "vectors": [[list(map(float, x)) for x in c["embedding"]] for c in cuts]})
+
+    packs = chunks.select("vec_id", "embedding").mapInPandas(pack, "ids array<long>, vectors array<array<double>>")
+    packs = packs.withColumn("deal", F.pmod(F.xxhash64("ids"), F.lit(DEALS)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
         for p in parts:
-            if not len(p):
-                continue
-            v = np.stack([np.asarray(x, float) for x in p["embedding"]])
-            norm = np.linalg.norm(v, axis=1, keepdims=True)
-            far = np.round(1 - q @ np.divide(v, norm, out=np.zeros_like(v), where=norm > 0).T, 6) + 0.0  # no negative zero
-            new = pd.DataFrame({"query_id": np.repeat(ids, len(p)), "vec_id": np.tile(p["vec_id"].to_numpy(), len(ids)), "distance": far.ravel()})
-            best = new if best is None else pd.concat([best, new])
-            best = best.sort_values(["query_id", "distance", "vec_id"]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
-
-    near = chunks.select("vec_id", "embedding").mapInPandas(rows, "query_id long, vec_id long, distance double")
+            for ids, vectors, block in zip(p["ids"], p["vectors"], p["asked"], strict=True):
+                ids = np.asarray(ids)
+                far = np.round(1 - _unit([x["q"] for x in block]) @ _unit(list(vectors)).T, 6) + 0.0  # no negative zero
+                best = np.array([np.lexsort((ids, row))[:k] for row in far])
+                yield pd.DataFrame({"query_id": np.repeat([x["query_id"] for x in block], best.shape[1]), "vec_id": ids[best].ravel(), "distance": np.take_along_axis(far, best, 1).ravel()})
+
+    near = packs.join(asked, ["block", "deal"]).select("ids", "vectors", "asked").mapInPandas(rows, "query_id long, vec_id long, distance double")
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
     return near.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k).drop("at")
 
