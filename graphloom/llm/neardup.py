@@ -37,6 +37,8 @@ from graphloom.llm.components import connected_components
 from graphloom.llm.shingles import SPACES, mix, shingle_sets
 
 HASHES = 64
+#: Signatures, and full sets, in a block; two blocks meet in a task.
+SIGNATURE_BLOCK = 1024
 BLOCK = 256
 BLOCK_SHINGLES = 400_000
 _U = np.uint64
@@ -170,7 +172,7 @@ def _close_pairs(reps: DataFrame, masks: list[tuple[int, ...]], distance: int) -
     keys = _index_keys(reps, masks)
     buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.min("rep").alias("low"), F.min("part").alias("p"), F.max("part").alias("q"))
     buckets = buckets.filter("p < q").groupBy("n", "x", "y", "low").agg(F.min("key").alias("key")).select("key", "n")
-    members = keys.join(buckets, "key").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long"))
+    members = keys.join(buckets, "key").withColumn("blocks", F.ceil(F.col("n") / SIGNATURE_BLOCK).cast("long"))
     members = _blocked(members.join(reps.select("rep", "sig"), "rep"), ["key"], "blocks")
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -71,6 +71,7 @@ def near_texts():
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
 def test_near_duplicates(spark, width, percent, monkeypatch):
     monkeypatch.setattr(neardup, "BLOCK", 6)  # several blocks for a group
+    monkeypatch.setattr(neardup, "SIGNATURE_BLOCK", 7)
     texts = near_texts()
     got = {r["doc_id"]: r for r in neardup.near_duplicates(frame(spark, texts), width, percent).collect()}
     parts, sizes = components_of(texts, width, percent)
