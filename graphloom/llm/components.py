@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import durable
 
 #: Tasks over which the links of one node are dealt in a join.
-SALT = 16
+SALT = 8
 
 
 def _state(links: DataFrame) -> tuple:
