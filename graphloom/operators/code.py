@@ -128,3 +128,11 @@ def get_symbol(found: DataFrame, name: str, most: int = 10) -> DataFrame:
 def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
     """Files (path, sha256) that are new or whose hash differs from ``known``."""
     return files.join(known.select("path", "sha256"), ["path", "sha256"], "left_anti")
+
+
+def callers_and_callees(relation: DataFrame, symbol: str, most: int = 500) -> DataFrame:
+    """(role, symbol): up to ``most`` callers and callees each of a symbol, over edges (source, target, relation_type)."""
+    calls = relation.filter(F.col("relation_type").isin("calls", "references"))
+    callers = calls.filter(F.col("target") == symbol).select(F.lit("caller").alias("role"), F.col("source").alias("symbol")).distinct().orderBy("symbol").limit(most)
+    callees = calls.filter(F.col("source") == symbol).select(F.lit("callee").alias("role"), F.col("target").alias("symbol")).distinct().orderBy("symbol").limit(most)
+    return callers.union(callees)

@@ -129,3 +129,42 @@ def counter_deltas(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """(key, delta): signed change of row counts by ``key``, zeros left out."""
     rows = before.select(key, F.lit(-1).alias("d")).union(after.select(key, F.lit(1).alias("d")))
     return rows.groupBy(key).agg(F.sum("d").alias("delta")).filter("delta <> 0")
+
+
+def edit_observations(observation: DataFrame, edits: DataFrame) -> DataFrame:
+    """Observations with the body of ``edits`` (entity_id, idx, new_body) where one is given; unknown places change nothing."""
+    given = edits.groupBy("entity_id", "idx").agg(F.max("new_body").alias("new_body"))
+    return observation.join(given, ["entity_id", "idx"], "left").select("entity_id", "idx", F.coalesce("new_body", "body").alias("body"))
+
+
+def add_relation_observations(relation_observation: DataFrame, relation: DataFrame, new: DataFrame) -> DataFrame:
+    """Append ``new`` (triple, pos, body) after the last idx of each relation; triples that don't exist are skipped."""
+    new = new.join(relation.select(*TRIPLE).distinct(), TRIPLE, "left_semi")
+    last = relation_observation.join(new.select(*TRIPLE).distinct(), TRIPLE, "left_semi").groupBy(*TRIPLE).agg(F.max("idx").alias("last"))
+    place = F.row_number().over(Window.partitionBy(*TRIPLE).orderBy("pos"))
+    rows = new.withColumn("place", place).join(last, TRIPLE, "left")
+    return relation_observation.unionByName(rows.select(*TRIPLE, (F.coalesce("last", F.lit(-1)) + F.col("place")).cast("int").alias("idx"), "body"))
+
+
+def delete_relation_observations(relation_observation: DataFrame, gone: DataFrame) -> DataFrame:
+    """Remove every body equal to a row of ``gone`` (triple, body)."""
+    return relation_observation.join(gone.select(*TRIPLE, "body").distinct(), [*TRIPLE, "body"], "left_anti").select(*TRIPLE, "idx", "body")
+
+
+def delete_attributes(attribute: DataFrame, gone: DataFrame) -> DataFrame:
+    """Remove the attributes named by ``gone`` (owner_kind, owner_id, key)."""
+    key = ["owner_kind", "owner_id", "key"]
+    return attribute.join(gone.select(*key).distinct(), key, "left_anti").select(*key, "value")
+
+
+def defined_names(entity: DataFrame, relation: DataFrame, names: DataFrame, relation_type: str = "defines") -> DataFrame:
+    """(name): the named entities and the targets of their ``relation_type`` relations: what a purge deletes."""
+    roots = entity.join(names.select("name").distinct(), "name", "left_semi")
+    targets = relation.filter(F.col("relation_type") == relation_type).join(roots.select(F.col("id").alias("from_id")), "from_id", "left_semi")
+    return roots.select("name").union(entity.join(targets.select(F.col("to_id").alias("id")).distinct(), "id", "left_semi").select("name")).distinct()
+
+
+def set_descriptions(described: DataFrame, new: DataFrame) -> DataFrame:
+    """Type descriptions (kind, name, description) with those of ``new`` set; an empty one clears."""
+    rows = described.join(new.select("kind", "name").distinct(), ["kind", "name"], "left_anti").select("kind", "name", "description")
+    return rows.unionByName(new.filter("description <> ''").select("kind", "name", "description").distinct())

@@ -162,3 +162,27 @@ def hashed_embedding(text: Column, dimensions: int = 64) -> Column:
             yield pd.Series(out)
 
     return F.pandas_udf(embed, "array<double>")(tokens(text))
+
+
+def chunk_texts(hits: DataFrame, entity: DataFrame, observation: DataFrame) -> DataFrame:
+    """``hits`` (owner_id, kind, chunk_index, distance) with the text of each chunk; hits whose chunk is gone are left out.
+
+    An identity chunk is name and type, an observation chunk the body at chunk_index.
+    """
+    names = entity.select(F.col("id").alias("owner_id"), F.concat_ws("\n", "name", "entity_type").alias("text"))
+    bodies = observation.select(F.col("entity_id").alias("owner_id"), F.col("idx").cast("long").alias("chunk_index"), F.col("body").alias("text"))
+    columns = ["owner_id", "kind", "chunk_index", "distance", "text"]
+    a = hits.filter("kind = 'identity'").join(names, "owner_id").select(*columns)
+    return a.union(hits.filter("kind = 'observation'").join(bodies, ["owner_id", "chunk_index"]).select(*columns))
+
+
+def near_chunks(chunks: DataFrame, query: DataFrame, k: int, fetch: int = 3, metric: str = "cosine") -> DataFrame:
+    """Best chunk of each owner among the ``fetch`` x k nearest chunks, the first ``k``: the cap comes before owners are told apart."""
+    return best_per_owner(top_k(scored(chunks, query, metric), fetch * k, "vec_id")).orderBy("distance", "owner_id").limit(k)
+
+
+def near_subjects(subjects: DataFrame, query: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """(kind, vec_id, distance): the ``k`` nearest subjects of each kind."""
+    rows = scored(subjects, query, metric)
+    at = F.row_number().over(Window.partitionBy("kind").orderBy("distance", "vec_id"))
+    return rows.withColumn("at", at).filter(F.col("at") <= k).select("kind", "vec_id", "distance")

@@ -246,3 +246,39 @@ def causation_check(g):
 def next_due(g):
     o = _outbox(g)
     return C.next_due(o.filter("state = 'pending'").select((F.col("next_attempt") + 3).alias("due")), o.filter("state = 'leased'").select((F.col("lease_until") + 2).alias("due")), o.filter("state = 'done'").select(F.col("delivery_id").alias("due")))
+
+
+@query("mut_edit_obs_result", "SELECT entity_id, idx, CASE WHEN idx = 1 AND entity_id % 2 = 1 THEN upper(body) ELSE body END AS body FROM observation WHERE entity_id < 6000000000")
+def mut_edit_obs_result(g):
+    o = g.observation.filter("entity_id < 6000000000")
+    return M.edit_observations(o, o.filter("idx = 1 AND entity_id % 2 = 1").select("entity_id", "idx", F.upper("body").alias("new_body")))
+
+
+@query("mut_add_relation_obs", """
+n AS (SELECT * FROM relation WHERE relation_type = 'in_nation');;
+SELECT * FROM relation_observation UNION ALL SELECT from_id, to_id, relation_type, CASE WHEN from_id >= 4000000000 THEN 1 ELSE 0 END, 'second' FROM n""")
+def mut_add_relation_obs(g):
+    new = g.relation.filter("relation_type = 'in_nation'").union(g.relation.filter("relation_type = 'in_region'").withColumn("relation_type", F.lit("unknown")))
+    return M.add_relation_observations(g.relation_observation, g.relation, new.select("from_id", "to_id", "relation_type", F.lit(0).alias("pos"), F.lit("second").alias("body")))
+
+
+@query("mut_delete_relation_obs", "SELECT * FROM relation_observation WHERE from_id % 3 <> 0")
+def mut_delete_relation_obs(g):
+    return M.delete_relation_observations(g.relation_observation, g.relation_observation.filter("from_id % 3 = 0"))
+
+
+@query("mut_delete_attr_result", "SELECT * FROM attribute WHERE NOT (key = 'source' AND owner_id % 2 = 0)")
+def mut_delete_attr_result(g):
+    return M.delete_attributes(g.attribute, g.attribute.filter("key = 'source' AND owner_id % 2 = 0"))
+
+
+@query("mut_purge_names", "SELECT name FROM entity WHERE id = 4000000001 OR id IN (SELECT to_id FROM relation WHERE relation_type = 'supplies' AND from_id = 4000000001)")
+def mut_purge_names(g):
+    return M.defined_names(g.entity, g.relation, g.entity.filter("id = 4000000001").select("name"), "supplies")
+
+
+@query("mut_set_descriptions", "SELECT * FROM (VALUES ('entity', 'part', 'new'), ('entity', 'region', 'kept')) AS v(kind, name, description)")
+def mut_set_descriptions(g):
+    schema = "kind string, name string, description string"
+    old = g.spark.createDataFrame([("entity", "part", "old"), ("entity", "nation", "x"), ("entity", "region", "kept")], schema)
+    return M.set_descriptions(old, g.spark.createDataFrame([("entity", "part", "new"), ("entity", "nation", "")], schema))

@@ -48,3 +48,8 @@ def code_get_symbol(g):
 @query("code_run_report", "SELECT * FROM (VALUES ('python', 6), ('rust', 3)) AS v(lang, n)")
 def code_run_report(g):
     return _symbols(g).filter("role = 'def'").groupBy("lang").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("code_callers", "SELECT * FROM (VALUES ('caller', 'shop/cart.py::total'), ('callee', 'shop/tax.py::load')) AS v(role, symbol)")
+def code_callers(g):
+    return K.callers_and_callees(K.edges(_symbols(g)), "shop/tax.py::rate")

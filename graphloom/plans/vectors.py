@@ -115,3 +115,25 @@ def semantic_search(g):
     docs = g.table("documents").select(F.col("doc_id").alias("owner_id"), F.col("doc_id").alias("vec_id"), V.hashed_embedding(F.col("text")).alias("embedding"))
     q = g.spark.range(1).select(V.hashed_embedding(F.lit("the hand of the thing")).alias("q"))
     return V.near_entities(docs, q, 20)
+
+
+@query("vec_near_chunks", _D.format(_COS.format("embedding", "q")) + """,
+t AS (SELECT * FROM d ORDER BY distance, vec_id LIMIT 60), b AS (SELECT owner_id, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY distance, vec_id) AS place FROM t) WHERE place = 1);;
+SELECT * FROM b ORDER BY distance, owner_id LIMIT 20""")
+def vec_near_chunks(g):
+    return V.near_chunks(g.chunk_vector, _query(g), 20)
+
+
+@query("vec_chunk_texts", _D.format(_COS.format("embedding", "q")) + """,
+t AS (SELECT owner_id, kind, 0 AS chunk_index, distance FROM d WHERE chunk_index < 2 ORDER BY distance, vec_id LIMIT 40);;
+SELECT owner_id, kind, CAST(chunk_index AS BIGINT) AS chunk_index, distance, name || chr(10) || entity_type AS text FROM t JOIN entity ON id = owner_id WHERE kind = 'identity'
+UNION ALL SELECT owner_id, kind, CAST(chunk_index AS BIGINT), distance, body FROM t JOIN observation ON entity_id = owner_id AND idx = chunk_index WHERE kind = 'observation'""")
+def vec_chunk_texts(g):
+    """A document's only observation stands for its second chunk."""
+    rows = V.top_k(V.scored(g.chunk_vector.filter("chunk_index < 2"), _query(g)), 40, "vec_id").withColumn("chunk_index", F.lit(0).cast("long"))
+    return V.chunk_texts(rows.select("owner_id", "kind", "chunk_index", "distance"), g.entity, g.observation)
+
+
+@query("vec_near_subjects", _D.format(_COS.format("embedding", "q")) + ";;SELECT kind, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY distance, vec_id) AS place FROM d) WHERE place <= 7")
+def vec_near_subjects(g):
+    return V.near_subjects(g.chunk_vector, _query(g), 7)
