@@ -29,3 +29,48 @@ def keyset_page(rows: DataFrame, key: str, after: str | None, limit: int) -> tup
 def visible(rows: DataFrame, allowed: DataFrame, workspace: str = "workspace_id") -> DataFrame:
     """Rows of the workspaces that a user may read."""
     return rows.join(allowed.select(F.col("workspace_id").alias(workspace)), workspace, "left_semi")
+
+
+# Categories of tools, which are also the scopes.
+SCOPES = ("graph-read", "graph-write", "vectors", "code", "attachments")
+
+
+def authenticated(requests: DataFrame, machines: DataFrame) -> DataFrame:
+    """(request_id, principal_id, scopes) of requests (request_id, token) with the token of a machine that isn't revoked.
+
+    ``machines`` (principal_id, name, scopes, token_digest, revoked) holds SHA-256 digests in hex, never tokens.
+    """
+    live = machines.filter(~F.col("revoked")).select("principal_id", "scopes", "token_digest")
+    asked = requests.filter("token <> ''").select("request_id", F.sha2("token", 256).alias("token_digest"))
+    return asked.join(live, "token_digest").select("request_id", "principal_id", "scopes")
+
+
+def add_machines(machines: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(machines, refused): ``new`` (principal_id, name, scopes, token) stored by digest; refused without a name or with other scopes."""
+    scopes = F.array_sort(F.array_distinct("scopes"))
+    known = (F.size("scopes") > 0) & F.forall("scopes", lambda x: x.isNotNull() & x.isin(*SCOPES))
+    ok = F.coalesce((F.trim("name") != "") & known, F.lit(False))
+    rows = new.filter(ok).select("principal_id", F.trim("name").alias("name"), scopes.alias("scopes"), F.sha2("token", 256).alias("token_digest"), F.lit(False).alias("revoked"))
+    return machines.select(rows.columns).union(rows), new.filter(~ok).select("principal_id")
+
+
+def list_machines(machines: DataFrame) -> DataFrame:
+    return machines.select("principal_id", "name", "scopes", "revoked").orderBy("principal_id")
+
+
+def revoke_machines(machines: DataFrame, workspaces: DataFrame, grants: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(machines, grants) after ``gone`` (principal_id) are revoked and lose their grants; owners of a workspace are refused."""
+    may = gone.filter(F.col("principal_id").startswith("machine:")).join(workspaces.select(F.col("owner").alias("principal_id")), "principal_id", "left_anti").distinct()
+    may = machines.filter(~F.col("revoked")).select("principal_id").join(may, "principal_id", "left_semi").withColumn("__gone", F.lit(True))
+    rows = machines.join(may, "principal_id", "left").withColumn("revoked", F.col("revoked") | F.col("__gone").isNotNull()).select(machines.columns)
+    return rows, grants.join(may.select(F.col("principal_id").alias("principal")), "principal", "left_anti").select(grants.columns)
+
+
+def allowed_calls(calls: DataFrame, principals: DataFrame, tools: DataFrame) -> DataFrame:
+    """(call_id, allowed, missing): calls (call_id, principal_id, tool) whose principal has the tool's scope; ``missing`` names the scope.
+
+    ``tools`` (tool, scope) is the list of tools; an unknown tool or principal is never allowed.
+    """
+    rows = calls.join(tools.select("tool", "scope"), "tool", "left").join(principals.select("principal_id", "scopes"), "principal_id", "left")
+    has = F.coalesce(F.array_contains("scopes", F.col("scope")), F.lit(False))
+    return rows.select("call_id", has.alias("allowed"), F.when(~has, F.col("scope")).alias("missing"))

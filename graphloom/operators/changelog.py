@@ -1,7 +1,6 @@
 """The change log and its consumers as set operations over whole logs.
 
-The reference hands single jobs to workers under leases. Here a batch plans all keys at
-once: fan-out is a join, a claim is the first due row of each key, a fenced commit is a
+A batch plans all keys at once: fan-out is a join, a claim is the first due row of each key, a fenced commit is a
 join on the fence columns. Nothing is polled.
 """
 

@@ -8,12 +8,16 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.limits import clamp
+from graphloom.operators.search import search_nodes
+from graphloom.operators.vectors import scored, top_k
+
 SKIPPED = ("target", "node_modules", ".git", "dist", "build")
 LANGUAGES = {"py": "python", "rs": "rust", "go": "go", "js": "javascript", "ts": "typescript", "java": "java", "rb": "ruby", "php": "php", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp"}
 SIGNATURE, DOC, SNIPPET = 512, 512, 2000
@@ -136,3 +140,55 @@ def callers_and_callees(relation: DataFrame, symbol: str, most: int = 500) -> Da
     callers = calls.filter(F.col("target") == symbol).select(F.lit("caller").alias("role"), F.col("source").alias("symbol")).distinct().orderBy("symbol").limit(most)
     callees = calls.filter(F.col("source") == symbol).select(F.lit("callee").alias("role"), F.col("target").alias("symbol")).distinct().orderBy("symbol").limit(most)
     return callers.union(callees)
+
+
+# Results by default and at most, candidates for each result and at most (words, vectors), embeddings in a request.
+RESULTS, RESULTS_MOST, FETCH, WORD_MOST, VECTOR_MOST, EMBEDDINGS = 20, 500, 5, 1000, 100, 1000
+
+
+def graph_tables(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entity, observation) of files and symbols: names and ids are paths and qualified names; bodies are signature, doc and snippet."""
+    defs = definitions(found)
+    files = found.select(F.col("path").alias("id"), F.col("path").alias("name"), F.lit("code:file").alias("entity_type")).distinct()
+    entity = files.union(defs.select("qualified", "qualified", F.concat(F.lit("code:"), "kind")))
+    observation = defs.select(F.col("qualified").alias("entity_id"), F.posexplode(F.array("signature", "doc", "snippet")).alias("idx", "body")).filter("body <> ''")
+    return entity, observation
+
+
+def _of_kind(rows: DataFrame, kind: str | None, lang: str | None) -> DataFrame:
+    rows = rows.filter(F.col("kind") == kind) if kind else rows
+    return rows.filter(F.col("lang") == lang) if lang else rows
+
+
+def search_symbols(found: DataFrame, terms: Sequence[str], kind: str | None = None, lang: str | None = None, limit: int | None = None) -> DataFrame:
+    """(qualified, kind, lang): symbols whose name, then whose bodies, hold all terms.
+
+    Files and the filters of kind and language go after the candidates are capped, so a
+    filtered list may be short.
+    """
+    n = clamp(limit, RESULTS, RESULTS_MOST)
+    entity, observation = graph_tables(found)
+    hits = search_nodes(entity, observation, terms, limit=min(FETCH * n, WORD_MOST)).select(F.col("id").alias("qualified"), "place")
+    rows = _of_kind(definitions(found).join(hits, "qualified"), kind, lang)
+    return rows.orderBy("place").limit(n).select("qualified", "kind", "lang")
+
+
+def upsert_embeddings(vectors: DataFrame, new: DataFrame, dimensions: int) -> tuple[DataFrame, DataFrame]:
+    """(vectors, errors): ``vectors`` (symbol, embedding) with ``new`` (pos, symbol, embedding) in, and new rows (pos, error) that are refused.
+
+    The later position of a symbol wins. Refused: no symbol, no vector, another length, a value that isn't finite.
+    """
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    fault = F.when(F.coalesce("symbol", F.lit("")) == "", "name").when(F.col("embedding").isNull(), "missing").when(F.size("embedding") != dimensions, "length").when(~finite, "finite")
+    checked = new.withColumn("error", fault)
+    last = checked.filter("error IS NULL").groupBy("symbol").agg(F.max_by("embedding", "pos").alias("embedding"))
+    kept = vectors.select("symbol", "embedding").join(last, "symbol", "left_anti")
+    return kept.union(last), checked.filter("error IS NOT NULL").select("pos", "error")
+
+
+def near_symbols(found: DataFrame, vectors: DataFrame, query: DataFrame, kind: str | None = None, lang: str | None = None, limit: int | None = None) -> DataFrame:
+    """(qualified, kind, lang, distance): symbols nearest to the one-row frame ``query`` (q) by cosine; filters go after the cap on candidates."""
+    n = clamp(limit, RESULTS, RESULTS_MOST)
+    hits = top_k(scored(vectors, query), min(FETCH * n, VECTOR_MOST), "symbol").select(F.col("symbol").alias("qualified"), "distance")
+    rows = _of_kind(definitions(found).join(hits, "qualified"), kind, lang)
+    return rows.orderBy("distance", "qualified").limit(n).select("qualified", "kind", "lang", "distance")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import code as K
+from graphloom.operators import vectors as V
 from graphloom.plans.registry import query
 
 SOURCES = {
@@ -53,3 +54,35 @@ def code_run_report(g):
 @query("code_callers", "SELECT * FROM (VALUES ('caller', 'shop/cart.py::total'), ('callee', 'shop/tax.py::load')) AS v(role, symbol)")
 def code_callers(g):
     return K.callers_and_callees(K.edges(_symbols(g)), "shop/tax.py::rate")
+
+
+@query("code_search", """
+SELECT * FROM (VALUES ('shop/cart.py::Cart', 'class', 'python'), ('shop/cart.py::main', 'function', 'python'), ('shop/cart.py::sum', 'function', 'python'), ('shop/cart.py::total', 'function', 'python')) AS v(qualified, kind, lang)""")
+def code_search(g):
+    return K.search_symbols(_symbols(g), ["cart"], lang="python")
+
+
+@query("code_search_bodies", "SELECT * FROM (VALUES ('shop/tax.py::rate', 'function', 'python')) AS v(qualified, kind, lang)")
+def code_search_bodies(g):
+    return K.search_symbols(_symbols(g), ["price"], kind="function")
+
+
+def _embedded(g):
+    found = _symbols(g)
+    return found, K.definitions(found).select(F.col("qualified").alias("symbol"), V.hashed_embedding(F.concat_ws(" ", "name", "signature", "doc")).alias("embedding"))
+
+
+@query("code_semantic_search")
+def code_semantic_search(g):
+    """Symbols near the embedding of one of them; the hashed embedding has no SQL form."""
+    found, vectors = _embedded(g)
+    asked = vectors.filter("symbol = 'shop/tax.py::rate'").select(F.col("embedding").alias("q"))
+    return K.near_symbols(found, vectors, asked, kind="function").withColumn("distance", F.round("distance", 6))
+
+
+@query("code_embed", "SELECT * FROM (VALUES ('a', 3.0), ('b', 2.0), ('c', 4.0)) AS v(symbol, x)")
+def code_embed(g):
+    old = g.spark.createDataFrame([("a", [1.0, 0.0]), ("b", [2.0, 0.0])], "symbol string, embedding array<double>")
+    new = [(0, "a", [9.0, 0.0]), (1, "a", [3.0, 0.0]), (2, "c", [4.0, 0.0]), (3, "", [1.0, 0.0]), (4, "b", [1.0]), (5, "b", None), (6, "b", [float("nan"), 0.0])]
+    rows, _ = K.upsert_embeddings(old, g.spark.createDataFrame(new, "pos int, symbol string, embedding array<double>"), 2)
+    return rows.select("symbol", F.element_at("embedding", 1).alias("x"))

@@ -79,3 +79,21 @@ def entity_documents(entity: DataFrame, observation: DataFrame) -> DataFrame:
     identity = entity.select(F.col("id").alias("owner_id"), F.lit("identity").alias("kind"), F.lit(0).alias("chunk_index"), F.concat_ws("\n", "name", "entity_type").alias("text"))
     bodies = observation.select(F.col("entity_id").alias("owner_id"), F.lit("observation").alias("kind"), F.col("idx").alias("chunk_index"), F.col("body").alias("text"))
     return identity.union(bodies)
+
+
+def attachments_of(attachment: DataFrame, entity: DataFrame, name: str) -> DataFrame:
+    """Attachments (attachment_id, entity_id, ...) of the entity of this name, by id."""
+    owner = entity.filter(F.col("name") == name).select(F.col("id").alias("entity_id"))
+    return attachment.join(owner, "entity_id", "left_semi").select(attachment.columns).orderBy("attachment_id")
+
+
+def get_attachment(attachment: DataFrame, entity: DataFrame, attachment_id: int) -> DataFrame:
+    """The attachment of this id with the name of its entity; nothing if either is gone."""
+    rows = attachment.filter(F.col("attachment_id") == attachment_id)
+    return rows.join(entity.select(F.col("id").alias("entity_id"), F.col("name").alias("entity_name")), "entity_id").select(*attachment.columns, "entity_name")
+
+
+def delete_attachments(gone: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
+    """Each table (attachment_id, ...) without the rows of ``gone`` (attachment_id): text, pages, chunks, vectors and jobs go too."""
+    ids = gone.select("attachment_id")
+    return {name: rows.join(ids, "attachment_id", "left_anti").select(rows.columns) for name, rows in tables.items()}
