@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from graphloom.llm import bpe, decontam, linededup, neardup, toxicity
 from graphloom.llm.common import durable, table
 
+#: Words of a shingle and percent of shared ones by which documents are near-duplicates.
+NEAR = (5, 80)
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model does not reject; fitted on labelled rows of ``docs``."""
@@ -17,13 +20,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that are spread over many sources."""
-    return linededup.remove_spread_lines(docs).select(docs.columns)
+    """All documents, without lines that are spread over many sources; near-duplicates count as one source."""
+    sources = linededup.class_sources(docs, *NEAR)
+    return linededup.remove_spread_lines(docs, share=1, sources=sources).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near-duplicates (five words, 0.8); rows without an id stay."""
-    kept = neardup.near_duplicates(docs, 5, 80).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    """The smallest doc_id of each group of near-duplicates; rows without an id stay."""
+    kept = neardup.near_duplicates(docs, *NEAR).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     return docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.filter("doc_id IS NULL"))
 
 

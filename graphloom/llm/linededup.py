@@ -12,11 +12,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import durable, table
+from graphloom.llm.neardup import near_duplicates
 
 SITES = 10
 #: Estimates within these factors of the threshold are counted exactly (a dozen standard errors).
 NEAR = (0.8, 1.25)
-#: A document with more than this share of its text in such lines is a copy, not a page with boilerplate.
+#: OP8_SQL leaves a document with more than this share of its text in such lines as it is. Most are copies, but short
+#: pages are among them; the pipeline counts copies once instead and knows no such share.
 SHARE = 0.5
 _BLANK = " \t\r"
 
@@ -25,15 +27,37 @@ def _line_key(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.hash(line).alias("h2")]
 
 
-def spread_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
+def _identified(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, text): a row without an id is named by its text, so that equal ones are one document."""
+    text = F.col("text").cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"))
+
+
+def class_sources(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, source): each document with the one source that its near-duplicate class counts for.
+
+    That is the source of the class's smallest doc_id that has one; classes without any are left out.
+    """
+    docs = _identified(docs)
+    classes = durable(near_duplicates(docs, width, percent).select("doc_id", "component_id").distinct(), "classes")
+    known = docs.filter("source IS NOT NULL").groupBy("doc_id").agg(F.min("source").alias("source"))
+    named = classes.join(known, "doc_id").groupBy("component_id").agg(F.min(F.struct("doc_id", "source"))["source"].alias("source"))
+    return durable(classes.join(named, "component_id").select("doc_id", "source"), "sources")
+
+
+def spread_lines(docs: DataFrame, sites: int = SITES, sources: DataFrame | None = None) -> DataFrame:
     """(h1, h2): keys of the lines that stand on at least ``sites`` distinct sources.
 
     Lines are compared without blanks at their ends; blank lines and null sources
-    don't count.
+    don't count. ``sources`` (doc_id, source) replaces the sources of ``docs``.
     """
     texts = F.transform(F.split(F.col("text").cast("string"), "\n", -1), lambda x: F.trim(x, F.lit(_BLANK)))
-    lines = docs.select(F.col("source").cast("string").alias("source"), F.explode(F.array_distinct(texts)).alias("line"))
-    lines = lines.filter("line <> '' AND source IS NOT NULL").select("source", *_line_key(F.col("line")))
+    if sources is None:
+        lines = docs.select(F.col("source").cast("string").alias("source"), F.explode(F.array_distinct(texts)).alias("line"))
+        lines = lines.filter("line <> '' AND source IS NOT NULL").select("source", *_line_key(F.col("line")))
+    else:
+        lines = _identified(docs).select("doc_id", F.explode(F.array_distinct(texts)).alias("line")).filter("line <> ''")
+        lines = lines.select("doc_id", *_line_key(F.col("line"))).join(sources, "doc_id").drop("doc_id")
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source")).alias("estimate"))
     spread = durable(spread.filter(F.col("estimate") >= NEAR[0] * sites), "spread")
     near = spread.filter(F.col("estimate") < NEAR[1] * sites).select("h1", "h2")
@@ -41,16 +65,18 @@ def spread_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
     return spread.filter(F.col("estimate") >= NEAR[1] * sites).select("h1", "h2").union(exact.filter(F.col("n") >= sites).select("h1", "h2"))
 
 
-def remove_spread_lines(docs: DataFrame, sites: int = SITES, share: float = SHARE) -> DataFrame:
+def remove_spread_lines(docs: DataFrame, sites: int = SITES, share: float = SHARE, sources: DataFrame | None = None) -> DataFrame:
     """``docs`` with ``text`` less its widely spread lines, and counts of lines before and removed.
 
     All columns are kept, ``n_chars`` (if there) follows the new text, and
     ``__n_lines`` and ``__n_removed`` are added. A null text stays null with no
     lines. A document that would lose more than ``share`` of its characters is left
-    as it is: it is a copy, which document de-duplication handles. Equal rows are
-    treated alike, each giving a row; an empty table gives none.
+    as it is: it is a copy, which document de-duplication handles. With ``sources``
+    from ``class_sources`` copies make no spread, and a ``share`` of 1 removes every
+    spread line from every document. Equal rows are treated alike, each giving a row;
+    an empty table gives none.
     """
-    boiler = durable(spread_lines(docs, sites), "boiler")
+    boiler = durable(spread_lines(docs, sites, sources), "boiler")
     text = F.col("text").cast("string")
     rows = docs.withColumns({"__k1": F.xxhash64("doc_id", text), "__k2": F.hash("doc_id", text)})
     lines = rows.select("__k1", "__k2", F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))

@@ -1,10 +1,11 @@
 """The pipeline's stages on the smallest tables, against brute force where SQL has no form."""
 
 import hashlib
+import random
 
 import corpus_pipeline as P
 from graphloom.llm.common import durable, table
-from tests.llm.test_operators import components_of
+from tests.llm.test_operators import components_of, prose
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,3 +28,17 @@ def test_stages(spark):
     back = {r["doc_id"]: r["decoded_sha256"] for r in coded}
     assert back == {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in free}
     assert all(r["n_tokens"] == len(r["token_ids"]) for r in coded)
+
+
+def test_spread_lines_leave_short_pages(spark):
+    rng = random.Random(3)
+    line = "This long notice stands on every page of the house and holds more words than the page itself."
+    pages = [(i, f"{prose(rng, 9, 10**6)}\n{line}\n\n", f"s{i}") for i in range(12)]
+    text = "\n".join(prose(rng, 30, 10**6) for _ in range(5))
+    copies = [(100 + i, text + f" x{i}", f"s{i}") for i in range(12)] + [(None, prose(random.Random(4), 40, 10**6), f"s{i}") for i in range(12)]
+    rows = [*pages, *copies, (200, line, "s0"), (201, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sorted((tuple(r) for r in P.drop_boilerplate(spark, docs, SF).collect()), key=repr)
+    assert all(len(line) > 0.5 * len(t.strip()) for _, t, _ in pages)
+    want = [(i, t.replace(f"{line}\n", ""), s) for i, t, s in pages] + copies + [(200, "", "s0"), (201, None, None)]
+    assert got == sorted(want, key=repr)
