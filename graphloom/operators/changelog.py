@@ -38,12 +38,17 @@ def event_revisions(change: DataFrame) -> DataFrame:
 def fan_out(change: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """(event_id, subscription_id): each event once for each subscription that wants it.
 
-    ``subscriptions`` (subscription_id, operations, types, ignored_origins, own_origin) is
-    a small table; an empty list wants all; an own or ignored origin is skipped.
+    ``subscriptions`` (subscription_id, operations, types, ignored_origins, own_origin) may
+    have any number of rows; an empty list wants all; an own or ignored origin is skipped.
     """
-    any_or = lambda xs, x: (F.size(xs) == 0) | F.array_contains(F.col(xs), F.col(x))
-    wanted = any_or("operations", "operation") & any_or("types", "entity_type") & ~F.array_contains(F.col("ignored_origins"), F.col("origin")) & (F.col("own_origin") != F.col("origin"))
-    return change.join(F.broadcast(subscriptions.limit(1000)), wanted).select("event_id", "subscription_id").distinct()
+    # One key for each operation and type wanted; an empty list gives one null key, and an event asks for both.
+    keys = lambda xs: F.explode(F.when(F.size(xs) == 0, F.array(F.lit(None).cast("string"))).otherwise(F.filter(F.array_distinct(xs), lambda x: x.isNotNull())))
+    subs = subscriptions.withColumn("__operation", keys("operations")).withColumn("__type", keys("types"))
+    rows = change.select("event_id", "origin", F.explode(F.array("operation", F.lit(None))).alias("__o"), "entity_type")
+    rows = rows.select("event_id", "origin", "__o", F.explode(F.array("entity_type", F.lit(None))).alias("__t"))
+    meets = F.col("__operation").eqNullSafe(F.col("__o")) & F.col("__type").eqNullSafe(F.col("__t"))
+    wanted = ~F.array_contains(F.col("ignored_origins"), F.col("origin")) & (F.col("own_origin") != F.col("origin"))
+    return rows.join(subs, meets & wanted).select("event_id", "subscription_id").distinct()
 
 
 def due_claims(outbox: DataFrame, now: int) -> DataFrame:

@@ -235,3 +235,13 @@ def test_stream_continues_from_its_state(spark, tmp_path):
         made(batch).write.mode("append").parquet(str(tmp_path / "in"))
         events.run_available(events.revisions(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state"))
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("event_id", "entity_revision")) == [(1, 1), (2, 2), (3, 3), (4, 1)]
+
+
+def test_fan_out_of_many_subscriptions(spark):
+    lists = [([], []), (["create"], []), ([], ["a"]), (["create", "delete"], ["a", "b"])]
+    subs = [(f"s{i}", *lists[i % 4], ["x"] if i % 3 == 0 else [], "y" if i % 5 == 0 else "none") for i in range(1500)]
+    events = [(1, "create", "a", "x"), (2, "update", "b", "y"), (3, "delete", "b", "z"), (4, "update", "c", "z")]
+    want = sorted((e, s) for e, o, t, w in events for s, ops, types, out, own in subs if (not ops or o in ops) and (not types or t in types) and w not in out and w != own)
+    change = spark.createDataFrame(events, "event_id long, operation string, entity_type string, origin string")
+    got = changelog.fan_out(change, spark.createDataFrame(subs, "subscription_id string, operations array<string>, types array<string>, ignored_origins array<string>, own_origin string"))
+    assert sorted(tuple(r) for r in got.collect()) == want
