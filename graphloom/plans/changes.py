@@ -79,6 +79,15 @@ def mut_merge_observations(g):
     return M.merge_entities(g.entity, g.relation, small, g.attribute, 5_000_000_001, 5_000_000_002)[2]
 
 
+@query("mut_merge_observations_whole", """
+s AS (SELECT body, idx FROM observation WHERE entity_id = 5000000001 AND body NOT IN (SELECT body FROM observation WHERE entity_id = 5000000002)),
+x AS (SELECT max(idx) AS last FROM observation WHERE entity_id = 5000000002);;
+SELECT entity_id, idx, body FROM observation WHERE entity_id <> 5000000001
+UNION ALL SELECT 5000000002, CAST(last + row_number() OVER (ORDER BY idx) AS INTEGER), body FROM s, x""")
+def mut_merge_observations_whole(g):
+    return M.merge_entities(g.entity, g.relation, g.observation, g.attribute, 5_000_000_001, 5_000_000_002)[2]
+
+
 @query("mut_rename_result", """
 n AS (SELECT name, CASE WHEN id % 2 = 0 THEN name || '*' ELSE 'ASIA' END AS new_name FROM entity WHERE entity_type = 'supplier'),
 f AS (SELECT * FROM n WHERE new_name NOT IN (SELECT name FROM entity));;
@@ -118,6 +127,18 @@ def mut_upsert_obs_result(g):
     return M.add_observations(g.observation.filter("entity_id < 4000000000"), _added(g), only_new=True)
 
 
+@query("mut_add_obs_whole", _ADDED + """, l AS (SELECT entity_id, max(idx) AS last FROM observation GROUP BY entity_id);;
+SELECT entity_id, idx, body FROM observation UNION ALL SELECT entity_id, CAST(coalesce(last, -1) + row_number() OVER (PARTITION BY entity_id ORDER BY pos) AS INTEGER), body FROM n LEFT JOIN l USING (entity_id)""")
+def mut_add_obs_whole(g):
+    return M.add_observations(g.observation, _added(g))
+
+
+@query("mut_upsert_obs_whole", _ADDED + """, f AS (SELECT entity_id, body, min(pos) AS pos FROM n GROUP BY entity_id, body), l AS (SELECT entity_id, max(idx) AS last FROM observation GROUP BY entity_id);;
+SELECT entity_id, idx, body FROM observation UNION ALL SELECT entity_id, CAST(coalesce(last, -1) + row_number() OVER (PARTITION BY entity_id ORDER BY pos) AS INTEGER), body FROM f LEFT JOIN l USING (entity_id)""")
+def mut_upsert_obs_whole(g):
+    return M.add_observations(g.observation, _added(g), only_new=True)
+
+
 @query("mut_delete_obs_result", "SELECT entity_id, idx, body FROM observation WHERE NOT (entity_id BETWEEN 5000000000 AND 5999999999 AND starts_with(body, 'brand: ') AND entity_id % 2 = 0)")
 def mut_delete_obs_result(g):
     return M.delete_observations(g.observation, g.observation.filter("entity_id BETWEEN 5000000000 AND 5999999999 AND startswith(body, 'brand: ') AND entity_id % 2 = 0"))
@@ -254,6 +275,12 @@ def mut_edit_obs_result(g):
     return M.edit_observations(o, o.filter("idx = 1 AND entity_id % 2 = 1").select("entity_id", "idx", F.upper("body").alias("new_body")))
 
 
+@query("mut_edit_obs_whole", "SELECT entity_id, idx, CASE WHEN (idx = 1 OR entity_id >= 6000000000) AND entity_id % 2 = 1 THEN 'edited: ' || body ELSE body END AS body FROM observation")
+def mut_edit_obs_whole(g):
+    o = g.observation
+    return M.edit_observations(o, o.filter("(idx = 1 OR entity_id >= 6000000000) AND entity_id % 2 = 1").select("entity_id", "idx", F.concat(F.lit("edited: "), "body").alias("new_body")))
+
+
 @query("mut_add_relation_obs", """
 n AS (SELECT * FROM relation WHERE relation_type = 'in_nation');;
 SELECT * FROM relation_observation UNION ALL SELECT from_id, to_id, relation_type, CASE WHEN from_id >= 4000000000 THEN 1 ELSE 0 END, 'second' FROM n""")

@@ -91,6 +91,11 @@ def get_entity_observations(g):
     return R.ordered_bodies(rows).select("entity_id", R.joined(F.col("bodies")).alias("bodies"))
 
 
+@query("get_entity_observations_whole", "SELECT entity_id, string_agg(body, '|' ORDER BY idx) AS bodies FROM observation GROUP BY entity_id")
+def get_entity_observations_whole(g):
+    return R.ordered_bodies(g.observation).select("entity_id", R.joined(F.col("bodies")).alias("bodies"))
+
+
 @query("describe_entity_neighbors", _NAMES_SQL.replace(";;", ", ids AS (SELECT id FROM entity WHERE name IN (SELECT name FROM names)), ends AS (SELECT from_id AS id, to_id AS neighbor_id, 1 AS o, 0 AS i FROM relation UNION ALL SELECT to_id, from_id, 0, 1 FROM relation);;") + """
 SELECT id, neighbor_id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM ends WHERE id IN (SELECT id FROM ids) GROUP BY id, neighbor_id""")
 def describe_entity_neighbors(g):
@@ -130,6 +135,15 @@ def relation_details(g):
     return rows.select("from_id", "to_id", "relation_type", R.joined(F.col("bodies")).alias("bodies"))
 
 
+@query("relation_details_whole", """
+SELECT r.from_id, r.to_id, r.relation_type, coalesce(string_agg(body, '|' ORDER BY idx), '') AS bodies
+FROM relation r LEFT JOIN relation_observation o ON o.from_id = r.from_id AND o.to_id = r.to_id AND o.relation_type = r.relation_type
+GROUP BY r.from_id, r.to_id, r.relation_type""")
+def relation_details_whole(g):
+    rows = R.relation_details(g.relation, g.relation_observation)
+    return rows.select("from_id", "to_id", "relation_type", R.joined(F.col("bodies")).alias("bodies"))
+
+
 @query("attributes_map", "SELECT owner_id, string_agg(key || '=' || value, ',' ORDER BY key) AS attributes FROM attribute GROUP BY owner_id")
 def attributes_map(g):
     rows = R.attribute_map(g.attribute)

@@ -41,3 +41,9 @@ def test_entry_imports(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(plans.queries()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name", ["mut_add_obs_whole", "mut_upsert_obs_whole", "mut_edit_obs_whole", "mut_merge_observations_whole", "get_entity_observations_whole"])
+def test_whole_tables_hold_documents(spark, duck, name):
+    documents = plans.queries()[name](spark, SF).filter("entity_id >= 6000000000 AND entity_id < 7000000000")
+    assert documents.count() == duck.sql("SELECT count(*) FROM documents").fetchall()[0][0]
