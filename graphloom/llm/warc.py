@@ -78,8 +78,8 @@ def _parsed(df: DataFrame) -> DataFrame:
     df = df.withColumns({"head_bytes": F.octet_length(head).cast("long"), "http_bytes": F.octet_length(http).cast("long"), "piece_bytes": F.octet_length("value").cast("long"), "block_bytes": field(head, "Content-Length", "([0-9]{1,15})").cast("long")})
     payload = F.expr("substring(CAST(value AS BINARY), CAST(head_bytes + http_bytes + 9 AS INT), CAST(block_bytes - http_bytes - 4 AS INT))")
     return df.withColumns({
-        "record_type": field(head, "WARC-Type", "([a-z]+)"), "page_id": field(head, "WARC-Record-ID", "<urn:page:(-?[0-9]{1,18})>").cast("long"),
-        "refers_to": field(head, "WARC-Refers-To", "<urn:page:(-?[0-9]{1,18})>").cast("long"), "named_digest": field(head, "WARC-Payload-Digest", "sha256:([0-9a-f]{64})"),
+        "record_type": field(head, "WARC-Type", "([a-z]+)"), "page_id": field(head, "WARC-Record-ID", "<urn:page:(-?[0-9]{1,19})>").try_cast("long"),
+        "refers_to": field(head, "WARC-Refers-To", "<urn:page:(-?[0-9]{1,19})>").try_cast("long"), "named_digest": field(head, "WARC-Payload-Digest", "sha256:([0-9a-f]{64})"),
         "named_bytes": field(http, "Content-Length", "([0-9]{1,15})").cast("long"), "read_bytes": F.octet_length(payload).cast("long"), "read_digest": F.sha2(payload, 256),
     })
 

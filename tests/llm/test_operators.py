@@ -316,3 +316,11 @@ def test_large_and_null_ids(spark):
         assert set(got) == want and len(got) == 4
     kept = [r["doc_id"] for r in neardup.near_duplicates(docs, 3, 85).filter("kept").collect()]
     assert sorted(kept, key=str) == sorted([big, None, None], key=str)
+
+
+def test_large_ids_in_archives(spark, tmp_path):
+    ids = [2**62 + 1, 2**63 - 1, -(2**63), 10**18]
+    pages = spark.createDataFrame([(i, f"u{i}", "equal " * 3000) for i in ids], "page_id long, url string, html string")
+    warc.write_archives(pages, str(tmp_path / "a"))
+    got = {r["page_id"]: r["refers_to"] for r in warc.read_archives(spark, str(tmp_path / "a")).collect()}
+    assert set(got) == set(ids) and [got[i] for i in sorted(ids)] == [None] + [min(ids)] * 3
