@@ -105,13 +105,19 @@ def contained_items(docs: DataFrame, items: DataFrame, width: int = WIDTH, perce
     ``percent`` percent of the item's. Words are runs of letters, digits and non-ASCII
     characters; A-Z equal a-z; shorter texts are one shingle. Null or wordless texts hold
     and are held by nothing; null ids are left out; repeated rows give one pair; rows with
-    the same item_id are one item. Other columns are ignored.
+    the same doc_id are one document and rows with the same item_id one item. Other columns are ignored.
     """
     small_batches(docs.sparkSession)
     sets = durable(item_sketches(items, width, percent), "items")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter("doc_id IS NOT NULL")
     if sets.count() <= broadcast_shingles:
-        return _in_tasks(docs, sets.select("item_id", "n", "shingle", "sketch").toPandas(), width, percent)
+        items = sets.select("item_id", "n", "shingle", "sketch").toPandas()
+        repeated = durable(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+        if repeated.isEmpty():
+            return _in_tasks(docs, items, width, percent)
+        # Tasks see one row at a time; rows that share a doc_id are united by joins.
+        single = _in_tasks(docs.join(repeated, "doc_id", "left_anti"), items, width, percent)
+        return single.unionByName(_by_joins(docs.join(repeated, "doc_id", "left_semi"), sets, width, percent))
     return _by_joins(docs, sets, width, percent)
 
 

@@ -324,3 +324,12 @@ def test_large_ids_in_archives(spark, tmp_path):
     warc.write_archives(pages, str(tmp_path / "a"))
     got = {r["page_id"]: r["refers_to"] for r in warc.read_archives(spark, str(tmp_path / "a")).collect()}
     assert set(got) == set(ids) and [got[i] for i in sorted(ids)] == [None] + [min(ids)] * 3
+
+
+@pytest.mark.parametrize("bound", [0, 10**6])
+def test_item_split_over_rows_of_a_document(spark, bound):
+    words = [f"w{i}" for i in range(40)]
+    docs = [(1, " ".join(words[:24])), (1, " ".join(words[20:])), (2, " ".join(words)), (3, " ".join(words[:24]))]
+    items = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = decontam.contained_items(spark.createDataFrame(docs, "doc_id long, text string"), items, broadcast_shingles=bound)
+    assert sorted(got.select("doc_id", "item_id", "n_shared", "n_item").collect()) == [(1, 7, 36, 36), (2, 7, 36, 36)]
