@@ -4,6 +4,13 @@ Each line hash gathers a HyperLogLog sketch of the sites it stands on; sketches
 merge on the map side and after the shuffle, so a line on a third of all rows costs
 one sketch per task. Lines whose estimate is clearly above or below the threshold
 are decided by it; lines near it get an exact count of distinct sites.
+
+Sites are counted twice. First on all documents. A document of which more than
+``1 - OWN`` stands on lines found then is a copy (or nothing but notices) and tells
+nothing about its lines; the second count is on the others, the witnesses. Lines that
+are spread over witnesses go from every document. So copies of one text on many
+sites keep it, for document de-duplication to handle, and short pages lose their
+notices like long ones.
 """
 
 from __future__ import annotations
@@ -12,92 +19,79 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import durable, table
-from graphloom.llm.neardup import near_duplicates
 
 SITES = 10
 #: Estimates within these factors of the threshold are counted exactly (a dozen standard errors).
 NEAR = (0.8, 1.25)
-#: OP8_SQL leaves a document with more than this share of its text in such lines as it is. Most are copies, but short
-#: pages are among them; the pipeline counts copies once instead and knows no such share.
-SHARE = 0.5
+#: Share of its characters that a document must have on lines of its own to be a witness.
+OWN = 0.25
 _BLANK = " \t\r"
 
 
+def _texts() -> Column:
+    return F.transform(F.split(F.col("text").cast("string"), "\n", -1), lambda x: F.trim(x, F.lit(_BLANK)))
+
+
 def _line_key(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.hash(line).alias("h2")]
 
 
-def _identified(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, text): a row without an id is named by its text, so that equal ones are one document."""
+def _row_key() -> list[Column]:
     text = F.col("text").cast("string")
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text)).alias("doc_id"), F.col("source").cast("string").alias("source"), text.alias("text"))
+    return [F.xxhash64("doc_id", text).alias("__k1"), F.hash("doc_id", text).alias("__k2")]
 
 
-def class_sources(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(doc_id, source): each document with the one source that its near-duplicate class counts for.
-
-    That is the source of the class's smallest doc_id that has one; classes without any are left out.
-    """
-    docs = _identified(docs)
-    classes = durable(near_duplicates(docs, width, percent).select("doc_id", "component_id").distinct(), "classes")
-    known = docs.filter("source IS NOT NULL").groupBy("doc_id").agg(F.min("source").alias("source"))
-    named = classes.join(known, "doc_id").groupBy("component_id").agg(F.min(F.struct("doc_id", "source"))["source"].alias("source"))
-    return durable(classes.join(named, "component_id").select("doc_id", "source"), "sources")
-
-
-def spread_lines(docs: DataFrame, sites: int = SITES, sources: DataFrame | None = None) -> DataFrame:
-    """(h1, h2): keys of the lines that stand on at least ``sites`` distinct sources.
-
-    Lines are compared without blanks at their ends; blank lines and null sources
-    don't count. ``sources`` (doc_id, source) replaces the sources of ``docs``.
-    """
-    texts = F.transform(F.split(F.col("text").cast("string"), "\n", -1), lambda x: F.trim(x, F.lit(_BLANK)))
-    if sources is None:
-        lines = docs.select(F.col("source").cast("string").alias("source"), F.explode(F.array_distinct(texts)).alias("line"))
-        lines = lines.filter("line <> '' AND source IS NOT NULL").select("source", *_line_key(F.col("line")))
-    else:
-        lines = _identified(docs).select("doc_id", F.explode(F.array_distinct(texts)).alias("line")).filter("line <> ''")
-        lines = lines.select("doc_id", *_line_key(F.col("line"))).join(sources, "doc_id").drop("doc_id")
+def _widely(lines: DataFrame, sites: int, name: str) -> DataFrame:
+    """(h1, h2): keys in ``lines`` (h1, h2, source) with at least ``sites`` distinct sources; null sources don't count."""
+    lines = lines.filter("source IS NOT NULL")
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source")).alias("estimate"))
-    spread = durable(spread.filter(F.col("estimate") >= NEAR[0] * sites), "spread")
+    spread = durable(spread.filter(F.col("estimate") >= NEAR[0] * sites), name)
     near = spread.filter(F.col("estimate") < NEAR[1] * sites).select("h1", "h2")
-    exact = lines.join(near, ["h1", "h2"], "left_semi").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    exact = lines.join(near, ["h1", "h2"], "left_semi").select("h1", "h2", "source").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
     return spread.filter(F.col("estimate") >= NEAR[1] * sites).select("h1", "h2").union(exact.filter(F.col("n") >= sites).select("h1", "h2"))
 
 
-def remove_spread_lines(docs: DataFrame, sites: int = SITES, share: float = SHARE, sources: DataFrame | None = None) -> DataFrame:
+def spread_lines(docs: DataFrame, sites: int = SITES, own: float = OWN) -> DataFrame:
+    """(__k1, __k2, pos, h1, h2): the places of the lines that are spread over ``sites`` distinct sources of witnesses.
+
+    Lines are compared without blanks at their ends; blank lines and null sources don't
+    count. ``__k1`` and ``__k2`` name a row by its doc_id and text; equal rows have one name.
+    """
+    source = F.col("source").cast("string").alias("source")
+    lines = docs.select(source, F.explode(F.array_distinct(_texts())).alias("line")).filter("line <> ''")
+    wide = durable(_widely(lines.select("source", *_line_key(F.col("line"))), sites, "spread"), "wide")
+    size = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("total")
+    placed = docs.select(*_row_key(), source, _texts().alias("lines")).select("__k1", "__k2", "source", size, F.posexplode("lines").alias("pos", "line")).filter("line <> ''")
+    placed = placed.select("__k1", "__k2", "source", "total", "pos", F.length("line").alias("size"), *_line_key(F.col("line")))
+    placed = durable(placed.join(wide, ["h1", "h2"]), "placed")
+    shared = placed.select("__k1", "__k2", "total", "pos", "size").distinct().groupBy("__k1", "__k2", "total").agg(F.sum("size").alias("shared"))
+    witnesses = shared.filter(F.col("shared") < (1 - own) * F.col("total")).select("__k1", "__k2")
+    seen = placed.join(witnesses, ["__k1", "__k2"], "left_semi").select("h1", "h2", "source")
+    found = durable(_widely(seen, sites, "witnessed"), "boiler")
+    return placed.join(found, ["h1", "h2"], "left_semi").select("__k1", "__k2", "pos", "h1", "h2")
+
+
+def remove_spread_lines(docs: DataFrame, sites: int = SITES, own: float = OWN) -> DataFrame:
     """``docs`` with ``text`` less its widely spread lines, and counts of lines before and removed.
 
     All columns are kept, ``n_chars`` (if there) follows the new text, and
     ``__n_lines`` and ``__n_removed`` are added. A null text stays null with no
-    lines. A document that would lose more than ``share`` of its characters is left
-    as it is: it is a copy, which document de-duplication handles. With ``sources``
-    from ``class_sources`` copies make no spread, and a ``share`` of 1 removes every
-    spread line from every document. Equal rows are treated alike, each giving a row;
-    an empty table gives none.
+    lines; a text of spread lines only becomes empty. Equal rows are treated alike,
+    each giving a row; null ids and sources are allowed; an empty table gives no rows.
     """
-    boiler = durable(spread_lines(docs, sites, sources), "boiler")
     text = F.col("text").cast("string")
-    rows = docs.withColumns({"__k1": F.xxhash64("doc_id", text), "__k2": F.hash("doc_id", text)})
-    lines = rows.select("__k1", "__k2", F.posexplode(F.split(text, "\n", -1)).alias("pos", "line"))
-    lines = lines.withColumn("line", F.trim("line", F.lit(_BLANK))).filter("line <> ''")
-    lines = lines.select("__k1", "__k2", "pos", F.length("line").alias("size"), *_line_key(F.col("line")))
-    found = lines.join(boiler, ["h1", "h2"], "left_semi").groupBy("__k1", "__k2").agg(F.array_sort(F.collect_set(F.struct("pos", "size"))).alias("__found"))
+    found = spread_lines(docs, sites, own).groupBy("__k1", "__k2").agg(F.array_sort(F.collect_set("pos")).alias("__cut"))
+    rows = docs.withColumns(dict(zip(["__k1", "__k2"], _row_key(), strict=True)))
     joined = rows.join(found, ["__k1", "__k2"], "left")
-    all_lines = F.split(text, "\n", -1)
-    total = F.aggregate(all_lines, F.lit(0), lambda a, x: a + F.length(F.trim(x, F.lit(_BLANK))))
-    gone = F.aggregate("__found", F.lit(0), lambda a, x: a + x["size"])
-    joined = joined.withColumn("__cut", F.when(F.col("__found").isNotNull() & (gone <= share * total), F.transform("__found", lambda x: x["pos"])))
     # The lines between removed positions, as slices: linear in the text.
     kept = F.expr("""array_join(flatten(transform(sequence(0, size(__cut)), j -> slice(split(CAST(text AS STRING), '\\n', -1),
         coalesce(get(__cut, j - 1), -1) + 2,
         coalesce(get(__cut, j), size(split(CAST(text AS STRING), '\\n', -1))) - coalesce(get(__cut, j - 1), -1) - 1))), '\\n')""")
     new = F.when(F.col("__cut").isNotNull(), kept).otherwise(text)
     out = joined.withColumns({
-        "__n_lines": F.when(text.isNull(), 0).otherwise(F.size(all_lines)).cast("long"),
-        "__n_removed": F.coalesce(F.size("__cut"), F.lit(0)).cast("long"), "text": new,
+        "__n_lines": F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long"),
+        "__n_removed": F.when(F.col("__cut").isNull(), 0).otherwise(F.size("__cut")).cast("long"), "text": new,
     })
-    out = out.withColumn("__n_removed", F.greatest("__n_removed", F.lit(0).cast("long")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*[f"`{c}`" for c in docs.columns], "__n_lines", "__n_removed")
@@ -113,13 +107,16 @@ OP8_SQL = f"""
 WITH parts AS (
   SELECT doc_id, source, pos, string_split(text, chr(10))[pos] AS raw, trim(string_split(text, chr(10))[pos], ' ' || chr(9) || chr(13)) AS line
   FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(pos)),
-spread AS (SELECT line FROM parts WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= {SITES}),
-marked AS (SELECT p.*, p.line IN (SELECT line FROM spread) AS hit FROM parts p),
+wide AS (SELECT line FROM parts WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= {SITES}),
+witness AS (
+  SELECT doc_id FROM (SELECT doc_id, length(line) AS size, line IN (SELECT line FROM wide) AS hit FROM parts)
+  GROUP BY doc_id HAVING coalesce(sum(size) FILTER (hit), 0) < {1 - OWN} * sum(size)),
+spread AS (
+  SELECT line FROM parts WHERE line IN (SELECT line FROM wide) AND doc_id IN (SELECT doc_id FROM witness)
+  GROUP BY line HAVING count(DISTINCT source) >= {SITES}),
 docs AS (
-  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hit) AS n_hit,
-         coalesce(sum(length(line)) FILTER (hit), 0) <= {SHARE} * sum(length(line)) AS cut,
-         string_agg(raw, chr(10) ORDER BY pos) AS whole, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT hit), '') AS rest
-  FROM marked GROUP BY doc_id)
-SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(CASE WHEN cut THEN n_hit ELSE 0 END AS BIGINT) AS n_removed,
-       CAST(length(coalesce(CASE WHEN cut THEN rest ELSE whole END, '')) AS BIGINT) AS n_kept_chars, sha256(coalesce(CASE WHEN cut THEN rest ELSE whole END, '')) AS kept_sha256
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hit) AS n_hit, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT hit), '') AS rest
+  FROM (SELECT *, line IN (SELECT line FROM spread) AS hit FROM parts) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_removed,
+       CAST(length(coalesce(rest, '')) AS BIGINT) AS n_kept_chars, sha256(coalesce(rest, '')) AS kept_sha256
 FROM documents d LEFT JOIN docs USING (doc_id)"""
