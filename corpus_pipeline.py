@@ -20,9 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that are spread over many sources; near-duplicates count as one source."""
-    sources = linededup.class_sources(docs, *NEAR)
-    return linededup.remove_spread_lines(docs, share=1, sources=sources).select(docs.columns)
+    """All documents, without lines that are spread over many sources; copies make no spread."""
+    return linededup.remove_spread_lines(docs).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
