@@ -29,7 +29,7 @@ def queries() -> dict:
     return {k: _query(*v) for k, v in _QUERIES.items()}
 
 
-_SQL = {"op1_perspective_rotation": ("chat", "OP1_SQL"), "op6_containment_search": ("decontam", "OP6_SQL"), "op8_line_spread": ("linededup", "OP8_SQL"), "op9_warc_chain": ("warc", "OP9_SQL")}
+_SQL = {"op1_perspective_rotation": ("chat", "OP1_SQL"), "op5_minhash_neardup": ("neardup", "OP5_SQL"), "op6_containment_search": ("decontam", "OP6_SQL"), "op8_line_spread": ("linededup", "OP8_SQL"), "op9_warc_chain": ("warc", "OP9_SQL")}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -3,7 +3,7 @@
 Links are kept as (u, v) with u > v. Each round is two aggregations and two joins on the
 link table, written to the shared folder. A hub is one key of an aggregation with partial
 sums, and of joins whose rows are dealt by key and salt. The number of rounds is
-logarithmic.
+logarithmic; it ends when every node has one link, to a node without any.
 """
 
 from __future__ import annotations
@@ -11,23 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import durable
+from graphloom.llm.common import dealt, durable
 
-#: Tasks over which the links of one node are dealt in a join.
-SALT = 8
 
-
-def _state(links: DataFrame) -> tuple:
-    row = links.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-    return row["n"], row["x"]
+def _settled(links: DataFrame) -> bool:
+    if not links.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return False
+    return links.select("v").distinct().join(links.select(F.col("u").alias("v")).hint("merge"), "v", "left_semi").isEmpty()
 
 
 def _with_lowest(links: DataFrame, end: str) -> DataFrame:
     """``links`` with ``m``, the smallest neighbour below the node at ``end``; null where none is below."""
     low = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
-    low = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
-    dealt = links.withColumn("dealt", F.pmod(F.xxhash64("u", "v"), F.lit(SALT)).cast("int"))
-    return dealt.join(low, (F.col(end) == F.col("node")) & (F.col("dealt") == F.col("salt")), "left").select("u", "v", "m")
+    return dealt(links.withColumn("node", F.col(end)), low.hint("merge"), ["node"], ["u", "v"], "left").select("u", "v", "m")
 
 
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
@@ -38,16 +34,12 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """
     links = links.filter(F.col(a) != F.col(b))
     links = durable(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
-    state = _state(links)
-    while state[0]:
+    while not _settled(links):
         # Each node's larger neighbours are linked to the smallest of its neighbours and itself.
         large = _with_lowest(links, "v").select("u", F.coalesce("m", "v").alias("v")).distinct()
         # Each node's smaller neighbours, and itself, are linked to the smallest of them.
         lowest = _with_lowest(large, "u")
         small = lowest.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         links = durable(small.union(large.groupBy("u").agg(F.min("v").alias("v"))).distinct(), "links")
-        before, state = state, _state(links)
-        if before == state:
-            break
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

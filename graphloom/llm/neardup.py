@@ -2,23 +2,21 @@
 
 1. A document is its set of distinct word shingles. Equal sets form a class; all
    further work is on one representative (the smallest doc_id) of each class.
-2. A class has a signature of ``HASHES`` MinHash symbols of b = 8 bits. Its
+2. A class has a signature of ``HASHES`` MinHash symbols of b = 16 bits. Its
    positions are split into m chunks. By the pigeonhole principle two signatures
-   that differ in at most r < 2m positions differ in at most one position of some
-   chunk, so the chunks are indexed with every allowed error: one key for each
-   chunk and left-out position. No pair with a distance up to r is missed. Chunks
-   without an error go first: what they join needs no comparison afterwards.
-3. Index buckets with the same members are one bucket. Members of a bucket are
-   compared by Hamming distance in blocks of bounded size; a block returns the
-   pairs of small buckets and a spanning forest of large ones, never all pairs.
-4. Documents joined by such edges form coarse groups. Inside a group, blocks of
-   full shingle sets are compared exactly by products of presence matrices, every
-   pair of the group being in some block, and again only a forest of confirmed
-   links leaves a block. Their connected components are the result.
-
-The distance bound that a compared pair must keep is wider than r: for a pair at
-the similarity threshold the symbols differ binomially, and the chance of passing
-the bound or of sharing no bucket is below one in a million.
+   that differ in at most r = 2m - 1 positions differ in at most one position of some
+   chunk, so the chunks are indexed with every allowed error: one key for each left-out
+   position. No pair with a distance up to r is missed, and no wider one is compared.
+   r is so wide that a pair at the similarity threshold exceeds it with a chance of
+   about one in a million.
+3. Stars first: in the buckets of whole chunks each member is compared with the
+   smallest one. Then the members of buckets with an error that are still apart are
+   compared in blocks of bounded size. Both give edges, never all pairs.
+4. Documents joined by such edges form coarse groups, in which links are confirmed on
+   full shingle sets. Stars first again: each member against the smallest. Groups that
+   this leaves in several parts are split by a prefix filter: two sets above the
+   threshold share one of their rarest shingles, rare within the group. What still
+   stands together is compared in blocks, unlinked members with all others.
 """
 
 from __future__ import annotations
@@ -29,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import durable, small_batches
+from graphloom.llm.common import dealt, durable, pieces, table
 from graphloom.llm.components import connected_components
 from graphloom.llm.shingles import SPACES, mix, shingle_sets
 
@@ -47,16 +45,11 @@ _MUL = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64) * _U(2) + _U(1)
 _ADD = _RNG.integers(1, 2**63, HASHES, dtype=np.uint64)
 
 
-def plan(percent: int) -> tuple[int, int, int]:
-    """(chunks m, guaranteed distance r, compared distance) for a threshold in percent."""
+def plan(percent: int) -> tuple[int, int]:
+    """(chunks m, guaranteed and compared distance r = 2m - 1) for a threshold in percent."""
     differ = 1 - percent / 100
-    m = next(m for m in range(2, HASHES) if (1 - sum(_binomial(HASHES / m, i, differ) for i in (0, 1))) ** m < 1e-6 or m == HASHES // 3)
-    spread = math.sqrt(HASHES * differ * (1 - differ))
-    return m, 2 * m - 1, max(2 * m - 1, math.ceil(HASHES * differ + 5.2 * spread))
-
-
-def _binomial(n: float, i: int, p: float) -> float:
-    return (n if i else 1) * p**i * (1 - p) ** (n - i)
+    m = math.ceil((HASHES * differ + 5.2 * math.sqrt(HASHES * differ * (1 - differ)) + 1) / 2)
+    return m, 2 * m - 1
 
 
 def chunk_masks(m: int, errors: int) -> list[tuple[int, ...]]:
@@ -66,8 +59,8 @@ def chunk_masks(m: int, errors: int) -> list[tuple[int, ...]]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(len(sets), HASHES) bytes; an empty set gives zeros."""
-    out = np.zeros((len(sets), HASHES), np.uint8)
+    """(len(sets), HASHES) symbols of 16 bits; an empty set gives zeros."""
+    out = np.zeros((len(sets), HASHES), np.uint16)
     full = [i for i, s in enumerate(sets) if len(s)]
     at = 0
     while at < len(full):
@@ -78,7 +71,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         part = [sets[i] for i in full[at:end]]
         x, begin = np.concatenate(part), np.cumsum([0] + [len(s) for s in part[:-1]])
         for k in range(HASHES):
-            out[full[at:end], k] = mix(np.minimum.reduceat(x * _MUL[k] + _ADD[k], begin)) & _U(255)
+            out[full[at:end], k] = mix(np.minimum.reduceat(x * _MUL[k] + _ADD[k], begin)) & _U(0xFFFF)
         at = end
     return out
 
@@ -87,7 +80,7 @@ def fingerprint_rows(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n_shingles, digest, sig) for each row of ``docs``."""
 
     def prints(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in parts:
+        for texts in pieces(parts):
             sets = list(shingle_sets(texts.tolist(), width, SPACES))
             yield pd.DataFrame({
                 "n_shingles": [len(s) for s in sets], "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
@@ -98,6 +91,10 @@ def fingerprint_rows(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), made.alias("p")).select("doc_id", "p.*")
 
 
+def _symbols(sig: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sig), np.uint16).reshape(-1, HASHES)
+
+
 def _index_keys(reps: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
     """(key, rep, part): one row for each mask; ``part`` is the component known so far."""
     rng = np.random.default_rng(7)
@@ -107,8 +104,8 @@ def _index_keys(reps: DataFrame, masks: list[tuple[int, ...]]) -> DataFrame:
     seeds = rng.integers(1, 2**63, len(masks), dtype=np.uint64)
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            sig = np.frombuffer(b"".join(p["sig"]), np.uint8).reshape(-1, HASHES).astype(np.uint64) + _U(1)
+        for p in pieces(parts):
+            sig = _symbols(p["sig"]).astype(np.uint64) + _U(1)
             keys = mix(sig @ weights + seeds)
             yield pd.DataFrame({"key": keys.ravel().view(np.int64), "rep": np.repeat(p["rep"].to_numpy(), len(masks)), "part": np.repeat(p["part"].to_numpy(), len(masks))})
 
@@ -151,34 +148,44 @@ def _forest(near: np.ndarray) -> np.ndarray:
     return np.array(edges, np.int64).reshape(-1, 2)
 
 
-def _blocked(df: DataFrame, group: list[str], blocks: str) -> DataFrame:
-    """Rows dealt to pairs of blocks: each two rows of a group meet in one ``gid`` at least."""
-    own = F.expr(f"CAST(pmod(xxhash64(rep), {blocks}) AS INT)")
-    df = df.withColumn("own", own).withColumn("other", F.explode(F.expr(f"sequence(0, CAST({blocks} AS INT) - 1)")))
-    gid = F.xxhash64(*group, F.least("own", "other"), F.greatest("own", "other"))
-    return df.withColumn("gid", gid)
-
-
 def _grouped(df: DataFrame) -> DataFrame:
     return df.repartition("gid").sortWithinPartitions("gid", "rep")
 
 
+def _buckets(keys: DataFrame) -> DataFrame:
+    """(key, n, low): buckets of ``keys`` with members of different parts; of those with the same members only one."""
+    made = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.min("rep").alias("low"), F.min("part").alias("p"), F.max("part").alias("q"))
+    return made.filter("p < q").groupBy("n", "x", "y", "low").agg(F.min("key").alias("key")).select("key", "n", "low")
+
+
+def _star_edges(reps: DataFrame, masks: list[tuple[int, ...]], distance: int) -> DataFrame:
+    """(a, b): members of each bucket of ``masks`` within ``distance`` of its smallest member."""
+    keys = _index_keys(reps, masks)
+    pairs = keys.join(_buckets(keys).hint("merge"), "key").filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
+    hubs = reps.join(pairs.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
+    pairs = dealt(pairs.join(reps.select(F.col("rep").alias("a"), "sig").hint("merge"), "a"), hubs.hint("merge"), ["b"], ["a"])
+
+    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield p.loc[(_symbols(p["sig"]) != _symbols(p["sig_b"])).sum(1) <= distance, ["a", "b"]]
+
+    return pairs.mapInPandas(rows, "a long, b long").distinct()
+
+
 def _close_pairs(reps: DataFrame, masks: list[tuple[int, ...]], distance: int) -> DataFrame:
     """(a, b): for each bucket of the keys of ``masks``, edges by signature distance between different parts.
 
-    Pairs of small buckets, a forest of larger ones. Buckets with the same members
-    are compared once; those within one part not at all.
+    Pairs of small buckets, a forest of larger ones. Members are dealt to pairs of
+    blocks, so that each two of a bucket meet in one ``gid`` at least.
     """
     keys = _index_keys(reps, masks)
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.min("rep").alias("low"), F.min("part").alias("p"), F.max("part").alias("q"))
-    buckets = buckets.filter("p < q").groupBy("n", "x", "y", "low").agg(F.min("key").alias("key")).select("key", "n")
-    members = keys.join(buckets, "key").withColumn("blocks", F.ceil(F.col("n") / SIGNATURE_BLOCK).cast("long"))
-    members = _blocked(members.join(reps.select("rep", "sig"), "rep"), ["key"], "blocks")
+    members = keys.join(_buckets(keys).hint("merge"), "key").withColumn("blocks", F.ceil(F.col("n") / SIGNATURE_BLOCK).cast("int"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.withColumn("gid", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).join(reps.select("rep", "sig").hint("merge"), "rep")
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in _in_groups(parts):
-            gid, rep, part = p["gid"].to_numpy(), p["rep"].to_numpy(), p["part"].to_numpy()
-            sig = np.frombuffer(b"".join(p["sig"]), np.uint8).reshape(-1, HASHES)
+            gid, rep, part, sig = p["gid"].to_numpy(), p["rep"].to_numpy(), p["part"].to_numpy(), _symbols(p["sig"])
             begin = np.flatnonzero(np.diff(gid, prepend=gid[0] - 1))
             sizes = np.diff(np.append(begin, len(gid)))
             found = []
@@ -223,15 +230,14 @@ def _shared(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _confirmed(members: DataFrame, width: int, percent: int) -> DataFrame:
+def _confirmed(members: DataFrame, percent: int) -> DataFrame:
     """(a, b): a forest of the pairs of each block whose full sets pass the threshold."""
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in _in_groups(parts):
-            rep = p["rep"].to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in p["shingles"]]
+            rep, gid = p["rep"].to_numpy(), p["gid"].to_numpy()
+            sets = [np.asarray(x, np.int64) for x in p["shingles"]]
             size = np.array([len(s) for s in sets], np.int64)
-            gid = p["gid"].to_numpy()
             begin = np.append(np.flatnonzero(np.diff(gid, prepend=gid[0] - 1)), len(gid))
             found = [np.zeros((0, 2), np.int64)]
             for i, j in zip(begin[:-1], begin[1:], strict=True):
@@ -247,11 +253,53 @@ def _confirmed(members: DataFrame, width: int, percent: int) -> DataFrame:
 
 def _set_rows(docs: DataFrame, width: int) -> DataFrame:
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
+        for p in pieces(parts):
             sets = shingle_sets(p["text"].tolist(), width, SPACES)
-            yield pd.DataFrame({"rep": p["rep"], "grp": p["grp"], "blocks": p["blocks"], "shingles": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"rep": p["rep"], "grp": p["grp"], "shingles": [s.view(np.int64) for s in sets]})
+
+    return docs.mapInPandas(rows, "rep long, grp long, shingles array<long>")
+
 
-    return docs.mapInPandas(rows, "rep long, grp long, blocks long, shingles binary")
+def _candidate_cells(sets: DataFrame, percent: int) -> DataFrame:
+    """(part, cell): parts of a group that share a prefix shingle, directly or over others.
+
+    A set of n shingles has a prefix of n - ceil(t n) + 1: those in one part only first,
+    then the rarest of the group. Two sets above the threshold share one of them.
+    """
+    words = sets.select("grp", "rep", "part", F.xxhash64("shingles").alias("sid"), F.size("shingles").alias("n"), F.explode("shingles").alias("word"))
+    known = words.groupBy("grp", "word").agg(F.count(F.lit(1)).alias("often"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("grp", "word", "often")
+    ranked = dealt(words, known.hint("merge"), ["grp", "word"], ["rep"], "left").withColumn("at", F.row_number().over(Window.partitionBy("rep", "sid").orderBy(F.asc_nulls_first("often"), "word")))
+    prefix = ranked.filter((F.col("at") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1) & F.col("often").isNotNull()).select("grp", "word", "part").distinct()
+    prefix = durable(prefix, "prefix")
+    edges = dealt(prefix, prefix.groupBy("grp", "word").agg(F.min("part").alias("low")).hint("merge"), ["grp", "word"], ["part"])
+    return connected_components(edges, "part", "low").select(F.col("node").alias("part"), F.col("component").alias("cell"))
+
+
+def _links(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): links that span the components of each group (rep, grp) under the threshold on full sets."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(groups, "rep").distinct()
+    sets = durable(_set_rows(texts, width), "sets")
+    hubs = sets.filter("rep = grp").select("grp", F.col("shingles").alias("hub"))
+    both = F.size(F.array_intersect("shingles", "hub"))
+    alike = (both > 0) & (100 * both >= percent * (F.size("shingles") + F.size("hub") - both))
+    star = durable(dealt(sets.filter("rep <> grp"), hubs.hint("merge"), ["grp"], ["rep"]).filter(alike).select(F.col("rep").alias("a"), F.col("grp").alias("b")).distinct(), "star")
+    parts = groups.join(star.select(F.col("a").alias("rep"), "b").hint("merge"), "rep", "left").select("rep", "grp", F.when(F.col("rep") == F.col("grp"), F.col("grp")).otherwise(F.coalesce("b", "rep")).alias("part"))
+    parts = durable(parts, "parts")
+    split = parts.filter("part <> grp").select("grp").distinct()
+    if split.isEmpty():
+        return star
+    rest = dealt(sets, split.hint("merge"), ["grp"], ["rep"], "left_semi").join(parts.select("rep", "part").hint("merge"), "rep")
+    rest = durable(rest, "rest")
+    cells = dealt(rest, _candidate_cells(rest, percent).hint("merge"), ["part"], ["rep"])
+    cells = durable(cells.withColumn("alone", F.col("part") != F.col("grp")), "cells")
+    blocks = lambda of: F.greatest(F.ceil(F.count(F.when(of, 1)) / BLOCK), F.ceil(F.sum(F.when(of, F.size("shingles"))) / BLOCK_SHINGLES)).cast("int")
+    sizes = cells.groupBy("cell").agg(F.coalesce(blocks(F.col("alone")), F.lit(0)).alias("n_alone"), F.coalesce(blocks(~F.col("alone")), F.lit(0)).alias("n_linked"))
+    # Blocks 0.. hold unlinked members and meet all blocks; blocks from n_alone on hold linked ones and meet the former.
+    cells = dealt(cells, sizes.hint("merge"), ["cell"], ["rep"])
+    own = F.when(F.col("alone"), F.pmod(F.xxhash64("rep"), F.col("n_alone"))).otherwise(F.col("n_alone") + F.pmod(F.xxhash64("rep"), F.col("n_linked"))).cast("int")
+    last = F.when(F.col("alone"), F.col("n_alone") + F.col("n_linked")).otherwise(F.col("n_alone")) - 1
+    cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    return star.union(_confirmed(cells.withColumn("gid", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))), percent))
 
 
 def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -264,35 +312,43 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     A null doc_id is linked with nothing and has a null component. Other columns
     are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
-    m, _, distance = plan(percent)
+    m, distance = plan(percent)
     prints = durable(fingerprint_rows(docs, width), "prints")
     classes = prints.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))
     classes = durable(classes, "classes")
+    rows = prints.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "n_shingles", "rep").hint("merge"), ["digest", "n_shingles"], "left")
+    rows = durable(rows.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "rows")
+    # A document with several texts links their classes.
+    several = rows.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("c")).filter("b < c").select("doc_id", "b")
+    own = rows.join(several, "doc_id").select(F.col("rep").alias("a"), "b").distinct()
 
-    # Equal chunks first; then chunks with an error, between what is still apart.
     reps = classes.select("rep", F.col("rep").alias("part"), "sig")
-    equal = durable(_close_pairs(reps, chunk_masks(m, 0), distance), "equal")
-    parts = connected_components(equal, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("found"))
-    reps = durable(reps.join(parts, "rep", "left").select("rep", F.coalesce("found", "rep").alias("part"), "sig"), "parts")
-    coarse = connected_components(_close_pairs(reps, chunk_masks(m, 1), distance).union(equal), "a", "b")
-
-    # Exact comparison inside coarse groups.
-    sized = coarse.select(F.col("node").alias("rep"), F.col("component").alias("grp")).join(classes.select("rep", "n_shingles"), "rep")
-    groups = sized.groupBy("grp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
-    wanted = sized.join(groups, "grp").select("rep", "grp", "blocks")
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(wanted, "rep")
-    links = _confirmed(_blocked(_set_rows(texts, width), ["grp"], "blocks"), width, percent)
-    linked = connected_components(links, "a", "b").withColumnRenamed("node", "rep")
-
-    # Components name the smallest doc_id of all their classes: representatives are minima already.
-    found = classes.select("digest", "n_shingles", "rep").join(linked, "rep", "left").select("digest", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    rows = prints.select("doc_id", "n_shingles", "digest").join(found, ["digest", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stars = durable(_star_edges(reps, chunk_masks(m, 0), distance), "stars")
+    parts = connected_components(stars, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("found"))
+    reps = durable(reps.join(parts.hint("merge"), "rep", "left").select("rep", F.coalesce("found", "rep").alias("part"), "sig"), "reps")
+    coarse = connected_components(_close_pairs(reps, chunk_masks(m, 1), distance).union(stars), "a", "b")
 
+    links = _links(docs, coarse.select(F.col("node").alias("rep"), F.col("component").alias("grp")), width, percent)
+    linked = connected_components(links.union(own), "a", "b").select(F.col("node").alias("rep"), "component")
+    found = rows.join(linked.hint("merge"), "rep", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
-def op5_minhash(spark, sf_dir: str) -> DataFrame:
-    from graphloom.llm.common import table
 
+def op5_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 3, 85)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP5_SQL = f"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) BETWEEN 1 AND 2 THEN [array_to_string(w, ' ')]
+    WHEN len(w) > 2 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) ELSE [] END) AS shingle FROM words),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS low FROM n UNION SELECT y, low FROM reach JOIN ends ON x = node WHERE low < y)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(low, d.doc_id) AS component_id, coalesce(low, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node, min(low) AS low FROM reach GROUP BY node) r ON node = d.doc_id"""
