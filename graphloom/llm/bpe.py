@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import small_batches, table
+from graphloom.llm.common import pieces, table
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 KEPT_PAIRS = 1_000_000
@@ -161,13 +161,14 @@ class Codec:
         parts = text.split(" ")
         if not _RUN.search(text):
             return [parts[0], *[" " + p for p in parts[1:]]]
-        out = [parts[0]]
+        out, run = [], [parts[0]]
         for p in parts[1:]:
-            if out[-1] and not out[-1][-1].isspace() and p and not p[0].isspace():
-                out.append(" " + p)
+            if run[-1] and not run[-1][-1].isspace() and p and not p[0].isspace():
+                out.append(" ".join(run))
+                run = ["", p]
             else:
-                out[-1] += " " + p
-        return out
+                run.append(p)
+        return [*out, " ".join(run)]
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -186,11 +187,10 @@ def digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN
     ordinary text. Repeated rows give repeated results; other columns are ignored.
     ``path`` must be readable on the executors, as installed vocabularies are.
     """
-    small_batches(docs.sparkSession)
 
     def code(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = codec(path, pattern)
-        for texts in parts:
+        for texts in pieces(parts):
             out = []
             for text in texts:
                 n, ids, back = 0, hashlib.sha256(), hashlib.sha256()
@@ -210,11 +210,10 @@ def digests(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN
 
 def encode_documents(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """(doc_id, n_tokens, token_ids, decoded) for each row: the ids and the text decoded from them."""
-    small_batches(docs.sparkSession)
 
     def code(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = codec(path, pattern)
-        for texts in parts:
+        for texts in pieces(parts):
             ids = [[t for c in bpe.cut(text or "") for t in map(int, bpe.chunk(c)[1].split())] for text in texts]
             back = [bpe.decode(x).decode("utf-8", "surrogatepass") for x in ids]
             yield pd.DataFrame({"n_tokens": [len(x) for x in ids], "token_ids": ids, "decoded": back})
