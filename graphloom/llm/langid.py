@@ -7,16 +7,16 @@ one-versus-rest kernel ridge regression has a closed form. Texts are scored in b
 presence matrix times landmark matrix gives kernel values, these times one matrix of
 (Nystroem map x ridge coefficients) the scores of all languages.
 
-Characters are lower-cased and folded onto 64 symbols: the blank (any other white space
-too), the most frequent characters of the sample, and remainders of the code point.
+Characters are lower-cased, and white space is a blank. An n-gram is coded by its code
+points, 21 bits each, so different n-grams have different codes in any script.
 
 Fitting uses at most ``SAMPLE`` labelled documents, the first of each language in hash
-order in equal shares, of which ``LANDMARKS`` are landmarks. All documents are scored.
+order in equal shares, of which ``LANDMARKS`` are landmarks; of more languages than
+``SAMPLE`` the first in alphabetical order are learned. All documents are scored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,49 +24,52 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import durable, small_batches, table
+from graphloom.llm.common import durable, pieces, table
 
 SAMPLE = 1600
 LANDMARKS = 96
-#: The most frequent languages that are learned.
-LANGUAGES = 1000
 RIDGE = 1e-3
-SYMBOLS = 64
-OWN = 48
 ORDERS = 3
-_SPACE = SYMBOLS**ORDERS
-_OFFSETS = (0, SYMBOLS, SYMBOLS + SYMBOLS**2)
-_SIZE = SYMBOLS + SYMBOLS**2 + SYMBOLS**3
-
-
-def fold_table(frequent: list[int]) -> np.ndarray:
-    """Symbol of each code point: 0 the blank, 1.. the given ones, the rest by remainder."""
-    fold = (OWN + np.arange(0x110000) % (SYMBOLS - OWN)).astype(np.int32)
-    fold[[c for c in range(0x3001) if chr(c).isspace()]] = 0
-    fold[np.array(frequent[: OWN - 1], np.int64)] = 1 + np.arange(len(frequent[: OWN - 1]))
-    return fold
+_POINT = 21
+#: Entries of the table by which distinct n-grams are found; texts with too many different characters are sorted.
+_TABLE = 1 << 22
+_SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.int64)
 
 
 class Grams:
-    """Distinct n-grams of texts; the table of last places is reused and never cleared."""
+    """Distinct n-grams of texts; the tables are reused, and only what was used is cleared."""
 
-    def __init__(self, fold: np.ndarray):
-        self.fold, self.last = fold, np.zeros(_SIZE, np.int32)
+    def __init__(self):
+        self.last, self.symbol = np.zeros(_TABLE, np.int32), np.zeros(0x110000, np.int32)
+        self.blank = np.arange(0x110000)
+        self.blank[_SPACES] = 32
 
     def of(self, text: str) -> np.ndarray:
-        """Codes of the distinct n-grams of ``text``, in order of their last occurrence for each n."""
-        symbols = self.fold[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+        """Codes of the distinct n-grams of ``text``, for each n from 1 on; longer ones have higher codes."""
+        points = self.blank[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
+        if not len(points):
+            return np.zeros(0, np.int64)
+        self.symbol[points] = np.arange(len(points))
+        known = points[self.symbol[points] == np.arange(len(points))]
+        self.symbol[known] = np.arange(len(known))
+        symbols, base = self.symbol[points].astype(np.int64), len(known)
         code, out = symbols, []
         for n in range(ORDERS):
             if n:
                 if len(symbols) <= n:
                     break
-                code = code[:-1] * SYMBOLS + symbols[n:]
-            full = code + _OFFSETS[n]
-            place = np.arange(len(full), dtype=np.int32)
-            self.last[full] = place
-            out.append(full[self.last[full] == place])
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
+                code = code[:-1] * base + symbols[n:]
+            if base ** (n + 1) <= _TABLE:
+                place = np.arange(len(code), dtype=np.int32)
+                self.last[code] = place
+                distinct = code[self.last[code] == place]
+            else:
+                distinct = np.unique(code)
+            full = np.zeros(len(distinct), np.int64)
+            for k in range(n, -1, -1):
+                full = (full << _POINT) | (known[distinct // base**k % base] + 1)
+            out.append(full)
+        return np.concatenate(out)
 
 
 def has_letter(text: str | None) -> bool:
@@ -74,28 +77,24 @@ def has_letter(text: str | None) -> bool:
 
 
 def _sample(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(doc_id, text, lang): the first documents of each language in hash order."""
+    """(doc_id, lang, text): the first documents of each language in hash order; of rows with one id the smallest."""
     ids = docs.select(F.col("doc_id").cast("long"), F.col(lang).cast("string").alias("lang")).filter("doc_id IS NOT NULL AND lang IS NOT NULL").withColumn("order", F.xxhash64("doc_id"))
-    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # The share of hash values that holds about twice what is wanted of each language.
     early = (F.col("order") / 2.0**64 + 0.5) * F.col("n") < 2 * SAMPLE
-    near = ids.join(F.broadcast(counts), "lang").filter(early)
+    near = ids.join(counts, "lang").filter(early).select("doc_id", "lang", "order").distinct()
     first = near.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id")))
     ids = durable(first.orderBy("at", "lang").limit(SAMPLE).select("doc_id", "lang"), "sample")
     texts = docs.select(F.col("doc_id").cast("long"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
-    return durable(texts.join(F.broadcast(ids), ["doc_id", "lang"]).filter("text IS NOT NULL").dropDuplicates(["doc_id"]), "texts")  # SAMPLE ids
+    rows = texts.join(F.broadcast(ids), ["doc_id", "lang"]).filter("text IS NOT NULL")  # SAMPLE ids
+    return durable(rows.groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.lang", "r.text"), "texts")
 
 
-def _frequent(sample: DataFrame) -> list[int]:
-    def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            seen = Counter()
-            for t in p["text"]:
-                seen.update(t.lower())
-            yield pd.DataFrame([(ord(c), n) for c, n in seen.items() if not c.isspace()], columns=["c", "n"])
-
-    total = sample.mapInPandas(rows, "c int, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    return [r["c"] for r in total.orderBy(F.desc("n"), "c").limit(OWN - 1).collect()]
+def _columns(vocabulary: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Places in the sorted ``vocabulary`` of those of ``grams`` that it holds."""
+    at = np.searchsorted(vocabulary, grams)
+    at[at == len(vocabulary)] = 0
+    return at[vocabulary[at] == grams]
 
 
 def _kernel(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray) -> np.ndarray:
@@ -104,17 +103,14 @@ def _kernel(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict | None:
     """Model from the rows of ``docs``; None if no row has an id, a text and a language."""
-    small_batches(docs.sparkSession)
     sample = _sample(docs, text, lang)
-    frequent = _frequent(sample)
-    fold = fold_table(frequent)
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        grams = Grams(fold)
-        for p in parts:
+        grams = Grams()
+        for p in pieces(parts):
             yield pd.DataFrame({"doc_id": p["doc_id"], "lang": p["lang"], "grams": [np.sort(grams.of(t)) for t in p["text"]]})
 
-    got = sample.mapInPandas(rows, "doc_id long, lang string, grams array<int>").toPandas().sort_values("doc_id")
+    got = sample.mapInPandas(rows, "doc_id long, lang string, grams array<long>").toPandas().sort_values("doc_id")
     if not len(got):
         return None
     langs = sorted(got["lang"].unique())
@@ -125,12 +121,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict | None:
     rank = got.groupby("lang").cumcount().to_numpy()
     marks = np.lexsort((got["lang"].to_numpy(), rank))[:LANDMARKS]
     vocabulary = np.unique(np.concatenate([grams[i] for i in marks]))
-    column = np.full(_SIZE, -1, np.int32)
-    column[vocabulary] = np.arange(len(vocabulary))
     present = np.zeros((len(grams), len(vocabulary)), np.float32)
     for i, g in enumerate(grams):
-        at = column[g]
-        present[i, at[at >= 0]] = 1
+        present[i, _columns(vocabulary, g)] = 1
     inner = _kernel(present[marks], size[marks], present[marks], size[marks]).astype(float)
     value, vector = np.linalg.eigh(inner)
     keep = value > 1e-6 * value[-1]
@@ -141,7 +134,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict | None:
     weight = 1 / np.array([(got["lang"] == x).sum() for x in langs])[np.searchsorted(langs, got["lang"].to_numpy())]
     gram = phi.T @ (phi * weight[:, None]) + RIDGE * np.eye(phi.shape[1])
     coefficient = np.linalg.solve(gram, phi.T @ (y * weight[:, None]))
-    return {"langs": langs, "frequent": frequent, "vocabulary": vocabulary, "landmarks": present[marks].astype(np.uint8), "sizes": size[marks], "map": (nystroem @ coefficient[:-1]).astype(np.float32), "base": coefficient[-1].astype(np.float32)}
+    return {"langs": langs, "vocabulary": vocabulary, "landmarks": present[marks].astype(np.uint8), "sizes": size[marks], "map": (nystroem @ coefficient[:-1]).astype(np.float32), "base": coefficient[-1].astype(np.float32)}
 
 
 _BATCH = 64
@@ -150,9 +143,7 @@ _BATCH = 64
 class Scorer:
     def __init__(self, model: dict):
         self.model = model
-        self.grams = Grams(fold_table(model["frequent"]))
-        self.column = np.full(_SIZE, -1, np.int32)
-        self.column[model["vocabulary"]] = np.arange(len(model["vocabulary"]))
+        self.grams = Grams()
         self.landmarks = (model["landmarks"] / np.sqrt(np.maximum(model["sizes"], 1))[:, None]).astype(np.float32)
 
     def scores(self, texts: list[str]) -> np.ndarray:
@@ -160,8 +151,7 @@ class Scorer:
         size = np.ones(len(texts), np.float32)
         for i, t in enumerate(texts):
             g = self.grams.of(t)
-            at = self.column[g]
-            present[i, at[at >= 0]] = 1
+            present[i, _columns(self.model["vocabulary"], g)] = 1
             size[i] = max(1, len(g))
         kernel = (present @ self.landmarks.T) / np.sqrt(size)[:, None]
         return kernel @ self.model["map"] + self.model["base"]
@@ -174,12 +164,11 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFram
     equal texts get equal results, ties go to the first language in alphabetical order.
     Every row and column is kept.
     """
-    small_batches(docs.sparkSession)
     data = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(data.value) if data.value else None
-        for part in parts:
+        for part in pieces(parts):
             texts = part.tolist()
             lang, best = ["und"] * len(texts), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if has_letter(t)] if scorer else []
