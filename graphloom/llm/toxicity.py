@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import durable, small_batches, table
+from graphloom.llm.common import durable, pieces, table
 
 TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
 FEATURES = 4096
@@ -45,20 +45,25 @@ def counts(text: str | None) -> Counter:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic): labelled documents within the stated bounds, each id once."""
+    """(doc_id, text, toxic): labelled documents within the stated bounds, each id and each text once.
+
+    An id counts with its smallest text and its highest label, a text with its highest label.
+    """
     marks = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = marks.join(docs.select(F.col("doc_id").cast("long")).distinct(), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     part = marks.filter("toxic > 0").orderBy(*order).limit(TOXIC_ROWS).union(marks.filter("toxic <= 0").orderBy(*order).limit(CLEAN_ROWS))
     text = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return durable(text.join(F.broadcast(part), "doc_id").dropDuplicates(["doc_id"]).dropDuplicates(["text"]), "labelled")  # at most TOXIC_ROWS + CLEAN_ROWS ids
+    rows = text.join(F.broadcast(part), "doc_id")  # at most TOXIC_ROWS + CLEAN_ROWS ids
+    rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return durable(rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic")), "labelled")
 
 
 def _frequencies(sample: DataFrame) -> pd.DataFrame:
     """The most telling features and the toxic and clean documents that have them."""
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
+        for p in pieces(parts):
             seen = [Counter(), Counter()]
             for text, toxic in zip(p["text"], p["toxic"], strict=True):
                 seen[toxic > 0].update({f for w in counts(text) for f in features(w)})
@@ -80,21 +85,22 @@ def _vector(words: Counter, index: dict[str, int]) -> dict[int, int]:
             i = index.get(f)
             if i is not None:
                 out[i] = out.get(i, 0) + n
-    return out
+    return dict(sorted(out.items()))
 
 
 def _examples(sample: DataFrame, index: dict[str, int], telling: set[str]) -> pd.DataFrame:
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
+        for p in pieces(parts):
             out = []
-            for text, toxic in zip(p["text"], p["toxic"], strict=True):
+            for doc, text, toxic in zip(p["doc_id"], p["text"], p["toxic"], strict=True):
                 words = counts(text)
                 vector = _vector(words, index)
                 hits = sum(n for w, n in words.items() if any(f in telling for f in features(w)))
-                out.append((int(toxic > 0), float(hits), list(vector), [float(np.log1p(n)) for n in vector.values()]))
-            yield pd.DataFrame(out, columns=["toxic", "hits", "at", "value"])
+                out.append((doc, int(toxic > 0), float(hits), list(vector), [float(np.log1p(n)) for n in vector.values()]))
+            yield pd.DataFrame(out, columns=["doc_id", "toxic", "hits", "at", "value"])
 
-    return sample.mapInPandas(rows, "toxic int, hits double, at array<int>, value array<double>").toPandas()
+    # In one order, so that sums of floats are the same at every run.
+    return sample.mapInPandas(rows, "doc_id long, toxic int, hits double, at array<int>, value array<double>").toPandas().sort_values("doc_id")
 
 
 def fit_cumulative_link(at: list[np.ndarray], value: list[np.ndarray], grade: np.ndarray, n_features: int, grades: int = GRADES, rounds: int = 400, decay: float = 3e-4) -> tuple[np.ndarray, np.ndarray]:
@@ -133,7 +139,6 @@ def fit_cumulative_link(at: list[np.ndarray], value: list[np.ndarray], grade: np
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[float]]:
     """(weight by feature, thresholds); no thresholds if one of the two labels is missing."""
-    small_batches(docs.sparkSession)
     sample = _sample(docs, labels)
     telling = _frequencies(sample)
     index = {f: i for i, f in enumerate(telling["feature"])}
@@ -154,18 +159,17 @@ def severity(docs: DataFrame, model: tuple[dict[str, float], list[float]]) -> Da
     false. Every row is kept, repeated ones too, with all its columns; an empty table
     gives none.
     """
-    small_batches(docs.sparkSession)
     weights, theta = model
     index = {f: i for i, f in enumerate(weights)}
     w = np.array(list(weights.values()))
 
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in texts:
+        for part in pieces(texts):
             out = []
             for text in part:
                 words = counts(text)
                 vector = _vector(words, index)
-                z = sum(w[i] * np.log1p(n) for i, n in sorted(vector.items()))
+                z = sum(w[i] * np.log1p(n) for i, n in vector.items())
                 tail = [1 / (1 + np.exp(-np.clip(z - t, -40, 40))) for t in theta] if words else []
                 out.append((float(sum(tail)), float(tail[0]) if tail else 0.0))
             yield pd.DataFrame(out, columns=["severity", "p_toxic"])
