@@ -26,7 +26,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import small_batches, table
+from graphloom.llm.common import pieces, table
 from graphloom.llm.shingles import mix
 
 WINDOW = 64
@@ -179,7 +179,7 @@ def corpus_rarity(docs: DataFrame) -> np.ndarray:
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(LEVELS, np.int64)
-        for p in parts:
+        for p in pieces(parts):
             total += level_counts([(t or "").encode("utf-8", "surrogatepass") for t in p["text"]])
         yield pd.DataFrame({"level": np.arange(LEVELS), "n": total})
 
@@ -193,7 +193,8 @@ def _in_order(docs: DataFrame) -> DataFrame:
     """(bucket, donor, doc_id, text): rows in ranges of doc_id, each with the row that follows its last.
 
     A range's rows are sorted by descending doc_id; ``donor`` marks the copy of the
-    first row of the range below (of the top range, for the lowest).
+    first row of the range below (of the top range, for the lowest). Rows without an id
+    come last, in ranges of the hash of their text.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -201,29 +202,33 @@ def _in_order(docs: DataFrame) -> DataFrame:
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000)).first()[0] or []
     splits = [float("-inf"), *sorted({float(c) for c in cuts} | {0.5}), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="__id", outputCol="__bucket", handleInvalid="keep").transform(docs.withColumn("__id", F.col("doc_id").cast("double")))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.col("__bucket").cast("int"))
-    ranged = ranged.select(bucket.alias("bucket"), F.lit(False).alias("donor"), "doc_id", "text")
-    heads = sorted(ranged.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect())  # one row a range
-    follow = [(heads[i]["bucket"], heads[i]["head"], heads[(i + 1) % len(heads)]["bucket"]) for i in range(len(heads))]
+    mark = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))
+    unnamed = -1 - F.least(F.floor((0.5 - mark / 2.0**64) * n), F.lit(n - 1))
+    bucket = F.when(F.col("doc_id").isNull(), unnamed).otherwise(F.col("__bucket")).cast("int")
+    ranged = ranged.select(bucket.alias("bucket"), F.lit(False).alias("donor"), "doc_id", mark.alias("mark"), "text")
+    heads = sorted(ranged.groupBy("bucket").agg(F.max("doc_id").alias("head"), F.max("mark").alias("top")).collect())  # one row a range
+    follow = [(heads[i]["bucket"], heads[i]["head"], heads[i]["top"], heads[(i + 1) % len(heads)]["bucket"]) for i in range(len(heads))]
     if not follow:
-        return ranged
-    targets = spark.createDataFrame(follow, "bucket int, head long, target int")
-    donors = ranged.join(F.broadcast(targets), "bucket").filter(F.col("doc_id").eqNullSafe(F.col("head"))).select(F.col("target").alias("bucket"), F.lit(True).alias("donor"), "doc_id", "text")
-    return ranged.union(donors).repartition(partitions, "bucket").sortWithinPartitions("bucket", "donor", F.desc_nulls_last("doc_id"), "text")
+        return ranged.drop("mark")
+    targets = spark.createDataFrame(follow, "bucket int, head long, top long, target int")
+    first = F.col("doc_id").eqNullSafe(F.col("head")) & F.col("mark").eqNullSafe(F.col("top"))
+    donors = ranged.join(F.broadcast(targets), "bucket").filter(first).select(F.col("target").alias("bucket"), F.lit(True).alias("donor"), "doc_id", "mark", "text")
+    ordered = ranged.union(donors).repartition(partitions, "bucket").sortWithinPartitions("bucket", "donor", F.desc_nulls_last("doc_id"), F.desc("mark"), "text")
+    return ordered.drop("mark")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, rank: np.ndarray | None = None) -> DataFrame:
     """Digests of each text and of its edited text, and their likeness to each other and to the next document.
 
     The next document is the one with the next smaller doc_id (after the smallest: the
-    largest; null counts as smallest; rows with equal ids are ordered by text; a single
-    row follows itself). The edited text replaces the last floor(n_chars / 2) code
+    largest; null counts as smallest, and rows without an id follow each other by hash of
+    text; rows with equal ids are ordered by text; a single row follows itself). The edited text replaces the last floor(n_chars / 2) code
     points by the first as many of the next document. A null text is empty; two empty
-    digests are alike. Other columns are ignored; an empty table gives no rows.
+    digests are alike. ``rank``, as ``corpus_rarity`` gives it, keeps fingerprints the same
+    from one table to another; without it the rows of ``docs`` are ranked. Other columns are ignored; an empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rank = corpus_rarity(docs)
+    rank = corpus_rarity(docs) if rank is None else rank
 
     def described(held: list[tuple[int, str | None, str]], last) -> tuple[list[tuple], tuple]:
         """Rows for all but the last held document; ``last`` is the digest of the first, if known."""
@@ -245,7 +250,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[tuple[int, str | None, str]] = []
         last, size, closed = None, 0, None
-        for p in parts:
+        for p in pieces(parts):
             out = []
             for bucket, donor, doc, text in zip(p["bucket"], p["donor"], p["doc_id"], p["text"], strict=True):
                 if closed == bucket:
