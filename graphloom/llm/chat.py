@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import durable, table
+from graphloom.llm.common import dealt, durable, table
 
 SEGMENT = 64
 CONTEXT = ("system",)
@@ -45,13 +45,16 @@ def rotate_perspectives(conversations: DataFrame, context: tuple[str, ...] = CON
     start:end of the speaker's own texts in it as code points, end exclusive, joined by
     commas. A segment without a turn of the speaker has an empty mask. A null text is an
     empty turn, a null role a participant named ``unknown``; turns without a conv_id are
-    one conversation. A conversation of context turns only has no rows. Repeated rows are
+    one conversation. A conversation of context turns only has no rows. ``segment`` above
+    the longest conversation gives whole renderings, each of which must then fit a task. Repeated rows are
     repeated turns. Other columns are ignored.
     """
     turns = numbered_turns(conversations).withColumn("segment", F.floor(F.col("at") / segment).cast("long"))
     blocks = turns.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(F.struct("at", "role", "text"))).alias("turns"))
-    speakers = turns.filter(~F.col("role").isin(*context)).select(F.col("conv_id").alias("c"), F.col("role").alias("speaker")).distinct()
-    pairs = blocks.join(speakers, F.col("conv_id").eqNullSafe(F.col("c")))
+    speakers = turns.filter(~F.col("role").isin(*context)).select("conv_id", F.col("role").alias("speaker")).distinct()
+    # Segments of one conversation are dealt over tasks; conversations without an id are joined under a name of their own.
+    named = {"c": F.coalesce("conv_id", F.lit(0)), "unnamed": F.col("conv_id").isNull()}
+    pairs = dealt(blocks.withColumns(named), speakers.withColumns(named).drop("conv_id"), ["c", "unnamed"], ["segment"])
     own = lambda t: t["role"] == F.col("speaker")
     head = lambda t: F.when(own(t), F.lit("<|assistant|>\n")).when(t["role"].isin(*context), F.concat(F.lit("<|"), t["role"], F.lit("|>\n"))).otherwise(F.concat(F.lit("<|user name="), t["role"], F.lit("|>\n")))
     parts = F.transform("turns", lambda t: F.struct(head(t).alias("head"), t["text"].alias("text"), own(t).alias("own")))
