@@ -3,12 +3,12 @@
 Writing: one record per page through Spark's text writer, whose line separator is
 the blank line that ends a record; Spark's committer makes lost tasks harmless.
 
-Reading: the text reader splits archives at the version line that opens each
-record. Every piece is a candidate record with an offset, and its header names its
+Reading: the text reader splits archives at the version mark that opens each
+record, of version 1.0 or 1.1. Every piece is a candidate record with an offset, and its header names its
 successor's offset. Candidates that stand inside a payload are told from records
 by pointer jumping: from the start of each file, jumps of doubling length reach all
 true records in a logarithmic number of rounds. A record whose payload holds the
-version line has its pieces joined again.
+version mark has its pieces joined again.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import durable, shared_dir, table
 
 MAGIC = "WARC/1.1\r\n"
+#: The part of the version line that both versions share.
+MARK = "WARC/1."
 END = "\r\n\r\n"
 LEAST_BYTES = 100
 RECORDS_PER_FILE = 2000
@@ -62,8 +64,8 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = LEAST_BYTES)
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """Candidates: text between version lines, with file, split and place in it."""
-    raw = spark.read.option("lineSep", MAGIC).text(path)
+    """Candidates: text between version marks, with file, split and place in it."""
+    raw = spark.read.option("lineSep", MARK).text(path)
     return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
 
 
@@ -85,46 +87,63 @@ def _parsed(df: DataFrame) -> DataFrame:
 
 
 def reachable(chain: DataFrame) -> DataFrame:
-    """(file, at): offsets of ``chain`` (file, at, next) reached from offset 0 by pointer jumping."""
-    state = durable(chain.select("file", "at", "next", (F.col("at") == 0).alias("seen")), "chain")
+    """(file, at): offsets of ``chain`` (file, at, next) reached from offset 0 by pointer jumping.
+
+    ``next`` must be greater than ``at``; a null one ends a chain. Files whose end is
+    reached take no part in further rounds.
+    """
+    state = durable(chain.select("file", "at", "next", (F.col("at") == 0).alias("seen"), F.col("next").isNull().alias("last")), "chain")
+    done = None
     while True:
+        ended = state.filter("seen AND last").select("file").distinct()
+        found = state.join(ended, "file", "left_semi").filter("seen").select("file", "at")
+        done = found if done is None else done.union(found)
+        state = state.join(ended, "file", "left_anti")
         ahead = state.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
         marks = state.filter("seen").select("file", F.col("next").alias("at"), F.lit(True).alias("mark")).filter("at IS NOT NULL").distinct()
         moved = state.join(ahead, ["file", "next"], "left").join(marks, ["file", "at"], "left")
-        state = durable(moved.select("file", "at", F.col("far").alias("next"), (F.col("seen") | F.coalesce("mark", F.lit(False))).alias("seen")), "chain")
-        if state.filter("next IS NOT NULL").isEmpty():
-            return state.filter("seen").select("file", "at")
+        state = durable(moved.select("file", "at", F.col("far").alias("next"), (F.col("seen") | F.coalesce("mark", F.lit(False))).alias("seen"), "last"), "chain")
+        if state.filter("next IS NOT NULL OR (seen AND last)").isEmpty():
+            return done
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
+def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record under ``path``.
 
     The digest and size of a response are taken from the payload read, those of a
-    revisit from its headers. A folder with no record gives no rows.
+    revisit from its headers. A folder with no record gives no rows. A file whose chain of
+    records doesn't lead from its start to its end (a torn file, a length that can't be
+    read) raises an error, or, if not ``strict``, gives the records before the break.
     """
     light = durable(_parsed(_pieces(spark, path)).drop("value"), "pieces")
     order = Window.partitionBy("file", "split").orderBy("place")
-    splits = light.groupBy("file", "split").agg(F.sum(F.col("piece_bytes") + len(MAGIC)).alias("all"))
+    splits = light.groupBy("file", "split").agg(F.sum(F.col("piece_bytes") + len(MARK)).alias("all"))
     base = splits.withColumn("base", F.coalesce(F.sum("all").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("all")
-    before = F.coalesce(F.sum(F.col("piece_bytes") + len(MAGIC)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # A piece follows the version line that opens it.
-    placed = light.withColumn("before", before).join(base, ["file", "split"]).withColumn("at", F.col("before") + F.col("base") - len(MAGIC)).filter("at >= 0")
-    placed = durable(placed.withColumn("next", F.col("at") + len(MAGIC) + F.col("head_bytes") + len(END) + F.col("block_bytes") + len(END)), "placed")
+    before = F.coalesce(F.sum(F.col("piece_bytes") + len(MARK)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # A piece follows the version mark that opens it.
+    placed = light.withColumn("before", before).join(base, ["file", "split"]).withColumn("at", F.col("before") + F.col("base") - len(MARK)).filter("at >= 0")
+    placed = durable(placed.withColumn("next", F.col("at") + len(MARK) + F.col("head_bytes") + len(END) + F.col("block_bytes") + len(END)), "placed")
     known = placed.select("file", "at", F.col("at").alias("there"))
     chain = placed.select("file", "at", "next").join(known.select("file", F.col("at").alias("next"), "there"), ["file", "next"], "left").select("file", "at", F.col("there").alias("next"))
     true = reachable(chain).withColumn("true", F.lit(True))
     found = placed.join(true, ["file", "at"], "left")
-    whole = F.col("at") + len(MAGIC) + F.col("piece_bytes") == F.col("next")
+    if strict:
+        ends = found.filter(F.col("true")).groupBy("file").agg(F.max("next").alias("end"))
+        torn = splits.groupBy("file").agg((F.sum("all") - len(MARK)).alias("bytes")).join(ends, "file", "left").filter("bytes > 0 AND NOT bytes <=> end")
+        first = torn.select("file").first()
+        if first:
+            raise ValueError(f"chain of records breaks in {first['file']}")
+    whole = F.col("at") + len(MARK) + F.col("piece_bytes") == F.col("next")
     fields = ["page_id", F.when(F.col("record_type") == "revisit", F.col("named_bytes")).otherwise(F.col("read_bytes")).alias("payload_bytes"), F.when(F.col("record_type") == "revisit", F.col("named_digest")).otherwise(F.col("read_digest")).alias("payload_digest"), "record_type", "refers_to"]
     out = found.filter(F.col("true") & whole).select(*fields)
     broken = found.filter(F.col("true") & ~whole)
     if broken.isEmpty():
         return out
-    # Records whose payload holds the version line: their pieces, and only theirs, are joined.
+    # Records whose payload holds the version mark: their pieces, and only theirs, are joined.
     owner = F.last(F.when(F.col("true"), F.col("at")), ignorenulls=True).over(Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     parts = found.withColumn("owner", owner).join(broken.select("file", F.col("at").alias("owner")), ["file", "owner"], "left_semi").select("file", "place", "at", "owner")
     joined = _pieces(spark, path).join(parts, ["file", "place"]).groupBy("file", "owner").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("all"))
-    joined = joined.select(F.array_join(F.transform("all", lambda x: x["value"]), MAGIC).alias("value"))
+    joined = joined.select(F.array_join(F.transform("all", lambda x: x["value"]), MARK).alias("value"))
     return out.union(_parsed(joined).select(*fields))
 
 
