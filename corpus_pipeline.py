@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, decontam, linededup, neardup, toxicity
-from graphloom.llm.common import durable, table
+from graphloom.llm.common import durable, row_key, table
 
 #: Words of a shingle and percent of shared ones by which documents are near-duplicates.
 NEAR = (5, 80)
@@ -25,15 +25,21 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near-duplicates; rows without an id stay."""
+    """The smallest doc_id of each group of near-duplicates; rows without an id stay.
+
+    Of rows that share an id, which are one document, the one with the smallest text stays.
+    """
     kept = neardup.near_duplicates(docs, *NEAR).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.filter("doc_id IS NULL"))
+    named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*docs.columns)))
+    return named.withColumn("__at", first).filter("__at = 1").select(docs.columns).union(docs.filter("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    found = decontam.contained_items(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(docs.columns)
+    """Documents that hold no benchmark item; rows without an id are searched too."""
+    found = decontam.contained_items(docs, table(spark, sf_dir, "benchmark")).select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("tag").alias("__tag")).distinct()
+    ident, tag = row_key()
+    return docs.withColumns({"__id": ident, "__tag": tag}).join(found, ["__id", "__tag"], "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
