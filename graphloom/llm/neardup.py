@@ -266,7 +266,7 @@ def _candidate_cells(sets: DataFrame, percent: int) -> DataFrame:
     A set of n shingles has a prefix of n - ceil(t n) + 1: those in one part only first,
     then the rarest of the group. Two sets above the threshold share one of them.
     """
-    words = sets.select("grp", "rep", "part", F.xxhash64("shingles").alias("sid"), F.size("shingles").alias("n"), F.explode("shingles").alias("word"))
+    words = sets.select("grp", "rep", "part", "sid", "n", F.explode("shingles").alias("word"))
     known = words.groupBy("grp", "word").agg(F.count(F.lit(1)).alias("often"), F.min("part").alias("p"), F.max("part").alias("q")).filter("p < q").select("grp", "word", "often")
     ranked = dealt(words, known.hint("merge"), ["grp", "word"], ["rep"], "left").withColumn("at", F.row_number().over(Window.partitionBy("rep", "sid").orderBy(F.asc_nulls_first("often"), "word")))
     prefix = ranked.filter((F.col("at") <= F.col("n") - F.ceil(percent * F.col("n") / 100) + 1) & F.col("often").isNotNull()).select("grp", "word", "part").distinct()
@@ -289,10 +289,11 @@ def _links(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> Data
     if split.isEmpty():
         return star
     rest = dealt(sets, split.hint("merge"), ["grp"], ["rep"], "left_semi").join(parts.select("rep", "part").hint("merge"), "rep")
-    rest = durable(rest, "rest")
+    # Written with what each exploded row needs, so that it is computed once a set.
+    rest = durable(rest.withColumns({"sid": F.xxhash64("shingles"), "n": F.size("shingles")}), "rest")
     cells = dealt(rest, _candidate_cells(rest, percent).hint("merge"), ["part"], ["rep"])
     cells = durable(cells.withColumn("alone", F.col("part") != F.col("grp")), "cells")
-    blocks = lambda of: F.greatest(F.ceil(F.count(F.when(of, 1)) / BLOCK), F.ceil(F.sum(F.when(of, F.size("shingles"))) / BLOCK_SHINGLES)).cast("int")
+    blocks = lambda of: F.greatest(F.ceil(F.count(F.when(of, 1)) / BLOCK), F.ceil(F.sum(F.when(of, F.col("n"))) / BLOCK_SHINGLES)).cast("int")
     sizes = cells.groupBy("cell").agg(F.coalesce(blocks(F.col("alone")), F.lit(0)).alias("n_alone"), F.coalesce(blocks(~F.col("alone")), F.lit(0)).alias("n_linked"))
     # Blocks 0.. hold unlinked members and meet all blocks; blocks from n_alone on hold linked ones and meet the former.
     cells = dealt(cells, sizes.hint("merge"), ["cell"], ["rep"])
