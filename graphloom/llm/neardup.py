@@ -14,7 +14,7 @@
    compared in blocks of bounded size. Both give edges, never all pairs.
 4. Documents joined by such edges form coarse groups, in which links are confirmed on
    full shingle sets. Stars first again: each member against the smallest. Groups that
-   this leaves in several parts are split by a prefix filter: two sets above the
+   this leaves in several parts, if they exceed a block, are split by a prefix filter: two sets above the
    threshold share one of their rarest shingles, rare within the group. What still
    stands together is compared in blocks, unlinked members with all others.
 """
@@ -161,7 +161,7 @@ def _buckets(keys: DataFrame) -> DataFrame:
 def _star_edges(reps: DataFrame, masks: list[tuple[int, ...]], distance: int) -> DataFrame:
     """(a, b): members of each bucket of ``masks`` within ``distance`` of its smallest member."""
     keys = _index_keys(reps, masks)
-    pairs = keys.join(_buckets(keys).hint("merge"), "key").filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
+    pairs = keys.join(durable(_buckets(keys), "buckets"), "key").filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     hubs = reps.join(pairs.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
     pairs = dealt(pairs.join(reps.select(F.col("rep").alias("a"), "sig").hint("merge"), "a"), hubs.hint("merge"), ["b"], ["a"])
 
@@ -179,7 +179,7 @@ def _close_pairs(reps: DataFrame, masks: list[tuple[int, ...]], distance: int) -
     blocks, so that each two of a bucket meet in one ``gid`` at least.
     """
     keys = _index_keys(reps, masks)
-    members = keys.join(_buckets(keys).hint("merge"), "key").withColumn("blocks", F.ceil(F.col("n") / SIGNATURE_BLOCK).cast("int"))
+    members = keys.join(durable(_buckets(keys), "buckets"), "key").withColumn("blocks", F.ceil(F.col("n") / SIGNATURE_BLOCK).cast("int"))
     members = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.withColumn("gid", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).join(reps.select("rep", "sig").hint("merge"), "rep")
 
@@ -276,31 +276,38 @@ def _candidate_cells(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _links(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b): links that span the components of each group (rep, grp) under the threshold on full sets."""
+    """(a, b): links that span the components of each group (rep, grp) under the threshold on full sets.
+
+    Sets are named by (rep, sid); what is compared with what is settled without the sets.
+    """
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(groups, "rep").distinct()
-    sets = durable(_set_rows(texts, width), "sets")
-    hubs = sets.filter("rep = grp").select("grp", F.col("shingles").alias("hub"))
-    both = F.size(F.array_intersect("shingles", "hub"))
-    alike = (both > 0) & (100 * both >= percent * (F.size("shingles") + F.size("hub") - both))
-    star = durable(dealt(sets.filter("rep <> grp"), hubs.hint("merge"), ["grp"], ["rep"]).filter(alike).select(F.col("rep").alias("a"), F.col("grp").alias("b")).distinct(), "star")
+    sets = durable(_set_rows(texts, width).withColumns({"sid": F.xxhash64("shingles"), "n": F.size("shingles")}), "sets")
+    hubs = sets.filter("rep = grp").select("grp", F.col("shingles").alias("hub"), F.col("n").alias("hub_n"))
+    compared = dealt(sets.filter("rep <> grp"), hubs.hint("merge"), ["grp"], ["rep"]).select("rep", "grp", (F.col("n") + F.col("hub_n")).alias("all"), F.size(F.array_intersect("shingles", "hub")).alias("both"))
+    star = durable(compared.filter(f"both > 0 AND 100 * both >= {percent} * (all - both)").select(F.col("rep").alias("a"), F.col("grp").alias("b")).distinct(), "star")
     parts = groups.join(star.select(F.col("a").alias("rep"), "b").hint("merge"), "rep", "left").select("rep", "grp", F.when(F.col("rep") == F.col("grp"), F.col("grp")).otherwise(F.coalesce("b", "rep")).alias("part"))
     parts = durable(parts, "parts")
     split = parts.filter("part <> grp").select("grp").distinct()
     if split.isEmpty():
         return star
-    rest = dealt(sets, split.hint("merge"), ["grp"], ["rep"], "left_semi").join(parts.select("rep", "part").hint("merge"), "rep")
-    # Written with what each exploded row needs, so that it is computed once a set.
-    rest = durable(rest.withColumns({"sid": F.xxhash64("shingles"), "n": F.size("shingles")}), "rest")
-    cells = dealt(rest, _candidate_cells(rest, percent).hint("merge"), ["part"], ["rep"])
-    cells = durable(cells.withColumn("alone", F.col("part") != F.col("grp")), "cells")
-    blocks = lambda of: F.greatest(F.ceil(F.count(F.when(of, 1)) / BLOCK), F.ceil(F.sum(F.when(of, F.col("n"))) / BLOCK_SHINGLES)).cast("int")
-    sizes = cells.groupBy("cell").agg(F.coalesce(blocks(F.col("alone")), F.lit(0)).alias("n_alone"), F.coalesce(blocks(~F.col("alone")), F.lit(0)).alias("n_linked"))
+    rest = dealt(sets.select("rep", "grp", "sid", "n"), split.hint("merge"), ["grp"], ["rep"], "left_semi").join(parts.select("rep", "part").hint("merge"), "rep")
+    fits = rest.groupBy("grp").agg(((F.count(F.lit(1)) <= BLOCK) & (F.sum("n") <= BLOCK_SHINGLES)).alias("fits"))
+    rest = durable(dealt(rest, fits.hint("merge"), ["grp"], ["rep"]), "rest")
+    # A group of one block is compared as it is; larger ones are split first.
+    cells, large = rest.filter("fits").withColumn("cell", F.col("grp")), rest.filter("NOT fits")
+    if not large.isEmpty():
+        whole = large.join(sets.select("rep", "sid", "shingles"), ["rep", "sid"])
+        cells = cells.unionByName(dealt(large, _candidate_cells(whole, percent).hint("merge"), ["part"], ["rep"]))
+    cells = durable(cells.withColumn("alone", F.col("fits") | (F.col("part") != F.col("grp"))), "cells")
+    blocks = lambda of: F.coalesce(F.greatest(F.ceil(F.count(F.when(of, 1)) / BLOCK), F.ceil(F.sum(F.when(of, F.col("n"))) / BLOCK_SHINGLES)), F.lit(0)).cast("int")
+    sizes = cells.groupBy("cell").agg(blocks(F.col("alone")).alias("n_alone"), blocks(~F.col("alone")).alias("n_linked"))
     # Blocks 0.. hold unlinked members and meet all blocks; blocks from n_alone on hold linked ones and meet the former.
     cells = dealt(cells, sizes.hint("merge"), ["cell"], ["rep"])
     own = F.when(F.col("alone"), F.pmod(F.xxhash64("rep"), F.col("n_alone"))).otherwise(F.col("n_alone") + F.pmod(F.xxhash64("rep"), F.col("n_linked"))).cast("int")
     last = F.when(F.col("alone"), F.col("n_alone") + F.col("n_linked")).otherwise(F.col("n_alone")) - 1
     cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
-    return star.union(_confirmed(cells.withColumn("gid", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other"))), percent))
+    placed = cells.select("rep", "sid", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("gid"))
+    return star.union(_confirmed(placed.join(sets.select("rep", "sid", "shingles"), ["rep", "sid"]), percent))
 
 
 def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -329,7 +336,8 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     reps = durable(reps.join(parts.hint("merge"), "rep", "left").select("rep", F.coalesce("found", "rep").alias("part"), "sig"), "reps")
     coarse = connected_components(_close_pairs(reps, chunk_masks(m, 1), distance).union(stars), "a", "b")
 
-    links = _links(docs, coarse.select(F.col("node").alias("rep"), F.col("component").alias("grp")), width, percent)
+    groups = durable(coarse.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "groups")
+    links = _links(docs, groups, width, percent)
     linked = connected_components(links.union(own), "a", "b").select(F.col("node").alias("rep"), "component")
     found = rows.join(linked.hint("merge"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep"))
