@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import unicodedata
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Letters with marks and their plain forms (fixed values; sharp s stays).
-MARKED, PLAIN = "äçèéêíñóöü", "aceeeinoou"
 WORD = r"[\p{L}\p{N}]+"
 
 
+def _plain_letters() -> dict[str, str]:
+    """Letters that canonically decompose into a plain one and marks, and the plain one."""
+    out = {}
+    for c in map(chr, range(0x80, 0x3000)):
+        first, *marks = unicodedata.normalize("NFD", c)
+        if marks and first.isalnum() and all(unicodedata.category(m).startswith("M") for m in marks):
+            out[c] = first
+    return out
+
+
+_LETTERS = _plain_letters()
+MARKED, PLAIN = "".join(_LETTERS), "".join(_LETTERS.values())
+
+
 def folded(text: Column) -> Column:
-    """Lower case without the marks of Latin letters."""
-    return F.translate(F.lower(text), MARKED, PLAIN)
+    """Lower case without marks: marked letters become plain ones, combining marks go."""
+    return F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), r"\p{M}+", "")
 
 
 def tokens(text: Column) -> Column:
@@ -20,6 +34,12 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(WORD), F.lit(0))
 
 
+def index(texts: DataFrame, owner: str, at: str, body: str = "body") -> DataFrame:
+    """(token, owner, idx, tf, n): each distinct word of each text, its count and the text's number of words."""
+    words = texts.select(F.col(owner).alias("owner"), F.col(at).alias("idx"), tokens(F.col(body)).alias("t"))
+    return words.select("owner", "idx", F.size("t").alias("n"), F.explode("t").alias("token")).groupBy("token", "owner", "idx", "n").agg(F.count(F.lit(1)).alias("tf")).select("token", "owner", "idx", "tf", "n")
+
+
 def query_terms(text: str) -> tuple[list[str], str | None]:
     """(terms, prefix) of a typed query: all terms are needed, the last may be a beginning."""
     words = "".join(c if c.isalnum() or c == "_" else " " for c in text).split()

@@ -1,7 +1,7 @@
 """Lookups, paging, relation search, export and counts over graph tables.
 
-Name lists are DataFrames joined by key, never long IN lists; type filters are plain
-predicates that reach the scan.
+The few keys of a request and type filters are predicates that reach the scan; more keys
+are joined.
 """
 
 from __future__ import annotations
@@ -11,15 +11,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.limits import ITEMS
+
+TRIPLE = ["from_id", "to_id", "relation_type"]
+
 
 def names_frame(spark, names: Sequence[str]) -> DataFrame:
-    """(pos, name): a request's names with their places, for broadcast joins (a request is small)."""
+    """(pos, name): a request's names with their places."""
     return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "pos long, name string")
 
 
+def few(df: DataFrame, column: str, most: int | None = None) -> list | None:
+    """The distinct values of ``column`` if there are at most ``most`` (the items of a request), else None."""
+    most = ITEMS if most is None else most
+    rows = df.select(column).distinct().limit(most + 1).collect()
+    return [r[0] for r in rows] if len(rows) <= most else None
+
+
+def among(table: DataFrame, column: str, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of ``table`` whose ``column`` is a value of ``keys``.
+
+    The keys of a request go into the scan as a predicate; more of them are a semi join.
+    """
+    values = few(keys, key)
+    if values is not None:
+        return table.filter(F.col(column).isin([v for v in values if v is not None]))
+    return table.join(keys.select(F.col(key).alias(column)).distinct(), column, "left_semi").select(table.columns)
+
+
 def lookup(entity: DataFrame, names: DataFrame) -> DataFrame:
     """Entities with exactly these names (case-sensitive); unknown names are ignored."""
-    return entity.join(F.broadcast(names.select("name").distinct()), "name", "left_semi")
+    return among(entity, "name", names, "name")
 
 
 def exists(entity: DataFrame, names: DataFrame) -> DataFrame:
@@ -31,7 +53,7 @@ def exists(entity: DataFrame, names: DataFrame) -> DataFrame:
 def batch_get(entity: DataFrame, observation: DataFrame, names: DataFrame) -> DataFrame:
     """(pos, name, id, entity_type, n_observations): one row a place, null where unknown, repeats kept."""
     found = lookup(entity, names)
-    sizes = observation.join(F.broadcast(found.select("id")), F.col("entity_id") == F.col("id"), "left_semi").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    sizes = among(observation, "entity_id", found, "id").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
     known = found.join(sizes, F.col("id") == F.col("entity_id"), "left").select("name", "id", "entity_type", F.coalesce("n", F.lit(0)).alias("n_observations"))
     return names.join(known, "name", "left").select("pos", "name", "id", "entity_type", "n_observations")
 
@@ -43,16 +65,38 @@ def page(entity: DataFrame, offset: int, limit: int, entity_type: str | None = N
     return entity.orderBy("id").offset(offset).limit(limit)
 
 
+def page_with_sizes(entity: DataFrame, observation: DataFrame, offset: int, limit: int, entity_type: str | None = None) -> DataFrame:
+    """A page (id, name, entity_type, n_observations); only its own observations are counted."""
+    rows = page(entity, offset, limit, entity_type)
+    sizes = among(observation, "entity_id", rows, "id").groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
+    return rows.join(sizes, F.col("id") == F.col("entity_id"), "left").select("id", "name", "entity_type", F.coalesce("n", F.lit(0)).alias("n_observations"))
+
+
+def page_meta(entity: DataFrame, relation: DataFrame, offset: int, limit: int, entity_type: str | None = None) -> DataFrame:
+    """(legend, entities_total, relations_total, offset, limit, returned, has_more) of a page; ``legend`` maps types to counts."""
+    types = entity.groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+    legend = types.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "n")))).alias("legend"), F.coalesce(F.sum("n"), F.lit(0)).alias("entities_total"))
+    rows = legend.crossJoin(relation.agg(F.count(F.lit(1)).alias("relations_total")))  # one row each
+    scope = F.coalesce(F.element_at("legend", F.lit(entity_type)), F.lit(0)) if entity_type else F.col("entities_total")
+    returned = F.greatest(F.least(scope - offset, F.lit(limit)), F.lit(0)).cast("long")
+    return rows.select("legend", "entities_total", "relations_total", F.lit(offset).alias("offset"), F.lit(limit).alias("limit"), returned.alias("returned"), (offset + returned < scope).alias("has_more"))
+
+
+def with_more(rows: DataFrame, limit: int, *order) -> tuple[DataFrame, bool]:
+    """The first ``limit`` rows, and whether there are more, by asking for one more."""
+    cut = rows.orderBy(*order).limit(limit + 1)
+    return cut.orderBy(*order).limit(limit), cut.count() > limit
+
+
 def inside(relation: DataFrame, ids: DataFrame) -> DataFrame:
     """Relations with both ends among ``ids`` (id)."""
-    return relation.join(ids.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(ids.select(F.col("id").alias("to_id")), "to_id", "left_semi").select("from_id", "to_id", "relation_type")
+    return among(among(relation, "from_id", ids, "id"), "to_id", ids, "id").select(*TRIPLE)
 
 
-def touching(relation: DataFrame, ids: DataFrame) -> DataFrame:
-    """Relations with either end among ``ids`` (id), each once."""
-    a = relation.join(ids.select(F.col("id").alias("from_id")), "from_id", "left_semi")
-    b = relation.join(ids.select(F.col("id").alias("to_id")), "to_id", "left_semi")
-    return a.select("from_id", "to_id", "relation_type").union(b.select("from_id", "to_id", "relation_type")).distinct()
+def touching(relation: DataFrame, ids: DataFrame, relation_in: DataFrame | None = None) -> DataFrame:
+    """Relations with either end among ``ids`` (id), each once; ``relation_in`` are the same sorted by target."""
+    out, back = among(relation, "from_id", ids, "id"), among(relation if relation_in is None else relation_in, "to_id", ids, "id")
+    return out.select(*TRIPLE).union(back.select(*TRIPLE)).distinct()
 
 
 def ordered_bodies(observation: DataFrame) -> DataFrame:
@@ -66,29 +110,40 @@ def attribute_map(attribute: DataFrame, owner_kind: str = "entity") -> DataFrame
     return rows.select("owner_id", F.map_from_entries("kv").alias("attributes"))
 
 
-def describe(entity: DataFrame, relation: DataFrame, ids: DataFrame) -> DataFrame:
+def describe(relation: DataFrame, ids: DataFrame, relation_in: DataFrame | None = None) -> DataFrame:
     """(id, neighbor_id, out_degree, in_degree) for each distinct neighbour of ``ids``; degrees are recounted."""
-    out = relation.join(F.broadcast(ids), F.col("from_id") == F.col("id")).select("id", F.col("to_id").alias("neighbor_id"), F.lit(1).alias("o"), F.lit(0).alias("i"))
-    in_ = relation.join(F.broadcast(ids), F.col("to_id") == F.col("id")).select("id", F.col("from_id").alias("neighbor_id"), F.lit(0).alias("o"), F.lit(1).alias("i"))
-    return out.union(in_).groupBy("id", "neighbor_id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
+    out = among(relation, "from_id", ids, "id").select(F.col("from_id").alias("id"), F.col("to_id").alias("neighbor_id"), F.lit(1).alias("o"), F.lit(0).alias("i"))
+    back = among(relation if relation_in is None else relation_in, "to_id", ids, "id").select(F.col("to_id").alias("id"), F.col("from_id").alias("neighbor_id"), F.lit(0).alias("o"), F.lit(1).alias("i"))
+    return out.union(back).groupBy("id", "neighbor_id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
 
-def search_relations(relation: DataFrame, entity: DataFrame, source: str | None = None, target: str | None = None, relation_type: str | None = None, limit: int = 20) -> DataFrame:
+def search_relations(relation: DataFrame, entity: DataFrame, source: str | None = None, target: str | None = None, relation_type: str | None = None, limit: int = 20, relation_in: DataFrame | None = None) -> DataFrame:
     """Relations by structural filters in order of (from_id, to_id, type), cut to ``limit``.
 
     An empty or missing filter is none; a filter that names nothing known gives no row.
+    ``relation_in``, the same relations sorted by target, serves a target without a source.
     """
-
-    def of(name: str, column: str) -> DataFrame:
-        return entity.filter(F.col("name") == name).select(F.col("id").alias(column))
-
+    if target and not source and relation_in is not None:
+        relation = relation_in
     if relation_type:
         relation = relation.filter(F.col("relation_type") == relation_type)
-    if source:
-        relation = relation.join(F.broadcast(of(source, "from_id")), "from_id", "left_semi")
-    if target:
-        relation = relation.join(F.broadcast(of(target, "to_id")), "to_id", "left_semi")
-    return relation.select("from_id", "to_id", "relation_type").orderBy("from_id", "to_id", "relation_type").limit(limit)
+    for name, column in ((source, "from_id"), (target, "to_id")):
+        if name:
+            relation = among(relation, column, entity.filter(F.col("name") == name), "id")
+    return relation.select(*TRIPLE).orderBy(*TRIPLE).limit(limit)
+
+
+def one_relation(relation: DataFrame, entity: DataFrame, source: str, target: str, relation_type: str) -> DataFrame:
+    """The relation of these names and type, as (found, from_id, to_id, relation_type): one row, with found false and nulls if there is none."""
+    hit = search_relations(relation, entity, source, target, relation_type, 1)
+    asked = relation.sparkSession.range(1).select(F.lit(1).alias("one"))
+    return asked.join(hit.withColumn("one", F.lit(1)), "one", "left").select(F.col("from_id").isNotNull().alias("found"), *TRIPLE)
+
+
+def types_known(entity: DataFrame, relation: DataFrame, asked: DataFrame) -> DataFrame:
+    """(kind, name, exists) for each asked (kind, name), kind entity or relation; nothing is inserted."""
+    known = type_counts(entity, relation).select("kind", "name", F.lit(True).alias("known"))
+    return asked.select("kind", "name").distinct().join(known, ["kind", "name"], "left").select("kind", "name", F.coalesce("known", F.lit(False)).alias("exists"))
 
 
 def with_names(relation: DataFrame, entity: DataFrame) -> DataFrame:
@@ -97,11 +152,27 @@ def with_names(relation: DataFrame, entity: DataFrame) -> DataFrame:
     return relation.join(a, "from_id").join(b, "to_id").select("from_name", "to_name", "relation_type")
 
 
-def relation_details(relation: DataFrame, relation_observation: DataFrame) -> DataFrame:
-    """Relations with their ordered bodies; relations without one keep an empty array."""
-    key = ["from_id", "to_id", "relation_type"]
-    bodies = relation_observation.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("idx", "body"))).alias("o"))
-    return relation.join(bodies, key, "left").select(*key, F.coalesce(F.transform("o", lambda x: x["body"]), F.array().cast("array<string>")).alias("bodies"))
+def relation_details(relation: DataFrame, relation_observation: DataFrame, relation_attribute: DataFrame | None = None) -> DataFrame:
+    """Relations with their ordered bodies, and attributes if given; without any they keep an empty array or a null map."""
+    bodies = relation_observation.groupBy(*TRIPLE).agg(F.array_sort(F.collect_list(F.struct("idx", "body"))).alias("o"))
+    rows = relation.join(bodies, TRIPLE, "left").select(*TRIPLE, F.coalesce(F.transform("o", lambda x: x["body"]), F.array().cast("array<string>")).alias("bodies"))
+    if relation_attribute is None:
+        return rows
+    pairs = relation_attribute.groupBy(*TRIPLE).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("attributes"))
+    return rows.join(pairs, TRIPLE, "left")
+
+
+def export_relations(relation: DataFrame, entity: DataFrame, relation_observation: DataFrame, relation_attribute: DataFrame, limit: int | None = None) -> DataFrame:
+    """(from_id, to_id, relation_type, payload): relations as JSON with names, bodies and attributes.
+
+    Their cap is their own, and is taken before relations with a missing end are left out.
+    """
+    if limit is not None:
+        relation = relation.orderBy(*TRIPLE).limit(limit)
+    names = lambda c: entity.select(F.col("id").alias(f"{c}_id"), F.col("name").alias(f"{c}_name"))
+    rows = relation_details(relation.select(*TRIPLE), relation_observation, relation_attribute).join(names("from"), "from_id").join(names("to"), "to_id")
+    shape = F.struct(F.col("from_name").alias("from"), F.col("to_name").alias("to"), F.col("relation_type").alias("relationType"), F.col("bodies").alias("observations"), "attributes")
+    return rows.select(*TRIPLE, F.to_json(shape).alias("payload"))
 
 
 def export_entities(entity: DataFrame, observation: DataFrame, attribute: DataFrame, limit: int | None = None) -> DataFrame:
@@ -129,7 +200,7 @@ def type_counts(entity: DataFrame, relation: DataFrame) -> DataFrame:
 
 def type_catalog(counts: DataFrame, described: DataFrame) -> DataFrame:
     """(kind, name, n, description): types in use or described."""
-    rows = counts.join(F.broadcast(described), ["kind", "name"], "full")
+    rows = counts.join(described, ["kind", "name"], "full")
     return rows.select("kind", "name", F.coalesce("n", F.lit(0)).alias("n"), "description").filter((F.col("n") > 0) | F.col("description").isNotNull())
 
 

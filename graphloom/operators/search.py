@@ -1,7 +1,8 @@
 """Full-text search: postings, boolean and phrase matches, BM25, merged node search.
 
-Postings are a DataFrame (owner, token, tf). A query has few terms, so its token set is
-a predicate on the exploded tokens and only matching postings are aggregated.
+An index is a DataFrame (token, owner, idx, tf, n) stored in order of tokens. A query has
+few terms, which are a predicate of the scan, so only their postings are read. ``match``
+and ``bm25`` do the same on texts that have no index.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import folded, tokens
+from graphloom.functions.text import folded, query_terms, tokens
+from graphloom.operators.reads import TRIPLE
 
 K1, B = 1.2, 0.75
 
@@ -56,33 +58,117 @@ def bm25(texts: DataFrame, terms: Sequence[str], owner: str = "id", body: str =
     stats = sized.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
     hits = sized.filter(F.size("t") > 0).select("owner", "n", F.explode("t").alias("token")).groupBy("owner", "n", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rows = hits.join(F.broadcast(df), "token").crossJoin(F.broadcast(stats))  # one row a term, and one row
+    rows = hits.join(df, "token").crossJoin(stats)  # one row a term, and one row
     idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
     return rows.groupBy("owner").agg(F.sum(part).alias("score"))
 
 
-def search_nodes(entity: DataFrame, observation: DataFrame, terms: Sequence[str], entity_type: str | None = None, offset: int = 0, limit: int = 20) -> DataFrame:
-    """(place, id, name, entity_type): entities whose name, then whose observations, hold all terms.
+def match_index(index: DataFrame, all_of: Sequence[str] = (), any_of: Sequence[str] = (), none_of: Sequence[str] = (), prefix: str | None = None, phrase: Sequence[str] = (), texts: DataFrame | None = None, owner: str = "id", at: str = "idx", body: str = "body") -> DataFrame:
+    """(owner, idx): as ``match``, from an index (token, owner, idx, tf, n) sorted by token, of which only the words asked for are read.
 
-    Each source gives at most offset + limit candidates in id order before the type
-    filter, so a filtered page may hold fewer rows. An entity counts once, by its name.
+    A phrase is looked up by its words and then checked in ``texts``.
+    """
+    key = ["owner", "idx"]
+    need = list(dict.fromkeys([*all_of, *phrase]))
+    sets = []
+    if need:
+        hits = index.filter(F.col("token").isin(need))
+        sets.append(hits.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") == len(need)).select(*key) if len(need) > 1 else hits.select(*key))
+    if any_of:
+        sets.append(index.filter(F.col("token").isin(list(any_of))).select(*key).distinct())
+    if prefix:
+        sets.append(index.filter(F.col("token").startswith(prefix)).select(*key).distinct())
+    found = sets[0] if sets else index.filter(F.lit(False)).select(*key)
+    for more in sets[1:]:
+        found = found.join(more, key, "left_semi")
+    if none_of:
+        found = found.join(index.filter(F.col("token").isin(list(none_of))).select(*key), key, "left_anti")
+    if len(phrase) > 1:
+        rows = texts.select(F.col(owner).alias("owner"), F.col(at).alias("idx"), F.col(body).alias("body")).join(found, key, "left_semi")
+        row = F.concat(F.lit(" "), F.array_join(tokens(F.col("body")), " "), F.lit(" "))
+        found = rows.filter(F.contains(row, F.lit(f" {' '.join(phrase)} "))).select(*key)
+    return found
+
+
+def index_totals(index: DataFrame, texts: int) -> tuple[int, float]:
+    """(number of texts, mean number of words)."""
+    return texts, (index.agg(F.sum("tf")).first()[0] or 0) / max(texts, 1)
+
+
+def bm25_index(index: DataFrame, totals: tuple[int, float], terms: Sequence[str]) -> DataFrame:
+    """(owner, score): texts with any of ``terms``, as ``bm25``, reading the postings of the terms only."""
+    docs, mean = totals
+    hits = index.filter(F.col("token").isin(list(terms)))
+    df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / mean))
+    return hits.join(df, "token").groupBy("owner", "idx").agg(F.sum(part).alias("score")).select("owner", "score")
+
+
+def rank(index: DataFrame, found: DataFrame, totals: tuple[int, float], terms: Sequence[str]) -> DataFrame:
+    """(owner, idx, rank): ``found`` with the rank of a stored full-text table, best (lowest) first.
+
+    Minus BM25 with idf = ln((N - df + 0.5) / (df + 0.5)), 1e-6 at least; to nine digits.
+    """
+    docs, mean = totals
+    hits = index.filter(F.col("token").isin(list(terms)))
+    df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.greatest(F.log((docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / mean))
+    scored = hits.join(found, ["owner", "idx"], "left_semi").join(df, "token").groupBy("owner", "idx").agg((-F.round(F.sum(part), 9)).alias("rank"))
+    return scored.select("owner", "idx", "rank")
+
+
+def search_nodes(entity: DataFrame, name_index: DataFrame, body_index: DataFrame, terms: Sequence[str], entity_type: str | None = None, offset: int = 0, limit: int = 20, prefix: str | None = None) -> DataFrame:
+    """(place, id, name, entity_type): entities whose name, best rank first, then whose observations, by id, hold all terms.
+
+    Each source gives at most offset + limit candidates before the type filter, so a
+    filtered page may hold fewer rows. An entity counts once, by its name. No term, no row.
     """
     cap = offset + limit
-    by_name = match(entity, terms, body="name").orderBy("owner").limit(cap).withColumn("source", F.lit(0))
-    by_body = match(observation, terms, owner="entity_id").distinct().orderBy("owner").limit(cap).withColumn("source", F.lit(1))
-    found = by_name.union(by_body).groupBy("owner").agg(F.min("source").alias("source"))  # 2 x cap rows at most
-    rows = entity.join(F.broadcast(found), F.col("id") == F.col("owner"))
+    names = match_index(name_index, terms, prefix=prefix)
+    ranked = rank(name_index, names, index_totals(name_index, entity.count()), terms) if terms else names.withColumn("rank", F.lit(0.0))
+    by_name = ranked.orderBy("rank", "owner").limit(cap).select("owner", F.lit(0).alias("source"), "rank")
+    bodies = match_index(body_index, terms, prefix=prefix).select("owner").distinct()
+    by_body = bodies.orderBy("owner").limit(cap).select("owner", F.lit(1).alias("source"), F.lit(0.0).alias("rank"))
+    found = by_name.union(by_body).groupBy("owner").agg(F.min(F.struct("source", "rank")).alias("m"))  # 2 x cap rows at most
+    rows = entity.join(found, F.col("id") == F.col("owner"))
     if entity_type:
         rows = rows.filter(F.col("entity_type") == entity_type)
     # At most 2 x cap rows remain: their order needs one task.
-    rows = rows.withColumn("place", F.row_number().over(Window.orderBy("source", "id")) - 1)
+    rows = rows.withColumn("place", F.row_number().over(Window.orderBy("m", "id")) - 1)
     return rows.filter((F.col("place") >= offset) & (F.col("place") < offset + limit)).select("place", "id", "name", "entity_type")
 
 
-def search_relation_texts(relation_observation: DataFrame, terms: Sequence[str], limit: int = 20) -> DataFrame:
-    """(from_id, to_id, relation_type): relations with a body that holds all terms; the limit is taken before triples are made distinct."""
-    key = ["from_id", "to_id", "relation_type"]
-    rows = relation_observation.withColumn("hit", F.struct(*key, "idx"))
-    hits = match(rows, terms, owner="hit").orderBy("owner").limit(limit)
-    return hits.select("owner.*").select(*key).distinct()
+def search_nodes_lite(entity: DataFrame, name_index: DataFrame, body_index: DataFrame, terms: Sequence[str], entity_type: str | None = None, offset: int = 0, limit: int = 20) -> tuple[DataFrame, bool]:
+    """A page of ``search_nodes`` and whether more follow: one more is asked for."""
+    rows = search_nodes(entity, name_index, body_index, terms, entity_type, offset, limit + 1)
+    return rows.filter(F.col("place") < offset + limit), rows.filter(F.col("place") >= offset + limit).count() > 0
+
+
+def search_relation_texts(relation_observation: DataFrame, index: DataFrame, terms: Sequence[str], limit: int = 20, prefix: str | None = None, relation: DataFrame | None = None) -> DataFrame:
+    """(place, from_id, to_id, relation_type): relations with a body that holds all terms, best rank first.
+
+    ``index`` is that of the bodies, with structs of the triple as owners; ``relation``
+    keeps those of structurally filtered relations only. The limit is taken before triples
+    are made distinct.
+    """
+    found = match_index(index, terms, prefix=prefix)
+    ranked = rank(index, found, index_totals(index, relation_observation.count()), terms) if terms else found.withColumn("rank", F.lit(0.0))
+    rows = ranked.select("owner.*", "idx", "rank")
+    if relation is not None:
+        rows = rows.join(relation, TRIPLE, "left_semi")
+    best = rows.orderBy("rank", *TRIPLE, "idx").limit(limit).groupBy(*TRIPLE).agg(F.min("rank").alias("rank"))  # limit rows at most
+    return best.withColumn("place", F.row_number().over(Window.orderBy("rank", *TRIPLE)) - 1).select("place", *TRIPLE)
+
+
+def direct_search(scope: str, typed: str, entity: DataFrame, name_index: DataFrame, body_index: DataFrame, relation_observation: DataFrame, relation_index: DataFrame, limit: int, entity_type: str | None = None, relation: DataFrame | None = None) -> DataFrame:
+    """(kind, place, id, name, from_id, to_id, type): a viewer's typed text over nodes, or relations if ``scope`` says so; its last word may be a beginning."""
+    terms, prefix = query_terms(typed)
+    if scope == "relations":
+        rows = search_relation_texts(relation_observation, relation_index, terms, limit, prefix, relation)
+        return rows.select(F.lit("relation").alias("kind"), "place", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("name"), "from_id", "to_id", F.col("relation_type").alias("type"))
+    rows = search_nodes(entity, name_index, body_index, terms, entity_type, 0, limit, prefix)
+    none = F.lit(None).cast("long")
+    return rows.select(F.lit("entity").alias("kind"), "place", "id", "name", none.alias("from_id"), none.alias("to_id"), F.col("entity_type").alias("type"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import likeness, tokens
+from graphloom.operators.limits import clamp
+from graphloom.operators.vectors import dot, hashed_embedding
 
 # Suggestions and examples for one unknown type, least score of a suggestion.
 SUGGESTIONS, EXAMPLES, LEAST = 10, 3, 0.35
@@ -23,6 +25,23 @@ def similar_types(typed: DataFrame, known: DataFrame, most: int = SUGGESTIONS) -
     return rows.withColumn("place", place).filter(F.col("place") <= most)
 
 
+def suggest(typed: DataFrame, known: DataFrame, top: int | None = None) -> DataFrame:
+    """(typed, name, source, score, place): known types (name, n) near in meaning first, then those like in letters, 1 to 100 of each typed one.
+
+    Meaning is the cosine of the hashed embeddings of both names, above 0; a name found
+    both ways counts by its meaning. Equal names and types without members are skipped.
+    """
+    most = clamp(top, SUGGESTIONS, 100)
+    vector = lambda df, c: df.select(c, hashed_embedding(F.col(c)).alias(f"{c}_vector"))
+    pairs = vector(typed.select("typed").distinct(), "typed").join(vector(known.filter("n > 0"), "name"), F.lower("typed") != F.lower("name"))
+    near = pairs.select("typed", "name", F.lit(0).alias("source"), F.round(dot(F.col("typed_vector"), F.col("name_vector")), 6).alias("score")).filter("score > 0")
+    alike = similar_types(typed, known, most).select("typed", "name", F.lit(1).alias("source"), "score")
+    best = near.union(alike).groupBy("typed", "name").agg(F.min(F.struct("source", (-F.col("score")).alias("minus"))).alias("b"))
+    place = F.row_number().over(Window.partitionBy("typed").orderBy("b", "name"))
+    rows = best.withColumn("place", place).filter(F.col("place") <= most)
+    return rows.select("typed", "name", F.when(F.col("b.source") == 0, "meaning").otherwise("letters").alias("source"), (-F.col("b.minus")).alias("score"), "place")
+
+
 def unknown_types(typed: DataFrame, known: DataFrame) -> DataFrame:
     return typed.select("typed").distinct().join(known.filter("n > 0").select(F.col("name").alias("typed")), "typed", "left_anti")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import reads as R
-from graphloom.plans.registry import query
+from graphloom.plans.registry import also, query
 
 NAMES = ["ASIA", "Part#000000007", "doc:3", "no such name", "Part#000000007", "EUROPE"]
 _VALUES = ", ".join(f"({i}, '{n}')" for i, n in enumerate(NAMES))
@@ -46,9 +46,7 @@ def degree_in_out(g):
 p AS (SELECT * FROM entity ORDER BY id LIMIT 200 OFFSET 20), o AS (SELECT entity_id, count(*) AS n FROM observation GROUP BY entity_id);;
 SELECT id, name, entity_type, coalesce(n, 0) AS n_observations FROM p LEFT JOIN o ON entity_id = id""")
 def read_graph_page_entities(g):
-    page = R.page(g.entity, 20, 200)
-    sizes = g.observation.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
-    return page.join(sizes, F.col("id") == F.col("entity_id"), "left").select("id", "name", "entity_type", F.coalesce("n", F.lit(0)).alias("n_observations"))
+    return R.page_with_sizes(g.entity, g.observation, 20, 200)
 
 
 @query("read_graph_page_relations", """
@@ -65,41 +63,35 @@ def read_graph_typed_page(g):
 
 @query("open_nodes_entities", _NAMES_SQL + "SELECT id, name, entity_type FROM entity WHERE name IN (SELECT name FROM names)")
 def open_nodes_entities(g):
-    return R.lookup(g.entity, _names(g)).select("id", "name", "entity_type")
+    return R.lookup(g.entity_by_name, _names(g)).select("id", "name", "entity_type")
 
 
 @query("open_nodes_relations", _NAMES_SQL.replace(";;", ", ids AS (SELECT id FROM entity WHERE name IN (SELECT name FROM names));;") + "SELECT DISTINCT * FROM relation WHERE from_id IN (SELECT id FROM ids) OR to_id IN (SELECT id FROM ids)")
 def open_nodes_relations(g):
-    return R.touching(g.relation, R.lookup(g.entity, _names(g)))
+    return R.touching(g.relation, R.lookup(g.entity_by_name, _names(g)), g.relation_in)
 
 
 @query("entities_exist", _NAMES_SQL + 'SELECT pos, name, name IN (SELECT name FROM entity) AS "exists" FROM names')
 def entities_exist(g):
-    return R.exists(g.entity, _names(g))
+    return R.exists(g.entity_by_name, _names(g))
 
 
 @query("batch_get_entities", _NAMES_SQL + """
 SELECT pos, n.name, e.id, e.entity_type, CASE WHEN e.id IS NOT NULL THEN (SELECT count(*) FROM observation WHERE entity_id = e.id) END AS n_observations
 FROM names n LEFT JOIN entity e ON e.name = n.name""")
 def batch_get_entities(g):
-    return R.batch_get(g.entity, g.observation, _names(g))
+    return R.batch_get(g.entity_by_name, g.observation, _names(g))
 
 
-@query("get_entity_observations", "SELECT entity_id, string_agg(body, '|' ORDER BY idx) AS bodies FROM observation WHERE entity_id >= 5000000000 AND entity_id < 6000000000 GROUP BY entity_id")
+@query("get_entity_observations", "SELECT entity_id, string_agg(body, '|' ORDER BY idx) AS bodies FROM observation GROUP BY entity_id")
 def get_entity_observations(g):
-    rows = g.observation.filter((F.col("entity_id") >= 5_000_000_000) & (F.col("entity_id") < 6_000_000_000))
-    return R.ordered_bodies(rows).select("entity_id", R.joined(F.col("bodies")).alias("bodies"))
-
-
-@query("get_entity_observations_whole", "SELECT entity_id, string_agg(body, '|' ORDER BY idx) AS bodies FROM observation GROUP BY entity_id")
-def get_entity_observations_whole(g):
     return R.ordered_bodies(g.observation).select("entity_id", R.joined(F.col("bodies")).alias("bodies"))
 
 
 @query("describe_entity_neighbors", _NAMES_SQL.replace(";;", ", ids AS (SELECT id FROM entity WHERE name IN (SELECT name FROM names)), ends AS (SELECT from_id AS id, to_id AS neighbor_id, 1 AS o, 0 AS i FROM relation UNION ALL SELECT to_id, from_id, 0, 1 FROM relation);;") + """
 SELECT id, neighbor_id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM ends WHERE id IN (SELECT id FROM ids) GROUP BY id, neighbor_id""")
 def describe_entity_neighbors(g):
-    return R.describe(g.entity, g.relation, R.lookup(g.entity, _names(g)).select("id"))
+    return R.describe(g.relation, R.lookup(g.entity_by_name, _names(g)), g.relation_in)
 
 
 def _search(name: str, source=None, target=None, relation_type=None, limit=100):
@@ -111,7 +103,7 @@ def _search(name: str, source=None, target=None, relation_type=None, limit=100):
     if relation_type:
         conditions.append(f"relation_type = '{relation_type}'")
     query(name, f"SELECT * FROM relation WHERE {' AND '.join(conditions)} ORDER BY from_id, to_id, relation_type LIMIT {limit}")(
-        lambda g: R.search_relations(g.relation, g.entity, source, target, relation_type, limit))
+        lambda g: R.search_relations(g.relation, g.entity_by_name, source, target, relation_type, limit, g.relation_in if target else None))
 
 
 _search("search_relations_from", source="Customer#000000001")
@@ -127,21 +119,40 @@ def relation_names(g):
 
 
 @query("relation_details", """
-SELECT r.from_id, r.to_id, r.relation_type, coalesce(string_agg(body, '|' ORDER BY idx), '') AS bodies
-FROM relation r LEFT JOIN relation_observation o ON o.from_id = r.from_id AND o.to_id = r.to_id AND o.relation_type = r.relation_type
-WHERE r.relation_type = 'in_nation' GROUP BY r.from_id, r.to_id, r.relation_type""")
+o AS (SELECT from_id, to_id, relation_type, string_agg(body, '|' ORDER BY idx) AS bodies FROM relation_observation GROUP BY ALL),
+a AS (SELECT from_id, to_id, relation_type, string_agg(key || '=' || value, ',' ORDER BY key) AS attributes FROM relation_attribute GROUP BY ALL);;
+SELECT r.from_id, r.to_id, r.relation_type, coalesce(bodies, '') AS bodies, attributes FROM relation r
+LEFT JOIN o USING (from_id, to_id, relation_type) LEFT JOIN a USING (from_id, to_id, relation_type)""")
 def relation_details(g):
-    rows = R.relation_details(g.relation.filter(F.col("relation_type") == "in_nation"), g.relation_observation)
-    return rows.select("from_id", "to_id", "relation_type", R.joined(F.col("bodies")).alias("bodies"))
+    rows = R.relation_details(g.relation, g.relation_observation, g.relation_attribute)
+    pairs = F.transform(F.map_entries("attributes"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return rows.select("from_id", "to_id", "relation_type", R.joined(F.col("bodies")).alias("bodies"), F.array_join(pairs, ",").alias("attributes"))
+
+
+@query("relation_by_triple", """
+SELECT true AS found, from_id, to_id, relation_type FROM relation WHERE from_id = 3000000001 AND relation_type = 'in_nation'
+UNION ALL SELECT false, NULL, NULL, NULL""")
+def relation_by_triple(g):
+    nation = g.table("customer").filter("c_custkey = 1").join(g.table("nation"), F.col("c_nationkey") == F.col("n_nationkey")).first()["n_name"]
+    ask = lambda kind: R.one_relation(g.relation, g.entity_by_name, "Customer#000000001", nation, kind)
+    return ask("in_nation").union(ask("no_such_type"))
+
+
+_ASKED = [("entity", "part"), ("entity", "planet"), ("relation", "bought"), ("relation", "part"), ("relation", "bought")]
 
 
-@query("relation_details_whole", """
-SELECT r.from_id, r.to_id, r.relation_type, coalesce(string_agg(body, '|' ORDER BY idx), '') AS bodies
-FROM relation r LEFT JOIN relation_observation o ON o.from_id = r.from_id AND o.to_id = r.to_id AND o.relation_type = r.relation_type
-GROUP BY r.from_id, r.to_id, r.relation_type""")
-def relation_details_whole(g):
-    rows = R.relation_details(g.relation, g.relation_observation)
-    return rows.select("from_id", "to_id", "relation_type", R.joined(F.col("bodies")).alias("bodies"))
+@query("types_exist", "SELECT * FROM (VALUES ('entity', 'part', true), ('entity', 'planet', false), ('relation', 'bought', true), ('relation', 'part', false)) AS v(kind, name, \"exists\")")
+def types_exist(g):
+    return R.types_known(g.entity, g.relation, g.spark.createDataFrame(_ASKED, "kind string, name string"))
+
+
+@query("viewer_meta", """
+t AS (SELECT entity_type, count(*) AS n FROM entity GROUP BY entity_type);;
+SELECT (SELECT string_agg(entity_type || '=' || n, ',' ORDER BY entity_type) FROM t) AS legend, (SELECT count(*) FROM entity) AS entities_total, (SELECT count(*) FROM relation) AS relations_total,
+       least(greatest((SELECT n FROM t WHERE entity_type = 'part') - 150, 0), 40) AS returned, 190 < (SELECT n FROM t WHERE entity_type = 'part') AS has_more""")
+def viewer_meta(g):
+    pairs = F.transform(F.map_entries("legend"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return R.page_meta(g.entity, g.relation, 150, 40, "part").select(F.array_join(pairs, ",").alias("legend"), "entities_total", "relations_total", "returned", "has_more")
 
 
 @query("attributes_map", "SELECT owner_id, string_agg(key || '=' || value, ',' ORDER BY key) AS attributes FROM attribute GROUP BY owner_id")
@@ -161,6 +172,17 @@ def export_entities(g):
     return rows.select("id", F.col("e.name").alias("name"), F.col("e.entityType").alias("entity_type"), F.size("e.observations").cast("long").alias("n_observations"), chars.alias("n_chars"), F.coalesce(F.size("e.attributes"), F.lit(0)).cast("long").alias("n_attributes")).withColumn("n_attributes", F.greatest("n_attributes", F.lit(0).cast("long")))
 
 
+@query("export_relations", """
+c AS (SELECT * FROM relation ORDER BY from_id, to_id, relation_type LIMIT 3000),
+o AS (SELECT from_id, to_id, relation_type, count(*) AS n, string_agg(body, '|' ORDER BY idx) AS bodies FROM relation_observation GROUP BY ALL);;
+SELECT c.from_id, c.to_id, c.relation_type, a.name AS from_name, b.name AS to_name, coalesce(bodies, '') AS bodies, m.value AS market
+FROM c JOIN entity a ON a.id = c.from_id JOIN entity b ON b.id = c.to_id LEFT JOIN o USING (from_id, to_id, relation_type) LEFT JOIN relation_attribute m USING (from_id, to_id, relation_type)""")
+def export_relations(g):
+    shape = "struct<from:string,to:string,relationType:string,observations:array<string>,attributes:map<string,string>>"
+    rows = R.export_relations(g.relation, g.entity, g.relation_observation, g.relation_attribute, 3000).withColumn("e", F.from_json("payload", shape))
+    return rows.select("from_id", "to_id", "relation_type", F.col("e.from").alias("from_name"), F.col("e.to").alias("to_name"), R.joined(F.col("e.observations")).alias("bodies"), F.col("e.attributes")["market"].alias("market"))
+
+
 @query("observation_values", "SELECT entity_id, substring(body, 8) AS value FROM observation WHERE starts_with(body, 'brand: ')")
 def observation_values(g):
     return R.observation_value(g.observation, "brand")
@@ -169,3 +191,7 @@ def observation_values(g):
 @query("relation_type_signatures", "SELECT DISTINCT relation_type, a.entity_type AS from_type, b.entity_type AS to_type FROM relation JOIN entity a ON a.id = from_id JOIN entity b ON b.id = to_id")
 def relation_type_signatures(g):
     return R.type_signatures(g.relation, g.entity)
+
+
+also("get_entity_observations_whole", "get_entity_observations")
+also("relation_details_whole", "relation_details")

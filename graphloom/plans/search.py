@@ -6,16 +6,18 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import likeness, query_terms
 from graphloom.operators import search as S
+from graphloom.operators import taxonomy as X
+from graphloom.plans.code import embedded_sql
 from graphloom.plans.registry import query
 
-_FOLD = "translate(lower({0}), 'äçèéêíñóöü', 'aceeeinoou')"
+_FOLD = "strip_accents(lower({0}))"
 _TOKENS = "regexp_extract_all(" + _FOLD + r", '[\p{{L}}\p{{N}}]+')"
 _OBS = f"obs AS (SELECT entity_id AS owner, idx, {_TOKENS.format('body')} AS t FROM observation)"
 
 
 def _match(name: str, test: str, **terms):
     query(name, f"{_OBS};;SELECT owner, idx FROM obs WHERE {test}")(
-        lambda g: S.match(g.observation.withColumn("at", F.struct("entity_id", "idx")), owner="at", **terms).select(F.col("owner.entity_id").alias("owner"), "owner.idx"))
+        lambda g: S.match_index(g.word, texts=g.observation, owner="entity_id", **terms))
 
 
 _match("fts_obs_match", "list_contains(t, 'the') AND list_contains(t, 'ion')", all_of=["the", "ion"])
@@ -28,7 +30,8 @@ _match("fts_prefix", "list_contains(t, 'name') AND len(list_filter(t, lambda x:
 @query("fts_name_and", f"n AS (SELECT id, name, {_TOKENS.format('name')} AS t FROM entity);;SELECT id, name FROM n WHERE list_contains(t, 'part') AND len(list_filter(t, lambda x: starts_with(x, '00000001'))) > 0")
 def fts_name_and(g):
     terms, prefix = query_terms("Part#00000001")
-    return S.match(g.entity.withColumn("at", F.struct("id", "name")), terms, prefix=prefix, owner="at", body="name").select("owner.id", "owner.name")
+    hits = S.match_index(g.name_word, terms, prefix=prefix)
+    return g.entity.join(hits.select(F.col("owner").alias("id")), "id", "left_semi").select("id", "name")
 
 
 _BM25 = f"""
@@ -45,37 +48,71 @@ def _documents(g):
 
 @query("fts_bm25_topk", _BM25 + ";;SELECT owner, round(score, 6) AS score FROM r ORDER BY round(score, 6) DESC, owner LIMIT 50")
 def fts_bm25_topk(g):
-    rows = S.bm25(_documents(g), ["the", "que", "hend"], owner="entity_id").withColumn("score", F.round("score", 6))
+    words = g.word.filter("owner >= 6000000000")
+    rows = S.bm25_index(words, S.index_totals(words, _documents(g).count()), ["the", "que", "hend"]).withColumn("score", F.round("score", 6))
     return rows.orderBy(F.desc("score"), "owner").limit(50)
 
 
 @query("fts_postings", f"{_OBS};;SELECT owner, token, count(*) AS tf FROM (SELECT owner, unnest(t) AS token FROM obs) GROUP BY owner, token")
 def fts_postings(g):
-    return S.postings(g.observation, owner="entity_id")
+    return g.word.groupBy("owner", "token").agg(F.sum("tf").alias("tf"))
 
 
-_NODES = f"""
-n AS (SELECT id AS owner, 0 AS source FROM entity WHERE list_contains({_TOKENS.format('name')}, 'asia') ORDER BY owner LIMIT 60),
-b AS (SELECT DISTINCT entity_id AS owner, 1 AS source FROM observation WHERE list_contains({_TOKENS.format('body')}, 'asia') OR false ORDER BY owner LIMIT 60),
-m AS (SELECT owner, min(source) AS source FROM (SELECT * FROM n UNION ALL SELECT * FROM b) GROUP BY owner),
-k AS (SELECT row_number() OVER (ORDER BY source, id) - 1 AS place, id, name, entity_type FROM m JOIN entity ON id = owner);;
-SELECT CAST(place AS INTEGER) AS place, id, name, entity_type FROM k WHERE place >= 0 AND place < 50"""
+def _ranked(texts: str, tokens: str, word: str, key: str) -> str:
+    """Common table expressions: hits of one word in ``texts`` with the rank of a stored full-text table."""
+    return f"""t AS (SELECT {key}, {tokens} AS w FROM {texts}), c AS (SELECT *, len(list_filter(w, lambda x: x = '{word}')) AS tf FROM t),
+z AS (SELECT count(*) AS docs, avg(len(w)) AS mean, count(*) FILTER (tf > 0) AS df FROM c),
+r AS (SELECT {key}, -round(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean)), 9) AS rank FROM c, z WHERE tf > 0)"""
+
+
+def _node_sql(word: str, kind: str | None, offset: int, limit: int, extra: int = 0) -> str:
+    cap = offset + limit + extra
+    return _ranked("entity", _TOKENS.format("name"), word, "id") + f""",
+n AS (SELECT id AS owner, 0 AS source, rank FROM r ORDER BY rank, owner LIMIT {cap}),
+b AS (SELECT DISTINCT entity_id AS owner, 1 AS source, 0.0 AS rank FROM observation WHERE list_contains({_TOKENS.format('body')}, '{word}') ORDER BY owner LIMIT {cap}),
+m AS (SELECT owner, arg_min(source, source) AS source, arg_min(rank, source) AS rank FROM (SELECT * FROM n UNION ALL SELECT * FROM b) GROUP BY owner),
+k AS (SELECT row_number() OVER (ORDER BY source, rank, id) - 1 AS place, id, name, entity_type FROM m JOIN entity ON id = owner {f"WHERE entity_type = '{kind}'" if kind else ''});;
+SELECT CAST(place AS INTEGER) AS place, id, name, entity_type FROM k WHERE place >= {offset} AND place < {offset + limit}"""
 
 
 def _nodes(name: str, word: str, kind: str | None, offset: int, limit: int):
-    sql = _NODES.replace("'asia'", f"'{word}'").replace("LIMIT 60", f"LIMIT {offset + limit}").replace("place >= 0 AND place < 50", f"place >= {offset} AND place < {offset + limit}")
-    if kind:
-        sql = sql.replace("ON id = owner)", f"ON id = owner WHERE entity_type = '{kind}')")
-    query(name, sql)(lambda g: S.search_nodes(g.entity, g.observation, [word], kind, offset, limit))
+    query(name, _node_sql(word, kind, offset, limit))(lambda g: S.search_nodes(g.entity, g.name_word, g.word, [word], kind, offset, limit))
 
 
 _nodes("search_nodes_merged", "machinery", None, 0, 50)
+_nodes("search_nodes_names", "part", None, 5, 50)
 _nodes("search_nodes_typed_page", "the", "document", 10, 20)
 
 
-@query("search_relations_text", f"SELECT DISTINCT from_id, to_id, relation_type FROM (SELECT * FROM relation_observation WHERE list_contains({_TOKENS.format('body')}, 'registered') ORDER BY from_id, to_id, relation_type, idx LIMIT 40)")
+@query("search_nodes_lite", _node_sql("machinery", None, 0, 10, 1).replace("SELECT CAST(place", "SELECT (SELECT count(*) FROM k) > 10 AS has_more, CAST(place"))
+def search_nodes_lite(g):
+    rows, more = S.search_nodes_lite(g.entity, g.name_word, g.word, ["machinery"], None, 0, 10)
+    return rows.select(F.lit(more).alias("has_more"), "place", "id", "name", "entity_type")
+
+
+_BODIES = _ranked("relation_observation", _TOKENS.format("body"), "registered", "from_id, to_id, relation_type, idx") + """,
+h AS (SELECT * FROM r ORDER BY rank, from_id, to_id, relation_type, idx LIMIT 40), d AS (SELECT from_id, to_id, relation_type, min(rank) AS rank FROM h GROUP BY ALL),
+k AS (SELECT CAST(row_number() OVER (ORDER BY rank, from_id, to_id, relation_type) - 1 AS INTEGER) AS place, from_id, to_id, relation_type FROM d);;"""
+
+
+@query("search_relations_text", _BODIES + "SELECT * FROM k")
 def search_relations_text(g):
-    return S.search_relation_texts(g.relation_observation, ["registered"], 40)
+    return S.search_relation_texts(g.relation_observation, g.relation_word, ["registered"], 40)
+
+
+@query("search_direct_relations", _BODIES.replace("WHERE tf > 0)", "WHERE tf > 0 AND to_id % 2 = 0)") + "SELECT 'relation' AS kind, place, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS name, from_id, to_id, relation_type AS type FROM k")
+def search_direct_relations(g):
+    """A viewer's text over relations: the first word is whole, the last a beginning."""
+    return S.direct_search("relations", "Registered, sup", g.entity, g.name_word, g.word, g.relation_observation, g.relation_word, 40, relation=g.relation.filter("to_id % 2 = 0"))
+
+
+@query("search_direct_nodes", f"""
+n AS (SELECT id, name, entity_type, {_TOKENS.format('name')} AS t FROM entity),
+h AS (SELECT * FROM n WHERE list_contains(t, 'part') AND len(list_filter(t, lambda x: starts_with(x, '00000001'))) > 0),
+k AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS place FROM h);;
+SELECT 'entity' AS kind, CAST(place AS INTEGER) AS place, id, name, CAST(NULL AS BIGINT) AS from_id, CAST(NULL AS BIGINT) AS to_id, entity_type AS type FROM k WHERE place < 30""")
+def search_direct_nodes(g):
+    return S.direct_search("nodes", "Part#00000001", g.entity, g.name_word, g.word, g.relation_observation, g.relation_word, 30)
 
 
 _WORDS = ("costumer", "sub_nation", "parts", "document", "reigon")
@@ -94,5 +131,25 @@ def taxonomy_suggest(g):
     """Known types that resemble typed ones; both lists are short type dictionaries."""
     known = g.entity.groupBy(F.col("entity_type").alias("name")).agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
     typed = g.spark.createDataFrame([(w,) for w in _WORDS], "typed string")
-    rows = typed.join(F.broadcast(known), F.lower("typed") != F.lower("name"))  # one row a type
+    rows = typed.join(known, F.lower("typed") != F.lower("name"))  # one row a type
     return rows.withColumn("score", likeness(F.lower("typed"), F.lower("name"))).filter("score > 0.35").select("typed", "name", F.round("score", 6).alias("score"))
+
+
+_TYPED = ("sub nation", "region of asia", "costumer", "parts", "document")
+
+
+@query("taxonomy_suggest_meaning", """
+w AS (SELECT * FROM (VALUES ('sub nation'), ('region of asia'), ('costumer'), ('parts'), ('document')) AS v(typed)),
+c AS (SELECT DISTINCT entity_type AS name FROM entity), """ + embedded_sql("(SELECT typed AS x, typed AS t FROM w UNION SELECT name, name FROM c)", "x_", "t").replace("SELECT x_, unnest", "SELECT x AS x_, unnest") + """,
+m AS (SELECT typed, name, 0 AS source, round(sum(a.x * b.x), 6) AS score FROM w JOIN embedded a ON a.x_ = typed, c JOIN embedded b ON b.x_ = name WHERE a.place = b.place AND typed <> name GROUP BY typed, name),
+p AS (SELECT typed, name, CASE WHEN length(typed) >= 3 THEN list_transform(range(1, length(typed) - 1), lambda i: substring(typed, i, 3)) ELSE [] END AS ta,
+             CASE WHEN length(name) >= 3 THEN list_transform(range(1, length(name) - 1), lambda i: substring(name, i, 3)) ELSE [] END AS tb FROM w, c WHERE typed <> name),
+l AS (SELECT typed, name, 1 AS source, round(CAST(2.0 AS DOUBLE) * len(list_filter(ta, lambda x: list_contains(tb, x))) / (len(ta) + len(tb)) * CAST(0.7 AS DOUBLE)
+             + (1.0 - levenshtein(typed, name) / CAST(greatest(length(typed), length(name)) AS DOUBLE)) * CAST(0.3 AS DOUBLE), 6) AS score FROM p),
+u AS (SELECT * FROM m WHERE score > 0 UNION ALL SELECT * FROM l WHERE score > 0.35),
+b AS (SELECT typed, name, min(source) AS source, arg_min(score, source) AS score FROM u GROUP BY typed, name),
+r AS (SELECT *, row_number() OVER (PARTITION BY typed ORDER BY source, score DESC, name) AS place FROM b);;
+SELECT typed, name, CASE source WHEN 0 THEN 'meaning' ELSE 'letters' END AS source, score, CAST(place AS INTEGER) AS place FROM r WHERE place <= 3""")
+def taxonomy_suggest_meaning(g):
+    known = g.entity.groupBy(F.col("entity_type").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    return X.suggest(g.spark.createDataFrame([(w,) for w in _TYPED], "typed string"), known, 3)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEGMENT = 1600
@@ -23,8 +23,8 @@ def verified(files: DataFrame, declared: DataFrame) -> DataFrame:
 
 def file_text(content: Column) -> Column:
     """UTF-8 text without a byte order mark and with plain line ends; null where the bytes aren't UTF-8."""
-    text = F.regexp_replace(F.decode(content, "utf-8"), "^﻿", "")
-    return F.when(F.is_valid_utf8(content), F.regexp_replace(text, "\r\n?", "\n"))
+    text = F.regexp_replace(F.decode(content, "utf-8"), "^\ufeff", "")
+    return F.when(F.is_valid_utf8(content), F.replace(text, F.lit("\r\n"), F.lit("\n")))
 
 
 def byte_range(content: Column, offset: int, length: int) -> Column:
@@ -59,6 +59,31 @@ def allowed_type(mime: Column, patterns: list[str]) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+# Fixed value: life of an upload session without a chunk, in microseconds.
+UPLOAD_LIFE = 3_600_000_000
+
+
+def upload_faults(new: DataFrame, attachment: DataFrame, entity: DataFrame, patterns: list[str], most_bytes: int) -> DataFrame:
+    """(pos, fault) of the files ``new`` (pos, entity_id, filename, mime, bytes) that are refused, by the first rule broken.
+
+    No file name; a MIME type that isn't listed; a size below 0 or too large; no such
+    entity; a file name that the entity has already, or that an earlier row gives it.
+    """
+    held = attachment.select("entity_id", "filename", F.lit(True).alias("held")).distinct()
+    known = entity.select(F.col("id").alias("entity_id"), F.lit(True).alias("known"))
+    rows = new.join(held, ["entity_id", "filename"], "left").join(known, "entity_id", "left")
+    fault = F.when(F.trim(F.coalesce("filename", F.lit(""))) == "", "filename").when(~allowed_type(F.col("mime"), patterns), "mime").when(~F.coalesce(F.col("bytes").between(0, most_bytes), F.lit(False)), "size").when(F.col("known").isNull(), "entity").when(F.col("held").isNotNull(), "duplicate")
+    rows = rows.withColumn("fault", fault)
+    turn = F.row_number().over(Window.partitionBy("entity_id", "filename", F.col("fault").isNull()).orderBy("pos"))
+    return rows.select("pos", F.when(F.col("fault").isNull() & (turn > 1), "duplicate").otherwise(F.col("fault")).alias("fault")).filter("fault IS NOT NULL")
+
+
+def live_uploads(uploads: DataFrame, chunks: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """(uploads, chunks) without sessions (upload_id, touched, ...) that had no chunk for an hour, and their chunks (upload_id, ...)."""
+    live = uploads.filter(F.col("touched") + UPLOAD_LIFE > now)
+    return live, chunks.join(live.select("upload_id"), "upload_id", "left_semi").select(chunks.columns)
+
+
 def complete_uploads(chunks: DataFrame, declared: DataFrame) -> DataFrame:
     """(upload_id, complete): uploads (upload_id, bytes) whose chunks (upload_id, offset, bytes) follow without gap up to the end.
 
@@ -81,6 +106,16 @@ def entity_documents(entity: DataFrame, observation: DataFrame) -> DataFrame:
     return identity.union(bodies)
 
 
+def relation_documents(mirror: DataFrame, entity: DataFrame, relation_observation: DataFrame) -> DataFrame:
+    """(owner_id, kind, chunk_index, text): one chunk for each live relation of ``mirror`` (relation_id, triple, deleted): names of its ends, type and bodies in order."""
+    end = lambda c: entity.select(F.col("id").alias(f"{c}_id"), F.col("name").alias(f"{c}_name"))
+    triple = ["from_id", "to_id", "relation_type"]
+    bodies = relation_observation.groupBy(*triple).agg(F.array_sort(F.collect_list(F.struct("idx", "body"))).alias("o"))
+    rows = mirror.filter("NOT deleted").join(end("from"), "from_id").join(end("to"), "to_id").join(bodies, triple, "left")
+    lines = F.concat(F.array("from_name", "relation_type", "to_name"), F.coalesce(F.transform("o", lambda x: x["body"]), F.array().cast("array<string>")))
+    return rows.select(F.col("relation_id").alias("owner_id"), F.lit("relation").alias("kind"), F.lit(0).alias("chunk_index"), F.array_join(lines, "\n").alias("text"))
+
+
 def attachments_of(attachment: DataFrame, entity: DataFrame, name: str) -> DataFrame:
     """Attachments (attachment_id, entity_id, ...) of the entity of this name, by id."""
     owner = entity.filter(F.col("name") == name).select(F.col("id").alias("entity_id"))

@@ -6,12 +6,16 @@ lazily: a query reads only the files and columns that it uses.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.text import index
+from graphloom.sources.shared import durable
+
 KIND = {"region": 1, "nation": 2, "customer": 3, "supplier": 4, "part": 5, "document": 6}
 UNIT = 1_000_000_000
 
@@ -90,6 +94,24 @@ class Graph:
         s = self.table("supplier")
         return s.select(_id("supplier", "s_suppkey").alias("from_id"), _id("nation", "s_nationkey").alias("to_id"), F.lit("in_nation").alias("relation_type"), F.lit(0).alias("idx"), F.concat(F.lit("supplier "), F.col("s_name"), F.lit(" registered")).alias("body"))
 
+    @cached_property
+    def relation_attribute(self) -> DataFrame:
+        """(from_id, to_id, relation_type, key, value): attributes of the relations of customers to nations"""
+        c = self.table("customer")
+        return c.select(_id("customer", "c_custkey").alias("from_id"), _id("nation", "c_nationkey").alias("to_id"), F.lit("in_nation").alias("relation_type"), F.lit("market").alias("key"), F.col("c_mktsegment").alias("value"))
+
+    @cached_property
+    def attachment(self) -> DataFrame:
+        """(attachment_id, entity_id, filename, revision, status): each document as a file of one in four of them"""
+        d, n = self.table("documents"), F.col("doc_id")
+        return d.select(n.alias("attachment_id"), (F.lit(6 * UNIT).cast("long") + F.floor(n / 4)).cast("long").alias("entity_id"), F.concat(F.lit("file"), n.cast("string"), F.lit(".txt")).alias("filename"), F.lit(2).cast("long").alias("revision"), F.when(n % 5 == 0, "extracting").otherwise("ready").alias("status"))
+
+    @cached_property
+    def chain(self) -> DataFrame:
+        """(from_id, to_id, relation_type): the first sixty parts in a row"""
+        p = self.table("part").filter("p_partkey < 60")
+        return self._edges(p, _id("part", "p_partkey"), _id("part", "p_partkey") + 1, "next")
+
     @cached_property
     def chunk_vector(self) -> DataFrame:
         """(vec_id, owner_kind, owner_id, kind, chunk_index, label, embedding): three chunks a document"""
@@ -111,6 +133,58 @@ class Graph:
         return e.select("event_id", _id("customer", "user_id").alias("entity_id"), operation.alias("operation"), F.col("event_type").isin("view", "click").cast("int").alias("quiet"), "ts")
 
 
+class StoredGraph(Graph):
+    """A graph whose tables are written into the shared folder when first used, sorted by the
+    columns that queries filter on, so that a lookup reads the row groups it needs.
+
+    It holds what the source tables held then; a new instance loads them anew.
+    """
+
+    def _stored(self, df: DataFrame, name: str, *order: str) -> DataFrame:
+        return durable(df.repartitionByRange(*order).sortWithinPartitions(*order), name)
+
+    @cached_property
+    def entity(self) -> DataFrame:
+        return self._stored(super().entity, "entity", "id")
+
+    def kept(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A further table, written when first asked for."""
+        key = f"kept:{name}"
+        if key not in self.__dict__:
+            self.__dict__[key] = durable(make(), name)
+        return self.__dict__[key]
+
+    @cached_property
+    def entity_by_name(self) -> DataFrame:
+        return self._stored(self.entity, "entity-by-name", "name")
+
+    @cached_property
+    def relation(self) -> DataFrame:
+        return self._stored(super().relation, "relation", "from_id", "to_id")
+
+    @cached_property
+    def relation_in(self) -> DataFrame:
+        """The relations again, sorted by target."""
+        return self._stored(self.relation, "relation-in", "to_id", "from_id")
+
+    @cached_property
+    def word(self) -> DataFrame:
+        """(token, owner, idx, tf, n): the words of observations"""
+        return self._stored(index(self.observation, "entity_id", "idx"), "word", "token", "owner")
+
+    @cached_property
+    def name_word(self) -> DataFrame:
+        """(token, owner, idx, tf, n): the words of names"""
+        return self._stored(index(self.entity.select("id", F.lit(0).alias("idx"), F.col("name").alias("body")), "id", "idx"), "name-word", "token", "owner")
+
+
+    @cached_property
+    def relation_word(self) -> DataFrame:
+        """(token, owner, idx, tf, n): the words of relation observations; owners are triples"""
+        rows = self.relation_observation.select(F.struct("from_id", "to_id", "relation_type").alias("triple"), "idx", "body")
+        return self._stored(index(rows, "triple", "idx"), "relation-word", "token", "owner")
+
+
 def by_entity(partition: str, *order) -> Window:
     return Window.partitionBy(partition).orderBy(*order)
 
@@ -139,6 +213,11 @@ observation AS (
 attribute AS (
   SELECT 'entity' AS owner_kind, CAST(6000000000 + doc_id AS BIGINT) AS owner_id, 'lang' AS key, lang AS value FROM documents
   UNION ALL SELECT 'entity', CAST(6000000000 + doc_id AS BIGINT), 'source', source FROM documents),
+relation_attribute AS (
+  SELECT CAST(3000000000 + c_custkey AS BIGINT) AS from_id, CAST(2000000000 + c_nationkey AS BIGINT) AS to_id, 'in_nation' AS relation_type, 'market' AS key, c_mktsegment AS value FROM customer),
+attachment AS (
+  SELECT doc_id AS attachment_id, CAST(6000000000 + doc_id // 4 AS BIGINT) AS entity_id, 'file' || doc_id || '.txt' AS filename, CAST(2 AS BIGINT) AS revision,
+         CASE WHEN doc_id % 5 = 0 THEN 'extracting' ELSE 'ready' END AS status FROM documents),
 relation_observation AS (
   SELECT CAST(4000000000 + s_suppkey AS BIGINT) AS from_id, CAST(2000000000 + s_nationkey AS BIGINT) AS to_id, 'in_nation' AS relation_type, 0 AS idx, 'supplier ' || s_name || ' registered' AS body FROM supplier),
 chunk_vector AS (
