@@ -2,8 +2,8 @@
 
 A level is one join of the frontier with the edges and one anti join with what has been
 reached; each level is written to the shared folder, so plans stay small and a lost
-executor costs one level. Nothing is collected: only the question whether a level is
-empty comes to the driver.
+executor costs one level. Only the question whether a level is empty, the nodes of small
+frontiers and the hops of one path come to the driver.
 """
 
 from __future__ import annotations
@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.limits import ITEMS, clamp
+from graphloom.operators.reads import among, few
 from graphloom.sources.shared import durable
 
 
@@ -26,25 +28,71 @@ def hops(relation: DataFrame, direction: str = "BOTH", relation_type: str | None
     return out if direction == "OUTGOING" else back if direction == "INCOMING" else out.union(back)
 
 
-def reach(relation: DataFrame, seeds: DataFrame, depth: int, direction: str = "BOTH", relation_type: str | None = None, until: DataFrame | None = None) -> DataFrame:
+#: Levels after which those reached so far are written as one table.
+COMPACT = 16
+
+
+def reach(relation: DataFrame, seeds: DataFrame, depth: int | None = None, direction: str = "BOTH", relation_type: str | None = None, until: DataFrame | None = None, relation_in: DataFrame | None = None) -> DataFrame:
     """(id, level): nodes within ``depth`` hops of ``seeds`` (id) at their first level; seeds are level 0.
 
-    ``until`` (id) ends the search at the level that reaches one of its nodes.
+    Without ``depth`` the search ends when a level is empty. ``until`` (id) ends it at the
+    level that reaches one of its nodes. ``relation_in`` are the same relations sorted by
+    target; a frontier of few nodes reads only their relations.
     """
-    edges = hops(relation, direction, relation_type).select("src", "dst")
-    reached = durable(seeds.select("id").distinct().withColumn("level", F.lit(0)), "level")
-    for level in range(1, depth + 1):
-        front = reached.filter(F.col("level") == level - 1).select(F.col("id").alias("src"))
-        new = edges.join(front, "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(reached, "id", "left_anti")
-        new = durable(new.withColumn("level", F.lit(level)), "level")
-        if new.isEmpty():
+    spark = relation.sparkSession
+    back = relation if relation_in is None else relation_in
+    if relation_type:
+        relation, back = (r.filter(F.col("relation_type") == relation_type) for r in (relation, back))
+    schema = "id long, level int"
+
+    def level_of(df: DataFrame, n: int, small: bool) -> tuple[DataFrame, list | None]:
+        """A level as a table, and its ids if they are few; what comes from few ids is probably few again."""
+        df = df.select("id").distinct()
+        if not small:
+            df = durable(df, "level")
+        values = few(df, "id")
+        if values is not None:
+            return spark.createDataFrame([(v, n) for v in values], schema), values
+        return (durable(df, "level") if small else df).withColumn("level", F.lit(n)), None
+
+    goals = None if until is None else few(until, "id")
+    front, values = level_of(seeds, 0, True)
+    reached = recent = front
+    seen = values
+    level = 0
+    while depth is None or level < depth:
+        level += 1
+        steps = []
+        if direction != "INCOMING":
+            steps.append(_from(relation, "from_id", front, values).select(F.col("to_id").alias("id")))
+        if direction != "OUTGOING":
+            steps.append(_from(back, "to_id", front, values).select(F.col("from_id").alias("id")))
+        found = steps[0] if len(steps) == 1 else steps[0].union(steps[1])
+        # Both ways, a neighbour of a level is in the level before, in it or after it.
+        known = reached if len(steps) == 1 else recent
+        new = found.filter(~F.col("id").isin(seen)) if seen is not None else found.distinct().join(known.select("id"), "id", "left_anti")
+        last, last_values = front, values
+        front, values = level_of(new, level, values is not None)
+        if front.isEmpty() if values is None else not values:
             break
-        reached = reached.union(new)
-        if until is not None and not new.join(until, "id", "left_semi").isEmpty():
+        reached = reached.union(front)
+        if level % COMPACT == 0:
+            reached = durable(reached, "reached")
+        recent = last.union(front)
+        seen = None if values is None or last_values is None or seen is None else (seen if len(steps) == 1 else last_values) + values
+        if seen is not None and len(seen) > 2 * ITEMS:
+            seen = None
+        if until is not None and (not set(values).isdisjoint(goals) if values is not None and goals is not None else not among(front, "id", until, "id").isEmpty()):
             break
     return reached
 
 
+def _from(relation: DataFrame, column: str, front: DataFrame, values: list | None) -> DataFrame:
+    if values is not None:
+        return relation.filter(F.col(column).isin(values))
+    return relation.join(front.select(F.col("id").alias(column)), column, "left_semi")
+
+
 def scanned_edges(relation: DataFrame, reached: DataFrame, depth: int, direction: str = "BOTH", relation_type: str | None = None) -> DataFrame:
     """Relations walked from nodes above the last level; those among last-level nodes are not."""
     edges = hops(relation, direction, relation_type)
@@ -52,19 +100,36 @@ def scanned_edges(relation: DataFrame, reached: DataFrame, depth: int, direction
     return edges.join(inner, "src", "left_semi").select("from_id", "to_id", "relation_type").distinct()
 
 
-def shortest_path(relation: DataFrame, source: DataFrame, target: DataFrame, depth: int = 16) -> DataFrame:
-    """(step, id) of one shortest undirected path; of equal ones, that with the smallest ids from its end. No path: no rows."""
-    levels = durable(reach(relation, source, depth, until=target), "reach")
-    edges = hops(relation).select("src", "dst")
-    at = levels.join(target.select("id").distinct(), "id", "left_semi").orderBy("level", "id").limit(1)
-    path = durable(at.select(F.col("level").alias("step"), "id"), "path")
-    first = path.first()
-    for step in range(first["step"] - 1 if first else -1, -1, -1):
-        head = path.filter(F.col("step") == step + 1).select(F.col("id").alias("dst"))
-        before = edges.join(F.broadcast(head), "dst", "left_semi").select(F.col("src").alias("id"))  # one row
-        before = before.join(levels.filter(F.col("level") == step), "id", "left_semi").agg(F.min("id").alias("id"))
-        path = path.union(durable(before.select(F.lit(step).alias("step"), "id"), "path"))
-    return path
+def shortest_path(relation: DataFrame, source: DataFrame, target: DataFrame, relation_in: DataFrame | None = None) -> DataFrame:
+    """(step, id) of one shortest undirected path of any length; of equal ones, that with the smallest ids from its end. No path: no rows."""
+    levels = durable(reach(relation, source, until=target, relation_in=relation_in), "reach")
+    last = among(levels, "id", target, "id").orderBy("level", "id").first()
+    path = [(last["level"], last["id"])] if last else []
+    back = relation if relation_in is None else relation_in
+    while path and path[-1][0]:
+        step, at = path[-1]
+        before = back.filter(F.col("to_id") == at).select(F.col("from_id").alias("id"))
+        before = before.union(relation.filter(F.col("from_id") == at).select(F.col("to_id").alias("id")))
+        path.append((step - 1, before.join(levels.filter(F.col("level") == step - 1), "id", "left_semi").agg(F.min("id")).first()[0]))
+    return relation.sparkSession.createDataFrame(path, "step int, id long")  # one row a hop
+
+
+def find_path(entity: DataFrame, relation: DataFrame, source: str, target: str, relation_in: DataFrame | None = None) -> DataFrame:
+    """``shortest_path`` between two names; an unknown name is an error."""
+    ends = []
+    for name in (source, target):
+        found = few(entity.filter(F.col("name") == name), "id")
+        if not found:
+            raise ValueError(f"no entity is named {name!r}")
+        ends.append(entity.sparkSession.createDataFrame([(i,) for i in found], "id long"))
+    return shortest_path(relation, *ends, relation_in=relation_in)
+
+
+def expand(relation: DataFrame, seeds: DataFrame, depth: int | None = None, relation_in: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, relations) around ``seeds`` for a viewer: one to three hops."""
+    n = clamp(depth, 1, 3)
+    nodes = reach(relation, seeds, n, relation_in=relation_in)
+    return nodes, scanned_edges(relation, nodes, n)
 
 
 def all_paths(relation: DataFrame, source: int, target: int, depth: int, limit: int | None = None) -> DataFrame:
@@ -84,6 +149,10 @@ def all_paths(relation: DataFrame, source: int, target: int, depth: int, limit:
         step = open_.join(onward, "src").select("dst", "path")
         done = step.filter(F.col("dst") == target).select(F.concat("path", F.array("dst")).alias("path"), F.lit(n).alias("hops"))
         found = done if found is None else found.union(done)
+        if limit is not None:
+            found = durable(found, "found")
+            if found.count() >= limit:
+                break  # longer paths come later
         if n < depth:
             grown = step.filter((F.col("dst") != target) & ~F.array_contains("path", F.col("dst")))
             open_ = durable(grown.select(F.col("dst").alias("src"), F.concat("path", F.array("dst")).alias("path")), "paths")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.operators import paths as P
+from graphloom.operators.reads import among, inside
 from graphloom.plans.registry import query
 
 #: A supplier, a customer and a nation: small ids exist at every scale.
@@ -34,30 +35,47 @@ for _direction, _word in (("OUTGOING", "out"), ("INCOMING", "in"), ("BOTH", "bot
     for _depth in (1, 2):
         _start = SUPPLIER if _word != "in" else 2_000_000_003
         query(f"neighbors_{_word}_d{_depth}", f"{_levels(f'({_start})', _depth, _direction)};;SELECT id, level FROM all{_depth}")(
-            lambda g, d=_direction, n=_depth, s=_start: P.reach(g.relation, _seed(g, s), n, d))
+            lambda g, d=_direction, n=_depth, s=_start: P.reach(g.relation, _seed(g, s), n, d, relation_in=g.relation_in if d != "OUTGOING" else None))
 
 
 @query("neighbors_typed_d2", _levels(f"({SUPPLIER})", 2, "BOTH", "relation_type = 'in_nation'") + ";;SELECT id, level FROM all2")
 def neighbors_typed_d2(g):
-    return P.reach(g.relation, _seed(g, SUPPLIER), 2, relation_type="in_nation")
+    return P.reach(g.relation, _seed(g, SUPPLIER), 2, relation_type="in_nation", relation_in=g.relation_in)
 
 
 @query("neighbors_edges_d2", _levels(f"({SUPPLIER})", 2) + ";;SELECT DISTINCT from_id, to_id, relation_type FROM hop WHERE src IN (SELECT id FROM all1)")
 def neighbors_edges_d2(g):
-    return P.scanned_edges(g.relation, P.reach(g.relation, _seed(g, SUPPLIER), 2), 2)
+    return P.scanned_edges(g.relation, P.reach(g.relation, _seed(g, SUPPLIER), 2, relation_in=g.relation_in), 2)
 
 
 @query("subgraph_d1", _levels(f"({SUPPLIER}), ({CUSTOMER}), (1000000001), (42)", 1) + ";;SELECT id, level FROM all1 WHERE id IN (SELECT id FROM entity)")
 def subgraph_d1(g):
-    seeds = g.entity.select("id").join(F.broadcast(_seed(g, SUPPLIER, CUSTOMER, 1_000_000_001, 42)), "id", "left_semi")
-    return P.reach(g.relation, seeds, 1)
+    return P.reach(g.relation, among(g.entity, "id", _seed(g, SUPPLIER, CUSTOMER, 1_000_000_001, 42), "id"), 1, relation_in=g.relation_in)
+
+
+@query("subgraph_edges_d1", _levels(f"({SUPPLIER}), ({CUSTOMER}), (1000000001)", 1) + ";;SELECT * FROM relation WHERE from_id IN (SELECT id FROM all1) AND to_id IN (SELECT id FROM all1)")
+def subgraph_edges_d1(g):
+    """The relations inside the subgraph."""
+    return inside(g.relation, subgraph_d1(g))
+
+
+@query("viewer_expand", _levels(f"({SUPPLIER})", 3) + ";;SELECT id, level FROM all3")
+def viewer_expand(g):
+    """A viewer may ask for any depth; three hops are walked at most."""
+    return P.expand(g.relation, _seed(g, SUPPLIER), 9, g.relation_in)[0]
+
+
+@query("find_path_chain", "SELECT CAST(p_partkey - 1 AS INTEGER) AS step, CAST(5000000000 + p_partkey AS BIGINT) AS id FROM part WHERE p_partkey BETWEEN 1 AND 45")
+def find_path_chain(g):
+    """A path of 44 hops along a chain."""
+    return P.find_path(g.entity_by_name, g.kept("chain", lambda: g.chain), "Part#000000001", "Part#000000045")
 
 
 @query("find_path_hops", _levels(f"({CUSTOMER})", 4) + f";;SELECT id AS target, level AS hops FROM all4 WHERE id IN ({OTHER}, {SUPPLIER}, 1000000002)")
 def find_path_hops(g):
     targets = _seed(g, OTHER, SUPPLIER, 1_000_000_002)
-    levels = P.reach(g.relation, _seed(g, CUSTOMER), 4)
-    return levels.join(F.broadcast(targets), "id", "left_semi").select(F.col("id").alias("target"), F.col("level").alias("hops"))
+    levels = P.reach(g.relation, _seed(g, CUSTOMER), 4, relation_in=g.relation_in)
+    return among(levels, "id", targets, "id").select(F.col("id").alias("target"), F.col("level").alias("hops"))
 
 
 @query("find_path_nodes", _levels(f"({CUSTOMER})", 4) + f""",
@@ -65,17 +83,18 @@ p AS (SELECT level AS step, id FROM all4 WHERE id = {SUPPLIER}
       UNION ALL SELECT p.step - 1, (SELECT min(h.src) FROM hop h JOIN all4 a ON a.id = h.src AND a.level = p.step - 1 WHERE h.dst = p.id) FROM p WHERE p.step > 0);;
 SELECT step, id FROM p""")
 def find_path_nodes(g):
-    return P.shortest_path(g.relation, _seed(g, CUSTOMER), _seed(g, SUPPLIER))
+    return P.shortest_path(g.relation, _seed(g, CUSTOMER), _seed(g, SUPPLIER), g.relation_in)
 
 
-_PATHS = f"""
-hop AS (SELECT from_id AS src, to_id AS dst FROM relation WHERE relation_type IN ('in_nation', 'in_region', 'bought') UNION ALL SELECT to_id, from_id FROM relation WHERE relation_type IN ('in_nation', 'in_region', 'bought')),
+def _paths(depth: int) -> str:
+    return f"""
+hop AS (SELECT from_id AS src, to_id AS dst FROM relation UNION ALL SELECT to_id, from_id FROM relation),
 w AS (SELECT CAST({CUSTOMER} AS BIGINT) AS id, [CAST({CUSTOMER} AS BIGINT)] AS path, 0 AS hops
-      UNION ALL SELECT dst, list_append(path, dst), hops + 1 FROM w JOIN hop ON src = w.id WHERE hops < 4 AND w.id <> {OTHER} AND NOT list_contains(path, dst) AND (hops < 3 OR dst = {OTHER}));;
+      UNION ALL SELECT dst, list_append(path, dst), hops + 1 FROM w JOIN hop ON src = w.id
+      WHERE hops < {depth} AND w.id <> {OTHER} AND NOT list_contains(path, dst) AND (hops < {depth - 1} OR dst = {OTHER}));;
 SELECT array_to_string(path, '>') AS path, hops FROM w WHERE id = {OTHER}"""
 
 
-@query("all_paths_d4", _PATHS)
-def all_paths_d4(g):
-    relation = g.relation.filter(F.col("relation_type").isin("in_nation", "in_region", "bought"))
-    return P.all_paths(relation, CUSTOMER, OTHER, 4).select(F.array_join("path", ">").alias("path"), "hops")
+for _depth in (3, 4):
+    query(f"all_paths_d{_depth}", _paths(_depth))(
+        lambda g, n=_depth: P.all_paths(g.relation, CUSTOMER, OTHER, n).select(F.array_join("path", ">").alias("path"), "hops"))
