@@ -68,6 +68,26 @@ def delivery_outcome(status: Column, attempts: Column, limit: int = 8) -> Column
     return F.when(status.between(200, 299), "done").when(retry & (attempts < limit), "pending").otherwise("dead")
 
 
+def delivery_transition(status: Column, attempts: Column, now: int, retry_after: Column) -> tuple[Column, Column]:
+    """(state, next_attempt): ``delivery_outcome``, and for another attempt the time asked for, or a second, clamped to 1 s to 1 h (microseconds)."""
+    state = delivery_outcome(status, attempts)
+    wait = F.least(F.greatest(F.coalesce(retry_after, F.lit(1_000_000)), F.lit(1_000_000)), F.lit(3_600_000_000))
+    return state, F.when(state == "pending", F.lit(now) + wait)
+
+
+def served_profiles(registry: DataFrame) -> DataFrame:
+    """(profile): the serving profile, and the candidate while one is being built (serving, candidate, state)."""
+    building = registry.filter("state = 'Rebuilding' AND candidate IS NOT NULL").select(F.col("candidate").alias("profile"))
+    return registry.filter("serving IS NOT NULL").select(F.col("serving").alias("profile")).union(building).distinct()
+
+
+def commit_chunks(chunks: DataFrame, held: DataFrame, new: DataFrame, generation: int) -> tuple[DataFrame, int]:
+    """(chunks, generation) after the commits ``held`` (entity_id, ...) that kept their fence: all chunks (owner_id, ...) of their entities are replaced by those of ``new``."""
+    owners = held.select(F.col("entity_id").alias("owner_id")).distinct()
+    after = chunks.join(owners, "owner_id", "left_anti").select(chunks.columns).union(new.join(owners, "owner_id", "left_semi").select(chunks.columns))
+    return after, generation + (0 if owners.isEmpty() else 1)
+
+
 def latest_jobs(change: DataFrame) -> DataFrame:
     """(entity_id, entity_revision, operation): the newest revision of each entity."""
     newest = change.filter("quiet = 0").groupBy("entity_id").agg(F.max(F.struct("entity_revision", "event_id", "operation")).alias("m"))
@@ -86,6 +106,69 @@ def missing_chunks(live: DataFrame, chunks: DataFrame) -> DataFrame:
     return lost.union(chunks.select("owner_id").distinct().join(live, "owner_id", "left_anti").select("owner_id", F.lit("no owner").alias("fault")))
 
 
+def scan_faults(entity: DataFrame, mirror: DataFrame, attachment: DataFrame, segment: DataFrame, chunks: DataFrame, jobs: DataFrame, attachment_jobs: DataFrame) -> DataFrame:
+    """(fault, owner_kind, owner_id): all that keeps a full scan from being served; it must find nothing.
+
+    ``entity`` (id, entity_type, revision, live), ``mirror`` (relation_id, revision, deleted),
+    ``attachment`` (attachment_id, entity_id, status, revision), ``segment`` (attachment_id,
+    chunk_index, text), ``chunks`` (owner_kind, owner_id, kind, chunk_index, owner_revision,
+    type), ``jobs`` (owner_kind, owner_id, revision, state) and ``attachment_jobs``
+    (attachment_id, state). A dead job excuses an owner without chunks.
+    """
+    key = ["owner_kind", "owner_id"]
+    said = lambda rows, fault, kind, owner: rows.select(F.lit(fault).alias("fault"), F.lit(kind).alias("owner_kind"), F.col(owner).alias("owner_id")).distinct()
+    out = []
+    live = entity.filter("live")
+    owners = {"entity": (live.select(F.col("id").alias("owner_id"), "revision"), "identity"), "relation": (mirror.filter("NOT deleted").select(F.col("relation_id").alias("owner_id"), "revision"), "relation")}
+    for kind, (rows, chunk) in owners.items():
+        dead = jobs.filter((F.col("owner_kind") == kind) & (F.col("state") == "dead")).select("owner_id")
+        mine = chunks.filter(F.col("owner_kind") == kind)
+        current = mine.filter(F.col("kind") == chunk).select("owner_id", F.col("owner_revision").alias("revision"))
+        out.append(said(rows.join(dead, "owner_id", "left_anti").join(current, ["owner_id", "revision"], "left_anti"), "stale", kind, "owner_id"))
+        out.append(said(mine.join(rows, "owner_id", "left_anti"), "no owner", kind, "owner_id"))
+    ready = attachment.filter("status = 'ready'").join(live.select(F.col("id").alias("entity_id"), "entity_type"), "entity_id")
+    ready = ready.select(F.col("attachment_id").alias("owner_id"), "revision", F.col("entity_type").alias("type"))
+    texts = segment.filter("text <> ''").select(F.col("attachment_id").alias("owner_id"), "chunk_index")
+    mine = chunks.filter("owner_kind = 'attachment'")
+    job = jobs.filter("owner_kind = 'attachment'").select("owner_id", F.col("revision").alias("job_revision"), "state")
+    count = lambda rows, name: rows.groupBy("owner_id").agg(F.count(F.lit(1)).alias(name))
+    judged = ready.join(job, "owner_id", "left").join(count(texts, "texts"), "owner_id", "left").join(count(mine, "vectors"), "owner_id", "left").fillna(0, ["texts", "vectors"])
+    unfit = F.col("state").isNull() | (F.col("job_revision") != F.col("revision")) | ((F.col("state") != "dead") & ((F.col("state") != "done") | (F.col("texts") != F.col("vectors")))) | ((F.col("state") == "dead") & (F.col("vectors") > 0))
+    out.append(said(judged.filter(unfit), "job or count", "attachment", "owner_id"))
+    fitting = mine.filter("kind = 'attachment'").select("owner_id", "chunk_index", F.col("owner_revision").alias("revision"), "type")
+    asked = judged.filter("state <> 'dead'").select("owner_id", "revision", "type").join(texts, "owner_id")
+    out.append(said(asked.join(fitting, ["owner_id", "chunk_index", "revision", "type"], "left_anti"), "segment without vector", "attachment", "owner_id"))
+    wanted = ready.join(texts, "owner_id").select("owner_id", "chunk_index", F.col("revision").alias("owner_revision"), "type", F.lit("attachment").alias("kind"))
+    out.append(said(mine.join(wanted, ["owner_id", "chunk_index", "owner_revision", "type", "kind"], "left_anti"), "vector without segment", "attachment", "owner_id"))
+    out.append(said(attachment_jobs.filter("state IN ('pending', 'leased')"), "extracting", "attachment", "attachment_id"))
+    unfinished = jobs.filter("state NOT IN ('done', 'dead')").select(F.lit("unfinished").alias("fault"), *key).distinct()
+    rows = unfinished
+    for more in out:
+        rows = rows.union(more)
+    return rows
+
+
+def type_jobs(subjects: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(kind, name, revision, operation): what brings the vectors (kind, name, revision) of types up to ``subjects`` (kind, name, revision): upsert of missing and outdated ones, delete of others."""
+    stale = subjects.join(vectors, ["kind", "name", "revision"], "left_anti").select("kind", "name", "revision", F.lit("upsert").alias("operation"))
+    gone = vectors.join(subjects, ["kind", "name"], "left_anti").select("kind", "name", "revision", F.lit("delete").alias("operation"))
+    return stale.union(gone)
+
+
+def type_snapshots(subjects: DataFrame, vectors: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(kind, n, served): for each kind the vectors of its types, and whether they may be served.
+
+    A kind is served if it has no unfinished job (kind, name, state), no vector of a type
+    that is gone, and a vector at its revision for each type but those whose job is dead.
+    """
+    kinds = subjects.select("kind").union(vectors.select("kind")).union(jobs.select("kind")).distinct()
+    dead = jobs.filter("state = 'dead'").select("kind", "name")
+    faults = type_jobs(subjects, vectors)
+    faults = faults.filter("operation = 'delete'").select("kind").union(faults.filter("operation = 'upsert'").join(dead, ["kind", "name"], "left_anti").select("kind")).union(jobs.filter("state NOT IN ('done', 'dead')").select("kind"))
+    rows = kinds.join(vectors.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), "kind", "left").join(faults.distinct().withColumn("faulty", F.lit(True)), "kind", "left")
+    return rows.select("kind", F.coalesce("n", F.lit(0)).alias("n"), F.col("faulty").isNull().alias("served"))
+
+
 def idempotency(requests: DataFrame) -> DataFrame:
     """(request_id, outcome): first use of a (principal, key) applies; the same fingerprint replays, another conflicts."""
     first = requests.groupBy("principal", "key").agg(F.min(F.struct("request_id", "fingerprint")).alias("f"))

@@ -9,7 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.limits import BODY_BYTES, NAME_BYTES
+
 TRIPLE = ["from_id", "to_id", "relation_type"]
+MOVED = ["new_from", "new_to", "new_type"]
 
 
 def create_entities(entity: DataFrame, new: DataFrame, first_id: int) -> DataFrame:
@@ -39,17 +42,59 @@ def add_observations(observation: DataFrame, new: DataFrame, only_new: bool = Fa
     return observation.unionByName(rows.select("entity_id", (F.coalesce("last", F.lit(-1)) + F.col("place")).cast("int").alias("idx"), "body"))
 
 
+def unknown_owners(entity: DataFrame, new: DataFrame) -> DataFrame:
+    """Rows of ``new`` (entity_id, pos, ...) whose entity doesn't exist: a request with any is refused whole."""
+    return new.join(entity.select(F.col("id").alias("entity_id")), "entity_id", "left_anti").select(new.columns)
+
+
+def request_observations(observation: DataFrame, entity: DataFrame, new: DataFrame, only_new: bool = False) -> DataFrame:
+    """``add_observations`` for entities that exist; a row for another one is an error and nothing is added."""
+    first = unknown_owners(entity, new).select("entity_id").first()
+    if first:
+        raise ValueError(f"no entity has the id {first['entity_id']}")
+    return add_observations(observation, new, only_new)
+
+
 def delete_observations(observation: DataFrame, gone: DataFrame) -> DataFrame:
     """Remove every observation equal to a row of ``gone`` (entity_id, body)."""
     return observation.join(gone.select("entity_id", "body").distinct(), ["entity_id", "body"], "left_anti").select("entity_id", "idx", "body")
 
 
-def delete_entities(entity: DataFrame, relation: DataFrame, observation: DataFrame, attribute: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """The four tables without the named entities, their relations, observations and attributes."""
+def delete_observations_at(observation: DataFrame, gone: DataFrame) -> DataFrame:
+    """Remove the observations at the places of ``gone`` (entity_id, idx); unknown places change nothing."""
+    return observation.join(gone.select("entity_id", "idx").distinct(), ["entity_id", "idx"], "left_anti").select("entity_id", "idx", "body")
+
+
+def cascade(ids: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
+    """Each table without the rows that go with the entities ``ids`` (id).
+
+    Those are the entities (id, name), what has one at an end (from_id, to_id), what
+    belongs to one (entity_id, or owner_kind and owner_id), and, by the table ``attachment``,
+    what belongs to its attachments (attachment_id).
+    """
+    files = tables["attachment"].join(ids.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select("attachment_id") if "attachment" in tables else None
+    out = {}
+    for name, rows in tables.items():
+        has = set(rows.columns)
+        without = lambda df, column: df.join(ids.select(F.col("id").alias(column)), column, "left_anti")
+        if "from_id" in has:
+            left = without(without(rows, "from_id"), "to_id")
+        elif "entity_id" in has:
+            left = without(rows, "entity_id")
+        elif "owner_kind" in has:
+            left = without(rows.filter("owner_kind = 'entity'"), "owner_id").select(rows.columns).union(rows.filter("NOT owner_kind <=> 'entity'"))
+        elif "attachment_id" in has:
+            left = rows.join(files, "attachment_id", "left_anti")
+        else:
+            left = without(rows, "id")
+        out[name] = left.select(rows.columns)
+    return out
+
+
+def delete_entities(entity: DataFrame, names: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
+    """``entity`` and the other tables without the named entities and all that goes with them; unknown names are ignored."""
     ids = entity.join(names.select("name").distinct(), "name", "left_semi").select("id")
-    without = lambda df, column: df.join(ids.select(F.col("id").alias(column)), column, "left_anti").select(df.columns)
-    other = attribute.filter("owner_kind <> 'entity'")
-    return without(entity, "id"), without(without(relation, "from_id"), "to_id"), without(observation, "entity_id"), without(attribute.filter("owner_kind = 'entity'"), "owner_id").union(other)
+    return cascade(ids, entity=entity, **tables)
 
 
 def create_relations(relation: DataFrame, entity: DataFrame, new: DataFrame) -> DataFrame:
@@ -60,38 +105,74 @@ def create_relations(relation: DataFrame, entity: DataFrame, new: DataFrame) ->
 
 
 def delete_relations(relation: DataFrame, gone: DataFrame) -> DataFrame:
-    return relation.join(gone.select(*TRIPLE).distinct(), TRIPLE, "left_anti").select(*TRIPLE)
+    """``relation``, or a table of what belongs to relations (triple, ...), without the triples of ``gone``."""
+    return relation.join(gone.select(*TRIPLE).distinct(), TRIPLE, "left_anti").select(relation.columns)
+
+
+def tombstones(mirror: DataFrame, gone: DataFrame) -> DataFrame:
+    """``mirror`` (triple, revision, deleted) with the live rows of ``gone`` marked deleted at the next revision."""
+    marked = mirror.join(gone.select(*TRIPLE).distinct().withColumn("__gone", F.lit(True)), TRIPLE, "left")
+    falls = F.col("__gone").isNotNull() & ~F.col("deleted")
+    return marked.select(*TRIPLE, (F.col("revision") + falls.cast("int")).alias("revision"), (F.col("deleted") | falls).alias("deleted"))
+
+
+def _moves(relation: DataFrame, chosen: DataFrame, new: dict) -> tuple[DataFrame, DataFrame]:
+    """(moves, refused) of the live ``chosen`` triples to ``new`` (new_from, new_to, new_type); live targets are refused."""
+    asked = chosen.select(*TRIPLE).distinct().join(relation.select(*TRIPLE), TRIPLE, "left_semi").withColumns(new)
+    live = relation.select(*[F.col(c).alias(n) for c, n in zip(TRIPLE, MOVED, strict=True)]).withColumn("__live", F.lit(True))
+    judged = asked.join(live, MOVED, "left")
+    return judged.filter("__live IS NULL").select(*TRIPLE, *MOVED), judged.filter("__live").select(*TRIPLE)
+
+
+def reverse_moves(relation: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(moves, refused) that turn ``chosen`` round; self loops and turns onto a live triple are refused."""
+    return _moves(relation, chosen, {"new_from": F.col("to_id"), "new_to": F.col("from_id"), "new_type": F.col("relation_type")})
+
+
+def retype_moves(relation: DataFrame, chosen: DataFrame, new_type: str) -> tuple[DataFrame, DataFrame]:
+    """(moves, refused) that give ``chosen`` a new type; the same type is no change, a live target is refused."""
+    other = chosen.filter(F.col("relation_type") != new_type)
+    return _moves(relation, other, {"new_from": F.col("from_id"), "new_to": F.col("to_id"), "new_type": F.lit(new_type)})
+
+
+def apply_moves(rows: DataFrame, moves: DataFrame) -> DataFrame:
+    """Relations, their observations or their attributes (triple, ...) with moved triples under their new names.
+
+    Moves onto one triple unite it; what belongs to both stays.
+    """
+    joined = rows.join(moves, TRIPLE, "left")
+    return joined.select(*[F.coalesce(n, c).alias(c) for c, n in zip(TRIPLE, MOVED, strict=True)], *[c for c in rows.columns if c not in TRIPLE]).select(rows.columns).distinct()
 
 
 def reverse_relations(relation: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(relations with ``chosen`` turned round, refused): self loops and turns onto a live triple are refused."""
-    asked = chosen.select(*TRIPLE).distinct().join(relation, TRIPLE, "left_semi")
-    turned = asked.select(F.col("from_id").alias("to_id"), F.col("to_id").alias("from_id"), "relation_type").select(*TRIPLE)
-    taken = turned.join(relation, TRIPLE, "left_semi").select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "relation_type")
-    refused = taken.union(asked.filter("from_id = to_id").select(*TRIPLE)).distinct()
-    moved = asked.join(refused, TRIPLE, "left_anti")
-    kept = relation.select(*TRIPLE).join(moved, TRIPLE, "left_anti").select(*TRIPLE)
-    return kept.union(moved.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "relation_type")), refused
+    """(relations with ``chosen`` turned round, refused)."""
+    moves, refused = reverse_moves(relation, chosen)
+    return apply_moves(relation.select(*TRIPLE), moves), refused
 
 
 def change_relation_type(relation: DataFrame, chosen: DataFrame, new_type: str) -> tuple[DataFrame, DataFrame]:
-    """(relations with ``chosen`` of the new type, refused): the same type is no change, a live target is refused."""
-    asked = chosen.select(*TRIPLE).distinct().join(relation, TRIPLE, "left_semi").filter(F.col("relation_type") != new_type)
-    live = relation.filter(F.col("relation_type") == new_type).select("from_id", "to_id")
-    refused = asked.join(live, ["from_id", "to_id"], "left_semi").select(*TRIPLE)
-    moved = asked.join(live, ["from_id", "to_id"], "left_anti")
-    kept = relation.select(*TRIPLE).join(moved, TRIPLE, "left_anti").select(*TRIPLE)
-    return kept.union(moved.select("from_id", "to_id", F.lit(new_type).alias("relation_type"))).distinct(), refused
+    """(relations with ``chosen`` of the new type, refused)."""
+    moves, refused = retype_moves(relation, chosen, new_type)
+    return apply_moves(relation.select(*TRIPLE), moves), refused
 
 
-def merge_entities(entity: DataFrame, relation: DataFrame, observation: DataFrame, attribute: DataFrame, source: int, target: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def of_live_relations(rows: DataFrame, relation: DataFrame) -> DataFrame:
+    """What belongs to relations (triple, ...) that still exist."""
+    return rows.join(relation.select(*TRIPLE), TRIPLE, "left_semi").select(rows.columns)
+
+
+def merge_entities(entity: DataFrame, relation: DataFrame, observation: DataFrame, attribute: DataFrame, source: int, target: int, attachment: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The four tables with ``source`` merged into ``target``.
 
     Unseen bodies are appended, attributes of the source win, relations are re-pointed and
-    made distinct (those between both become self loops). Equal ids change nothing.
+    made distinct (those between both become self loops); bodies and attributes of re-pointed
+    relations are not carried (``of_live_relations``). Equal ids change nothing; a source
+    that owns attachments is refused.
     """
     if source == target:
         return entity, relation, observation, attribute
+    if attachment is not None and not attachment.filter(F.col("entity_id") == source).isEmpty():
+        raise ValueError("an entity with attachments can't be merged into another")
     move = lambda c: F.when(F.col(c) == source, F.lit(target).cast("long")).otherwise(F.col(c))
     # Only pairs that the move touches can become equal.
     touched = (F.col("from_id").isin(source, target)) | (F.col("to_id").isin(source, target))
@@ -104,10 +185,33 @@ def merge_entities(entity: DataFrame, relation: DataFrame, observation: DataFram
     return entity.filter(F.col("id") != source), relation.filter(~touched).select(*TRIPLE).union(moved), bodies, attributes
 
 
+def merge_origins(before: DataFrame, after: DataFrame, entity: DataFrame, source: int, target: int) -> DataFrame:
+    """(entity_id, idx, origin): the name of the source for each observation that a merge carried over to the target."""
+    last = before.filter(F.col("entity_id") == target).agg(F.coalesce(F.max("idx"), F.lit(-1)).alias("last"))
+    name = entity.filter(F.col("id") == source).select(F.col("name").alias("origin"))
+    return after.filter(F.col("entity_id") == target).crossJoin(last).filter("idx > last").crossJoin(name).select("entity_id", "idx", "origin")  # one row each
+
+
+def rename_outcome(entity: DataFrame, names: DataFrame) -> DataFrame:
+    """(pos, name, new_name, outcome) of each row of ``names`` (pos, name, new_name).
+
+    renamed; unknown: nothing has that name (a second renaming of it neither); taken: the
+    new name is held, or an earlier row gets it; empty: the new name is. Names stay unique.
+    """
+    known = entity.select("name", F.lit(True).alias("known"))
+    held = entity.select(F.col("name").alias("new_name"), F.lit(True).alias("held"))
+    rows = names.join(known, "name", "left").join(held, "new_name", "left")
+    free = F.col("known").isNotNull() & F.col("held").isNull() & (F.col("new_name") != "")
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("name").orderBy(F.when(free, 0).otherwise(1), "pos")))
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("new_name").orderBy(F.when(free & (F.col("at") == 1), 0).otherwise(1), "pos")))
+    outcome = F.when(F.col("known").isNull(), "unknown").when(F.coalesce("new_name", F.lit("")) == "", "empty").when(F.col("held").isNotNull(), "taken").when(F.col("at") > 1, "unknown").when(F.col("turn") > 1, "taken").otherwise("renamed")
+    return rows.select("pos", "name", "new_name", outcome.alias("outcome"))
+
+
 def rename_entities(entity: DataFrame, names: DataFrame) -> DataFrame:
-    """Entities renamed by ``names`` (name, new_name); a new name that is taken is not given."""
-    free = names.join(entity.select(F.col("name").alias("new_name")), "new_name", "left_anti")
-    return entity.join(free, "name", "left").select("id", F.coalesce("new_name", "name").alias("name"), "entity_type")
+    """Entities renamed by the rows of ``names`` (pos, name, new_name) that ``rename_outcome`` allows."""
+    given = rename_outcome(entity, names).filter("outcome = 'renamed'").select("name", "new_name")
+    return entity.join(given, "name", "left").select("id", F.coalesce("new_name", "name").alias("name"), "entity_type")
 
 
 def set_attributes(attribute: DataFrame, new: DataFrame) -> DataFrame:
@@ -119,12 +223,19 @@ def set_attributes(attribute: DataFrame, new: DataFrame) -> DataFrame:
 
 def changes(before: DataFrame, after: DataFrame, key: str, content: list[str]) -> DataFrame:
     """(key, operation): create, update or delete of each key whose ``content`` differs between two states."""
-    print_ = F.xxhash64(*[F.col(c) for c in content])
-    both = before.select(key, print_.alias("old"), F.lit(True).alias("was")).join(after.select(key, print_.alias("new"), F.lit(True).alias("is")), key, "full")
-    operation = F.when(F.col("was").isNull(), "create").when(F.col("is").isNull(), "delete").when(F.col("old") != F.col("new"), "update")
+    row = lambda df, name: df.select(key, F.struct(*content).alias(name))
+    both = row(before, "old").join(row(after, "new"), key, "full")
+    operation = F.when(F.col("old").isNull(), "create").when(F.col("new").isNull(), "delete").when(~F.col("old").eqNullSafe(F.col("new")), "update")
     return both.select(key, operation.alias("operation")).filter("operation IS NOT NULL")
 
 
+def relation_deltas(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(id, from_id, to_id, relation_type, operation): each relation that came (create) or went (delete), told to both its ends."""
+    gone = before.select(*TRIPLE).join(after.select(*TRIPLE), TRIPLE, "left_anti").withColumn("operation", F.lit("delete"))
+    come = after.select(*TRIPLE).join(before.select(*TRIPLE), TRIPLE, "left_anti").withColumn("operation", F.lit("create"))
+    return gone.union(come).distinct().select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("id"), *TRIPLE, "operation")
+
+
 def counter_deltas(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
     """(key, delta): signed change of row counts by ``key``, zeros left out."""
     rows = before.select(key, F.lit(-1).alias("d")).union(after.select(key, F.lit(1).alias("d")))
@@ -132,8 +243,8 @@ def counter_deltas(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
 
 
 def edit_observations(observation: DataFrame, edits: DataFrame) -> DataFrame:
-    """Observations with the body of ``edits`` (entity_id, idx, new_body) where one is given; unknown places change nothing."""
-    given = edits.groupBy("entity_id", "idx").agg(F.max("new_body").alias("new_body"))
+    """Observations with the last body of ``edits`` (entity_id, idx, pos, new_body) where one is given; unknown places change nothing."""
+    given = edits.groupBy("entity_id", "idx").agg(F.max_by("new_body", "pos").alias("new_body"))
     return observation.join(given, ["entity_id", "idx"], "left").select("entity_id", "idx", F.coalesce("new_body", "body").alias("body"))
 
 
@@ -165,6 +276,14 @@ def defined_names(entity: DataFrame, relation: DataFrame, names: DataFrame, rela
 
 
 def set_descriptions(described: DataFrame, new: DataFrame) -> DataFrame:
-    """Type descriptions (kind, name, description) with those of ``new`` set; an empty one clears."""
-    rows = described.join(new.select("kind", "name").distinct(), ["kind", "name"], "left_anti").select("kind", "name", "description")
-    return rows.unionByName(new.filter("description <> ''").select("kind", "name", "description").distinct())
+    """Type descriptions (kind, name, description) with the last ones of ``new`` (pos, kind, name, description) set; an empty one clears."""
+    last = new.groupBy("kind", "name").agg(F.max_by("description", "pos").alias("description"))
+    rows = described.join(last, ["kind", "name"], "left_anti").select("kind", "name", "description")
+    return rows.unionByName(last.filter("description <> ''"))
+
+
+def request_faults(entities: DataFrame, observations: DataFrame) -> DataFrame:
+    """(pos, fault) of a request's entities (pos, name) and observations (pos, body): empty or too long names, missing or too long bodies."""
+    name = F.when(F.coalesce("name", F.lit("")) == "", "empty name").when(F.octet_length("name") > NAME_BYTES, "long name")
+    body = F.when(F.col("body").isNull(), "no body").when(F.octet_length("body") > BODY_BYTES, "long body")
+    return entities.select("pos", name.alias("fault")).union(observations.select("pos", body.alias("fault"))).filter("fault IS NOT NULL")
