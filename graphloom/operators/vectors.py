@@ -7,7 +7,7 @@ Spark takes in each task first; best chunks are partial min_by aggregations.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +34,7 @@ def distance(a: Column, b: Column, metric: str = "cosine") -> Column:
 
 def scored(chunks: DataFrame, query: DataFrame, metric: str = "cosine", digits: int = 6) -> DataFrame:
     """``chunks`` with ``distance`` to the vector of the one-row frame ``query`` (q); other dimensions are an error."""
-    rows = chunks.crossJoin(F.broadcast(query.select("q").limit(1)))  # one row
+    rows = chunks.crossJoin(query.select("q").limit(1))  # one row
     same = F.when(F.size("embedding") == F.size("q"), distance(F.col("embedding"), F.col("q"), metric)).otherwise(F.raise_error(F.lit("dimensions differ")).cast("double"))
     return rows.withColumn("distance", F.round(same, digits)).drop("q")
 
@@ -150,14 +150,26 @@ def invalid_vectors(chunks: DataFrame, dimensions: int, tolerance: float = 1e-4)
 
 
 def hashed_embedding(text: Column, dimensions: int = 64) -> Column:
-    """A deterministic embedding of a text: signed counts of hashed words, of norm 1 (0 without words)."""
+    """A deterministic embedding of a text, of norm 1 (0 without words).
+
+    A word adds 1 or -1 at one place: by the first 32 bits of its MD5 modulo ``dimensions``,
+    and the next four bits modulo 2.
+    """
 
     def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        places: dict[str, tuple[int, float]] = {}
         for part in parts:
             out = []
             for words in part:
-                codes = np.array([zlib.crc32(w.encode()) for w in words] if words is not None else [], np.int64)
-                v = np.bincount(codes % dimensions, np.where(codes >> 16 & 1, 1.0, -1.0), dimensions)
+                v = np.zeros(dimensions)
+                for w in words if words is not None else ():
+                    got = places.get(w)
+                    if got is None:
+                        code = hashlib.md5(w.encode()).hexdigest()
+                        got = (int(code[:8], 16) % dimensions, 1.0 - 2.0 * (int(code[8], 16) % 2))
+                        if len(places) < 1_000_000:
+                            places[w] = got
+                    v[got[0]] += got[1]
                 out.append((v / (np.linalg.norm(v) or 1)).tolist())
             yield pd.Series(out)
 
@@ -186,3 +198,70 @@ def near_subjects(subjects: DataFrame, query: DataFrame, k: int, metric: str = "
     rows = scored(subjects, query, metric)
     at = F.row_number().over(Window.partitionBy("kind").orderBy("distance", "vec_id"))
     return rows.withColumn("at", at).filter(F.col("at") <= k).select("kind", "vec_id", "distance")
+
+
+def owner_types(entity: DataFrame, mirror: DataFrame, attachment: DataFrame) -> DataFrame:
+    """(owner_kind, owner_id, type): live owners of chunks and their types.
+
+    Entities by their type, relations of ``mirror`` (relation_id, triple, deleted) by
+    theirs, ready attachments (attachment_id, entity_id, status) by that of their entity.
+    """
+    a = entity.select(F.lit("entity").alias("owner_kind"), F.col("id").alias("owner_id"), F.col("entity_type").alias("type"))
+    b = mirror.filter("NOT deleted").select(F.lit("relation"), F.col("relation_id"), F.col("relation_type"))
+    c = attachment.filter("status = 'ready'").join(entity.select(F.col("id").alias("entity_id"), "entity_type"), "entity_id").select(F.lit("attachment"), "attachment_id", "entity_type")
+    return a.union(b).union(c)
+
+
+def filtered(chunks: DataFrame, entity: DataFrame, mirror: DataFrame, attachment: DataFrame, owner_kind: str | None = None, type_name: str | None = None, source: int | None = None, target: int | None = None, relation_type: str | None = None, allow_attachments: bool = False) -> DataFrame:
+    """``chunks`` (owner_kind, owner_id, ...) that a search may rank; every filter comes before the candidates are capped.
+
+    Attachments need consent. With any of ``source``, ``target`` and ``relation_type`` a
+    chunk of a relation stays only if the relation lives and has them; others are not concerned.
+    """
+    if not allow_attachments:
+        chunks = chunks.filter("owner_kind <> 'attachment'")
+    if owner_kind:
+        chunks = chunks.filter(F.col("owner_kind") == owner_kind)
+    if type_name:
+        typed = owner_types(entity, mirror, attachment).filter(F.col("type") == type_name).select("owner_kind", "owner_id")
+        chunks = chunks.join(typed, ["owner_kind", "owner_id"], "left_semi")
+    wanted = {c: v for c, v in (("from_id", source), ("to_id", target), ("relation_type", relation_type)) if v is not None}
+    if wanted:
+        live = mirror.filter("NOT deleted")
+        for column, value in wanted.items():
+            live = live.filter(F.col(column) == value)
+        relations = chunks.filter("owner_kind = 'relation'").join(live.select(F.col("relation_id").alias("owner_id")), "owner_id", "left_semi").select(chunks.columns)
+        chunks = chunks.filter("owner_kind <> 'relation'").union(relations)
+    return chunks
+
+
+def resolved(hits: DataFrame, entity: DataFrame, mirror: DataFrame, attachment: DataFrame) -> DataFrame:
+    """``hits`` (owner_kind, owner_id, ...) with name, type, from_name and to_name; hits whose owner is gone are left out.
+
+    An entity has its name and type, an attachment its file name and its entity's type, a
+    relation its type and the names of its ends.
+    """
+    none = F.lit(None).cast("string")
+    columns = [*hits.columns, "name", "type", "from_name", "to_name"]
+    end = lambda c: entity.select(F.col("id").alias(f"{c}_id"), F.col("name").alias(f"{c}_name"))
+    a = hits.filter("owner_kind = 'entity'").join(entity.select(F.col("id").alias("owner_id"), "name", F.col("entity_type").alias("type")), "owner_id").withColumns({"from_name": none, "to_name": none})
+    lived = mirror.filter("NOT deleted").join(end("from"), "from_id").join(end("to"), "to_id").select(F.col("relation_id").alias("owner_id"), none.alias("name"), F.col("relation_type").alias("type"), "from_name", "to_name")
+    b = hits.filter("owner_kind = 'relation'").join(lived, "owner_id")
+    ready = attachment.filter("status = 'ready'").join(entity.select(F.col("id").alias("entity_id"), F.col("entity_type").alias("type")), "entity_id")
+    c = hits.filter("owner_kind = 'attachment'").join(ready.select(F.col("attachment_id").alias("owner_id"), F.col("filename").alias("name"), "type"), "owner_id").withColumns({"from_name": none, "to_name": none})
+    return a.select(columns).union(b.select(columns)).union(c.select(columns))
+
+
+def attachment_texts(hits: DataFrame, attachment: DataFrame, segment: DataFrame) -> DataFrame:
+    """``hits`` (owner_id, chunk_index, revision, ...) of attachments with the text of their segment (attachment_id, chunk_index, segment).
+
+    The fence: the attachment is ready and still at the revision of the hit; others are left out.
+    """
+    live = attachment.filter("status = 'ready'").select(F.col("attachment_id").alias("owner_id"), "revision")
+    texts = segment.select(F.col("attachment_id").alias("owner_id"), "chunk_index", F.col("segment").alias("text"))
+    return hits.join(live, ["owner_id", "revision"], "left_semi").join(texts, ["owner_id", "chunk_index"]).select(*hits.columns, "text")
+
+
+def out_neighbors(relation: DataFrame) -> DataFrame:
+    """(id, n): distinct outgoing neighbours of each node that has any."""
+    return relation.select(F.col("from_id").alias("id"), "to_id").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("n"))

@@ -28,8 +28,29 @@ def _is_folder(g, path: str) -> bool:
 @query("stream_event_revisions")
 def stream_event_revisions(g):
     at = f"{shared_dir(g.spark)}/stream-{uuid.uuid4().hex}"
-    E.run_available(E.revisions(_changes(g)), f"{at}/out", f"{at}/checkpoint")
-    return g.spark.read.schema("event_id long, entity_id long, entity_revision long").parquet(f"{at}/out")
+    E.number_available(_changes(g), f"{at}/out", f"{at}/checkpoint")
+    return g.spark.read.schema("event_id long, entity_id long, entity_revision long").parquet(f"{at}/out").drop("batch")
 
 
 SQL["stream_event_revisions"] = SQL["event_revisions"]
+
+
+@query("stream_window_counts", "SELECT date_trunc('hour', ts) AS start, event_type AS operation, count(*) AS n FROM events GROUP BY ALL")
+def stream_window_counts(g):
+    """Counts by hour; the watermark is wider than the table, so no row is late and each window is closed by a last batch."""
+    at = f"{shared_dir(g.spark)}/stream-{uuid.uuid4().hex}"
+    rows = E.windowed_counts(_changes(g), late="3650 days")
+    rows.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/checkpoint").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{at}/out")).trigger(availableNow=True).start().awaitTermination()
+    out = g.spark.read.parquet(f"{at}/out")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "operation", "n")
+
+
+@query("file_bursts", """
+c AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM c),
+m AS (SELECT user_id, burst, max(ts) AS last, max(struct_pack(t := ts, k := CASE event_type WHEN 'error' THEN 'delete' ELSE 'write' END)).k AS kind FROM b GROUP BY user_id, burst);;
+SELECT 'f' || user_id AS path, last, CASE kind WHEN 'delete' THEN 'purge' ELSE 'index' END AS action FROM m""")
+def file_bursts(g):
+    """Users as files and events as changes; a burst ends after six quiet hours."""
+    e = g.table("events").select(F.concat(F.lit("f"), F.col("user_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("ts"), F.when(F.col("event_type") == "error", "delete").otherwise("write").alias("kind"))
+    return E.settled_files(e, "6 hours").withColumn("last", F.col("last").cast("timestamp_ntz"))

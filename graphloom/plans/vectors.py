@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import search as S
 from graphloom.operators import vectors as V
+from graphloom.plans.code import embedded_sql
 from graphloom.plans.registry import query
+from graphloom.sources.attachments import segments
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda x: x[1] * x[2]))"
 _COS = f"1.0 - {_DOT} / (sqrt({_DOT.format('{0}', '{0}')}) * sqrt({_DOT.format('{1}', '{1}')}))"
@@ -83,7 +85,7 @@ def _lists(g):
 
 _LISTS = _BEST + r""",
 t AS (SELECT owner_id, row_number() OVER (ORDER BY owner_id) - 1 AS rank FROM (
-  SELECT DISTINCT entity_id AS owner_id FROM observation WHERE entity_id >= 6000000000 AND list_contains(regexp_extract_all(translate(lower(body), 'äçèéêíñóöü', 'aceeeinoou'), '[\p{L}\p{N}]+'), 'the') ORDER BY 1 LIMIT 30)),
+  SELECT DISTINCT entity_id AS owner_id FROM observation WHERE entity_id >= 6000000000 AND list_contains(regexp_extract_all(strip_accents(lower(body)), '[\p{L}\p{N}]+'), 'the') ORDER BY 1 LIMIT 30)),
 v AS (SELECT owner_id, row_number() OVER (ORDER BY distance, owner_id) - 1 AS rank FROM (SELECT * FROM b ORDER BY distance, owner_id LIMIT 30)),
 f AS (SELECT owner_id, coalesce(CAST(0.5 AS DOUBLE) / (60 + t.rank), 0.0) AS text_score, coalesce(CAST(0.5 AS DOUBLE) / (60 + v.rank), 0.0) AS vec_score FROM t FULL JOIN v USING (owner_id))"""
 
@@ -103,20 +105,107 @@ def hybrid_rrf_boosted(g):
     return V.boosted(V.reciprocal_rank_fusion(*_lists(g)), n).select("owner_id", F.round("score", 9).alias("score"))
 
 
-@query("vec_mmr")
+def _mmr_sql(k: int) -> str:
+    """Greedy choice by unrolled steps: each takes the best of the pool that is left."""
+    out = _D.format(_COS.format("embedding", "q")) + f""", p AS (SELECT vec_id, distance, embedding FROM d ORDER BY distance, vec_id LIMIT 40),
+pairs AS (SELECT a.vec_id, b.vec_id AS other, 1.0 - ({_COS.format('a.embedding', 'b.embedding')}) AS near FROM p a, p b),
+c0 AS (SELECT CAST(NULL AS BIGINT) AS vec_id, CAST(NULL AS BIGINT) AS place, CAST(NULL AS DOUBLE) AS score WHERE false)"""
+    for n in range(1, k + 1):
+        out += f""", s{n} AS (SELECT p.vec_id, round(-0.5 * distance - 0.5 * greatest(0, coalesce((SELECT max(near) FROM pairs WHERE pairs.vec_id = p.vec_id AND other IN (SELECT vec_id FROM c{n - 1})), 0)), 6) + 0.0 AS score
+FROM p WHERE p.vec_id NOT IN (SELECT vec_id FROM c{n - 1})),
+c{n} AS (SELECT * FROM c{n - 1} UNION ALL (SELECT vec_id, {n - 1} AS place, score FROM s{n} ORDER BY score DESC, vec_id LIMIT 1))"""
+    return out + f";;SELECT CAST(0 AS BIGINT) AS query_id, CAST(place AS INTEGER) AS place, vec_id, score FROM c{k}"
+
+
+@query("vec_mmr", _mmr_sql(10))
 def vec_mmr(g):
     pool = V.top_k(V.scored(g.chunk_vector, _query(g)), 40, "vec_id").withColumn("query_id", F.lit(0).cast("long"))
     return V.mmr(pool, 10)
 
 
-@query("semantic_search")
+_TYPED = "the hand of the thing"
+
+
+@query("semantic_search", embedded_sql(f"(SELECT doc_id, text FROM documents UNION ALL SELECT -1, '{_TYPED}')", "doc_id", "text") + """,
+q AS (SELECT place, x AS y FROM embedded WHERE doc_id = -1),
+d AS (SELECT doc_id, round(1 - sum(x * y), 6) + 0.0 AS distance FROM embedded JOIN q USING (place) WHERE doc_id >= 0 GROUP BY doc_id),
+n AS (SELECT doc_id AS owner_id, doc_id AS vec_id, coalesce(distance, 1.0) AS distance FROM documents LEFT JOIN d USING (doc_id));;
+SELECT * FROM n ORDER BY distance, owner_id LIMIT 20""")
 def semantic_search(g):
     """Documents nearest to a typed text under the hashed embedding."""
     docs = g.table("documents").select(F.col("doc_id").alias("owner_id"), F.col("doc_id").alias("vec_id"), V.hashed_embedding(F.col("text")).alias("embedding"))
-    q = g.spark.range(1).select(V.hashed_embedding(F.lit("the hand of the thing")).alias("q"))
+    q = g.spark.range(1).select(V.hashed_embedding(F.lit(_TYPED)).alias("q"))
     return V.near_entities(docs, q, 20)
 
 
+@query("degree_boost", """
+n AS (SELECT from_id AS id, count(DISTINCT to_id) AS n FROM relation GROUP BY from_id),
+a AS (SELECT id AS owner_id, row_number() OVER (ORDER BY id) - 1 AS tr FROM entity WHERE entity_type = 'customer' ORDER BY id LIMIT 50),
+b AS (SELECT CAST(3000000000 + c_custkey AS BIGINT) AS owner_id, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) - 1 AS vr FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 50),
+f AS (SELECT owner_id, coalesce(CAST(0.5 AS DOUBLE) / (60 + tr), 0.0) + coalesce(CAST(0.5 AS DOUBLE) / (60 + vr), 0.0) AS score FROM a FULL JOIN b USING (owner_id));;
+SELECT owner_id, round(score + CAST(0.1 AS DOUBLE) * coalesce(n, 0) / (coalesce(n, 0) + 5.0), 9) AS score FROM f LEFT JOIN n ON id = owner_id""")
+def degree_boost(g):
+    """Two ranked lists of customers, boosted by their distinct outgoing neighbours."""
+    text = V.ranked(g.entity.filter("entity_type = 'customer'").select(F.col("id").alias("owner_id")), 50, "owner_id")
+    rows = g.table("customer").select((F.lit(3_000_000_000).cast("long") + F.col("c_custkey")).alias("owner_id"), (-F.col("c_acctbal")).alias("distance"))
+    fused = V.reciprocal_rank_fusion(text, V.ranked(rows, 50, "distance", "owner_id"))
+    return V.boosted(fused, V.out_neighbors(g.relation)).select("owner_id", F.round("score", 9).alias("score"))
+
+
+_OWNED = """
+mirror AS (SELECT s_suppkey AS relation_id, CAST(4000000000 + s_suppkey AS BIGINT) AS from_id, CAST(2000000000 + s_nationkey AS BIGINT) AS to_id, 'in_nation' AS relation_type, s_suppkey % 10 = 3 AS deleted FROM supplier),
+own AS (SELECT vec_id, embedding, chunk_index, CASE vec_id % 5 WHEN 0 THEN 'relation' WHEN 1 THEN 'attachment' ELSE 'entity' END AS owner_kind,
+  CAST(CASE vec_id % 5 WHEN 0 THEN vec_id // 5 % 12 WHEN 1 THEN vec_id // 3 ELSE 6000000000 + vec_id // 3 END AS BIGINT) AS owner_id FROM chunk_vector),
+typed AS (SELECT 'entity' AS owner_kind, id AS owner_id, entity_type AS type FROM entity UNION ALL SELECT 'relation', relation_id, relation_type FROM mirror WHERE NOT deleted
+  UNION ALL SELECT 'attachment', attachment_id, 'document' FROM attachment WHERE status = 'ready' AND entity_id IN (SELECT id FROM entity)),
+q AS (SELECT embedding AS q FROM chunk_vector WHERE vec_id = 0), d AS (SELECT own.*, round(""" + _COS.format("embedding", "q") + """, 6) + 0.0 AS distance FROM own, q)"""
+
+
+def _owned(g):
+    """(chunks, mirror): chunks of entities, relations and attachments, and the relations' mirror."""
+    s, n = g.table("supplier"), F.col("vec_id")
+    mirror = s.select(F.col("s_suppkey").alias("relation_id"), (F.lit(4_000_000_000).cast("long") + F.col("s_suppkey")).alias("from_id"), (F.lit(2_000_000_000).cast("long") + F.col("s_nationkey")).alias("to_id"), F.lit("in_nation").alias("relation_type"), (F.col("s_suppkey") % 10 == 3).alias("deleted"))
+    kind = F.when(n % 5 == 0, "relation").when(n % 5 == 1, "attachment").otherwise("entity")
+    owner = F.when(n % 5 == 0, F.floor(n / 5) % 12).when(n % 5 == 1, F.floor(n / 3)).otherwise(F.lit(6_000_000_000).cast("long") + F.floor(n / 3)).cast("long")
+    return g.chunk_vector.select("vec_id", kind.alias("owner_kind"), owner.alias("owner_id"), "chunk_index", "embedding"), mirror
+
+
+def _found(g, k: int, **filters):
+    chunks, mirror = _owned(g)
+    rows = V.filtered(chunks, g.entity, mirror, g.attachment, **filters)
+    return V.top_k(V.scored(rows, _query(g)), k, "vec_id").select("vec_id", "owner_kind", "owner_id", "distance")
+
+
+for _name, _where, _filters in (
+    ("consent", "owner_kind <> 'attachment'", {}),
+    ("owner_kind", "owner_kind = 'attachment'", {"owner_kind": "attachment", "allow_attachments": True}),
+    ("owner_type", "(owner_kind, owner_id) IN (SELECT (owner_kind, owner_id) FROM typed WHERE type = 'in_nation')", {"type_name": "in_nation", "allow_attachments": True}),
+    ("triple", "owner_kind = 'entity' OR (owner_kind = 'relation' AND owner_id IN (SELECT relation_id FROM mirror WHERE NOT deleted AND from_id = 4000000005))", {"source": 4_000_000_005, "relation_type": "in_nation"}),
+):
+    query(f"vec_filter_{_name}", _OWNED + f";;SELECT vec_id, owner_kind, owner_id, distance FROM d WHERE {_where} ORDER BY distance, vec_id LIMIT 60")(lambda g, f=_filters: _found(g, 60, **f))
+
+
+@query("vec_owners", _OWNED + """,
+h AS (SELECT vec_id, owner_kind, owner_id FROM d ORDER BY distance, vec_id LIMIT 90);;
+SELECT vec_id, owner_kind, name, entity_type AS type, NULL AS from_name, NULL AS to_name FROM h JOIN entity ON id = owner_id WHERE owner_kind = 'entity'
+UNION ALL SELECT vec_id, owner_kind, NULL, relation_type, a.name, b.name FROM h JOIN mirror ON relation_id = owner_id JOIN entity a ON a.id = from_id JOIN entity b ON b.id = to_id WHERE owner_kind = 'relation' AND NOT deleted
+UNION ALL SELECT vec_id, owner_kind, filename, entity_type, NULL, NULL FROM h JOIN attachment ON attachment_id = owner_id JOIN entity ON id = entity_id WHERE owner_kind = 'attachment' AND status = 'ready'""")
+def vec_owners(g):
+    """Hits of every kind with the names of their owners."""
+    rows = V.resolved(_found(g, 90, allow_attachments=True), g.entity, _owned(g)[1], g.attachment)
+    return rows.select("vec_id", "owner_kind", "name", "type", "from_name", "to_name")
+
+
+@query("vec_attachment_texts", _OWNED + """,
+h AS (SELECT vec_id, owner_id, distance FROM d WHERE owner_kind = 'attachment' ORDER BY distance, vec_id LIMIT 80);;
+SELECT vec_id, substring(text, 1, 1600) AS text FROM h JOIN attachment ON attachment_id = owner_id JOIN documents ON doc_id = owner_id WHERE status = 'ready' AND vec_id % 2 = 0 AND text <> ''""")
+def vec_attachment_texts(g):
+    """First segments; every second hit is of an old revision."""
+    hits = _found(g, 80, owner_kind="attachment", allow_attachments=True).withColumns({"chunk_index": F.lit(0).cast("long"), "revision": (2 - F.col("vec_id") % 2).cast("long")})
+    cut = segments(g.table("documents").select(F.col("doc_id").alias("id"), "text")).withColumnRenamed("id", "attachment_id")
+    return V.attachment_texts(hits, g.attachment, cut).select("vec_id", "text")
+
+
 @query("vec_near_chunks", _D.format(_COS.format("embedding", "q")) + """,
 t AS (SELECT * FROM d ORDER BY distance, vec_id LIMIT 60), b AS (SELECT owner_id, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY distance, vec_id) AS place FROM t) WHERE place = 1);;
 SELECT * FROM b ORDER BY distance, owner_id LIMIT 20""")

@@ -3,35 +3,39 @@
 from __future__ import annotations
 
 import hashlib
-import hmac
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from graphloom.operators.changelog import running_sum
+from graphloom.sources.shared import durable
 
 ENVELOPE_BYTES = 1 << 20
 
 
-def revisions(changes: DataFrame) -> DataFrame:
-    """A stream (event_id, entity_id, quiet, ts) with the revision of each event.
+def number_available(changes: DataFrame, path: str, checkpoint: str) -> None:
+    """Give the events (event_id, entity_id, quiet, ts) that are there now their revisions, write them under ``path`` and stop.
 
-    State is one number an entity. Events of a batch are taken in order of (ts,
-    event_id); a later batch continues from the revision reached.
+    Events of a batch are taken in order of (ts, event_id); a later batch continues from
+    the revision reached. State is a table of one number an entity, written anew with each
+    batch; a batch that is run again overwrites its own output. The events of one entity
+    are dealt by date, so none is held whole.
     """
 
-    def number(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
-        revision = state.get[0] if state.exists else None
-        out = []
-        for event, quiet in zip(rows["event_id"], rows["quiet"], strict=True):
-            revision = (1 if revision is None else revision) if quiet else (revision or 0) + 1
-            out.append((event, key[0], revision))
-        state.update((int(revision),))
-        yield pd.DataFrame(out, columns=["event_id", "entity_id", "entity_revision"])
+    def number(rows: DataFrame, n: int) -> None:
+        spark = rows.sparkSession
+        rows = durable(rows.select("event_id", "entity_id", "quiet", "ts"), "batch")
+        known = spark.read.parquet(f"{checkpoint}/revisions/{n - 1}") if n else spark.createDataFrame([], "entity_id long, revision long")
+        counted = running_sum(rows, "entity_id", (1 - F.col("quiet")).cast("long"), ["ts", "event_id"], F.to_date("ts"), "raised")
+        first = rows.groupBy("entity_id").agg(F.min_by("quiet", F.struct("ts", "event_id")).cast("long").alias("first_quiet"))
+        # A first event that is quiet opens revision 1.
+        start = first.join(known, "entity_id", "left").select("entity_id", F.coalesce("revision", "first_quiet").alias("start"))
+        out = counted.join(start, "entity_id").select("event_id", "entity_id", (F.col("raised") + F.col("start")).alias("entity_revision"))
+        out.write.mode("overwrite").parquet(f"{path}/batch={n}")
+        reached = spark.read.parquet(f"{path}/batch={n}").groupBy("entity_id").agg(F.max("entity_revision").alias("revision"))
+        known.join(reached.select("entity_id"), "entity_id", "left_anti").unionByName(reached).write.mode("overwrite").parquet(f"{checkpoint}/revisions/{n}")
 
-    return changes.select("event_id", "entity_id", "quiet", "ts").groupBy("entity_id").applyInPandasWithState(number, "event_id long, entity_id long, entity_revision long", "revision long", "append", GroupStateTimeout.NoTimeout)
+    changes.writeStream.foreachBatch(number).option("checkpointLocation", f"{checkpoint}/log").trigger(availableNow=True).start().awaitTermination()
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
@@ -51,14 +55,21 @@ def watch_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(path).select("path", "modificationTime", "content")
 
 
-def signature(body: Column, secret: str) -> Column:
-    """HMAC-SHA256 of a text, in hex."""
+def settled_files(changes: DataFrame, quiet: str = "2 seconds") -> DataFrame:
+    """(path, last, action): what to do with each file once it was quiet for ``quiet``: its last kind of change (path, ts, kind) of a burst; delete purges, all else indexes.
 
-    def sign(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for p in parts:
-            yield p.map(lambda x: None if x is None else hmac.new(secret.encode(), x.encode(), hashlib.sha256).hexdigest())
+    Works on tables and, with a watermark, on streams.
+    """
+    burst = changes.groupBy("path", F.session_window("ts", quiet).alias("burst")).agg(F.max(F.struct("ts", "kind")).alias("m"))
+    return burst.select("path", F.col("m.ts").alias("last"), F.when(F.col("m.kind") == "delete", "purge").otherwise("index").alias("action"))
 
-    return F.pandas_udf(sign, "string")(body)
+
+def signature(body: Column, secret: str) -> Column:
+    """HMAC-SHA256 of a text, in hex: two hashes over the padded key and the text."""
+    key = secret.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ pad for b in key)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, body.cast("binary")), 256))), 256)
 
 
 def envelopes(deliveries: DataFrame, secret: str) -> DataFrame:
