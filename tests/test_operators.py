@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import likeness, query_terms, tokens
+from graphloom.functions.text import index, likeness, query_terms, tokens
 from graphloom.operators import access, audits, changelog, code, mutate, paths, reads, search, vectors
 from graphloom.sources import attachments
 from graphloom.streaming import events
@@ -90,6 +90,18 @@ def test_paths(spark, small):
     assert paths.all_paths(relation, 1, 2, 3, limit=2).count() == 2
 
 
+def test_paths_without_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(paths, "ITEMS", 3)
+    monkeypatch.setattr(reads, "ITEMS", 3)
+    chain = spark.createDataFrame([(i, i + 1, "x") for i in range(18)] + [(0, 100 + i, "x") for i in range(9)], R)
+    assert sorted(map(tuple, paths.shortest_path(chain, ids(spark, 0), ids(spark, 18)).collect())) == [(i, i) for i in range(19)]
+    assert paths.reach(chain, ids(spark, 0)).count() == 28 and paths.reach(chain, ids(spark, 0), direction="INCOMING").count() == 1
+    entity = spark.createDataFrame([(0, "a", "n"), (18, "b", "n")], E)
+    assert paths.find_path(entity, chain, "a", "b").count() == 19
+    with pytest.raises(ValueError, match="nobody"):
+        paths.find_path(entity, chain, "a", "nobody")
+
+
 def test_audits(spark, small):
     assert rows(audits.duplicate_groups(small[1], ["from_id", "to_id"])) == [(1, 2, 2)]
     assert rows(audits.dangling(spark.createDataFrame([(1, 77, "x"), (78, 2, "x"), (78, 79, "x")], R), small[0])) == [(1, 77, "to"), (78, 2, "from"), (78, 79, "from+to")]
@@ -102,6 +114,7 @@ def test_text_functions(spark):
     got = df.select(tokens(F.col("t")).alias("t"), F.round(likeness(F.col("a"), F.col("b")), 6).alias("s")).collect()
     assert got[0]["t"] == ["entity", "5", "ae", "x", "ß"] and got[0]["s"] == round(0.5 * 0.7 + 0.75 * 0.3, 6)
     assert got[1]["t"] == [] and got[1]["s"] == 0
+    assert spark.range(1).select(tokens(F.lit("Ångström à Ñandú e\u0301t ệ ǖ")).alias("t")).first()["t"] == ["angstrom", "a", "nandu", "et", "e", "u"]
     assert query_terms("Part#7 it's ab_c") == (["part", "7", "it", "s", "ab"], "c") and query_terms(" !") == ([], None)
 
 
@@ -111,8 +124,16 @@ def test_full_text(spark, small):
     assert rows(search.match(small[2], phrase=["city", "rome"], owner="entity_id")) == [(1,)]
     assert rows(search.match(small[2], ["likes"], none_of=["math"], owner="entity_id")) == [(2,)]
     assert rows(search.match(small[0], ["d"], prefix="e", owner="id", body="name")) == [(3,)]
-    got = search.search_nodes(small[0], small[2], ["likes"], offset=1, limit=1).collect()
+    words, names = index(small[2], "entity_id", "idx"), index(small[0].select("id", F.lit(0).alias("idx"), F.col("name").alias("body")), "id", "idx")
+    got = search.search_nodes(small[0], names, words, ["likes"], offset=1, limit=1).collect()
     assert [(r["place"], r["id"]) for r in got] == [(1, 2)]
+    page, more = search.search_nodes_lite(small[0], names, words, ["likes"], limit=1)
+    assert [r["id"] for r in page.collect()] == [1] and more
+    assert search.search_nodes(small[0], names, words, []).count() == 0
+    match = lambda **k: rows(search.match_index(words, texts=small[2], owner="entity_id", **k))
+    assert match(phrase=["city", "rome"]) == [(1, 1)] and match(phrase=["rome", "city"]) == [] and match() == []
+    assert match(all_of=["likes"], none_of=["math"]) == [(2, 0)] and match(any_of=["rome", "oslo"]) == [(1, 1), (2, 1)] and match(all_of=["city"], prefix="bo") == [(2, 2)]
+    assert rows(search.direct_search("nodes", "likes sci", small[0], names, words, None, None, 5).select("id")) == [(2,)]
     score = {r["owner"]: r["score"] for r in search.bm25(small[2].select(F.concat("entity_id", F.lit(":"), "idx").alias("id"), "body"), ["math", "likes"]).collect()}
     assert score["1:0"] > score["2:0"] > 0 and len(score) == 2
 
@@ -160,14 +181,27 @@ def test_mutations(spark, small):
     e, r, o, a = mutate.merge_entities(entity, relation, observation, attribute, 1, 2)
     assert (2, 2, "x") in rows(r) and r.count() == 5 and e.count() == 4
     assert rows(o)[-1][2] == "city: Rome" and ("entity", 2, "k", "one") in rows(a) and ("relation", 1, "k", "r") in rows(a)
-    e, r, o, a = mutate.delete_entities(entity, relation, observation, attribute, spark.createDataFrame([("a",), ("?",)], "name string"))
+    left = mutate.delete_entities(entity, spark.createDataFrame([("a",), ("?",)], "name string"), relation=relation, observation=observation, attribute=attribute)
+    e, r, o, a = (left[k] for k in ("entity", "relation", "observation", "attribute"))
     assert e.count() == 4 and r.count() == 3 and o.count() == 3 and ("relation", 1, "k", "r") in rows(a)
     kept, refused = mutate.reverse_relations(relation, spark.createDataFrame([(1, 2, "x"), (4, 4, "x"), (2, 3, "x"), (7, 7, "x")], R))
     assert rows(refused) == [(1, 2, "x"), (4, 4, "x")] and (3, 2, "x") in rows(kept) and kept.count() == 6
     kept, refused = mutate.change_relation_type(relation, spark.createDataFrame([(1, 2, "x"), (2, 3, "x")], R), "y")
     assert rows(refused) == [(1, 2, "x")] and (2, 3, "y") in rows(kept)
-    names = spark.createDataFrame([("a", "alone"), ("it's", "new")], "name string, new_name string")
-    assert {r["name"] for r in mutate.rename_entities(entity, names).collect()} == {"a", "b-c", "d_é", "new", "alone"}
+    asked = [(0, "a", "alone"), (1, "b-c", "new"), (2, "it's", "new"), (3, "b-c", "later"), (4, "nobody", "x"), (5, "d_é", "")]
+    names = spark.createDataFrame(asked, "pos int, name string, new_name string")
+    assert {r["name"] for r in mutate.rename_entities(entity, names).collect()} == {"a", "new", "d_é", "it's", "alone"}
+    assert {r["pos"]: r["outcome"] for r in mutate.rename_outcome(entity, names).collect()} == {0: "taken", 1: "renamed", 2: "taken", 3: "unknown", 4: "unknown", 5: "empty"}
+    with pytest.raises(ValueError, match="no entity has the id 77"):
+        mutate.request_observations(observation, entity, spark.createDataFrame([(1, 0, "x"), (77, 1, "y")], "entity_id long, pos long, body string"))
+    edits = spark.createDataFrame([(1, 0, 2, "a"), (1, 0, 1, "z"), (1, 9, 3, "none")], "entity_id long, idx int, pos int, new_body string")
+    assert rows(mutate.edit_observations(observation, edits).filter("entity_id = 1")) == [(1, 0, "a"), (1, 1, "city: Rome")]
+    assert mutate.delete_observations_at(observation, edits).count() == 4
+    with pytest.raises(ValueError, match="attachments"):
+        mutate.merge_entities(entity, relation, observation, attribute, 1, 2, spark.createDataFrame([(5, 1)], "attachment_id long, entity_id long"))
+    bodies = spark.createDataFrame([(2, 3, "x", 0, "b"), (1, 2, "x", 0, "c")], f"{R}, idx int, body string")
+    moves, _ = mutate.reverse_moves(relation, spark.createDataFrame([(1, 2, "x"), (2, 3, "x")], R))
+    assert rows(mutate.apply_moves(bodies, moves)) == [(1, 2, "x", 0, "c"), (3, 2, "x", 0, "b")]
     made = mutate.create_relations(relation, entity, spark.createDataFrame([(1, 9, "x"), (1, 9, "x"), (1, 2, "x"), (1, 77, "x")], R))
     assert made.count() == 7
     assert rows(mutate.changes(entity, mutate.upsert_types(entity, new).filter("id <> 9"), "id", ["name", "entity_type"])) == [(1, "update"), (9, "delete")]
@@ -220,6 +254,45 @@ def test_code_graph(spark):
     assert calls == [("src/x.py", "src/x.py::b"), ("src/x.py::a", "src/x.py::b"), ("src/x.py::m", "src/x.py::a")]
     assert [r["qualified"] for r in code.get_symbol(found, "run").collect()] == ["src/y.rs::run"]
     assert [r["first"] for r in code.outline(found, "src/x.py").collect()] == [1, 4, 5, 9]
+    assert {r["path"]: r["kind"] for r in found.filter("role = 'file'").collect()} == {"src/x.py": "ok", "src/y.rs": "ok", "src/bad.py": "failed"}
+    assert rows(code.run_report(found, 3)) == [(2, 3, 1, 6, 9)]
+
+
+def test_code_of_braces_texts_and_repeated_names(spark):
+    c = '/* int no(void) { */\nstatic int twice(int x) {\n    if (x) { return more(x); }\n    char *s = "lie( {";\n    return 0; // gone(x)\n}\nint proto(int);\n/* Adds\n * one. */\nint\nmain(void) { return twice(1); }\n'
+    rb = "module M\n  class A\n    # Says hi.\n    def hi(x)\n      call(x)\n    end\n    def hi(y)\n    end\n  end\nend\n"
+    ts = "export const f = (x) => {\n  return g(`t(${x}`);\n};\ninterface I { a: string }\nfunction g(s) { return s }\n"
+    rs = "impl<'a> T<'a> {\n    pub async fn go(&self) -> u8 {\n        self.deep('{')\n    }\n}\n" + "x" * 3000
+    files = [("a.c", c), ("b.rb", rb), ("c.ts", ts), ("d.rs", rs), ("e.py", None)]
+    df = spark.createDataFrame([(p, t and bytearray(t.encode())) for p, t in files], "path string, content binary")
+    found = code.symbols(code.source_files(df)).collect()
+    defs = {r["qualified"]: (r["kind"], r["first"], r["last"], r["doc"]) for r in found if r["role"] == "def"}
+    assert defs["a.c::twice"] == ("function", 2, 6, "int no(void) {") and "a.c::proto" not in defs and "a.c::no" not in defs
+    assert defs["b.rb::hi"] == ("function", 4, 6, "Says hi.") and defs["b.rb::hi::L7"][1:3] == (7, 8) and defs["b.rb::M"][:3] == ("module", 1, 10)
+    assert defs["c.ts::f"][:3] == ("function", 1, 3) and defs["c.ts::I"][0] == "interface" and defs["c.ts::g"][1:3] == (5, 5)
+    assert defs["d.rs::go"][:3] == ("function", 2, 4)
+    refs = {(r["name"], r["inside"]) for r in found if r["role"] == "ref"}
+    assert {("more", "a.c::twice"), ("call", "b.rb::hi"), ("g", "c.ts::f"), ("deep", "d.rs::go")} <= refs
+    assert not {"lie", "gone", "no", "if", "t"} & {n for n, _ in refs}
+
+
+def test_ignored_files(spark):
+    rules = "# a comment\n*.log.py\n/root.py\nout/\n!keep/out/\ndocs/**/x.py\n"
+    paths_ = ["a.py", "x.log.py", "b/x.log.py", "root.py", "b/root.py", "out/a.py", "b/out/a.py", "keep/out/a.py", "docs/x.py", "docs/a/b/x.py", "docs/a/y.py", "sub/a.py", "sub/x.log.py", "sub/z.py"]
+    files = [(".gitignore", rules), ("sub/.gitignore", "!*.log.py\nz.py\n"), *[(p, "x") for p in paths_]]
+    df = spark.createDataFrame([(p, bytearray(t.encode())) for p, t in files], "path string, content binary")
+    got = {r["path"] for r in code.source_files(df).collect()}
+    assert got == {"a.py", "b/root.py", "keep/out/a.py", "docs/a/y.py", "sub/a.py", "sub/x.log.py"}
+
+
+def test_code_projects(spark, tmp_path):
+    rows_ = spark.createDataFrame([("one", "a"), ("two", "b")], "project string, path string")
+    code.write_projects(rows_, str(tmp_path / "p"))
+    assert rows(code.read_project(spark, str(tmp_path / "p"), "two")) == [("b",)]
+    with pytest.raises(ValueError, match="project"):
+        code.read_project(spark, str(tmp_path / "p"), "../one")
+    with pytest.raises(Exception, match="not a project name"):
+        code.write_projects(rows_.withColumn("project", F.lit("a b")), str(tmp_path / "q"))
 
 
 def test_envelopes(spark):
@@ -233,7 +306,7 @@ def test_stream_continues_from_its_state(spark, tmp_path):
     made = lambda data: spark.createDataFrame(data, "event_id long, entity_id long, quiet int, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     for batch in ([(1, 5, 1, "2024-01-01 00:00:00"), (2, 5, 0, "2024-01-01 00:01:00")], [(3, 5, 0, "2024-01-02 00:00:00"), (4, 6, 0, "2024-01-02 00:00:00")]):
         made(batch).write.mode("append").parquet(str(tmp_path / "in"))
-        events.run_available(events.revisions(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "state"))
+        events.number_available(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "state"))
     assert rows(spark.read.parquet(str(tmp_path / "out")).select("event_id", "entity_revision")) == [(1, 1), (2, 2), (3, 3), (4, 1)]
 
 
