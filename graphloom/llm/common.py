@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from graphloom.sources.shared import durable, shared_dir
 
-__all__ = ["dealt", "durable", "identified", "pieces", "row_key", "shared_dir", "table"]
+__all__ = ["dealt", "durable", "identified", "pieces", "row_key", "shared_dir", "table", "unused"]
 
 #: Rows handled at a time in Python; Spark bounds the bytes of the batches they are cut from.
 PIECE_ROWS = 500
@@ -29,6 +29,17 @@ def pieces(parts: Iterator) -> Iterator:
             yield p.iloc[low : low + PIECE_ROWS]
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until ``docs`` has no such column."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def row_key(text: str = "text") -> tuple[Column, Column]:
     """(id, tag) of a row: (doc_id, 0), or (0, a hash of the text) where doc_id is null."""
     ident = F.col("doc_id").cast("long")

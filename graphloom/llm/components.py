@@ -15,14 +15,18 @@ from graphloom.llm.common import dealt, durable
 
 
 def _settled(links: DataFrame) -> bool:
-    if not links.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        return False
-    return links.select("v").distinct().join(links.select(F.col("u").alias("v")).hint("merge"), "v", "left_semi").isEmpty()
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("top")).union(links.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("top").alias("top"))
+    return nodes.agg(F.count(F.when((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("top") > 0)), 1))).first()[0] == 0
 
 
-def _with_lowest(links: DataFrame, end: str) -> DataFrame:
-    """``links`` with ``m``, the smallest neighbour below the node at ``end``; null where none is below."""
-    low = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
+def _lowest(links: DataFrame) -> DataFrame:
+    """(node, m): the smallest neighbour below each node."""
+    return links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("m"))
+
+
+def _with_lowest(links: DataFrame, low: DataFrame, end: str) -> DataFrame:
+    """``links`` with ``m`` of the node at ``end``; null where none is below."""
     return dealt(links.withColumn("node", F.col(end)), low.hint("merge"), ["node"], ["u", "v"], "left").select("u", "v", "m")
 
 
@@ -36,10 +40,10 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     links = durable(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links")
     while not _settled(links):
         # Each node's larger neighbours are linked to the smallest of its neighbours and itself.
-        large = _with_lowest(links, "v").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        large = _with_lowest(links, _lowest(links), "v").select("u", F.coalesce("m", "v").alias("v"))
         # Each node's smaller neighbours, and itself, are linked to the smallest of them.
-        lowest = _with_lowest(large, "u")
-        small = lowest.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = durable(small.union(large.groupBy("u").agg(F.min("v").alias("v"))).distinct(), "links")
+        low = _lowest(large)
+        small = _with_lowest(large, low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = durable(small.union(low).distinct(), "links")
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

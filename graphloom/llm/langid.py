@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import durable, pieces, table
+from graphloom.llm.common import durable, pieces, table, unused
 
 SAMPLE = 1600
 LANDMARKS = 96
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFram
 
     A null text or one without a letter gives ``und`` and 0, as does a missing model;
     equal texts get equal results, ties go to the first language in alphabetical order.
-    Every row and column is kept.
+    Every row and column is kept; columns with the two names are replaced.
     """
     data = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -181,8 +181,9 @@ def predict(docs: DataFrame, model: dict | None, text: str = "text") -> DataFram
                     lang[i], best[i] = scorer.model["langs"][k], round(float(s[k]), 6)
             yield pd.DataFrame({"lang": lang, "score": best})
 
-    scored = docs.withColumn("__found", F.pandas_udf(score, "lang string, score double")(F.col(text).cast("string")))
-    return scored.select(*[f"`{c}`" for c in docs.columns], F.col("__found.lang").alias("__lang"), F.col("__found.score").alias("__score"))
+    [made] = unused(docs, "__found")
+    scored = docs.withColumn(made, F.pandas_udf(score, "lang string, score double")(F.col(text).cast("string")))
+    return scored.select(*[f"`{c}`" for c in docs.columns if c not in ("__lang", "__score")], F.col(f"{made}.lang").alias("__lang"), F.col(f"{made}.score").alias("__score"))
 
 
 def held_out(doc_id) -> F.Column:

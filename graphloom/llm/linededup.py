@@ -15,10 +15,12 @@ notices like long ones.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import durable, table
+from graphloom.llm.common import durable, table, unused
 
 SITES = 10
 #: Estimates within these factors of the threshold are counted exactly (a dozen standard errors).
@@ -71,30 +73,33 @@ def spread_lines(docs: DataFrame, sites: int = SITES, own: float = OWN) -> DataF
     return placed.join(found, ["h1", "h2"], "left_semi").select("__k1", "__k2", "pos", "h1", "h2")
 
 
-def remove_spread_lines(docs: DataFrame, sites: int = SITES, own: float = OWN) -> DataFrame:
+ADDED = ("__n_lines", "__n_removed")
+
+
+def remove_spread_lines(docs: DataFrame, sites: int = SITES, own: float = OWN, added: Sequence[str] = ADDED) -> DataFrame:
     """``docs`` with ``text`` less its widely spread lines, and counts of lines before and removed.
 
     All columns are kept, ``n_chars`` (if there) follows the new text, and
-    ``__n_lines`` and ``__n_removed`` are added. A null text stays null with no
+    ``__n_lines`` and ``__n_removed``, or the names ``added``, are added; columns of
+    ``docs`` with these names are replaced. A null text stays null with no
     lines; a text of spread lines only becomes empty. Equal rows are treated alike,
     each giving a row; null ids and sources are allowed; an empty table gives no rows.
     """
     text = F.col("text").cast("string")
-    found = spread_lines(docs, sites, own).groupBy("__k1", "__k2").agg(F.array_sort(F.collect_set("pos")).alias("__cut"))
-    rows = docs.withColumns(dict(zip(["__k1", "__k2"], _row_key(), strict=True)))
-    joined = rows.join(found, ["__k1", "__k2"], "left")
+    k1, k2, cut = unused(docs, "__k1", "__k2", "__cut")
+    found = spread_lines(docs, sites, own).groupBy(F.col("__k1").alias(k1), F.col("__k2").alias(k2)).agg(F.array_sort(F.collect_set("pos")).alias(cut))
+    rows = docs.withColumns(dict(zip([k1, k2], _row_key(), strict=True)))
+    joined = rows.join(found, [k1, k2], "left")
     # The lines between removed positions, as slices: linear in the text.
-    kept = F.expr("""array_join(flatten(transform(sequence(0, size(__cut)), j -> slice(split(CAST(text AS STRING), '\\n', -1),
-        coalesce(get(__cut, j - 1), -1) + 2,
-        coalesce(get(__cut, j), size(split(CAST(text AS STRING), '\\n', -1))) - coalesce(get(__cut, j - 1), -1) - 1))), '\\n')""")
-    new = F.when(F.col("__cut").isNotNull(), kept).otherwise(text)
-    out = joined.withColumns({
-        "__n_lines": F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long"),
-        "__n_removed": F.when(F.col("__cut").isNull(), 0).otherwise(F.size("__cut")).cast("long"), "text": new,
-    })
+    kept = F.expr(f"""array_join(flatten(transform(sequence(0, size({cut})), j -> slice(split(CAST(text AS STRING), '\\n', -1),
+        coalesce(get({cut}, j - 1), -1) + 2,
+        coalesce(get({cut}, j), size(split(CAST(text AS STRING), '\\n', -1))) - coalesce(get({cut}, j - 1), -1) - 1))), '\\n')""")
+    new = F.when(F.col(cut).isNotNull(), kept).otherwise(text)
+    counts = [F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n", -1))).cast("long"), F.when(F.col(cut).isNull(), 0).otherwise(F.size(cut)).cast("long")]
+    out = joined.select(*[f"`{c}`" for c in docs.columns if c not in ("text", *added)], new.alias("text"), *[c.alias(n) for c, n in zip(counts, added, strict=True)])
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[f"`{c}`" for c in docs.columns], "__n_lines", "__n_removed")
+    return out.select(*[f"`{c}`" for c in docs.columns if c not in added], *added)
 
 
 def op8_lines(spark, sf_dir: str) -> DataFrame:

@@ -16,14 +16,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import durable, pieces, table
+from graphloom.llm.common import durable, pieces, table, unused
 
 TOXIC_ROWS, CLEAN_ROWS = 3000, 6000
 FEATURES = 4096
@@ -152,8 +152,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, float], list[floa
     return {f: float(weights[i]) for f, i in index.items()}, theta.tolist()
 
 
-def severity(docs: DataFrame, model: tuple[dict[str, float], list[float]]) -> DataFrame:
-    """``docs`` with ``__severity`` (expected grade), ``__p_toxic`` and ``__toxic`` added.
+ADDED = ("__severity", "__p_toxic", "__toxic")
+
+
+def severity(docs: DataFrame, model: tuple[dict[str, float], list[float]], added: Sequence[str] = ADDED) -> DataFrame:
+    """``docs`` with ``__severity`` (expected grade), ``__p_toxic`` and ``__toxic``, or the names ``added``, added.
+
+    Columns of ``docs`` with these names are replaced.
 
     Whole texts. A null or wordless text, or a model without thresholds, gives 0 and
     false. Every row is kept, repeated ones too, with all its columns; an empty table
@@ -174,8 +179,10 @@ def severity(docs: DataFrame, model: tuple[dict[str, float], list[float]]) -> Da
                 out.append((float(sum(tail)), float(tail[0]) if tail else 0.0))
             yield pd.DataFrame(out, columns=["severity", "p_toxic"])
 
-    scored = docs.withColumn("__scored", F.pandas_udf(score, "severity double, p_toxic double")(F.col("text").cast("string")))
-    return scored.select(*[f"`{c}`" for c in docs.columns], F.col("__scored.severity").alias("__severity"), F.col("__scored.p_toxic").alias("__p_toxic"), (F.col("__scored.p_toxic") >= 0.5).alias("__toxic"))
+    [made] = unused(docs, "__scored")
+    scored = docs.withColumn(made, F.pandas_udf(score, "severity double, p_toxic double")(F.col("text").cast("string")))
+    new = [F.col(f"{made}.severity"), F.col(f"{made}.p_toxic"), F.col(f"{made}.p_toxic") >= 0.5]
+    return scored.select(*[f"`{c}`" for c in docs.columns if c not in added], *[c.alias(n) for c, n in zip(new, added, strict=True)])
 
 
 def op4_severity(spark, sf_dir: str) -> DataFrame:
