@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm import bpe, decontam, linededup, neardup, toxicity
-from graphloom.llm.common import durable, row_key, table
+from graphloom.llm.common import durable, row_key, table, unused
 
 #: Words of a shingle and percent of shared ones by which documents are near-duplicates.
 NEAR = (5, 80)
@@ -15,13 +15,14 @@ NEAR = (5, 80)
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the severity model does not reject; fitted on labelled rows of ``docs``."""
-    scored = toxicity.severity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
-    return scored.filter(~F.col("__toxic")).select(docs.columns)
+    added = unused(docs, *toxicity.ADDED)
+    scored = toxicity.severity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), added)
+    return scored.filter(~F.col(added[-1])).select(docs.columns)
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without lines that are spread over many sources; copies make no spread."""
-    return linededup.remove_spread_lines(docs).select(docs.columns)
+    return linededup.remove_spread_lines(docs, added=unused(docs, *linededup.ADDED)).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,14 +33,15 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     kept = neardup.near_duplicates(docs, *NEAR).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     named = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*docs.columns)))
-    return named.withColumn("__at", first).filter("__at = 1").select(docs.columns).union(docs.filter("doc_id IS NULL"))
+    [at] = unused(docs, "__at")
+    return named.withColumn(at, first).filter(F.col(at) == 1).select(docs.columns).union(docs.filter("doc_id IS NULL"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item; rows without an id are searched too."""
-    found = decontam.contained_items(docs, table(spark, sf_dir, "benchmark")).select(F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("tag").alias("__tag")).distinct()
-    ident, tag = row_key()
-    return docs.withColumns({"__id": ident, "__tag": tag}).join(found, ["__id", "__tag"], "left_anti").select(docs.columns)
+    key = unused(docs, "__id", "__tag")
+    found = decontam.contained_items(docs, table(spark, sf_dir, "benchmark")).select(F.coalesce("doc_id", F.lit(0)).alias(key[0]), F.col("tag").alias(key[1])).distinct()
+    return docs.withColumns(dict(zip(key, row_key(), strict=True))).join(found, key, "left_anti").select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
