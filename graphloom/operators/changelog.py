@@ -30,7 +30,7 @@ def event_revisions(change: DataFrame) -> DataFrame:
 
     Quiet events repeat the revision; a first event that is quiet still opens revision 1.
     """
-    counted = running_sum(change, "entity_id", (1 - F.col("quiet")).cast("long"), ["ts", "event_id"], F.to_date("ts"), "entity_revision")
+    counted = running_sum(change, "entity_id", (1 - F.col("quiet")).cast("long"), ["ts", "event_id"], F.date_trunc("hour", "ts"), "entity_revision")
     first = change.groupBy("entity_id").agg(F.min_by("quiet", F.struct("ts", "event_id")).alias("first_quiet"))
     return counted.join(first, "entity_id").withColumn("entity_revision", F.col("entity_revision") + F.col("first_quiet")).drop("first_quiet")
 

@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.changelog import running_sum
 from graphloom.operators.limits import BODY_BYTES, NAME_BYTES
 
 TRIPLE = ["from_id", "to_id", "relation_type"]
 MOVED = ["new_from", "new_to", "new_type"]
+#: Places of a request that are numbered in one task.
+SPAN = 100_000
 
 
 def create_entities(entity: DataFrame, new: DataFrame, first_id: int) -> DataFrame:
@@ -37,8 +40,9 @@ def add_observations(observation: DataFrame, new: DataFrame, only_new: bool = Fa
     if only_new:
         new = new.groupBy("entity_id", "body").agg(F.min("pos").alias("pos")).join(observation.select("entity_id", "body"), ["entity_id", "body"], "left_anti")
     last = observation.join(new.select("entity_id").distinct(), "entity_id", "left_semi").groupBy("entity_id").agg(F.max("idx").alias("last"))
-    place = F.row_number().over(Window.partitionBy("entity_id").orderBy("pos"))
-    rows = new.withColumn("place", place).join(last, "entity_id", "left")
+    # Places of a request that are near each other are numbered together, so an entity with most rows is dealt too.
+    placed = running_sum(new, "entity_id", F.lit(1), ["pos"], F.floor(F.col("pos") / SPAN), "place")
+    rows = placed.join(last, "entity_id", "left")
     return observation.unionByName(rows.select("entity_id", (F.coalesce("last", F.lit(-1)) + F.col("place")).cast("int").alias("idx"), "body"))
 
 

@@ -19,14 +19,14 @@ def number_available(changes: DataFrame, path: str, checkpoint: str) -> None:
     Events of a batch are taken in order of (ts, event_id); a later batch continues from
     the revision reached. State is a table of one number an entity, written anew with each
     batch; a batch that is run again overwrites its own output. The events of one entity
-    are dealt by date, so none is held whole.
+    are dealt by hour, so none is held whole.
     """
 
     def number(rows: DataFrame, n: int) -> None:
         spark = rows.sparkSession
         rows = durable(rows.select("event_id", "entity_id", "quiet", "ts"), "batch")
         known = spark.read.parquet(f"{checkpoint}/revisions/{n - 1}") if n else spark.createDataFrame([], "entity_id long, revision long")
-        counted = running_sum(rows, "entity_id", (1 - F.col("quiet")).cast("long"), ["ts", "event_id"], F.to_date("ts"), "raised")
+        counted = running_sum(rows, "entity_id", (1 - F.col("quiet")).cast("long"), ["ts", "event_id"], F.date_trunc("hour", "ts"), "raised")
         first = rows.groupBy("entity_id").agg(F.min_by("quiet", F.struct("ts", "event_id")).cast("long").alias("first_quiet"))
         # A first event that is quiet opens revision 1.
         start = first.join(known, "entity_id", "left").select("entity_id", F.coalesce("revision", "first_quiet").alias("start"))
