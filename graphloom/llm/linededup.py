@@ -62,8 +62,9 @@ def spread_lines(docs: DataFrame, sites: int = SITES, own: float = OWN) -> DataF
     source = F.col("source").cast("string").alias("source")
     lines = docs.select(source, F.explode(F.array_distinct(_texts())).alias("line")).filter("line <> ''")
     wide = durable(_widely(lines.select("source", *_line_key(F.col("line"))), sites, "spread"), "wide")
-    size = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("total")
-    placed = docs.select(*_row_key(), source, _texts().alias("lines")).select("__k1", "__k2", "source", size, F.posexplode("lines").alias("pos", "line")).filter("line <> ''")
+    # What a document has once is computed before its lines are exploded.
+    size = F.aggregate(_texts(), F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("total")
+    placed = docs.select(*_row_key(), source, size, _texts().alias("lines")).select("__k1", "__k2", "source", "total", F.posexplode("lines").alias("pos", "line")).filter("line <> ''")
     placed = placed.select("__k1", "__k2", "source", "total", "pos", F.length("line").alias("size"), *_line_key(F.col("line")))
     placed = durable(placed.join(wide, ["h1", "h2"]), "placed")
     shared = placed.select("__k1", "__k2", "total", "pos", "size").distinct().groupBy("__k1", "__k2", "total").agg(F.sum("size").alias("shared"))
