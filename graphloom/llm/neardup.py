@@ -9,9 +9,9 @@
    position. No pair with a distance up to r is missed, and no wider one is compared.
    r is so wide that a pair at the similarity threshold exceeds it with a chance of
    about one in a million.
-3. Stars first: in the buckets of whole chunks each member is compared with the
-   smallest one. Then the members of buckets with an error that are still apart are
-   compared in blocks of bounded size. Both give edges, never all pairs.
+3. Stars first: in the buckets of whole chunks, then in those with an error, each
+   member is compared with the smallest one. Then the members of buckets that are still
+   apart are compared in blocks of bounded size. All give edges, never all pairs.
 4. Documents joined by such edges form coarse groups, in which links are confirmed on
    full shingle sets. Stars first again: each member against the smallest. Groups that
    this leaves in several parts, if they exceed a block, are split by a prefix filter: two sets above the
@@ -153,15 +153,15 @@ def _grouped(df: DataFrame) -> DataFrame:
 
 
 def _buckets(keys: DataFrame) -> DataFrame:
-    """(key, n, low): buckets of ``keys`` with members of different parts; of those with the same members only one."""
-    made = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.min("rep").alias("low"), F.min("part").alias("p"), F.max("part").alias("q"))
-    return made.filter("p < q").groupBy("n", "x", "y", "low").agg(F.min("key").alias("key")).select("key", "n", "low")
+    """(key, n, low, low_part): buckets of ``keys`` with members of different parts; of those with the same members only one."""
+    made = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y"), F.min(F.struct("rep", "part")).alias("low"), F.min("part").alias("p"), F.max("part").alias("q"))
+    return made.filter("p < q").groupBy("n", "x", "y", "low").agg(F.min("key").alias("key")).select("key", "n", F.col("low.rep").alias("low"), F.col("low.part").alias("low_part"))
 
 
 def _star_edges(reps: DataFrame, masks: list[tuple[int, ...]], distance: int) -> DataFrame:
-    """(a, b): members of each bucket of ``masks`` within ``distance`` of its smallest member."""
+    """(a, b): members of each bucket of ``masks`` within ``distance`` of its smallest member, which is of another part."""
     keys = _index_keys(reps, masks)
-    pairs = keys.join(durable(_buckets(keys), "buckets"), "key").filter("rep <> low").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
+    pairs = keys.join(durable(_buckets(keys), "buckets").hint("merge"), "key").filter("part <> low_part").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     hubs = reps.join(pairs.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
     pairs = dealt(pairs.join(reps.select(F.col("rep").alias("a"), "sig").hint("merge"), "a"), hubs.hint("merge"), ["b"], ["a"])
 
@@ -179,7 +179,7 @@ def _close_pairs(reps: DataFrame, masks: list[tuple[int, ...]], distance: int) -
     blocks, so that each two of a bucket meet in one ``gid`` at least.
     """
     keys = _index_keys(reps, masks)
-    members = keys.join(durable(_buckets(keys), "buckets"), "key").withColumn("blocks", F.ceil(F.col("n") / SIGNATURE_BLOCK).cast("int"))
+    members = keys.join(durable(_buckets(keys), "buckets").hint("merge"), "key").withColumn("blocks", F.ceil(F.col("n") / SIGNATURE_BLOCK).cast("int"))
     members = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.withColumn("gid", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).join(reps.select("rep", "sig").hint("merge"), "rep")
 
@@ -331,11 +331,13 @@ def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
     own = rows.join(several, "doc_id").select(F.col("rep").alias("a"), "b").distinct()
 
     reps = classes.select("rep", F.col("rep").alias("part"), "sig")
-    stars = durable(_star_edges(reps, chunk_masks(m, 0), distance), "stars")
-    parts = connected_components(stars, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("found"))
-    reps = durable(reps.join(parts.hint("merge"), "rep", "left").select("rep", F.coalesce("found", "rep").alias("part"), "sig"), "reps")
-    coarse = connected_components(_close_pairs(reps, chunk_masks(m, 1), distance).union(stars), "a", "b")
-
+    edges = None
+    for errors in (0, 1):
+        stars = durable(_star_edges(reps, chunk_masks(m, errors), distance), "stars")
+        edges = stars if edges is None else edges.union(stars)
+        parts = connected_components(edges, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("found"))
+        reps = durable(reps.drop("part").join(parts.hint("merge"), "rep", "left").select("rep", F.coalesce("found", "rep").alias("part"), "sig"), "reps")
+    coarse = connected_components(_close_pairs(reps, chunk_masks(m, 1), distance).union(edges), "a", "b")
     groups = durable(coarse.select(F.col("node").alias("rep"), F.col("component").alias("grp")), "groups")
     links = _links(docs, groups, width, percent)
     linked = connected_components(links.union(own), "a", "b").select(F.col("node").alias("rep"), "component")
