@@ -15,6 +15,9 @@ _QUERIES = {
     "op8_line_spread": ("linededup", "op8_lines"),
     "op9_warc_chain": ("warc", "op9_warc"),
     "op10_secret_entropy": ("secrets", "op10_secrets"),
+    "op11_kd_shards": ("kdshards", "op11_shards"),
+    "op12_phrase_collocations": ("collocations", "op12_collocations"),
+    "op13_pivot_negatives": ("negatives", "op13_negatives"),
 }
 
 
@@ -29,7 +32,10 @@ def queries() -> dict:
     return {k: _query(*v) for k, v in _QUERIES.items()}
 
 
-_SQL = {"op1_perspective_rotation": ("chat", "OP1_SQL"), "op5_minhash_neardup": ("neardup", "OP5_SQL"), "op6_containment_search": ("decontam", "OP6_SQL"), "op8_line_spread": ("linededup", "OP8_SQL"), "op9_warc_chain": ("warc", "OP9_SQL")}
+_SQL = {
+    "op1_perspective_rotation": ("chat", "OP1_SQL"), "op5_minhash_neardup": ("neardup", "OP5_SQL"), "op6_containment_search": ("decontam", "OP6_SQL"), "op8_line_spread": ("linededup", "OP8_SQL"),
+    "op9_warc_chain": ("warc", "OP9_SQL"), "op12_phrase_collocations": ("collocations", "OP12_SQL"), "op13_pivot_negatives": ("negatives", "OP13_SQL"),
+}
 
 
 def oracle_sql() -> dict[str, str]:
