@@ -36,48 +36,45 @@ def metadata(docs: DataFrame) -> dict[str, Column]:
     return named | {"bytes": F.coalesce(text, F.lit(0))} | ({"doc_id": F.col("doc_id").cast("long")} if "doc_id" in known else {})
 
 
-def _small(spark, rows: list[tuple], schema: str) -> DataFrame:
-    """A table with a row for each node at most."""
-    return F.broadcast(spark.createDataFrame(rows, schema))
+def _of_node(values: dict[int, int], level: int) -> Column:
+    """The value of a row's node at a level of the tree; null where the node has none."""
+    first = 1 << level
+    return F.get(F.array(*[F.lit(values.get(first + i)).cast("long") for i in range(max(values) - first + 1)]), F.col("__node") - first)
 
 
-def _placed(rows: DataFrame, levels: list[list[tuple]]) -> DataFrame:
-    """``rows`` with ``__node``, and ``__dims`` as it was: each level sends them one step down."""
-    out = rows.withColumn("__node", F.lit(1).cast("long"))
-    for splits in levels:
-        at = _small(rows.sparkSession, splits, "__node long, __axis int, __v long, __d long, __r long")
-        own = F.get("__dims", F.col("__axis"))
-        right = (own > F.col("__v")) | ((own == F.col("__v")) & ((F.col("__doc") > F.col("__d")) | ((F.col("__doc") == F.col("__d")) & (F.col("__rid") > F.col("__r")))))
-        step = F.when(F.col("__axis").isNull(), F.col("__node")).otherwise(2 * F.col("__node") + right.cast("long"))
-        out = out.join(at, "__node", "left").withColumn("__node", step).drop("__axis", "__v", "__d", "__r")
-    return out
+def _stepped(rows: DataFrame, level: int, splits: dict[int, tuple]) -> DataFrame:
+    """``rows`` with ``__node`` one step down the tree, written: nested steps would repeat one another in the plan."""
+    axis, v, d, r = (_of_node({n: x[i] for n, x in splits.items()}, level) for i in range(4))
+    own = F.get("__dims", axis.cast("int"))
+    right = (own > v) | ((own == v) & ((F.col("__doc") > d) | ((F.col("__doc") == d) & (F.col("__rid") > r))))
+    return durable(rows.withColumn("__node", F.when(axis.isNull(), F.col("__node")).otherwise(2 * F.col("__node") + right.cast("long"))), "nodes")
 
 
 def _bounds() -> list[Column]:
     return [f(c).alias(f"{c}_{n}") for c in _PARTS for f, n in ((F.min, "low"), (F.max, "high"))]
 
 
-def _quantiles(rows: DataFrame, open_: dict[int, dict]) -> list[tuple]:
-    """(node, axis, v, d, r) for each open node: keys up to (v, d, r) go left.
+def _quantiles(rows: DataFrame, level: int, open_: dict[int, dict]) -> dict[int, tuple]:
+    """node: (axis, v, d, r) for each open node of a level: keys up to (v, d, r) go left.
 
     ``open_`` has of each node its axis, target weight, and bounds of the three parts of
     a key; each pass narrows the bounds around the key in which the target falls.
     """
-    done, spark = [], rows.sparkSession
-    schema = "__node long, __axis int, __target long, __part int, __low long, __high long, __v long, __d long"
-    while open_:
-        params = []
+    done = {}
+    while True:
+        at: dict[str, dict[int, int]] = {n: {} for n in ("axis", "target", "part", "low", "high", "v", "d")}
         for node, s in list(open_.items()):
             part = next((i for i, (low, high) in enumerate(s["bounds"]) if low < high), None)
             if part is None:  # one row: it goes to the side that it leaves nearer to the target
                 v, d, r = (low for low, _ in s["bounds"])
-                done.append((node, s["axis"], v, d, r if 2 * s["target"] >= s["weight"] else r - 1))
+                done[node] = (s["axis"], v, d, r if 2 * s["target"] >= s["weight"] else r - 1)
                 del open_[node]
             else:
-                params.append((node, s["axis"], s["target"], part, *s["bounds"][part], s["bounds"][0][0], s["bounds"][1][0]))
-        if not params:
-            break
-        own = rows.join(_small(spark, params, schema), "__node").withColumn("__dim", F.get("__dims", F.col("__axis")))
+                for n, value in zip(at, (s["axis"], s["target"], part, *s["bounds"][part], s["bounds"][0][0], s["bounds"][1][0]), strict=True):
+                    at[n][node] = value
+        if not open_:
+            return done
+        own = rows.withColumns({f"__{n}": _of_node(x, level) for n, x in at.items()}).filter("__axis IS NOT NULL").withColumn("__dim", F.get("__dims", F.col("__axis").cast("int")))
         key = F.when(F.col("__part") == 0, F.col("__dim")).when(F.col("__part") == 1, F.col("__doc")).otherwise(F.col("__rid"))
         inside = key.between(F.col("__low"), F.col("__high")) & ((F.col("__part") == 0) | (F.col("__dim") == F.col("__v"))) & ((F.col("__part") < 2) | (F.col("__doc") == F.col("__d")))
         half = lambda c: c.cast("double") / 2  # noqa: E731  half of a long never overflows
@@ -91,47 +88,40 @@ def _quantiles(rows: DataFrame, open_: dict[int, dict]) -> list[tuple]:
             s = open_[x["__node"]]
             s["target"] -= x["upto"] - x["weight"]
             s["weight"], s["bounds"] = x["weight"], [(x[f"{c}_low"], x[f"{c}_high"]) for c in _PARTS]
-    return done
 
 
-def split_tree(rows: DataFrame, n_dims: int, shards: int | None, target_bytes: int | None) -> tuple[list[list[tuple]], dict[int, int]]:
-    """Splits by level, and the shard of each leaf, for stored rows (__dims, __doc, __rid, __size)."""
-    levels: list[list[tuple]] = []
+def split_nodes(rows: DataFrame, n_dims: int, shards: int | None, target_bytes: int | None) -> tuple[DataFrame, dict[int, int]]:
+    """``rows`` (__dims, __doc, __rid, __size) with the leaf of each as ``__node``, and the shards of leaves."""
+    rows = rows.withColumn("__node", F.lit(1).cast("long"))
     wanted: dict[int, int] = {}
     spans: list[float] = []
-    leaves: set[int] = set()
+    level = 0
     while True:
-        placed = _placed(rows, levels)
         ranges = [f(F.get("__dims", F.lit(i))).alias(f"{n}{i}") for i in range(n_dims) for f, n in ((F.min, "low"), (F.max, "high"))]
         whole = [f(c).alias(f"{c}_{n}") for c in _PARTS[1:] for f, n in ((F.min, "low"), (F.max, "high"))]
-        stats = {x["__node"]: x for x in placed.filter(~F.col("__node").isin([*leaves]) if leaves else F.lit(True)).groupBy("__node").agg(F.sum("__size").alias("weight"), *ranges, *whole).collect()}
-        if not levels:
+        stats = {x["__node"]: x for x in rows.filter(F.col("__node") >= 1 << level).groupBy("__node").agg(F.sum("__size").alias("weight"), *ranges, *whole).collect()}
+        if not level:
             total = sum(x["weight"] for x in stats.values())
             wanted[1] = shards or max(1, round(total / (target_bytes or total or 1)))
             spans = [x[f"high{i}"] - x[f"low{i}"] or 1 for x in stats.values() for i in range(n_dims)]
-        open_ = {}
-        for node in [n for n in wanted if n not in leaves]:
-            x, k = stats.get(node), wanted[node]
-            if k == 1 or x is None:
-                leaves.add(node)
-                continue
-            wide = [(x[f"high{i}"] - x[f"low{i}"]) / spans[i] for i in range(n_dims)]
-            axis = wide.index(max(wide))
-            open_[node] = {"axis": axis, "target": x["weight"] * (k // 2) // k, "weight": x["weight"], "bounds": [(x[f"low{axis}"], x[f"high{axis}"]), *((x[f"{c}_low"], x[f"{c}_high"]) for c in _PARTS[1:])]}
+        open_: dict[int, dict] = {}
+        for node, x in stats.items():
+            if (k := wanted[node]) > 1:
+                wide = [(x[f"high{i}"] - x[f"low{i}"]) / spans[i] for i in range(n_dims)]
+                axis = wide.index(max(wide))
+                open_[node] = {"axis": axis, "target": x["weight"] * (k // 2) // k, "weight": x["weight"], "bounds": [(x[f"low{axis}"], x[f"high{axis}"]), *((x[f"{c}_low"], x[f"{c}_high"]) for c in _PARTS[1:])]}
         if not open_:
             break
         for node in open_:
             k = wanted.pop(node)
             wanted[2 * node], wanted[2 * node + 1] = k // 2, k - k // 2
-        levels.append(_quantiles(placed, open_))
-    depth = len(levels)
-    order = sorted(wanted, key=lambda n: n << (depth + 1 - n.bit_length()))
-    first = 0
-    numbered = {}
-    for node in order:  # a node that ran out of rows keeps the numbers of the shards that stay empty
+        rows = _stepped(rows, level, _quantiles(rows, level, open_))
+        level += 1
+    first, numbered = 0, {}
+    for node in sorted(wanted, key=lambda n: n << (level + 1 - n.bit_length())):
         numbered[node] = first
-        first += wanted[node]
-    return levels, numbered
+        first += wanted[node]  # a node that ran out of rows keeps the numbers of shards that stay empty
+    return rows, numbered
 
 
 def shard_documents(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None = None, dims: dict[str, Column] | None = None) -> DataFrame:
@@ -151,10 +141,11 @@ def shard_documents(docs: DataFrame, shards: int | None = SHARDS, target_bytes:
     kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
     stored = durable(docs.select(*kept, *[c.alias(n) for n, c in made.items()]), "sharded")
     rows = stored.select("__dims", "__doc", "__rid", "__size")
-    levels, numbered = split_tree(rows, len(keys), shards, target_bytes)
-    leaf = _small(rows.sparkSession, [*numbered.items()], "__node long, __shard int")
-    sorted_ = _placed(rows, levels).join(leaf, "__node").select("__rid", "__doc", "__shard").repartitionByRange("__shard", "__doc", "__rid").sortWithinPartitions("__shard", "__doc", "__rid")
-    placed = durable(sorted_.select("__rid", "__shard", F.monotonically_increasing_id().alias("__at")).withColumn("__run", F.shiftright("__at", 33)), "placed")
+    placed, numbered = split_nodes(rows, len(keys), shards, target_bytes)
+    deepest = max(n.bit_length() for n in numbered)
+    shard = F.coalesce(*[_of_node(part, level) for level in range(deepest) if (part := {n: i for n, i in numbered.items() if n.bit_length() == level + 1})])
+    ordered = placed.select("__rid", "__doc", shard.cast("int").alias("__shard")).repartitionByRange("__shard", "__doc", "__rid").sortWithinPartitions("__shard", "__doc", "__rid")
+    placed = durable(ordered.select("__rid", "__shard", F.monotonically_increasing_id().alias("__at")).withColumn("__run", F.shiftright("__at", 33)), "placed")
     # A shard is one run of rows in each of some following partitions.
     runs = placed.groupBy("__shard", "__run").agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("__shard").orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
