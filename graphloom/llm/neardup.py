@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import dealt, durable, pieces, table
@@ -148,6 +148,25 @@ def _forest(near: np.ndarray) -> np.ndarray:
     return np.array(edges, np.int64).reshape(-1, 2)
 
 
+def _met(rows: DataFrame, key: str, size: Column, most: int, most_size: int | None) -> DataFrame:
+    """``rows`` (key, rep, alone, ...) dealt to pairs of blocks ``gid`` of their key, of ``most`` rows or a sum of ``most_size``.
+
+    Rows that are ``alone`` meet all others of the key; the rest, which are joined already, meet only these.
+    """
+
+    def blocks(of: Column, name: str) -> Column:
+        n = F.ceil(F.count(F.when(of, 1)) / most)
+        return F.coalesce(n if most_size is None else F.greatest(n, F.ceil(F.sum(F.when(of, size)) / most_size)), F.lit(0)).cast("int").alias(name)
+
+    sizes = rows.groupBy(key).agg(blocks(F.col("alone"), "n_alone"), blocks(~F.col("alone"), "n_linked"))
+    # Blocks 0.. hold rows that are alone and meet all blocks; blocks from n_alone on hold the rest and meet the former.
+    rows = dealt(rows, sizes.hint("merge"), [key], ["rep"])
+    own = F.when(F.col("alone"), F.pmod(F.xxhash64("rep"), F.col("n_alone"))).otherwise(F.col("n_alone") + F.pmod(F.xxhash64("rep"), F.col("n_linked"))).cast("int")
+    last = F.when(F.col("alone"), F.col("n_alone") + F.col("n_linked")).otherwise(F.col("n_alone")) - 1
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+    return rows.withColumn("gid", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))).drop("own", "other", "n_alone", "n_linked")
+
+
 def _grouped(df: DataFrame) -> DataFrame:
     return df.repartition("gid").sortWithinPartitions("gid", "rep")
 
@@ -161,7 +180,7 @@ def _buckets(keys: DataFrame) -> DataFrame:
 def _star_edges(reps: DataFrame, masks: list[tuple[int, ...]], distance: int) -> DataFrame:
     """(a, b): members of each bucket of ``masks`` within ``distance`` of its smallest member, which is of another part."""
     keys = _index_keys(reps, masks)
-    pairs = keys.join(durable(_buckets(keys), "buckets").hint("merge"), "key").filter("part <> low_part").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
+    pairs = dealt(keys, durable(_buckets(keys), "buckets").hint("merge"), ["key"], ["rep"]).filter("part <> low_part").select(F.col("rep").alias("a"), F.col("low").alias("b")).distinct()
     hubs = reps.join(pairs.select(F.col("b").alias("rep")).distinct(), "rep", "left_semi").select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
     pairs = dealt(pairs.join(reps.select(F.col("rep").alias("a"), "sig").hint("merge"), "a"), hubs.hint("merge"), ["b"], ["a"])
 
@@ -175,13 +194,14 @@ def _star_edges(reps: DataFrame, masks: list[tuple[int, ...]], distance: int) ->
 def _close_pairs(reps: DataFrame, masks: list[tuple[int, ...]], distance: int) -> DataFrame:
     """(a, b): for each bucket of the keys of ``masks``, edges by signature distance between different parts.
 
-    Pairs of small buckets, a forest of larger ones. Members are dealt to pairs of
-    blocks, so that each two of a bucket meet in one ``gid`` at least.
+    Pairs of small buckets, a forest of larger ones. Members that the stars have joined
+    with the smallest one needn't meet each other; any two of a bucket, of which one is
+    not among these, meet in one ``gid`` at least.
     """
     keys = _index_keys(reps, masks)
-    members = keys.join(durable(_buckets(keys), "buckets").hint("merge"), "key").withColumn("blocks", F.ceil(F.col("n") / SIGNATURE_BLOCK).cast("int"))
-    members = members.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.withColumn("gid", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).join(reps.select("rep", "sig").hint("merge"), "rep")
+    buckets = durable(_buckets(keys), "buckets")
+    members = dealt(keys, buckets.hint("merge"), ["key"], ["rep"]).select("key", "rep", "part", (F.col("part") != F.col("low_part")).alias("alone"))
+    members = _met(durable(members, "members"), "key", F.lit(1), SIGNATURE_BLOCK, None).join(reps.select("rep", "sig").hint("merge"), "rep")
 
     def rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in _in_groups(parts):
@@ -299,15 +319,8 @@ def _links(docs: DataFrame, groups: DataFrame, width: int, percent: int) -> Data
         whole = large.join(sets.select("rep", "sid", "shingles"), ["rep", "sid"])
         cells = cells.unionByName(dealt(large, _candidate_cells(whole, percent).hint("merge"), ["part"], ["rep"]))
     cells = durable(cells.withColumn("alone", F.col("fits") | (F.col("part") != F.col("grp"))), "cells")
-    blocks = lambda of: F.coalesce(F.greatest(F.ceil(F.count(F.when(of, 1)) / BLOCK), F.ceil(F.sum(F.when(of, F.col("n"))) / BLOCK_SHINGLES)), F.lit(0)).cast("int")
-    sizes = cells.groupBy("cell").agg(blocks(F.col("alone")).alias("n_alone"), blocks(~F.col("alone")).alias("n_linked"))
-    # Blocks 0.. hold unlinked members and meet all blocks; blocks from n_alone on hold linked ones and meet the former.
-    cells = dealt(cells, sizes.hint("merge"), ["cell"], ["rep"])
-    own = F.when(F.col("alone"), F.pmod(F.xxhash64("rep"), F.col("n_alone"))).otherwise(F.col("n_alone") + F.pmod(F.xxhash64("rep"), F.col("n_linked"))).cast("int")
-    last = F.when(F.col("alone"), F.col("n_alone") + F.col("n_linked")).otherwise(F.col("n_alone")) - 1
-    cells = cells.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))
-    placed = cells.select("rep", "sid", F.xxhash64("cell", F.least("own", "other"), F.greatest("own", "other")).alias("gid"))
-    return star.union(_confirmed(placed.join(sets.select("rep", "sid", "shingles"), ["rep", "sid"]), percent))
+    placed = _met(cells, "cell", F.col("n"), BLOCK, BLOCK_SHINGLES)
+    return star.union(_confirmed(placed.select("rep", "sid", "gid").join(sets.select("rep", "sid", "shingles"), ["rep", "sid"]), percent))
 
 
 def near_duplicates(docs: DataFrame, width: int, percent: int) -> DataFrame:
