@@ -5,12 +5,13 @@ merge on the map side and after the shuffle, so a line on a third of all rows co
 one sketch per task. Lines whose estimate is clearly above or below the threshold
 are decided by it; lines near it get an exact count of distinct sites.
 
-Sites are counted twice. First on all documents. A document of which more than
-``1 - OWN`` stands on lines found then is a copy (or nothing but notices) and tells
-nothing about its lines; the second count is on the others, the witnesses. Lines that
-are spread over witnesses go from every document. So copies of one text on many
-sites keep it, for document de-duplication to handle, and short pages lose their
-notices like long ones.
+Sites are counted twice. First wherever a line stands. Then, of lines found so, each
+context counts once, by its smallest site: the context is the line with the lines before
+and after it. Copies of one text on many sites share their contexts, so they keep
+it, for document de-duplication to handle; a notice on pages with text of their own has as
+many contexts as pages, whatever its share of them. Lines that are spread in the second
+count go from every document. What always stands between the same two lines, as the
+middle of a notice of several lines, has one context and stays.
 """
 
 from __future__ import annotations
@@ -20,13 +21,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import durable, table, unused
+from graphloom.llm.common import dealt, durable, table, unused
 
 SITES = 10
 #: Estimates within these factors of the threshold are counted exactly (a dozen standard errors).
 NEAR = (0.8, 1.25)
-#: Share of its characters that a document must have on lines of its own to be a witness.
-OWN = 0.25
 _BLANK = " \t\r"
 
 
@@ -49,35 +48,32 @@ def _widely(lines: DataFrame, sites: int, name: str) -> DataFrame:
     spread = lines.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source")).alias("estimate"))
     spread = durable(spread.filter(F.col("estimate") >= NEAR[0] * sites), name)
     near = spread.filter(F.col("estimate") < NEAR[1] * sites).select("h1", "h2")
-    exact = lines.join(near, ["h1", "h2"], "left_semi").select("h1", "h2", "source").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+    exact = dealt(lines, near, ["h1", "h2"], ["source"], "left_semi").select("h1", "h2", "source").distinct().groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
     return spread.filter(F.col("estimate") >= NEAR[1] * sites).select("h1", "h2").union(exact.filter(F.col("n") >= sites).select("h1", "h2"))
 
 
-def spread_lines(docs: DataFrame, sites: int = SITES, own: float = OWN) -> DataFrame:
-    """(__k1, __k2, pos, h1, h2): the places of the lines that are spread over ``sites`` distinct sources of witnesses.
+def spread_lines(docs: DataFrame, sites: int = SITES) -> DataFrame:
+    """(__k1, __k2, pos, h1, h2): the places of the lines that are spread over ``sites`` distinct sources, contexts counted once.
 
     Lines are compared without blanks at their ends; blank lines and null sources don't
     count. ``__k1`` and ``__k2`` name a row by its doc_id and text; equal rows have one name.
     """
     source = F.col("source").cast("string").alias("source")
-    lines = docs.select(source, F.explode(F.array_distinct(_texts())).alias("line")).filter("line <> ''")
-    wide = durable(_widely(lines.select("source", *_line_key(F.col("line"))), sites, "spread"), "wide")
-    # What a document has once is computed before its lines are exploded.
-    size = F.aggregate(_texts(), F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("total")
-    placed = docs.select(*_row_key(), source, size, _texts().alias("lines")).select("__k1", "__k2", "source", "total", F.posexplode("lines").alias("pos", "line")).filter("line <> ''")
-    placed = placed.select("__k1", "__k2", "source", "total", "pos", F.length("line").alias("size"), *_line_key(F.col("line")))
-    placed = durable(placed.join(wide, ["h1", "h2"]), "placed")
-    shared = placed.select("__k1", "__k2", "total", "pos", "size").distinct().groupBy("__k1", "__k2", "total").agg(F.sum("size").alias("shared"))
-    witnesses = shared.filter(F.col("shared") < (1 - own) * F.col("total")).select("__k1", "__k2")
-    seen = placed.join(witnesses, ["__k1", "__k2"], "left_semi").select("h1", "h2", "source")
-    found = durable(_widely(seen, sites, "witnessed"), "boiler")
-    return placed.join(found, ["h1", "h2"], "left_semi").select("__k1", "__k2", "pos", "h1", "h2")
+    keys = F.filter(F.transform(_texts(), lambda x, i: F.struct(i.alias("pos"), (x == "").alias("blank"), *_line_key(x))), lambda x: ~x["blank"])
+    # A one-element array names the keys once for the whole text.
+    placed = F.transform(F.array(keys), lambda a: F.transform(a, lambda x, i: F.struct(x["pos"].alias("pos"), x["h1"].alias("h1"), x["h2"].alias("h2"), F.get(a, i - 1)["h1"].alias("before"), F.get(a, i + 1)["h1"].alias("after"))))[0]
+    lines = docs.select(*_row_key(), source, F.explode(placed).alias("x")).select("__k1", "__k2", "source", "x.*")
+    wide = durable(_widely(lines.select("source", "h1", "h2"), sites, "spread"), "wide")
+    found = durable(dealt(lines, wide, ["h1", "h2"], ["__k1", "pos"], "left_semi"), "placed")
+    contexts = found.filter("source IS NOT NULL").groupBy("h1", "h2", "before", "after").agg(F.min("source").alias("source"))
+    boiler = durable(_widely(contexts.select("h1", "h2", "source"), sites, "contexts"), "boiler")
+    return dealt(found, boiler, ["h1", "h2"], ["__k1", "pos"], "left_semi").select("__k1", "__k2", "pos", "h1", "h2")
 
 
 ADDED = ("__n_lines", "__n_removed")
 
 
-def remove_spread_lines(docs: DataFrame, sites: int = SITES, own: float = OWN, added: Sequence[str] = ADDED) -> DataFrame:
+def remove_spread_lines(docs: DataFrame, sites: int = SITES, added: Sequence[str] = ADDED) -> DataFrame:
     """``docs`` with ``text`` less its widely spread lines, and counts of lines before and removed.
 
     All columns are kept, ``n_chars`` (if there) follows the new text, and
@@ -88,7 +84,7 @@ def remove_spread_lines(docs: DataFrame, sites: int = SITES, own: float = OWN, a
     """
     text = F.col("text").cast("string")
     k1, k2, cut = unused(docs, "__k1", "__k2", "__cut")
-    found = spread_lines(docs, sites, own).groupBy(F.col("__k1").alias(k1), F.col("__k2").alias(k2)).agg(F.array_sort(F.collect_set("pos")).alias(cut))
+    found = spread_lines(docs, sites).groupBy(F.col("__k1").alias(k1), F.col("__k2").alias(k2)).agg(F.array_sort(F.collect_set("pos")).alias(cut))
     rows = docs.withColumns(dict(zip([k1, k2], _row_key(), strict=True)))
     joined = rows.join(found, [k1, k2], "left")
     # The lines between removed positions, as slices: linear in the text.
@@ -114,11 +110,10 @@ WITH parts AS (
   SELECT doc_id, source, pos, string_split(text, chr(10))[pos] AS raw, trim(string_split(text, chr(10))[pos], ' ' || chr(9) || chr(13)) AS line
   FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(pos)),
 wide AS (SELECT line FROM parts WHERE line <> '' GROUP BY line HAVING count(DISTINCT source) >= {SITES}),
-witness AS (
-  SELECT doc_id FROM (SELECT doc_id, length(line) AS size, line IN (SELECT line FROM wide) AS hit FROM parts)
-  GROUP BY doc_id HAVING coalesce(sum(size) FILTER (hit), 0) < {1 - OWN} * sum(size)),
+placed AS (
+  SELECT line, source, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS above, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS below FROM parts WHERE line <> ''),
 spread AS (
-  SELECT line FROM parts WHERE line IN (SELECT line FROM wide) AND doc_id IN (SELECT doc_id FROM witness)
+  SELECT line FROM (SELECT line, min(source) AS source FROM placed WHERE line IN (SELECT line FROM wide) GROUP BY line, above, below)
   GROUP BY line HAVING count(DISTINCT source) >= {SITES}),
 docs AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hit) AS n_hit, coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT hit), '') AS rest

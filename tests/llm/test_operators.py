@@ -430,6 +430,8 @@ def test_spread_lines(spark):
     rows += [(60, None, "s1"), (61, "", "s2"), (62, common, "s3"), (63, f"\n{common}\n\nlong enough to stay here as a line\n", None), (64, rows[0][1], "s0"), (0, rows[0][1], "s0")]
     copied = [prose(rng, 20, 10**6) for _ in range(4)]
     rows += [(100 + i, "\n".join([*copied, f"copy {i}"]), f"s{i}") for i in range(12)]
+    notice = "A notice that is longer than all that the page says beside it. " * 3
+    rows += [(200 + i, f"page {i}\n{notice}", f"n{i}") for i in range(40)] + [(300 + i, f"{notice}", f"n{i}") for i in range(3)]
     docs = spark.createDataFrame([(*r, 5, 1, 2) for r in rows], "doc_id long, text string, source string, n_chars long, pos long, h1 long")
     got = sorted(linededup.remove_spread_lines(docs).collect(), key=lambda r: r["doc_id"])
     bare = lambda t: [x.strip(" \t\r") for x in (t or "").split("\n")]
@@ -442,15 +444,20 @@ def test_spread_lines(spark):
                     sites[x].add(s)
         return {x for x in sites if len(sites[x]) >= linededup.SITES}
 
-    wide = spread(rows)
-    boiler = wide & spread([r for r in rows if sum(len(x) for x in bare(r[1]) if x in wide) < 0.75 * sum(map(len, bare(r[1])))])
+    wide, contexts = spread(rows), defaultdict(dict)
+    for _, t, s in rows:
+        own = [x for x in bare(t) if x]
+        for a, x, b in zip([None, *own], own, [*own[1:], None], strict=False):
+            if s:
+                contexts[x][a, b] = min(s, contexts[x].get((a, b), s))
+    boiler = {x for x in wide if len(set(contexts[x].values())) >= linededup.SITES}
     for r, (_, t, _) in zip(got, sorted(rows, key=lambda r: r[0]), strict=True):
         lines = t.split("\n") if t is not None else []
         hit = [x.strip(" \t\r") in boiler for x in lines]
         want = None if t is None else "\n".join(x for x, h in zip(lines, hit, strict=True) if not h)
         assert (r["text"], r["__n_removed"], r["__n_lines"]) == (want, sum(hit), len(lines)), t
         assert r["n_chars"] == (None if want is None else len(want)) and r["pos"] == 1
-    assert common in boiler and rare not in wide and copied[0] in wide - boiler and {r["doc_id"]: r["text"] for r in got}[62] == ""
+    assert common in boiler and rare not in wide and copied[0] in wide - boiler and notice.strip() in boiler and {r["doc_id"]: r["text"] for r in got}[207] == "page 7" and {r["doc_id"]: r["text"] for r in got}[62] == ""
     assert linededup.remove_spread_lines(docs.limit(0)).count() == 0
 
 

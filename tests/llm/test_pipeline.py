@@ -107,7 +107,7 @@ def test_spread_lines_leave_short_pages(spark):
     line = "This long notice stands on every page of the house and holds more words than the page itself."
     pages = [(i, f"{prose(rng, 9, 10**6)}\n{line}\n\n", f"s{i}") for i in range(12)]
     text = "\n".join(prose(rng, 30, 10**6) for _ in range(5))
-    copies = [(100 + i, text + f" x{i}", f"s{i}") for i in range(12)] + [(None, prose(random.Random(4), 40, 10**6), f"s{i}") for i in range(12)]
+    copies = [(100 + i, text if i else text + " x", f"s{i}") for i in range(12)] + [(None, prose(random.Random(4), 40, 10**6), f"s{i}") for i in range(12)]
     rows = [*pages, *copies, (200, line, "s0"), (201, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sorted((tuple(r) for r in P.drop_boilerplate(spark, docs, SF).collect()), key=repr)
