@@ -35,9 +35,16 @@ def tokens(text: Column) -> Column:
 
 
 def index(texts: DataFrame, owner: str, at: str, body: str = "body") -> DataFrame:
-    """(token, owner, idx, tf, n): each distinct word of each text, its count and the text's number of words."""
-    words = texts.select(F.col(owner).alias("owner"), F.col(at).alias("idx"), tokens(F.col(body)).alias("t"))
-    return words.select("owner", "idx", F.size("t").alias("n"), F.explode("t").alias("token")).groupBy("token", "owner", "idx", "n").agg(F.count(F.lit(1)).alias("tf")).select("token", "owner", "idx", "tf", "n")
+    """(token, owner, idx, tf, n, positions): each distinct word of each text, its places from 0, their count, and the text's number of words.
+
+    Words are counted inside their row: sorted with their places, and cut where they change.
+    """
+    rows = texts.select(F.col(owner).alias("owner"), F.col(at).alias("idx"), tokens(F.col(body)).alias("t"))
+    rows = rows.select("owner", "idx", F.size("t").alias("n"), F.array_sort(F.transform("t", lambda x, i: F.struct(x.alias("token"), i.alias("at")))).alias("t")).filter("n > 0")
+    begins = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (i == 0) | (F.get("t", i)["token"] != F.get("t", i - 1)["token"]))
+    rows = rows.select("owner", "idx", "n", "t", begins.alias("b"))
+    words = F.transform("b", lambda x, i: F.struct(F.get("t", x)["token"].alias("token"), F.transform(F.slice("t", x + 1, F.coalesce(F.get("b", i + 1), F.col("n")) - x), lambda y: y["at"]).alias("positions")))
+    return rows.select("owner", "idx", "n", F.explode(words).alias("w")).select("w.token", "owner", "idx", F.size("w.positions").cast("long").alias("tf"), "n", "w.positions")
 
 
 def query_terms(text: str) -> tuple[list[str], str | None]:

@@ -10,45 +10,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Tasks over which the events that ask for one wildcard key are dealt.
+DEALS = 32
+
+
 def running_sum(rows: DataFrame, key: str, value: Column, order: list[str], part: Column, out: str) -> DataFrame:
     """Running sum of ``value`` by ``key`` in ``order``; ``part`` cuts a key into consecutive runs.
 
     ``part`` must not fall along ``order``. Runs are summed first, so a key with a third
-    of all rows is split over its runs.
+    of all rows is split over its runs. Every row stays: rows without a key are one key,
+    and nulls in ``order`` and ``part`` come first; a null value adds nothing.
     """
-    rows = rows.withColumns({"__part": part, "__value": value})
+    rows = rows.withColumns({"__part": part, "__value": F.coalesce(value, F.lit(0))})
     sums = rows.groupBy(key, "__part").agg(F.sum("__value").alias("__sum"))
     earlier = Window.partitionBy(key).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(key, "__part", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
+    base = sums.select(F.col(key).alias("__key"), F.col("__part").alias("__run"), F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__base"))
     inside = Window.partitionBy(key, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("__own", F.sum("__value").over(inside)).join(base, [key, "__part"])
-    return rows.withColumn(out, F.col("__own") + F.col("__base")).drop("__part", "__value", "__own", "__base")
+    rows = rows.withColumn("__own", F.sum("__value").over(inside)).join(base, F.col(key).eqNullSafe(F.col("__key")) & F.col("__part").eqNullSafe(F.col("__run")))
+    return rows.withColumn(out, F.col("__own") + F.col("__base")).drop("__part", "__value", "__own", "__base", "__key", "__run")
 
 
 def event_revisions(change: DataFrame) -> DataFrame:
     """``change`` with ``entity_revision``: raised by each event that is not quiet.
 
-    Quiet events repeat the revision; a first event that is quiet still opens revision 1.
+    Quiet events repeat the revision; a first event that is quiet still opens revision 1. An event
+    without a time comes before the others, one without a mark is not quiet, and those without
+    an entity are numbered together.
     """
-    counted = running_sum(change, "entity_id", (1 - F.col("quiet")).cast("long"), ["ts", "event_id"], F.date_trunc("hour", "ts"), "entity_revision")
-    first = change.groupBy("entity_id").agg(F.min_by("quiet", F.struct("ts", "event_id")).alias("first_quiet"))
-    return counted.join(first, "entity_id").withColumn("entity_revision", F.col("entity_revision") + F.col("first_quiet")).drop("first_quiet")
+    quiet = F.coalesce(F.col("quiet").cast("long"), F.lit(0))
+    counted = running_sum(change, "entity_id", 1 - quiet, ["ts", "event_id"], F.date_trunc("hour", "ts"), "entity_revision")
+    first = change.groupBy(F.col("entity_id").alias("__entity")).agg(F.min_by(quiet, F.struct("ts", "event_id")).alias("first_quiet"))
+    return counted.join(first, F.col("entity_id").eqNullSafe(F.col("__entity"))).withColumn("entity_revision", F.col("entity_revision") + F.col("first_quiet")).drop("first_quiet", "__entity")
 
 
 def fan_out(change: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """(event_id, subscription_id): each event once for each subscription that wants it.
+    """(event_id, subscription_id): each event once for each enabled subscription that wants it.
 
     ``subscriptions`` (subscription_id, operations, types, ignored_origins, own_origin) may
-    have any number of rows; an empty list wants all; an own or ignored origin is skipped.
+    have any number of rows, and a column ``enabled``, where anything but true or 1 switches a
+    subscription off. An empty or null list wants all; an own or ignored origin is skipped, and no
+    origin is neither.
     """
+    if "enabled" in subscriptions.columns:
+        subscriptions = subscriptions.filter(F.coalesce(F.col("enabled").cast("boolean"), F.lit(False)))
     # One key for each operation and type wanted; an empty list gives one null key, and an event asks for both.
-    keys = lambda xs: F.explode(F.when(F.size(xs) == 0, F.array(F.lit(None).cast("string"))).otherwise(F.filter(F.array_distinct(xs), lambda x: x.isNotNull())))
+    keys = lambda xs: F.explode(F.when(F.size(F.coalesce(F.col(xs), F.array())) == 0, F.array(F.lit(None).cast("string"))).otherwise(F.filter(F.array_distinct(xs), lambda x: x.isNotNull())))
     subs = subscriptions.withColumn("__operation", keys("operations")).withColumn("__type", keys("types"))
-    rows = change.select("event_id", "origin", F.explode(F.array("operation", F.lit(None))).alias("__o"), "entity_type")
-    rows = rows.select("event_id", "origin", "__o", F.explode(F.array("entity_type", F.lit(None))).alias("__t"))
-    meets = F.col("__operation").eqNullSafe(F.col("__o")) & F.col("__type").eqNullSafe(F.col("__t"))
-    wanted = ~F.array_contains(F.col("ignored_origins"), F.col("origin")) & (F.col("own_origin") != F.col("origin"))
-    return rows.join(subs, meets & wanted).select("event_id", "subscription_id").distinct()
+    rows = change.select("event_id", "origin", F.explode(F.array_distinct(F.array("operation", F.lit(None)))).alias("__o"), "entity_type")
+    rows = rows.select("event_id", "origin", "__o", F.explode(F.array_distinct(F.array("entity_type", F.lit(None)))).alias("__t"))
+    # A key of wildcards is asked for by all events, so these are dealt and its subscriptions go to every deal.
+    wild = lambda a, b: F.col(a).isNull() | F.col(b).isNull()
+    rows = rows.withColumn("__deal", F.when(wild("__o", "__t"), F.pmod(F.xxhash64("event_id"), F.lit(DEALS))).otherwise(F.lit(0)).cast("int"))
+    subs = subs.withColumn("__place", F.explode(F.sequence(F.lit(0), F.when(wild("__operation", "__type"), DEALS - 1).otherwise(F.lit(0)))))
+    meets = F.col("__operation").eqNullSafe(F.col("__o")) & F.col("__type").eqNullSafe(F.col("__t")) & (F.col("__place") == F.col("__deal"))
+    skipped = F.coalesce(F.array_contains(F.col("ignored_origins"), F.col("origin")), F.lit(False)) | F.coalesce(F.col("own_origin") == F.col("origin"), F.lit(False))
+    return rows.join(subs, meets & ~skipped).select("event_id", "subscription_id").distinct()
 
 
 def due_claims(outbox: DataFrame, now: int) -> DataFrame:
@@ -170,10 +186,14 @@ def type_snapshots(subjects: DataFrame, vectors: DataFrame, jobs: DataFrame) ->
 
 
 def idempotency(requests: DataFrame) -> DataFrame:
-    """(request_id, outcome): first use of a (principal, key) applies; the same fingerprint replays, another conflicts."""
-    first = requests.groupBy("principal", "key").agg(F.min(F.struct("request_id", "fingerprint")).alias("f"))
-    rows = requests.join(first, ["principal", "key"])
-    return rows.select("request_id", F.when(F.col("request_id") == F.col("f.request_id"), "apply").when(F.col("fingerprint") == F.col("f.fingerprint"), "replay").otherwise("conflict").alias("outcome"))
+    """(request_id, outcome): first use of a (principal, key) applies; the same fingerprint replays, another conflicts.
+
+    A request without a key always applies; principals without a name are one principal.
+    """
+    first = requests.filter("key IS NOT NULL").groupBy(F.col("principal").alias("__principal"), F.col("key").alias("__key")).agg(F.min(F.struct("request_id", "fingerprint")).alias("f"))
+    rows = requests.join(first, F.col("principal").eqNullSafe(F.col("__principal")) & (F.col("key") == F.col("__key")), "left")
+    applies = F.col("key").isNull() | F.col("request_id").eqNullSafe(F.col("f.request_id"))
+    return rows.select("request_id", F.when(applies, "apply").when(F.col("fingerprint").eqNullSafe(F.col("f.fingerprint")), "replay").otherwise("conflict").alias("outcome"))
 
 
 def causation_faults(events: DataFrame, hops: int = 15) -> DataFrame:
@@ -191,10 +211,3 @@ def next_due(*queues: DataFrame) -> DataFrame:
     for q in queues[1:]:
         out = out.union(q.select("due"))
     return out.agg(F.min("due").alias("due"))
-
-
-def sessions_by_revision(change: DataFrame) -> DataFrame:
-    """(entity_id, first, last, n): extent of each entity's log."""
-    return change.groupBy("entity_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.count(F.lit(1)).alias("n"))
-
-

@@ -35,7 +35,7 @@ def add_observations(observation: DataFrame, new: DataFrame, only_new: bool = Fa
     """Append ``new`` (entity_id, pos, body) after the last idx of each entity.
 
     ``only_new`` skips bodies the entity has and repetitions within the request;
-    otherwise nothing is skipped.
+    otherwise nothing is skipped. Rows without a place come first.
     """
     if only_new:
         new = new.groupBy("entity_id", "body").agg(F.min("pos").alias("pos")).join(observation.select("entity_id", "body"), ["entity_id", "body"], "left_anti")

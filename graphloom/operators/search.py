@@ -1,6 +1,6 @@
 """Full-text search: postings, boolean and phrase matches, BM25, merged node search.
 
-An index is a DataFrame (token, owner, idx, tf, n) stored in order of tokens. A query has
+An index is a DataFrame (token, owner, idx, tf, n, positions) stored in order of tokens. A query has
 few terms, which are a predicate of the scan, so only their postings are read. ``match``
 and ``bm25`` do the same on texts that have no index.
 """
@@ -8,8 +8,9 @@ and ``bm25`` do the same on texts that have no index.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import folded, query_terms, tokens
@@ -64,17 +65,26 @@ def bm25(texts: DataFrame, terms: Sequence[str], owner: str = "id", body: str =
     return rows.groupBy("owner").agg(F.sum(part).alias("score"))
 
 
-def match_index(index: DataFrame, all_of: Sequence[str] = (), any_of: Sequence[str] = (), none_of: Sequence[str] = (), prefix: str | None = None, phrase: Sequence[str] = (), texts: DataFrame | None = None, owner: str = "id", at: str = "idx", body: str = "body") -> DataFrame:
-    """(owner, idx): as ``match``, from an index (token, owner, idx, tf, n) sorted by token, of which only the words asked for are read.
+def earlier(positions: str, n: int) -> Column:
+    """Positions, each ``n`` words before."""
+    return F.transform(positions, lambda x: x - n)
 
-    A phrase is looked up by its words and then checked in ``texts``.
+
+def match_index(index: DataFrame, all_of: Sequence[str] = (), any_of: Sequence[str] = (), none_of: Sequence[str] = (), prefix: str | None = None, phrase: Sequence[str] = ()) -> DataFrame:
+    """(owner, idx): as ``match``, from an index sorted by token, of which only the words asked for are read.
+
+    A phrase is told by the positions of its words.
     """
     key = ["owner", "idx"]
-    need = list(dict.fromkeys([*all_of, *phrase]))
     sets = []
-    if need:
+    if all_of:
+        need = list(dict.fromkeys(all_of))
         hits = index.filter(F.col("token").isin(need))
         sets.append(hits.groupBy(*key).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") == len(need)).select(*key) if len(need) > 1 else hits.select(*key))
+    if phrase:
+        places = [F.flatten(F.collect_list(F.when(F.col("token") == w, earlier("positions", i)))) for i, w in enumerate(phrase)]
+        hits = index.filter(F.col("token").isin(list(phrase))).groupBy(*key).agg(*[p.alias(f"p{i}") for i, p in enumerate(places)])
+        sets.append(hits.filter(F.size(reduce(F.array_intersect, [F.col(f"p{i}") for i in range(len(phrase))])) > 0).select(*key))
     if any_of:
         sets.append(index.filter(F.col("token").isin(list(any_of))).select(*key).distinct())
     if prefix:
@@ -84,10 +94,6 @@ def match_index(index: DataFrame, all_of: Sequence[str] = (), any_of: Sequence[s
         found = found.join(more, key, "left_semi")
     if none_of:
         found = found.join(index.filter(F.col("token").isin(list(none_of))).select(*key), key, "left_anti")
-    if len(phrase) > 1:
-        rows = texts.select(F.col(owner).alias("owner"), F.col(at).alias("idx"), F.col(body).alias("body")).join(found, key, "left_semi")
-        row = F.concat(F.lit(" "), F.array_join(tokens(F.col("body")), " "), F.lit(" "))
-        found = rows.filter(F.contains(row, F.lit(f" {' '.join(phrase)} "))).select(*key)
     return found
 
 
@@ -97,26 +103,30 @@ def index_totals(index: DataFrame, texts: int) -> tuple[int, float]:
 
 
 def bm25_index(index: DataFrame, totals: tuple[int, float], terms: Sequence[str]) -> DataFrame:
-    """(owner, score): texts with any of ``terms``, as ``bm25``, reading the postings of the terms only."""
+    """(owner, idx, score): texts with any of ``terms``, as ``bm25``, reading the postings of the terms only."""
     docs, mean = totals
     hits = index.filter(F.col("token").isin(list(terms)))
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / mean))
-    return hits.join(df, "token").groupBy("owner", "idx").agg(F.sum(part).alias("score")).select("owner", "score")
+    return hits.join(df, "token").groupBy("owner", "idx").agg(F.sum(part).alias("score")).select("owner", "idx", "score")
 
 
-def rank(index: DataFrame, found: DataFrame, totals: tuple[int, float], terms: Sequence[str]) -> DataFrame:
+def rank(index: DataFrame, found: DataFrame, totals: tuple[int, float], terms: Sequence[str], prefix: str | None = None) -> DataFrame:
     """(owner, idx, rank): ``found`` with the rank of a stored full-text table, best (lowest) first.
 
-    Minus BM25 with idf = ln((N - df + 0.5) / (df + 0.5)), 1e-6 at least; to nine digits.
+    Minus BM25 with idf = ln((N - df + 0.5) / (df + 0.5)), 1e-6 at least; to nine digits. All
+    words that begin with ``prefix`` count as one term.
     """
     docs, mean = totals
-    hits = index.filter(F.col("token").isin(list(terms)))
-    df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    asked = [F.when(F.col("token").isin(list(terms)), F.concat(F.lit("="), F.col("token")))] + ([F.when(F.col("token").startswith(prefix), F.lit("*"))] if prefix else [])
+    test = F.col("token").isin(list(terms))
+    hits = index.filter(test | F.col("token").startswith(prefix) if prefix else test)
+    hits = hits.select("owner", "idx", "n", "tf", F.explode(F.filter(F.array(*asked), lambda x: x.isNotNull())).alias("term")).groupBy("owner", "idx", "n", "term").agg(F.sum("tf").alias("tf"))
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / mean))
-    scored = hits.join(found, ["owner", "idx"], "left_semi").join(df, "token").groupBy("owner", "idx").agg((-F.round(F.sum(part), 9)).alias("rank"))
+    scored = hits.join(found, ["owner", "idx"], "left_semi").join(df, "term").groupBy("owner", "idx").agg((-F.round(F.sum(part), 9)).alias("rank"))
     return scored.select("owner", "idx", "rank")
 
 
@@ -126,12 +136,16 @@ def search_nodes(entity: DataFrame, name_index: DataFrame, body_index: DataFrame
     Each source gives at most offset + limit candidates before the type filter, so a
     filtered page may hold fewer rows. An entity counts once, by its name. No term, no row.
     """
-    cap = offset + limit
     names = match_index(name_index, terms, prefix=prefix)
-    ranked = rank(name_index, names, index_totals(name_index, entity.count()), terms) if terms else names.withColumn("rank", F.lit(0.0))
-    by_name = ranked.orderBy("rank", "owner").limit(cap).select("owner", F.lit(0).alias("source"), "rank")
-    bodies = match_index(body_index, terms, prefix=prefix).select("owner").distinct()
-    by_body = bodies.orderBy("owner").limit(cap).select("owner", F.lit(1).alias("source"), F.lit(0.0).alias("rank"))
+    ranked = rank(name_index, names, index_totals(name_index, entity.count()), terms, prefix)
+    return _merged(entity, ranked, match_index(body_index, terms, prefix=prefix), entity_type, offset, limit)
+
+
+def _merged(entity: DataFrame, names: DataFrame, bodies: DataFrame, entity_type: str | None, offset: int, limit: int) -> DataFrame:
+    """A page of entities found by their names (owner, idx, rank), then by observations (owner, idx)."""
+    cap = offset + limit
+    by_name = names.orderBy("rank", "owner").limit(cap).select("owner", F.lit(0).alias("source"), "rank")
+    by_body = bodies.select("owner").distinct().orderBy("owner").limit(cap).select("owner", F.lit(1).alias("source"), F.lit(0.0).alias("rank"))
     found = by_name.union(by_body).groupBy("owner").agg(F.min(F.struct("source", "rank")).alias("m"))  # 2 x cap rows at most
     rows = entity.join(found, F.col("id") == F.col("owner"))
     if entity_type:
@@ -155,7 +169,12 @@ def search_relation_texts(relation_observation: DataFrame, index: DataFrame, ter
     are made distinct.
     """
     found = match_index(index, terms, prefix=prefix)
-    ranked = rank(index, found, index_totals(index, relation_observation.count()), terms) if terms else found.withColumn("rank", F.lit(0.0))
+    ranked = rank(index, found, index_totals(index, relation_observation.count()), terms, prefix)
+    return _relations(ranked, limit, relation)
+
+
+def _relations(ranked: DataFrame, limit: int, relation: DataFrame | None) -> DataFrame:
+    """A page of relations from the ranked hits of their bodies."""
     rows = ranked.select("owner.*", "idx", "rank")
     if relation is not None:
         rows = rows.join(relation, TRIPLE, "left_semi")

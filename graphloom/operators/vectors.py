@@ -115,8 +115,10 @@ def knn(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Queries in blocks against all chunks in packs: a block and a pack meet in one matrix
     product, of which only each query's k best leave the task. Neither side passes
-    through the driver; with one block of queries, each chunk is moved once.
+    through the driver; with one block of queries, each chunk is moved once. Chunks and
+    queries without a vector, or with a null in it, take no part.
     """
+    chunks, queries = (df.filter(F.col(c).isNotNull() & F.forall(c, lambda x: x.isNotNull())) for df, c in ((chunks, "embedding"), (queries, "q")))
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     asked = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.struct("query_id", "q").alias("x"))
     asked = asked.groupBy("block").agg(F.collect_list("x").alias("asked")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import likeness, query_terms
+from graphloom.operators import fulltext as T
 from graphloom.operators import search as S
 from graphloom.operators import taxonomy as X
 from graphloom.plans.code import embedded_sql
@@ -17,14 +18,14 @@ _OBS = f"obs AS (SELECT entity_id AS owner, idx, {_TOKENS.format('body')} AS t F
 
 def _match(name: str, test: str, **terms):
     query(name, f"{_OBS};;SELECT owner, idx FROM obs WHERE {test}")(
-        lambda g: S.match_index(g.word, texts=g.observation, owner="entity_id", **terms))
+        lambda g: S.match_index(g.word, **terms))
 
 
-_match("fts_obs_match", "list_contains(t, 'the') AND list_contains(t, 'ion')", all_of=["the", "ion"])
+_match("fts_obs_match", "list_contains(t, 'the') AND list_contains(t, 'that')", all_of=["the", "that"])
 _match("fts_any", "list_has_any(t, ['building', 'der'])", any_of=["building", "der"])
 _match("fts_not", "list_contains(t, 'the') AND NOT list_contains(t, 'of')", all_of=["the"], none_of=["of"])
 _match("fts_phrase", "contains(' ' || array_to_string(t, ' ') || ' ', ' of the ')", phrase=["of", "the"])
-_match("fts_prefix", "list_contains(t, 'name') AND len(list_filter(t, lambda x: starts_with(x, 'gre'))) > 0", all_of=["name"], prefix="gre")
+_match("fts_prefix", "list_contains(t, 'name') AND len(list_filter(t, lambda x: starts_with(x, 'wid'))) > 0", all_of=["name"], prefix="wid")
 
 
 @query("fts_name_and", f"n AS (SELECT id, name, {_TOKENS.format('name')} AS t FROM entity);;SELECT id, name FROM n WHERE list_contains(t, 'part') AND len(list_filter(t, lambda x: starts_with(x, '00000001'))) > 0")
@@ -35,22 +36,17 @@ def fts_name_and(g):
 
 
 _BM25 = f"""
-d AS (SELECT entity_id AS owner, {_TOKENS.format('body')} AS t FROM observation WHERE entity_id >= 6000000000),
+d AS (SELECT entity_id AS owner, idx, {_TOKENS.format('body')} AS t FROM observation),
 s AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM d),
-x AS (SELECT owner, len(t) AS n, token, count(*) AS tf FROM (SELECT owner, t, unnest(t) AS token FROM d) WHERE token IN ('the', 'que', 'hend') GROUP BY owner, len(t), token),
+x AS (SELECT owner, idx, len(t) AS n, token, count(*) AS tf FROM (SELECT owner, idx, t, unnest(t) AS token FROM d) WHERE token IN ('the', 'que', 'hend') GROUP BY owner, idx, len(t), token),
 f AS (SELECT token, count(*) AS df FROM x GROUP BY token),
-r AS (SELECT owner, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM x JOIN f USING (token), s GROUP BY owner)"""
+r AS (SELECT owner, idx, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) AS score FROM x JOIN f USING (token), s GROUP BY owner, idx)"""
 
 
-def _documents(g):
-    return g.observation.filter(F.col("entity_id") >= 6_000_000_000)
-
-
-@query("fts_bm25_topk", _BM25 + ";;SELECT owner, round(score, 6) AS score FROM r ORDER BY round(score, 6) DESC, owner LIMIT 50")
+@query("fts_bm25_topk", _BM25 + ";;SELECT owner, idx, round(score, 6) AS score FROM r ORDER BY round(score, 6) DESC, owner, idx LIMIT 50")
 def fts_bm25_topk(g):
-    words = g.word.filter("owner >= 6000000000")
-    rows = S.bm25_index(words, S.index_totals(words, _documents(g).count()), ["the", "que", "hend"]).withColumn("score", F.round("score", 6))
-    return rows.orderBy(F.desc("score"), "owner").limit(50)
+    rows = S.bm25_index(g.word, S.index_totals(g.word, g.observation.count()), ["the", "que", "hend"]).withColumn("score", F.round("score", 6))
+    return rows.orderBy(F.desc("score"), "owner", "idx").limit(50)
 
 
 @query("fts_postings", f"{_OBS};;SELECT owner, token, count(*) AS tf FROM (SELECT owner, unnest(t) AS token FROM obs) GROUP BY owner, token")
@@ -58,25 +54,33 @@ def fts_postings(g):
     return g.word.groupBy("owner", "token").agg(F.sum("tf").alias("tf"))
 
 
-def _ranked(texts: str, tokens: str, word: str, key: str) -> str:
-    """Common table expressions: hits of one word in ``texts`` with the rank of a stored full-text table."""
-    return f"""t AS (SELECT {key}, {tokens} AS w FROM {texts}), c AS (SELECT *, len(list_filter(w, lambda x: x = '{word}')) AS tf FROM t),
-z AS (SELECT count(*) AS docs, avg(len(w)) AS mean, count(*) FILTER (tf > 0) AS df FROM c),
-r AS (SELECT {key}, -round(greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean)), 9) AS rank FROM c, z WHERE tf > 0)"""
+def _starts_sql(words: list[str], prefix: bool) -> str:
+    """Places at which a phrase begins among the words ``w``."""
+    tests = [f"starts_with(w[i + {n + 1}], '{x}')" if prefix and n == len(words) - 1 else f"w[i + {n + 1}] = '{x}'" for n, x in enumerate(words)]
+    return f"list_filter(range(len(w) - {len(words) - 1}), lambda i: {' AND '.join(tests)})"
+
+
+def _ranked(texts: str, tokens: str, phrases: list[tuple[list[str], bool]], holds: str, key: str, where: str = "true") -> str:
+    """Common table expressions: texts of which ``holds`` is true of the starts s0, s1, ... of phrases, with the rank of a stored full-text table."""
+    n = range(len(phrases))
+    part = " + ".join(f"greatest(ln((docs - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * len(s{i}) * 2.2 / (len(s{i}) + 1.2 * (0.25 + 0.75 * len(w) / mean))" for i in n)
+    return f"""t AS (SELECT {key}, {tokens} AS w FROM {texts}), c AS (SELECT *, {', '.join(f'{_starts_sql(*p)} AS s{i}' for i, p in enumerate(phrases))} FROM t),
+z AS (SELECT count(*) AS docs, avg(len(w)) AS mean, {', '.join(f'count(*) FILTER (len(s{i}) > 0) AS d{i}' for i in n)} FROM c),
+r AS (SELECT {key}, -round({part}, 9) AS rank FROM c, z WHERE ({holds}) AND {where})"""
 
 
-def _node_sql(word: str, kind: str | None, offset: int, limit: int, extra: int = 0) -> str:
+def _node_sql(phrases: list[tuple[list[str], bool]], holds: str, kind: str | None, offset: int, limit: int, extra: int = 0) -> str:
     cap = offset + limit + extra
-    return _ranked("entity", _TOKENS.format("name"), word, "id") + f""",
+    return _ranked("entity", _TOKENS.format("name"), phrases, holds, "id") + f""",
 n AS (SELECT id AS owner, 0 AS source, rank FROM r ORDER BY rank, owner LIMIT {cap}),
-b AS (SELECT DISTINCT entity_id AS owner, 1 AS source, 0.0 AS rank FROM observation WHERE list_contains({_TOKENS.format('body')}, '{word}') ORDER BY owner LIMIT {cap}),
+b AS (SELECT DISTINCT owner, 1 AS source, 0.0 AS rank FROM (SELECT *, {', '.join(f'{_starts_sql(*p)} AS s{i}' for i, p in enumerate(phrases))} FROM (SELECT entity_id AS owner, {_TOKENS.format('body')} AS w FROM observation)) WHERE {holds} ORDER BY owner LIMIT {cap}),
 m AS (SELECT owner, arg_min(source, source) AS source, arg_min(rank, source) AS rank FROM (SELECT * FROM n UNION ALL SELECT * FROM b) GROUP BY owner),
 k AS (SELECT row_number() OVER (ORDER BY source, rank, id) - 1 AS place, id, name, entity_type FROM m JOIN entity ON id = owner {f"WHERE entity_type = '{kind}'" if kind else ''});;
 SELECT CAST(place AS INTEGER) AS place, id, name, entity_type FROM k WHERE place >= {offset} AND place < {offset + limit}"""
 
 
 def _nodes(name: str, word: str, kind: str | None, offset: int, limit: int):
-    query(name, _node_sql(word, kind, offset, limit))(lambda g: S.search_nodes(g.entity, g.name_word, g.word, [word], kind, offset, limit))
+    query(name, _node_sql([([word], False)], "len(s0) > 0", kind, offset, limit))(lambda g: S.search_nodes(g.entity, g.name_word, g.word, [word], kind, offset, limit))
 
 
 _nodes("search_nodes_merged", "machinery", None, 0, 50)
@@ -84,37 +88,70 @@ _nodes("search_nodes_names", "part", None, 5, 50)
 _nodes("search_nodes_typed_page", "the", "document", 10, 20)
 
 
-@query("search_nodes_lite", _node_sql("machinery", None, 0, 10, 1).replace("SELECT CAST(place", "SELECT (SELECT count(*) FROM k) > 10 AS has_more, CAST(place"))
+@query("search_nodes_lite", _node_sql([(["machinery"], False)], "len(s0) > 0", None, 0, 10, 1).replace("SELECT CAST(place", "SELECT (SELECT count(*) FROM k) > 10 AS has_more, CAST(place"))
 def search_nodes_lite(g):
     rows, more = S.search_nodes_lite(g.entity, g.name_word, g.word, ["machinery"], None, 0, 10)
     return rows.select(F.lit(more).alias("has_more"), "place", "id", "name", "entity_type")
 
 
-_BODIES = _ranked("relation_observation", _TOKENS.format("body"), "registered", "from_id, to_id, relation_type, idx") + """,
+_PAGE = """,
 h AS (SELECT * FROM r ORDER BY rank, from_id, to_id, relation_type, idx LIMIT 40), d AS (SELECT from_id, to_id, relation_type, min(rank) AS rank FROM h GROUP BY ALL),
 k AS (SELECT CAST(row_number() OVER (ORDER BY rank, from_id, to_id, relation_type) - 1 AS INTEGER) AS place, from_id, to_id, relation_type FROM d);;"""
+_AS_RELATION = "SELECT 'relation' AS kind, place, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS name, from_id, to_id, relation_type AS type FROM k"
 
 
-@query("search_relations_text", _BODIES + "SELECT * FROM k")
+def _bodies(phrases: list[tuple[list[str], bool]], holds: str, where: str = "true") -> str:
+    return _ranked("relation_observation", _TOKENS.format("body"), phrases, holds, "from_id, to_id, relation_type, idx", where) + _PAGE
+
+
+@query("search_relations_text", _bodies([(["registered"], False)], "len(s0) > 0") + "SELECT * FROM k")
 def search_relations_text(g):
     return S.search_relation_texts(g.relation_observation, g.relation_word, ["registered"], 40)
 
 
-@query("search_direct_relations", _BODIES.replace("WHERE tf > 0)", "WHERE tf > 0 AND to_id % 2 = 0)") + "SELECT 'relation' AS kind, place, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS name, from_id, to_id, relation_type AS type FROM k")
+@query("search_direct_relations", _bodies([(["registered"], False), (["sup"], True)], "len(s0) > 0 AND len(s1) > 0", "to_id % 2 = 0") + _AS_RELATION)
 def search_direct_relations(g):
     """A viewer's text over relations: the first word is whole, the last a beginning."""
     return S.direct_search("relations", "Registered, sup", g.entity, g.name_word, g.word, g.relation_observation, g.relation_word, 40, relation=g.relation.filter("to_id % 2 = 0"))
 
 
-@query("search_direct_nodes", f"""
-n AS (SELECT id, name, entity_type, {_TOKENS.format('name')} AS t FROM entity),
-h AS (SELECT * FROM n WHERE list_contains(t, 'part') AND len(list_filter(t, lambda x: starts_with(x, '00000001'))) > 0),
-k AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS place FROM h);;
-SELECT 'entity' AS kind, CAST(place AS INTEGER) AS place, id, name, CAST(NULL AS BIGINT) AS from_id, CAST(NULL AS BIGINT) AS to_id, entity_type AS type FROM k WHERE place < 30""")
+@query("search_direct_nodes", _node_sql([(["part"], False), (["00000001"], True)], "len(s0) > 0 AND len(s1) > 0", None, 0, 30).replace("SELECT CAST(place AS INTEGER) AS place, id, name, entity_type", "SELECT 'entity' AS kind, CAST(place AS INTEGER) AS place, id, name, CAST(NULL AS BIGINT) AS from_id, CAST(NULL AS BIGINT) AS to_id, entity_type AS type"))
 def search_direct_nodes(g):
     return S.direct_search("nodes", "Part#00000001", g.entity, g.name_word, g.word, g.relation_observation, g.relation_word, 30)
 
 
+def _near_sql(phrases: list[list[str]], apart: int) -> str:
+    starts = [_starts_sql(p, False) for p in phrases]
+    tests = " AND ".join(f"len(list_filter(s{i}, lambda s: s <= m AND s >= m - {len(p) + apart})) > 0" for i, p in enumerate(phrases))
+    return f"SELECT owner, idx FROM (SELECT owner, idx, {', '.join(f'{s} AS s{i}' for i, s in enumerate(starts))} FROM (SELECT owner, idx, t AS w FROM obs)) WHERE len(list_filter(list_distinct(flatten([{', '.join(f's{i}' for i in range(len(phrases)))}])), lambda m: {tests})) > 0"
+
+
+_ROW = "' ' || array_to_string(t, ' ') || ' '"
+_ASKED = {
+    "nested": ('("of the" OR Widget OR ge*) NOT (small OR de)', f"SELECT owner, idx FROM obs WHERE (contains({_ROW}, ' of the ') OR list_contains(t, 'widget') OR len(list_filter(t, lambda x: starts_with(x, 'ge'))) > 0) AND NOT (list_contains(t, 'small') OR list_contains(t, 'de'))"),
+    "near": ('NEAR(the "of a", 4) OR NEAR(to "of the" in, 5)', _near_sql([["the"], ["of", "a"]], 4) + " UNION " + _near_sql([["to"], ["of", "the"], ["in"]], 5)),
+    "first": ('^name red OR ^brand + "13"', "SELECT owner, idx FROM obs WHERE (t[1] = 'name' AND list_contains(t, 'red')) OR (t[1] = 'brand' AND t[2] = '13')"),
+}
+for _name, (_text, _sql) in _ASKED.items():
+    query(f"fts_query_{_name}", f"{_OBS};;{_sql}")(lambda g, text=_text: T.find(g.word, text))
+
+
+@query("fts_query_rank", _ranked("observation", _TOKENS.format("body"), [(["the"], False), (["th"], True), (["of", "a"], False)], "len(s0) > 0 AND len(s1) > 0 AND len(s2) = 0", "entity_id, idx") + ";;SELECT entity_id AS owner, idx, rank FROM r ORDER BY rank, entity_id, idx LIMIT 60")
+def fts_query_rank(g):
+    """Beginnings of words and phrases count for the rank."""
+    return T.find_ranked(g.word, 'the th* NOT "of a"', S.index_totals(g.word, g.observation.count())).orderBy("rank", "owner", "idx").limit(60)
+
+
+@query("fts_query_nodes", _node_sql([(["part", "000000001"], False), (["customer"], False), (["0000000"], True), (["machinery"], False)], "len(s0) > 0 OR (len(s1) > 0 AND len(s2) > 0) OR len(s3) > 0", None, 0, 40))
+def fts_query_nodes(g):
+    return T.query_nodes(g.entity, g.name_word, g.word, '"Part#000000001" OR customer 0000000* OR machinery', None, 0, 40)
+
+
+@query("fts_query_relations", _bodies([(["supplier", "supplier"], False), (["registered"], False), (["000000003"], False)], "(len(s0) > 0 OR len(s1) > 0) AND len(s2) = 0") + "SELECT * FROM k")
+def fts_query_relations(g):
+    return T.query_relations(g.relation_observation, g.relation_word, "(supplier + supplier OR registered) NOT 000000003", 40)
+
+
 _WORDS = ("costumer", "sub_nation", "parts", "document", "reigon")
 
 

@@ -67,9 +67,34 @@ def vec_all_pairs_topk(g):
     return V.knn(g.chunk_vector, queries, 5)
 
 
-@query("vec_validate", f"SELECT vec_id, CASE WHEN len(embedding) <> 64 THEN 'length' ELSE 'norm' END AS fault FROM chunk_vector WHERE len(embedding) <> 64 OR abs({_DOT.format('embedding', 'embedding')} - 1) > 1e-4")
+@query("vec_ann_topk")
+def vec_ann_topk(g):
+    """The ten nearest of every 50th vector from as many cells as nine tenths of them need, by measurement."""
+    queries = g.chunk_vector.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return g.vector_index.search(queries, 10, g.vector_index.probes_for(queries, 10))
+
+
+@query("vec_ann_all_cells", f"""
+p AS (SELECT a.vec_id AS query_id, b.vec_id, round({_COS.format('a.embedding', 'b.embedding')}, 6) + 0.0 AS distance FROM chunk_vector a, chunk_vector b WHERE a.vec_id % 50 = 0 AND b.kind = 'observation' AND b.label < 5);;
+SELECT query_id, vec_id, distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS place FROM p) WHERE place <= 10""")
+def vec_ann_all_cells(g):
+    """With all cells probed the index is exact; filters come before the ranking."""
+    queries = g.chunk_vector.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return g.vector_index.search(queries, 10, len(g.vector_index.centres), (F.col("kind") == "observation") & (F.col("label") < 5))
+
+
+_SPOILT = """CASE vec_id % 9 WHEN 1 THEN embedding[1:32] WHEN 4 THEN list_transform(embedding, lambda x: 2 * x) WHEN 7 THEN list_transform(embedding, lambda x: x / 0.0) ELSE embedding END"""
+
+
+@query("vec_validate", f"""
+v AS (SELECT vec_id, {_SPOILT} AS e FROM chunk_vector);;
+SELECT vec_id, CASE WHEN len(e) <> 64 THEN 'length' WHEN len(list_filter(e, lambda x: NOT isfinite(x))) > 0 THEN 'finite' ELSE 'norm' END AS fault
+FROM v WHERE len(e) <> 64 OR len(list_filter(e, lambda x: NOT isfinite(x))) > 0 OR abs({_DOT.format('e', 'e')} - 1) > 1e-4""")
 def vec_validate(g):
-    return V.invalid_vectors(g.chunk_vector, 64)
+    """Of the stored vectors some are cut, stretched or made infinite first."""
+    at, e = F.col("vec_id") % 9, F.col("embedding")
+    spoilt = F.when(at == 1, F.slice(e, 1, 32)).when(at == 4, F.transform(e, lambda x: x * 2)).when(at == 7, F.transform(e, lambda x: x * float("inf"))).otherwise(e)
+    return V.invalid_vectors(g.chunk_vector.withColumn("embedding", spoilt), 64)
 
 
 @query("vector_store_stats", "SELECT count(*) AS n, count(DISTINCT owner_id) AS n_owners, CAST(max(len(embedding)) AS BIGINT) AS dimensions FROM chunk_vector")

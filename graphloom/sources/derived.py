@@ -10,10 +10,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.text import index
+from graphloom.operators.ann import VectorIndex
 from graphloom.sources.shared import durable
 
 KIND = {"region": 1, "nation": 2, "customer": 3, "supplier": 4, "part": 5, "document": 6}
@@ -177,6 +178,10 @@ class StoredGraph(Graph):
         """(token, owner, idx, tf, n): the words of names"""
         return self._stored(index(self.entity.select("id", F.lit(0).alias("idx"), F.col("name").alias("body")), "id", "idx"), "name-word", "token", "owner")
 
+    @cached_property
+    def vector_index(self) -> VectorIndex:
+        """The chunk vectors as an inverted file of cells."""
+        return VectorIndex(self.chunk_vector)
 
     @cached_property
     def relation_word(self) -> DataFrame:
@@ -185,10 +190,6 @@ class StoredGraph(Graph):
         return self._stored(index(rows, "triple", "idx"), "relation-word", "token", "owner")
 
 
-def by_entity(partition: str, *order) -> Window:
-    return Window.partitionBy(partition).orderBy(*order)
-
-
 #: The same tables in SQL, as common table expressions for the checks.
 GRAPH_SQL = """
 entity AS (

@@ -24,4 +24,15 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``durable`` returned, once their successors are written; what still reads them would fail."""
+    for df in tables:
+        if df is not None and getattr(df, "stored_at", None):
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

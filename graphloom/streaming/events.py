@@ -26,23 +26,20 @@ def number_available(changes: DataFrame, path: str, checkpoint: str) -> None:
         spark = rows.sparkSession
         rows = durable(rows.select("event_id", "entity_id", "quiet", "ts"), "batch")
         known = spark.read.parquet(f"{checkpoint}/revisions/{n - 1}") if n else spark.createDataFrame([], "entity_id long, revision long")
-        counted = running_sum(rows, "entity_id", (1 - F.col("quiet")).cast("long"), ["ts", "event_id"], F.date_trunc("hour", "ts"), "raised")
-        first = rows.groupBy("entity_id").agg(F.min_by("quiet", F.struct("ts", "event_id")).cast("long").alias("first_quiet"))
+        quiet = F.coalesce(F.col("quiet").cast("long"), F.lit(0))
+        counted = running_sum(rows, "entity_id", 1 - quiet, ["ts", "event_id"], F.date_trunc("hour", "ts"), "raised")
+        first = rows.groupBy("entity_id").agg(F.min_by(quiet, F.struct("ts", "event_id")).alias("first_quiet"))
         # A first event that is quiet opens revision 1.
-        start = first.join(known, "entity_id", "left").select("entity_id", F.coalesce("revision", "first_quiet").alias("start"))
-        out = counted.join(start, "entity_id").select("event_id", "entity_id", (F.col("raised") + F.col("start")).alias("entity_revision"))
+        before = known.select(F.col("entity_id").alias("known_id"), "revision")
+        start = first.join(before, F.col("entity_id").eqNullSafe(F.col("known_id")), "left").select(F.col("entity_id").alias("start_id"), F.coalesce("revision", "first_quiet").alias("start"))
+        out = counted.join(start, F.col("entity_id").eqNullSafe(F.col("start_id"))).select("event_id", "entity_id", (F.col("raised") + F.col("start")).alias("entity_revision"))
         out.write.mode("overwrite").parquet(f"{path}/batch={n}")
         reached = spark.read.parquet(f"{path}/batch={n}").groupBy("entity_id").agg(F.max("entity_revision").alias("revision"))
-        known.join(reached.select("entity_id"), "entity_id", "left_anti").unionByName(reached).write.mode("overwrite").parquet(f"{checkpoint}/revisions/{n}")
+        known.join(reached.select(F.col("entity_id").alias("now")), F.col("entity_id").eqNullSafe(F.col("now")), "left_anti").unionByName(reached).write.mode("overwrite").parquet(f"{checkpoint}/revisions/{n}")
 
     changes.writeStream.foreachBatch(number).option("checkpointLocation", f"{checkpoint}/log").trigger(availableNow=True).start().awaitTermination()
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
-    """Process all that is there now into Parquet under ``path`` and stop."""
-    stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-
-
 def windowed_counts(changes: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, operation, n): events by tumbling window; rows later than ``late`` are not counted."""
     stamped = changes.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
