@@ -5,8 +5,8 @@ text is a stream of slots with -1 where none begins, and two slots that follow e
 other name a phrase of k + 1 words, both parts of which are frequent, by one exact
 64-bit key. For each length:
 
-1. Tasks report the distinct keys of their streams with counts capped at the threshold.
-   The sum of these reaches it exactly for frequent phrases, which are the candidates.
+1. Tasks send the distinct keys of their streams with counts capped at the threshold.
+   The sum of these reaches it for frequent phrases only, which are the candidates.
 2. Candidates, in blocks of bounded size, get a minimal perfect hash: levels of bits with
    ranks below them, and the key of each slot, which rejects all other phrases.
 3. A pass over the streams looks slots up, counts them by ``bincount`` into one array a task,
@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import PIECE_ROWS, durable, table
+from graphloom.llm.common import PIECE_ROWS, discard, durable, table
 from graphloom.llm.shingles import _PIECE, _cut, _hash_piece, byte_classes, mix
 
 LEAST = 30
@@ -154,7 +155,7 @@ class _Distinct:
 
     def add(self, keys: np.ndarray) -> None:
         k, n = np.unique(keys, return_counts=True)
-        self.held.append((k, np.minimum(n, self.least)))
+        self.held.append((k, np.minimum(n, self.least).astype(np.int32)))
         self.size += len(k)
         if self.size > 2 * HELD:
             self.merge()
@@ -166,7 +167,7 @@ class _Distinct:
             order = np.argsort(keys, kind="stable")
             keys, counts = keys[order], counts[order]
             begin = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
-            self.held = [(keys[begin], np.minimum(np.add.reduceat(counts, begin), self.least))]
+            self.held = [(keys[begin], np.minimum(np.add.reduceat(counts, begin), self.least).astype(np.int32))]
             self.size = len(begin)
 
     def report(self, force: bool) -> Iterator[pa.RecordBatch]:
@@ -175,7 +176,7 @@ class _Distinct:
             [(keys, counts)] = self.held
             for low in range(0, len(keys), 1 << 16):
                 part = slice(low, low + (1 << 16))
-                yield _row(1, key=keys[part].view(np.int64), n=counts[part])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(counts[part])], ["key", "n"])
             self.held, self.size = [], 0
 
 
@@ -213,25 +214,22 @@ def _dense(s: np.ndarray) -> np.ndarray:
     return s[(s >= 0) | (np.append(np.int32(-1), s[:-1]) >= 0)]
 
 
-def _screen_words(docs: DataFrame, least: int) -> DataFrame:
-    """Rows of kind 1 (key, n) of words and of kind 4 (lang, n)."""
+def _screened(source: DataFrame, least: int, words: bool) -> DataFrame:
+    """(key, n): distinct keys of each task, of words or of slots that follow each other, with counts capped at ``least``."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = _Distinct(least), {}
-        for words, _ in _texts(parts):
-            seen.add(words.key)
-            for i, n in enumerate(np.bincount(words.doc, minlength=len(words.langs)).tolist()):
-                total[words.langs[i]] = total.get(words.langs[i], 0) + n
+        seen = _Distinct(least)
+        found = (w.key for w, _ in _texts(parts)) if words else (_pairs(_flat(p["s"].slice(low, PIECE_ROWS)))[1] for p in parts for low in range(0, len(p), PIECE_ROWS))
+        for keys in found:
+            seen.add(keys)
             yield from seen.report(False)
         yield from seen.report(True)
-        if total:
-            yield _row(4, lang=[*total], n=[*total.values()])
 
-    return docs.mapInArrow(rows, _OUT)
+    return source.mapInArrow(rows, "key long, n int")
 
 
-def _counted(source: DataFrame, perfect, base: int, least: int, words: bool, first: bool, last: bool, longer: bool) -> DataFrame:
-    """One pass of a block: streams (kind 0), distinct keys of the next length (1), counts (2), words (3).
+def _counted(source: DataFrame, perfect, base: int, words: bool, first: bool, last: bool, longer: bool) -> DataFrame:
+    """One pass of a block: streams (kind 0), counts (2), words (3), words in all of a language (4).
 
     Before the last block of a length, streams hold the old slots and then the new ones found
     so far, or are the new slots of a text beside it; the last pass leaves only new ones.
@@ -241,7 +239,7 @@ def _counted(source: DataFrame, perfect, base: int, least: int, words: bool, fir
         table_ = perfect.value
         n = len(table_.keys)
         counts, held, size = np.zeros(n, np.int64), [], 0
-        seen, known = _Distinct(least), np.zeros(n, bool)
+        known, total = np.zeros(n, bool), {}
         fan = TaskContext.get().partitionId() % FAN
 
         def streams() -> Iterator[tuple]:
@@ -273,6 +271,8 @@ def _counted(source: DataFrame, perfect, base: int, least: int, words: bool, fir
                 held, size = [], 0
             new[at[ok]] = slot[ok] + base
             if words:
+                for i, many in enumerate(np.bincount(w.doc, minlength=len(w.langs)).tolist() if first else ()):
+                    total[w.langs[i]] = total.get(w.langs[i], 0) + many
                 fresh, where = np.unique(slot[ok], return_index=True)
                 pick = ~known[fresh]
                 known[fresh[pick]] = True
@@ -281,11 +281,8 @@ def _counted(source: DataFrame, perfect, base: int, least: int, words: bool, fir
                     yield _row(3, key=fresh[pick].astype(np.int64) + base, lang=[w.langs[w.doc[i]] for i in own], word=[w.word(i) for i in own])
             if last:
                 new = _dense(new)
-                if longer:
-                    seen.add(_pairs(new)[1])
-                    yield from seen.report(False)
-                    if len(new) > 1:
-                        yield _row(0, s=[new])
+                if longer and len(new) > 1:
+                    yield _row(0, s=[new])
             elif words:
                 doc = np.full(len(new), -1)
                 doc[at] = w.doc
@@ -295,7 +292,8 @@ def _counted(source: DataFrame, perfect, base: int, least: int, words: bool, fir
                 yield _row(0, s=[np.concatenate([old, new])])
         if held:
             counts += np.bincount(np.concatenate(held), minlength=n)
-        yield from seen.report(True)
+        if total:
+            yield _row(4, lang=[*total], n=[*total.values()])
         for low in range(0, n, CHUNK):
             part = counts[low : low + CHUNK]
             if part.any():
@@ -340,28 +338,27 @@ def _by_slot(counts: DataFrame, perfect, base: int) -> DataFrame:
     return counts.mapInArrow(rows, "slot long, a long, key long")
 
 
-def _length(spark, source: DataFrame, screened: DataFrame, least: int, words: bool, longer: bool) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Phrases (slot, a, key) of one length, the table of the last pass, and words (of the first length)."""
-    frequent = durable(screened.groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key"), "frequent")
+def _length(source: DataFrame, least: int, words: bool, longer: bool) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Phrases (slot, a, key) of one length, their streams, and the tables of all passes."""
+    spark = source.sparkSession
+    frequent = durable(_screened(source, least, words).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key"), "frequent")
     n = frequent.count()
     if n >= 1 << _SLOTS:
         raise OverflowError("more frequent phrases of one length than slots")
     blocks = max(1, -(-4 * n // (3 * BLOCK)))
-    phrases, named, base = None, None, 0
+    phrases, passes, base = None, [], 0
     for b in range(blocks):
         keys = frequent.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).toArrow()["key"].to_numpy().view(np.uint64)
         perfect = spark.sparkContext.broadcast(PerfectHash(np.sort(keys)))
-        first, last = b == 0, b == blocks - 1
-        made = durable(_counted(source, perfect, base, least, words, first, last, longer), "pass")
+        made = durable(_counted(source, perfect, base, words, b == 0, b == blocks - 1, longer), "pass")
         summed = _added_up(_added_up(made.filter("kind = 2"), ["chunk", "fan"]), ["chunk"])
         own = durable(_by_slot(summed, perfect, base), "phrases")
         phrases = own if phrases is None else phrases.union(own)
-        if words:
-            own = made.filter("kind = 3").select(F.col("key").alias("slot"), "lang", "word")
-            named = own if named is None else named.union(own)
+        passes.append(made)
         base += len(keys)
         source = made.filter("kind = 0").select("s", "lang", "word")
-    return phrases, made, named
+    discard(frequent)
+    return phrases, source.select("s"), passes
 
 
 def _ranked(e: DataFrame, k: int) -> DataFrame:
@@ -385,18 +382,19 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     Order: score and a descending, phrase by UTF-8 bytes. Null and empty texts have
     no words; repeated rows count each; other columns are ignored; no rows without words.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("text").cast("string").alias("word"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    screened = durable(_screen_words(docs, least), "words")
-    totals = screened.filter("kind = 4").groupBy("lang").agg(F.sum("n").alias("n"))
-    phrases, made, named = _length(spark, docs, screened.filter("kind = 1").select("key", "n"), least, True, longest > 1)
+    phrases, streams, passes = _length(docs, least, True, longest > 1)
+    totals = durable(passes[0].filter("kind = 4").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
     once = F.when(F.min(F.struct("lang", "word")) == F.max(F.struct("lang", "word")), F.min(F.struct("lang", "word"))).otherwise(F.raise_error(F.lit("two words share a hash")).cast("struct<lang:string,word:string>"))
+    named = reduce(DataFrame.union, [p.filter("kind = 3").select(F.col("key").alias("slot"), "lang", "word") for p in passes])
     words = named.groupBy("slot").agg(once.alias("w")).select("slot", "w.lang", "w.word")
     e = phrases.join(words, "slot").select("slot", "a", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), F.array("a").alias("heads"), F.array("a").alias("tails"))
     e = durable(e, "length")
     out = None
     for k in range(2, longest + 1):
-        phrases, made, _ = _length(spark, made.filter("kind = 0").select("s"), made.filter("kind = 1").select("key", "n"), least, False, k < longest)
+        earlier = passes
+        phrases, streams, passes = _length(streams, least, False, k < longest)
+        discard(*earlier)
         parts = phrases.select("slot", "a", F.shiftright("key", _SLOTS).alias("pre"), F.col("key").bitwiseAND(F.lit((1 << _SLOTS) - 1)).alias("suf"))
         held = parts.select(F.explode(F.array("pre", "suf")).alias("slot"), "a").groupBy("slot").agg(F.max("a").alias("held"))
         if k > 2:

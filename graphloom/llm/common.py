@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.sources.shared import durable, shared_dir
+from graphloom.sources.shared import discard, durable, shared_dir
 
-__all__ = ["dealt", "durable", "identified", "pieces", "row_key", "shared_dir", "table", "unused"]
+__all__ = ["dealt", "discard", "durable", "identified", "pieces", "row_key", "shared_dir", "table", "unused"]
 
 #: Rows handled at a time in Python; Spark bounds the bytes of the batches they are cut from.
 PIECE_ROWS = 500

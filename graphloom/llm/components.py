@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import dealt, durable
+from graphloom.llm.common import dealt, discard, durable
 
 
 def _settled(links: DataFrame) -> bool:
@@ -44,6 +44,7 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         # Each node's smaller neighbours, and itself, are linked to the smallest of them.
         low = _lowest(large)
         small = _with_lowest(large, low, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = durable(small.union(low).distinct(), "links")
+        earlier, links = links, durable(small.union(low).distinct(), "links")
+        discard(earlier)
     nodes = links.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
