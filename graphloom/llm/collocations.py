@@ -41,7 +41,7 @@ INSIDE = 80
 #: Keys of one perfect hash; slots of a chunk of counts; keys that a task holds before it reports them.
 BLOCK = 1 << 22
 CHUNK = 8192
-HELD = 1 << 21
+HELD = 1 << 19
 #: Branches of the tree in which the tasks' counts are added up.
 FAN = 8
 _SALT = 64
@@ -341,7 +341,8 @@ def _by_slot(counts: DataFrame, perfect, base: int) -> DataFrame:
 def _length(source: DataFrame, least: int, words: bool, longer: bool) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Phrases (slot, a, key) of one length, their streams, and the tables of all passes."""
     spark = source.sparkSession
-    frequent = durable(_screened(source, least, words).groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key"), "frequent")
+    # Tasks send a key once or a few times, so they needn't add up before the shuffle.
+    frequent = durable(_screened(source, least, words).repartition("key").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("key"), "frequent")
     n = frequent.count()
     if n >= 1 << _SLOTS:
         raise OverflowError("more frequent phrases of one length than slots")
