@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators.changelog import running_sum
 from graphloom.operators.limits import BODY_BYTES, NAME_BYTES
+from graphloom.operators.log import apply_log
 
 TRIPLE = ["from_id", "to_id", "relation_type"]
 MOVED = ["new_from", "new_to", "new_type"]
@@ -121,11 +122,19 @@ def tombstones(mirror: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def _moves(relation: DataFrame, chosen: DataFrame, new: dict) -> tuple[DataFrame, DataFrame]:
-    """(moves, refused) of the live ``chosen`` triples to ``new`` (new_from, new_to, new_type); live targets are refused."""
-    asked = chosen.select(*TRIPLE).distinct().join(relation.select(*TRIPLE), TRIPLE, "left_semi").withColumns(new)
-    live = relation.select(*[F.col(c).alias(n) for c, n in zip(TRIPLE, MOVED, strict=True)]).withColumn("__live", F.lit(True))
-    judged = asked.join(live, MOVED, "left")
-    return judged.filter("__live IS NULL").select(*TRIPLE, *MOVED), judged.filter("__live").select(*TRIPLE)
+    """(moves, refused) of the live ``chosen`` triples to ``new`` (new_from, new_to, new_type).
+
+    Refused are moves onto a live triple and, of several onto one new triple, all but the
+    first in order of ``pos``, if ``chosen`` has it, and of the triples.
+    """
+    order = (["pos"] if "pos" in chosen.columns else []) + TRIPLE
+    asked = chosen.groupBy(*TRIPLE).agg(F.min("pos").alias("pos")) if "pos" in chosen.columns else chosen.select(*TRIPLE).distinct()
+    asked = asked.join(relation.select(*TRIPLE), TRIPLE, "left_semi").withColumns(new)
+    live = relation.select(*[F.col(c).alias(n) for c, n in zip(TRIPLE, MOVED, strict=True)]).distinct().withColumn("__live", F.lit(True))
+    first = asked.groupBy(*MOVED).agg(F.min(F.struct(*order)).alias("__first"))
+    judged = asked.join(live, MOVED, "left").join(first, MOVED)
+    done = F.col("__live").isNull() & (F.struct(*order) == F.col("__first"))
+    return judged.filter(done).select(*TRIPLE, *MOVED), judged.filter(~done).select(*TRIPLE)
 
 
 def reverse_moves(relation: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -142,10 +151,10 @@ def retype_moves(relation: DataFrame, chosen: DataFrame, new_type: str) -> tuple
 def apply_moves(rows: DataFrame, moves: DataFrame) -> DataFrame:
     """Relations, their observations or their attributes (triple, ...) with moved triples under their new names.
 
-    Moves onto one triple unite it; what belongs to both stays.
+    ``moves`` are those that ``reverse_moves`` and ``retype_moves`` let through, so no two meet.
     """
     joined = rows.join(moves, TRIPLE, "left")
-    return joined.select(*[F.coalesce(n, c).alias(c) for c, n in zip(TRIPLE, MOVED, strict=True)], *[c for c in rows.columns if c not in TRIPLE]).select(rows.columns).distinct()
+    return joined.select(*[F.coalesce(n, c).alias(c) for c, n in zip(TRIPLE, MOVED, strict=True)], *[c for c in rows.columns if c not in TRIPLE]).select(rows.columns)
 
 
 def reverse_relations(relation: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -197,25 +206,23 @@ def merge_origins(before: DataFrame, after: DataFrame, entity: DataFrame, source
 
 
 def rename_outcome(entity: DataFrame, names: DataFrame) -> DataFrame:
-    """(pos, name, new_name, outcome) of each row of ``names`` (pos, name, new_name).
+    """(pos, name, new_name, outcome) of each row of ``names`` (pos, name, new_name), done one after the other by ``pos``.
 
-    renamed; unknown: nothing has that name (a second renaming of it neither); taken: the
-    new name is held, or an earlier row gets it; empty: the new name is. Names stay unique.
+    renamed; unknown: nothing has that name then; taken: the new name is held then; empty: the
+    new name is. Names stay unique.
     """
-    known = entity.select("name", F.lit(True).alias("known"))
-    held = entity.select(F.col("name").alias("new_name"), F.lit(True).alias("held"))
-    rows = names.join(known, "name", "left").join(held, "new_name", "left")
-    free = F.col("known").isNotNull() & F.col("held").isNull() & (F.col("new_name") != "")
-    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("name").orderBy(F.when(free, 0).otherwise(1), "pos")))
-    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("new_name").orderBy(F.when(free & (F.col("at") == 1), 0).otherwise(1), "pos")))
-    outcome = F.when(F.col("known").isNull(), "unknown").when(F.coalesce("new_name", F.lit("")) == "", "empty").when(F.col("held").isNotNull(), "taken").when(F.col("at") > 1, "unknown").when(F.col("turn") > 1, "taken").otherwise("renamed")
-    return rows.select("pos", "name", "new_name", outcome.alias("outcome"))
+    log = names.select("pos", F.lit("rename").alias("op"), "name", F.coalesce("new_name", F.lit("")).alias("other"), F.lit(None).cast("string").alias("kind"))
+    none = entity.select(F.col("id").alias("from_id"), F.col("id").alias("to_id"), F.lit("").alias("relation_type")).limit(0)
+    said = apply_log(entity, none, log, 0)["outcome"]
+    said = said.select(F.col("pos").alias("__pos"), F.when(F.col("outcome") == "done", "renamed").when(F.col("outcome") == "invalid", "unknown").otherwise(F.col("outcome")).alias("outcome"))
+    return names.join(said, F.col("pos") == F.col("__pos")).select("pos", "name", "new_name", "outcome")
 
 
 def rename_entities(entity: DataFrame, names: DataFrame) -> DataFrame:
     """Entities renamed by the rows of ``names`` (pos, name, new_name) that ``rename_outcome`` allows."""
-    given = rename_outcome(entity, names).filter("outcome = 'renamed'").select("name", "new_name")
-    return entity.join(given, "name", "left").select("id", F.coalesce("new_name", "name").alias("name"), "entity_type")
+    log = names.select("pos", F.lit("rename").alias("op"), "name", F.coalesce("new_name", F.lit("")).alias("other"), F.lit(None).cast("string").alias("kind"))
+    none = entity.select(F.col("id").alias("from_id"), F.col("id").alias("to_id"), F.lit("").alias("relation_type")).limit(0)
+    return apply_log(entity, none, log, 0)["entity"]
 
 
 def set_attributes(attribute: DataFrame, new: DataFrame) -> DataFrame:

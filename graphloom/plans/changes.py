@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from graphloom.operators import changelog as C
 from graphloom.operators import mutate as M
+from graphloom.operators.log import apply_log
 from graphloom.plans.registry import also, query
 
 _NEW = "new AS (SELECT CAST(c_custkey AS BIGINT) AS pos, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN 'new:' || CAST(c_custkey % 50 AS VARCHAR) ELSE '' END AS name, CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS entity_type FROM customer)"
@@ -120,12 +121,9 @@ def mut_merge_relation_bodies(g):
 
 
 _RENAMED = """
-n AS (SELECT id AS pos, name, CASE WHEN id % 5 = 4 THEN '' WHEN id % 5 = 3 THEN 'ASIA' WHEN id % 5 = 2 THEN 'same' ELSE name || '*' END AS new_name FROM entity WHERE entity_type = 'supplier'
-  UNION ALL SELECT id + 100, name, name || '+' FROM entity WHERE entity_type = 'supplier' AND id % 2 = 0 UNION ALL SELECT 1, 'no such name', 'free'),
-u AS (SELECT n.*, n.name IN (SELECT name FROM entity) AS known, new_name IN (SELECT name FROM entity) AS held FROM n),
-v AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CASE WHEN known AND NOT held AND new_name <> '' THEN 0 ELSE 1 END, pos) AS a FROM u),
-w AS (SELECT *, row_number() OVER (PARTITION BY new_name ORDER BY CASE WHEN known AND NOT held AND new_name <> '' AND a = 1 THEN 0 ELSE 1 END, pos) AS t FROM v),
-o AS (SELECT pos, name, new_name, CASE WHEN NOT known THEN 'unknown' WHEN new_name = '' THEN 'empty' WHEN held THEN 'taken' WHEN a > 1 THEN 'unknown' WHEN t > 1 THEN 'taken' ELSE 'renamed' END AS outcome FROM w);;"""
+n AS (SELECT id AS pos, name, CASE WHEN id % 5 = 4 THEN '' WHEN id % 5 = 3 THEN 'ASIA' WHEN id % 5 = 2 THEN 'same' ELSE name || '*' END AS new_name FROM entity WHERE entity_type = 'supplier'),
+m AS (SELECT *, CASE WHEN new_name = '' THEN 'empty' WHEN new_name = 'ASIA' OR (new_name = 'same' AND pos > (SELECT min(pos) FROM n WHERE new_name = 'same')) THEN 'taken' ELSE 'renamed' END AS outcome FROM n),
+o AS (SELECT * FROM m UNION ALL SELECT pos + 1000000, name, name || '+', CASE outcome WHEN 'renamed' THEN 'unknown' ELSE 'renamed' END FROM m WHERE pos % 2 = 0 UNION ALL SELECT 1, 'no such name', 'free', 'unknown');;"""
 
 
 def _renames(g):
@@ -133,7 +131,7 @@ def _renames(g):
     s = g.entity.filter("entity_type = 'supplier'")
     k = F.col("id") % 5
     new = F.when(k == 4, "").when(k == 3, "ASIA").when(k == 2, "same").otherwise(F.concat("name", F.lit("*")))
-    rows = s.select(F.col("id").alias("pos"), "name", new.alias("new_name")).union(s.filter("id % 2 = 0").select(F.col("id") + 100, "name", F.concat("name", F.lit("+"))))
+    rows = s.select(F.col("id").alias("pos"), "name", new.alias("new_name")).union(s.filter("id % 2 = 0").select(F.col("id") + 1_000_000, "name", F.concat("name", F.lit("+"))))
     return rows.union(g.spark.createDataFrame([(1, "no such name", "free")], "pos long, name string, new_name string"))
 
 
@@ -481,12 +479,85 @@ def mut_purge_names(g):
     return M.defined_names(g.entity, g.relation, g.entity.filter("id = 4000000001").select("name"), "supplies")
 
 
-@query("mut_set_descriptions", "SELECT * FROM (VALUES ('entity', 'part', 'last'), ('entity', 'region', 'kept'), ('relation', 'part', 'other')) AS v(kind, name, description)")
+@query("mut_set_descriptions", """
+old AS (SELECT DISTINCT 'entity' AS kind, entity_type AS name, 'all of ' || entity_type AS description FROM entity),
+new AS (SELECT CAST(c_custkey AS BIGINT) AS pos, 'entity' AS kind, lower(c_mktsegment) AS name, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS description FROM customer
+  UNION ALL SELECT CAST(s_suppkey AS BIGINT), 'entity', CASE WHEN s_suppkey % 2 = 0 THEN 'part' ELSE 'region' END, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE '' END FROM supplier),
+l AS (SELECT kind, name, arg_max(description, pos) AS description FROM new GROUP BY kind, name);;
+SELECT * FROM l WHERE description <> '' UNION ALL SELECT * FROM old WHERE name NOT IN (SELECT name FROM l)""")
 def mut_set_descriptions(g):
-    """Repeated types: the last description holds, an empty one clears."""
-    old = g.spark.createDataFrame([("entity", "part", "old"), ("entity", "nation", "x"), ("entity", "region", "kept")], "kind string, name string, description string")
-    new = [(0, "entity", "part", "new"), (2, "entity", "part", "last"), (1, "entity", "part", "zzz"), (3, "entity", "nation", "y"), (4, "entity", "nation", ""), (5, "relation", "part", "other")]
-    return M.set_descriptions(old, g.spark.createDataFrame(new, "pos int, kind string, name string, description string"))
+    """Descriptions of types from customers and suppliers: the last of a type holds, an empty one clears."""
+    old = g.entity.select(F.lit("entity").alias("kind"), F.col("entity_type").alias("name"), F.concat(F.lit("all of "), "entity_type").alias("description")).distinct()
+    c, s = g.table("customer"), g.table("supplier")
+    new = c.select(F.col("c_custkey").cast("long").alias("pos"), F.lit("entity").alias("kind"), F.lower("c_mktsegment").alias("name"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name")).alias("description"))
+    even = F.col("s_suppkey") % 2 == 0
+    new = new.union(s.select(F.col("s_suppkey").cast("long"), F.lit("entity"), F.when(even, "part").otherwise("region"), F.when(even, F.col("s_name")).otherwise("")))
+    return M.set_descriptions(old, new)
+
+
+_FOLD = """
+log AS (SELECT event_id AS pos, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'delete' WHEN 'click' THEN 'rename' WHEN 'purchase' THEN 'unrelate' ELSE CASE WHEN event_id % 2 = 0 THEN 'annotate' ELSE 'relate' END END AS op,
+  'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS name, 'Customer#' || lpad(CAST(event_id * 7 % 200 AS VARCHAR), 9, '0') AS other FROM events),
+l AS MATERIALIZED (SELECT row_number() OVER (ORDER BY pos) AS i, * FROM log),
+fold AS (
+  SELECT CAST(0 AS BIGINT) AS i, map_from_entries(list({'k': name, 'v': id})) AS m, CAST(0 AS BIGINT) AS pos, '' AS op, '' AS name, '' AS other, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM entity WHERE entity_type = 'customer'
+  UNION ALL
+  SELECT i, CASE WHEN op = 'create' AND a = -1 THEN map_concat(m, map([name], [8000000000 + pos])) WHEN op = 'delete' AND a <> -1 THEN map_concat(m, map([name], [CAST(-1 AS BIGINT)]))
+              WHEN op = 'rename' AND a <> -1 AND b = -1 THEN map_concat(m, map([name, other], [CAST(-1 AS BIGINT), a])) ELSE m END, pos, op, name, other, a, b
+  FROM (SELECT l.*, m, coalesce(map_extract(m, l.name)[1], -1) AS a, coalesce(map_extract(m, l.other)[1], -1) AS b FROM fold JOIN l ON l.i = fold.i + 1)),
+r AS (SELECT pos, op, name, other, a, b FROM fold WHERE i > 0),
+t AS (SELECT pos, op, a, b, coalesce(lag(op) OVER (PARTITION BY a, b ORDER BY pos), 'unrelate') = 'relate' AS live FROM r WHERE op IN ('relate', 'unrelate') AND a <> -1 AND b <> -1),
+gone AS (SELECT a AS id FROM r WHERE op = 'delete' AND a <> -1),
+ends AS (SELECT (unnest(map_entries(m))).key AS name, (unnest(map_entries(m))).value AS id FROM fold WHERE i = (SELECT max(i) FROM fold)),
+after AS (
+  SELECT ends.id, ends.name, coalesce(entity_type, 'account') AS entity_type FROM ends LEFT JOIN entity e ON e.id = ends.id WHERE ends.id <> -1
+  UNION ALL SELECT id, name, entity_type FROM entity WHERE entity_type <> 'customer'),
+stand AS (SELECT a AS from_id, b AS to_id, 'knows' AS relation_type FROM t GROUP BY a, b HAVING arg_max(op, pos) = 'relate'),
+left_ AS (SELECT * FROM (SELECT * FROM relation UNION ALL SELECT * FROM stand) WHERE from_id NOT IN (SELECT id FROM gone) AND to_id NOT IN (SELECT id FROM gone));;"""
+
+def _log(g) -> dict:
+    """The events as an ordered log of requests on customers, and what came of it."""
+    if "mutation_log" not in g.__dict__:
+        e, kind = g.table("events"), F.col("event_type")
+        op = F.when(kind == "signup", "create").when(kind == "error", "delete").when(kind == "click", "rename").when(kind == "purchase", "unrelate").otherwise(F.when(F.col("event_id") % 2 == 0, "annotate").otherwise("relate"))
+        named = lambda n: F.concat(F.lit("Customer#"), F.lpad(n.cast("string"), 9, "0"))
+        log = e.select(F.col("event_id").alias("pos"), op.alias("op"), named(F.col("user_id")).alias("name"), named(F.col("event_id") * 7 % 200).alias("other"), F.when(kind == "signup", "account").otherwise("knows").alias("kind"))
+        g.__dict__["mutation_log"] = apply_log(g.entity, g.relation, log, 8_000_000_000)
+    return g.__dict__["mutation_log"]
+
+
+@query("mut_log_outcome", _FOLD + """
+SELECT pos, CASE WHEN op = 'create' THEN CASE WHEN a = -1 THEN 'done' ELSE 'known' END WHEN a = -1 THEN 'unknown' WHEN op IN ('delete', 'annotate') THEN 'done' WHEN op = 'rename' THEN CASE WHEN b = -1 THEN 'done' ELSE 'taken' END
+  WHEN b = -1 THEN 'unknown' WHEN op = 'relate' THEN CASE WHEN live THEN 'known' ELSE 'done' END ELSE CASE WHEN live THEN 'done' ELSE 'absent' END END AS outcome
+FROM r LEFT JOIN (SELECT pos, live FROM t) USING (pos)""")
+def mut_log_outcome(g):
+    return _log(g)["outcome"]
+
+
+@query("mut_log_entities", _FOLD + "SELECT * FROM after")
+def mut_log_entities(g):
+    return _log(g)["entity"]
+
+
+@query("mut_log_relations", _FOLD + "SELECT * FROM left_")
+def mut_log_relations(g):
+    return _log(g)["relation"]
+
+
+@query("mut_log_events", _FOLD + """
+SELECT pos, CASE WHEN op = 'create' THEN 8000000000 + pos ELSE a END AS entity_id, CASE WHEN op IN ('create', 'delete') THEN op ELSE 'update' END AS operation, CAST(op = 'annotate' AS INTEGER) AS quiet
+FROM r WHERE (op = 'create' AND a = -1) OR (op IN ('delete', 'annotate') AND a <> -1) OR (op = 'rename' AND a <> -1 AND b = -1)
+UNION ALL SELECT DISTINCT pos, unnest([a, b]), 'update', 0 FROM t WHERE live <> (op = 'relate')""")
+def mut_log_events(g):
+    return _log(g)["event"]
+
+
+@query("mut_log_counters", _FOLD + """
+SELECT kind, type, CAST(sum(n) AS BIGINT) AS change FROM (
+  SELECT 'entity' AS kind, entity_type AS type, 1 AS n FROM after UNION ALL SELECT 'entity', entity_type, -1 FROM entity
+  UNION ALL SELECT 'relation', relation_type, 1 FROM left_ UNION ALL SELECT 'relation', relation_type, -1 FROM relation) GROUP BY kind, type HAVING sum(n) <> 0""")
+def mut_log_counters(g):
+    return _log(g)["counter"]
 
 
 @query("mut_relation_deltas", """

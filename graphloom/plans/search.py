@@ -8,6 +8,7 @@ from graphloom.functions.text import likeness, query_terms
 from graphloom.operators import fulltext as T
 from graphloom.operators import search as S
 from graphloom.operators import taxonomy as X
+from graphloom.operators.topk import bm25_topk
 from graphloom.plans.code import embedded_sql
 from graphloom.plans.registry import query
 
@@ -45,10 +46,20 @@ r AS (SELECT owner, idx, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 /
 
 @query("fts_bm25_topk", _BM25 + ";;SELECT owner, idx, round(score, 6) AS score FROM r ORDER BY round(score, 6) DESC, owner, idx LIMIT 50")
 def fts_bm25_topk(g):
-    rows = S.bm25_index(g.word, S.index_totals(g.word, g.observation.count()), ["the", "que", "hend"]).withColumn("score", F.round("score", 6))
+    rows = S.bm25_index(g.word, g.word_totals, ["the", "que", "hend"]).withColumn("score", F.round("score", 6))
     return rows.orderBy(F.desc("score"), "owner", "idx").limit(50)
 
 
+_BLOCK_TERMS = ("the", "ons", "hewh", "widget")
+_BLOCK_SQL = _BM25.replace("('the', 'que', 'hend')", str(_BLOCK_TERMS))
+
+
+@query("fts_bm25_blocks", _BLOCK_SQL + ";;SELECT owner, idx, round(score, 6) AS score FROM r ORDER BY round(score, 6) DESC, owner, idx LIMIT 20")
+def fts_bm25_blocks(g):
+    """The best twenty from the blocks whose bounds reach them."""
+    return bm25_topk(g.word_block, g.word_totals, _BLOCK_TERMS, 20)[0]
+
+
 @query("fts_postings", f"{_OBS};;SELECT owner, token, count(*) AS tf FROM (SELECT owner, unnest(t) AS token FROM obs) GROUP BY owner, token")
 def fts_postings(g):
     return g.word.groupBy("owner", "token").agg(F.sum("tf").alias("tf"))
@@ -139,7 +150,7 @@ for _name, (_text, _sql) in _ASKED.items():
 @query("fts_query_rank", _ranked("observation", _TOKENS.format("body"), [(["the"], False), (["th"], True), (["of", "a"], False)], "len(s0) > 0 AND len(s1) > 0 AND len(s2) = 0", "entity_id, idx") + ";;SELECT entity_id AS owner, idx, rank FROM r ORDER BY rank, entity_id, idx LIMIT 60")
 def fts_query_rank(g):
     """Beginnings of words and phrases count for the rank."""
-    return T.find_ranked(g.word, 'the th* NOT "of a"', S.index_totals(g.word, g.observation.count())).orderBy("rank", "owner", "idx").limit(60)
+    return T.find_ranked(g.word, 'the th* NOT "of a"', g.word_totals).orderBy("rank", "owner", "idx").limit(60)
 
 
 @query("fts_query_nodes", _node_sql([(["part", "000000001"], False), (["customer"], False), (["0000000"], True), (["machinery"], False)], "len(s0) > 0 OR (len(s1) > 0 AND len(s2) > 0) OR len(s3) > 0", None, 0, 40))

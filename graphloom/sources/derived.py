@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import index
 from graphloom.operators.ann import VectorIndex
+from graphloom.operators.search import index_totals
+from graphloom.operators.topk import blocks
 from graphloom.sources.shared import durable
 
 KIND = {"region": 1, "nation": 2, "customer": 3, "supplier": 4, "part": 5, "document": 6}
@@ -178,6 +180,17 @@ class StoredGraph(Graph):
         """(token, owner, idx, tf, n): the words of names"""
         return self._stored(index(self.entity.select("id", F.lit(0).alias("idx"), F.col("name").alias("body")), "id", "idx"), "name-word", "token", "owner")
 
+    @cached_property
+    def word_totals(self) -> tuple[int, float]:
+        """(observations, their mean number of words)"""
+        return index_totals(self.word, self.observation.count())
+
+    @cached_property
+    def word_block(self) -> DataFrame:
+        """(token, bin, bound, size, entries): the words of observations in blocks with their bounds"""
+        rows = blocks(self.word, self.word_totals).withColumn("falling", -F.col("bound"))
+        return self._stored(rows, "word-block", "token", "falling")
+
     @cached_property
     def vector_index(self) -> VectorIndex:
         """The chunk vectors as an inverted file of cells."""

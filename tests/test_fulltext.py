@@ -113,3 +113,21 @@ def test_vector_index_recall_filters_and_broken_rows(spark):
     one = made.near(rows[7][1], 5, probes, F.col("label") == 2).collect()
     assert one[0].vec_id == 7 and all(r.label == 2 for r in one)
     assert ann.VectorIndex(chunks.limit(0)).search(queries, 3, 2).count() == 0
+
+
+def test_block_bounds_give_the_same_best_texts(spark, texts):
+    from graphloom.operators import topk
+
+    rng = random.Random(8)
+    rows = [(i, 0, " ".join(rng.choices(["the", "of", "rare", "seldom", "common"], [90, 60, 1, 2, 30], k=rng.randint(1, 60)))) for i in range(1500)]
+    rows += [(2000 + i, 0, "the the rare") for i in range(40)]  # ties
+    made = index(spark.createDataFrame(rows, "id long, idx int, body string"), "id", "idx").persist()
+    totals = search.index_totals(made, len(rows))
+    stored = topk.blocks(made, totals).persist()
+    assert stored.agg(F.sum("size")).first()[0] == made.count()
+    for terms, k in ((["the", "rare"], 30), (["the"], 10), (["seldom", "rare", "of"], 25), (["absent"], 5), (["seldom"], 5000), ([], 3)):
+        want = search.bm25_index(made, totals, terms).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "owner", "idx").limit(k).collect()
+        best, read = topk.bm25_topk(stored, totals, terms, k)
+        assert [tuple(r) for r in best.select("owner", "idx", "score").collect()] == [(r.owner, r.idx, r.score) for r in want], terms
+        shares = {r.token: r.read / r["size"] for r in read.collect()}
+        assert terms != ["the"] or shares["the"] < 0.25
