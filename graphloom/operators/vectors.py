@@ -62,6 +62,25 @@ def reciprocal_rank_fusion(text: DataFrame, vector: DataFrame, text_weight: floa
     return rows.select("owner_id", t.alias("text_score"), v.alias("vec_score"), (t + v).alias("score"))
 
 
+def semantic_search(chunks: DataFrame, typed: str, k: int, text: DataFrame | None = None, text_weight: float = 0.5, vector_weight: float = 0.5, pool: int = 1000) -> DataFrame:
+    """(owner_id, vec_id, distance): owners of ``chunks`` nearest to a typed text under the hashed embedding.
+
+    With ``text`` (owner_id, rank), a list of owners that match in words, best first and ranks from 0, it
+    is (owner_id, text_score, vec_score, score): both lists, of ``pool`` owners each, fused by reciprocal rank
+    under the weights. A blank text is an error, and so are weights below 0 or without a sum.
+    """
+    if not (typed or "").strip():
+        raise ValueError("a text to search for is needed")
+    if min(text_weight, vector_weight) < 0 or text_weight + vector_weight <= 0:
+        raise ValueError("weights must not be negative, nor both nothing")
+    query = chunks.sparkSession.range(1).select(hashed_embedding(F.lit(typed)).alias("q"))
+    near = near_entities(chunks, query, k if text is None else pool, pool)
+    if text is None:
+        return near
+    fused = reciprocal_rank_fusion(text.filter(F.col("rank") < pool), ranked(near, pool, "distance", "owner_id"), text_weight, vector_weight)
+    return fused.orderBy(F.desc(F.round("score", 9)), "owner_id").limit(k)
+
+
 def boosted(fused: DataFrame, degree: DataFrame) -> DataFrame:
     """Scores raised by 0.1 * d / (d + 5), d the distinct outgoing neighbours (id, n)."""
     rows = fused.join(degree.select(F.col("id").alias("owner_id"), "n"), "owner_id", "left")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("reads", "audits", "paths", "search", "vectors", "changes", "tenancy", "streams", "code", "records")
+_MODULES = ("reads", "audits", "paths", "search", "vectors", "changes", "tenancy", "streams", "code", "joins", "records")
 
 
 def _load():

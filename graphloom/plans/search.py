@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.functions.text import likeness, query_terms
+from graphloom.functions.text import query_terms
 from graphloom.operators import fulltext as T
 from graphloom.operators import search as S
 from graphloom.operators import taxonomy as X
@@ -13,8 +13,8 @@ from graphloom.plans.code import embedded_sql
 from graphloom.plans.registry import query
 
 _FOLD = "strip_accents(lower({0}))"
-_TOKENS = "regexp_extract_all(" + _FOLD + r", '[\p{{L}}\p{{N}}]+')"
-_OBS = f"obs AS (SELECT entity_id AS owner, idx, {_TOKENS.format('body')} AS t FROM observation)"
+TOKENS = "regexp_extract_all(" + _FOLD + r", '[\p{{L}}\p{{N}}]+')"
+_OBS = f"obs AS (SELECT entity_id AS owner, idx, {TOKENS.format('body')} AS t FROM observation)"
 
 
 def _match(name: str, test: str, **terms):
@@ -29,7 +29,7 @@ _match("fts_phrase", "contains(' ' || array_to_string(t, ' ') || ' ', ' of the '
 _match("fts_prefix", "list_contains(t, 'name') AND len(list_filter(t, lambda x: starts_with(x, 'wid'))) > 0", all_of=["name"], prefix="wid")
 
 
-@query("fts_name_and", f"n AS (SELECT id, name, {_TOKENS.format('name')} AS t FROM entity);;SELECT id, name FROM n WHERE list_contains(t, 'part') AND len(list_filter(t, lambda x: starts_with(x, '00000001'))) > 0")
+@query("fts_name_and", f"n AS (SELECT id, name, {TOKENS.format('name')} AS t FROM entity);;SELECT id, name FROM n WHERE list_contains(t, 'part') AND len(list_filter(t, lambda x: starts_with(x, '00000001'))) > 0")
 def fts_name_and(g):
     terms, prefix = query_terms("Part#00000001")
     hits = S.match_index(g.name_word, terms, prefix=prefix)
@@ -37,7 +37,7 @@ def fts_name_and(g):
 
 
 _BM25 = f"""
-d AS (SELECT entity_id AS owner, idx, {_TOKENS.format('body')} AS t FROM observation),
+d AS (SELECT entity_id AS owner, idx, {TOKENS.format('body')} AS t FROM observation),
 s AS (SELECT count(*) AS docs, avg(len(t)) AS mean FROM d),
 x AS (SELECT owner, idx, len(t) AS n, token, count(*) AS tf FROM (SELECT owner, idx, t, unnest(t) AS token FROM d) WHERE token IN ('the', 'que', 'hend') GROUP BY owner, idx, len(t), token),
 f AS (SELECT token, count(*) AS df FROM x GROUP BY token),
@@ -71,7 +71,7 @@ def _starts_sql(words: list[str], prefix: bool) -> str:
     return f"list_filter(range(len(w) - {len(words) - 1}), lambda i: {' AND '.join(tests)})"
 
 
-def _ranked(texts: str, tokens: str, phrases: list[tuple[list[str], bool]], holds: str, key: str, where: str = "true") -> str:
+def ranked_sql(texts: str, tokens: str, phrases: list[tuple[list[str], bool]], holds: str, key: str, where: str = "true") -> str:
     """Common table expressions: texts of which ``holds`` is true of the starts s0, s1, ... of phrases, with the rank of a stored full-text table."""
     n = range(len(phrases))
     part = " + ".join(f"greatest(ln((docs - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * len(s{i}) * 2.2 / (len(s{i}) + 1.2 * (0.25 + 0.75 * len(w) / mean))" for i in n)
@@ -82,9 +82,9 @@ r AS (SELECT {key}, -round({part}, 9) AS rank FROM c, z WHERE ({holds}) AND {whe
 
 def _node_sql(phrases: list[tuple[list[str], bool]], holds: str, kind: str | None, offset: int, limit: int, extra: int = 0) -> str:
     cap = offset + limit + extra
-    return _ranked("entity", _TOKENS.format("name"), phrases, holds, "id") + f""",
+    return ranked_sql("entity", TOKENS.format("name"), phrases, holds, "id") + f""",
 n AS (SELECT id AS owner, 0 AS source, rank FROM r ORDER BY rank, owner LIMIT {cap}),
-b AS (SELECT DISTINCT owner, 1 AS source, 0.0 AS rank FROM (SELECT *, {', '.join(f'{_starts_sql(*p)} AS s{i}' for i, p in enumerate(phrases))} FROM (SELECT entity_id AS owner, {_TOKENS.format('body')} AS w FROM observation)) WHERE {holds} ORDER BY owner LIMIT {cap}),
+b AS (SELECT DISTINCT owner, 1 AS source, 0.0 AS rank FROM (SELECT *, {', '.join(f'{_starts_sql(*p)} AS s{i}' for i, p in enumerate(phrases))} FROM (SELECT entity_id AS owner, {TOKENS.format('body')} AS w FROM observation)) WHERE {holds} ORDER BY owner LIMIT {cap}),
 m AS (SELECT owner, arg_min(source, source) AS source, arg_min(rank, source) AS rank FROM (SELECT * FROM n UNION ALL SELECT * FROM b) GROUP BY owner),
 k AS (SELECT row_number() OVER (ORDER BY source, rank, id) - 1 AS place, id, name, entity_type FROM m JOIN entity ON id = owner {f"WHERE entity_type = '{kind}'" if kind else ''});;
 SELECT CAST(place AS INTEGER) AS place, id, name, entity_type FROM k WHERE place >= {offset} AND place < {offset + limit}"""
@@ -112,7 +112,7 @@ _AS_RELATION = "SELECT 'relation' AS kind, place, CAST(NULL AS BIGINT) AS id, CA
 
 
 def _bodies(phrases: list[tuple[list[str], bool]], holds: str, where: str = "true") -> str:
-    return _ranked("relation_observation", _TOKENS.format("body"), phrases, holds, "from_id, to_id, relation_type, idx", where) + _PAGE
+    return ranked_sql("relation_observation", TOKENS.format("body"), phrases, holds, "from_id, to_id, relation_type, idx", where) + _PAGE
 
 
 @query("search_relations_text", _bodies([(["registered"], False)], "len(s0) > 0") + "SELECT * FROM k")
@@ -147,7 +147,7 @@ for _name, (_text, _sql) in _ASKED.items():
     query(f"fts_query_{_name}", f"{_OBS};;{_sql}")(lambda g, text=_text: T.find(g.word, text))
 
 
-@query("fts_query_rank", _ranked("observation", _TOKENS.format("body"), [(["the"], False), (["th"], True), (["of", "a"], False)], "len(s0) > 0 AND len(s1) > 0 AND len(s2) = 0", "entity_id, idx") + ";;SELECT entity_id AS owner, idx, rank FROM r ORDER BY rank, entity_id, idx LIMIT 60")
+@query("fts_query_rank", ranked_sql("observation", TOKENS.format("body"), [(["the"], False), (["th"], True), (["of", "a"], False)], "len(s0) > 0 AND len(s1) > 0 AND len(s2) = 0", "entity_id, idx") + ";;SELECT entity_id AS owner, idx, rank FROM r ORDER BY rank, entity_id, idx LIMIT 60")
 def fts_query_rank(g):
     """Beginnings of words and phrases count for the rank."""
     return T.find_ranked(g.word, 'the th* NOT "of a"', g.word_totals).orderBy("rank", "owner", "idx").limit(60)
@@ -176,11 +176,23 @@ s AS (SELECT typed, name, CASE WHEN len(ta) + len(tb) = 0 THEN 0.0 ELSE CAST(2.0
              + (1.0 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE)) * CAST(0.3 AS DOUBLE) AS score FROM t);;
 SELECT typed, name, round(score, 6) AS score FROM s WHERE score > 0.35""")
 def taxonomy_suggest(g):
-    """Known types that resemble typed ones; both lists are short type dictionaries."""
+    """Known types that resemble typed ones."""
     known = g.entity.groupBy(F.col("entity_type").alias("name")).agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
-    typed = g.spark.createDataFrame([(w,) for w in _WORDS], "typed string")
-    rows = typed.join(known, F.lower("typed") != F.lower("name"))  # one row a type
-    return rows.withColumn("score", likeness(F.lower("typed"), F.lower("name"))).filter("score > 0.35").select("typed", "name", F.round("score", 6).alias("score"))
+    return X.alike(g.spark.createDataFrame([(w,) for w in _WORDS], "typed string"), known)
+
+
+@query("similar_part_names", """
+x AS (SELECT DISTINCT p_name AS name FROM part),
+p AS (SELECT a.name AS typed, b.name AS name, lower(a.name) AS a, lower(b.name) AS b FROM x a, x b WHERE lower(a.name) <> lower(b.name)),
+t AS (SELECT *, CASE WHEN length(a) >= 3 THEN list_transform(range(1, length(a) - 1), lambda i: substring(a, i, 3)) ELSE [] END AS ta,
+             CASE WHEN length(b) >= 3 THEN list_transform(range(1, length(b) - 1), lambda i: substring(b, i, 3)) ELSE [] END AS tb FROM p),
+s AS (SELECT typed, name, CASE WHEN len(ta) + len(tb) = 0 THEN 0.0 ELSE CAST(2.0 AS DOUBLE) * len(list_filter(ta, lambda x: list_contains(tb, x))) / (len(ta) + len(tb)) END * CAST(0.7 AS DOUBLE)
+             + (1.0 - levenshtein(a, b) / CAST(greatest(length(a), length(b)) AS DOUBLE)) * CAST(0.3 AS DOUBLE) AS score FROM t);;
+SELECT typed, name, round(score, 6) AS score FROM s WHERE round(score, 6) > 0.35""")
+def similar_part_names(g):
+    """Names of parts that are like each other, from their trigrams."""
+    names = g.table("part").select("p_name")
+    return X.alike(names.withColumnRenamed("p_name", "typed"), names.withColumnRenamed("p_name", "name"))
 
 
 _TYPED = ("sub nation", "region of asia", "costumer", "parts", "document")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import search as S
+from graphloom.operators import fulltext as T
 from graphloom.operators import vectors as V
 from graphloom.plans.code import embedded_sql
 from graphloom.plans.registry import query
+from graphloom.plans.search import TOKENS, ranked_sql
 from graphloom.sources.attachments import segments
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda x: x[1] * x[2]))"
@@ -102,17 +103,21 @@ def vector_store_stats(g):
     return g.chunk_vector.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("owner_id").alias("n_owners"), F.max(F.size("embedding")).cast("long").alias("dimensions"))
 
 
+def _text_list(g, query: str, k: int):
+    """Owners of the observations that a query finds, by their best rank."""
+    found = T.find_ranked(g.word, query, g.word_totals).groupBy(F.col("owner").alias("owner_id")).agg(F.min("rank").alias("fts"))
+    return V.ranked(found, k, "fts", "owner_id")
+
+
 def _lists(g):
-    text = S.match(g.observation.filter(F.col("entity_id") >= 6_000_000_000), ["the"], owner="entity_id").distinct()
-    text = V.ranked(text.select(F.col("owner").alias("owner_id")), 30, "owner_id")
-    return text, V.ranked(V.best_per_owner(V.scored(g.chunk_vector, _query(g))), 30, "distance", "owner_id")
+    return _text_list(g, "the that OR name + red", 30), V.ranked(V.best_per_owner(V.scored(g.chunk_vector, _query(g))), 30, "distance", "owner_id")
 
 
-_LISTS = _BEST + r""",
-t AS (SELECT owner_id, row_number() OVER (ORDER BY owner_id) - 1 AS rank FROM (
-  SELECT DISTINCT entity_id AS owner_id FROM observation WHERE entity_id >= 6000000000 AND list_contains(regexp_extract_all(strip_accents(lower(body)), '[\p{L}\p{N}]+'), 'the') ORDER BY 1 LIMIT 30)),
+_FOUND = ranked_sql("observation", TOKENS.format("body"), [(["the"], False), (["that"], False), (["name", "red"], False)], "(len(s0) > 0 AND len(s1) > 0) OR len(s2) > 0", "entity_id, idx")
+_TEXT = """tl AS (SELECT owner_id, row_number() OVER (ORDER BY fts, owner_id) - 1 AS rank FROM (SELECT entity_id AS owner_id, min(rank) AS fts FROM r GROUP BY entity_id) ORDER BY fts, owner_id LIMIT {})"""
+_LISTS = _BEST + ", " + _FOUND + ", " + _TEXT.format(30) + """,
 v AS (SELECT owner_id, row_number() OVER (ORDER BY distance, owner_id) - 1 AS rank FROM (SELECT * FROM b ORDER BY distance, owner_id LIMIT 30)),
-f AS (SELECT owner_id, coalesce(CAST(0.5 AS DOUBLE) / (60 + t.rank), 0.0) AS text_score, coalesce(CAST(0.5 AS DOUBLE) / (60 + v.rank), 0.0) AS vec_score FROM t FULL JOIN v USING (owner_id))"""
+f AS (SELECT owner_id, coalesce(CAST(0.5 AS DOUBLE) / (60 + tl.rank), 0.0) AS text_score, coalesce(CAST(0.5 AS DOUBLE) / (60 + v.rank), 0.0) AS vec_score FROM tl FULL JOIN v USING (owner_id))"""
 
 
 @query("hybrid_rrf", _LISTS + ";;SELECT owner_id, round(text_score, 9) AS text_score, round(vec_score, 9) AS vec_score, round(text_score + vec_score, 9) AS score FROM f")
@@ -122,11 +127,11 @@ def hybrid_rrf(g):
 
 
 @query("hybrid_rrf_boosted", _LISTS + """,
-n AS (SELECT CAST(owner_id AS BIGINT) AS id, count(DISTINCT label) AS n FROM chunk_vector WHERE owner_id % 2 = 0 GROUP BY owner_id);;
+n AS (SELECT CAST(owner_id AS BIGINT) AS id, count(DISTINCT label) AS n FROM chunk_vector GROUP BY owner_id);;
 SELECT owner_id, round(text_score + vec_score + CAST(0.1 AS DOUBLE) * coalesce(n, 0) / (coalesce(n, 0) + 5.0), 9) AS score FROM f LEFT JOIN n ON id = owner_id""")
 def hybrid_rrf_boosted(g):
     """Boosted by a stand-in for degree: documents have no relations in the derived graph."""
-    n = g.chunk_vector.filter(F.col("owner_id") % 2 == 0).groupBy(F.col("owner_id").alias("id")).agg(F.count_distinct("label").alias("n"))
+    n = g.chunk_vector.groupBy(F.col("owner_id").alias("id")).agg(F.count_distinct("label").alias("n"))
     return V.boosted(V.reciprocal_rank_fusion(*_lists(g)), n).select("owner_id", F.round("score", 9).alias("score"))
 
 
@@ -151,16 +156,32 @@ def vec_mmr(g):
 _TYPED = "the hand of the thing"
 
 
-@query("semantic_search", embedded_sql(f"(SELECT doc_id, text FROM documents UNION ALL SELECT -1, '{_TYPED}')", "doc_id", "text") + """,
+_NEAR = embedded_sql(f"(SELECT doc_id, text FROM documents UNION ALL SELECT -1, '{_TYPED}')", "doc_id", "text") + """,
 q AS (SELECT place, x AS y FROM embedded WHERE doc_id = -1),
 d AS (SELECT doc_id, round(1 - sum(x * y), 6) + 0.0 AS distance FROM embedded JOIN q USING (place) WHERE doc_id >= 0 GROUP BY doc_id),
-n AS (SELECT doc_id AS owner_id, doc_id AS vec_id, coalesce(distance, 1.0) AS distance FROM documents LEFT JOIN d USING (doc_id));;
-SELECT * FROM n ORDER BY distance, owner_id LIMIT 20""")
+n AS (SELECT doc_id AS owner_id, doc_id AS vec_id, coalesce(distance, 1.0) AS distance FROM documents LEFT JOIN d USING (doc_id))"""
+
+
+def _embedded(g):
+    return g.table("documents").select(F.col("doc_id").alias("owner_id"), F.col("doc_id").alias("vec_id"), V.hashed_embedding(F.col("text")).alias("embedding"))
+
+
+@query("semantic_search", _NEAR + ";;SELECT * FROM n ORDER BY distance, owner_id LIMIT 20")
 def semantic_search(g):
     """Documents nearest to a typed text under the hashed embedding."""
-    docs = g.table("documents").select(F.col("doc_id").alias("owner_id"), F.col("doc_id").alias("vec_id"), V.hashed_embedding(F.col("text")).alias("embedding"))
-    q = g.spark.range(1).select(V.hashed_embedding(F.lit(_TYPED)).alias("q"))
-    return V.near_entities(docs, q, 20)
+    return V.semantic_search(_embedded(g), _TYPED, 20)
+
+
+@query("semantic_search_fused", _NEAR + ", " + _FOUND + ", " + _TEXT.format(100) + """,
+w AS (SELECT owner_id - 6000000000 AS owner_id, rank FROM tl WHERE owner_id >= 6000000000),
+v AS (SELECT owner_id, row_number() OVER (ORDER BY distance, owner_id) - 1 AS rank FROM (SELECT * FROM n ORDER BY distance, owner_id LIMIT 100)),
+f AS (SELECT owner_id, coalesce(CAST(0.7 AS DOUBLE) / (60 + w.rank), 0.0) AS text_score, coalesce(CAST(0.3 AS DOUBLE) / (60 + v.rank), 0.0) AS vec_score FROM w FULL JOIN v USING (owner_id));;
+SELECT owner_id, round(text_score, 9) AS text_score, round(vec_score, 9) AS vec_score, round(text_score + vec_score, 9) AS score FROM f ORDER BY round(text_score + vec_score, 9) DESC, owner_id LIMIT 25""")
+def semantic_search_fused(g):
+    """The typed text's nearest documents and those that hold its words, by weights of 0.3 and 0.7."""
+    text = _text_list(g, "the that OR name + red", 100).filter("owner_id >= 6000000000").select((F.col("owner_id") - 6_000_000_000).alias("owner_id"), "rank")
+    rows = V.semantic_search(_embedded(g), _TYPED, 25, text, 0.7, 0.3, pool=100)
+    return rows.select("owner_id", *[F.round(c, 9).alias(c) for c in ("text_score", "vec_score", "score")])
 
 
 @query("degree_boost", """
