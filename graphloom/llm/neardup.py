@@ -160,7 +160,7 @@ def _met(rows: DataFrame, key: str, size: Column, most: int, most_size: int | No
 
     sizes = rows.groupBy(key).agg(blocks(F.col("alone"), "n_alone"), blocks(~F.col("alone"), "n_linked"))
     # Blocks 0.. hold rows that are alone and meet all blocks; blocks from n_alone on hold the rest and meet the former.
-    rows = dealt(rows, sizes.hint("merge"), [key], ["rep"])
+    rows = dealt(rows.withColumnRenamed(key, "cell_"), sizes.withColumnRenamed(key, "cell_").hint("merge"), ["cell_"], ["rep"]).withColumnRenamed("cell_", key)
     own = F.when(F.col("alone"), F.pmod(F.xxhash64("rep"), F.col("n_alone"))).otherwise(F.col("n_alone") + F.pmod(F.xxhash64("rep"), F.col("n_linked"))).cast("int")
     last = F.when(F.col("alone"), F.col("n_alone") + F.col("n_linked")).otherwise(F.col("n_alone")) - 1
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), last.cast("int"))))

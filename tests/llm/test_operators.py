@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from graphloom.llm import bpe, chat, decontam, digest, langid, linededup, neardup, toxicity, warc
+from graphloom.llm import bpe, chat, components, decontam, digest, langid, linededup, neardup, toxicity, warc
 from graphloom.llm.components import connected_components
 from graphloom.llm.shingles import SPACES, word_hashes
 
@@ -125,7 +125,17 @@ def test_word_hashes_are_the_same_in_any_batch():
         assert (a == b).all() and len(a) == len((t or "").split())
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1 << 18])
+def test_components(spark, monkeypatch, small):
+    monkeypatch.setattr(components, "SMALL", small)  # by rounds, and in one task
+    rng = random.Random(4)
+    chain = [(i, i + 1) for i in range(100, 160)] + [(rng.randint(1000, 1300), rng.randint(1000, 1300)) for _ in range(220)]
+    up = {n: n for e in chain for n in e}
+    for _ in range(len(up)):
+        for x, y in chain:
+            up[x] = up[y] = min(up[x], up[y])
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(chain, "a long, b long"), "a", "b").collect()}
+    assert got == {n: c for n, c in up.items() if any(n in e and e[0] != e[1] for e in chain)}
     links = [(i, i + 1) for i in range(100, 160)] + [(5, k) for k in range(200, 260)] + [(1, 1), (None, 4), (9, 8), (8, 9)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
     assert got == {i: 100 for i in range(100, 161)} | {5: 5} | {k: 5 for k in range(200, 260)} | {8: 8, 9: 8}
