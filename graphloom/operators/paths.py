@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.operators.limits import ITEMS, clamp
-from graphloom.operators.reads import among, few
+from graphloom.operators.reads import TRIPLE, among, few
 from graphloom.sources.shared import durable
 
 
@@ -93,11 +93,18 @@ def _from(relation: DataFrame, column: str, front: DataFrame, values: list | Non
     return relation.join(front.select(F.col("id").alias(column)), column, "left_semi")
 
 
-def scanned_edges(relation: DataFrame, reached: DataFrame, depth: int, direction: str = "BOTH", relation_type: str | None = None) -> DataFrame:
-    """Relations walked from nodes above the last level; those among last-level nodes are not."""
-    edges = hops(relation, direction, relation_type)
-    inner = reached.filter(F.col("level") < depth).select(F.col("id").alias("src"))
-    return edges.join(inner, "src", "left_semi").select("from_id", "to_id", "relation_type").distinct()
+def scanned_edges(relation: DataFrame, reached: DataFrame, depth: int, direction: str = "BOTH", relation_type: str | None = None, relation_in: DataFrame | None = None) -> DataFrame:
+    """Relations walked from nodes above the last level; those among last-level nodes are not.
+
+    ``relation_in`` are the same relations sorted by target; of few nodes only their relations are read.
+    """
+    back = relation if relation_in is None else relation_in
+    inner = reached.filter(F.col("level") < depth).select("id")
+    sides = ([among(relation, "from_id", inner, "id")] if direction != "INCOMING" else []) + ([among(back, "to_id", inner, "id")] if direction != "OUTGOING" else [])
+    edges = sides[0].select(*TRIPLE) if len(sides) == 1 else sides[0].select(*TRIPLE).union(sides[1].select(*TRIPLE))
+    if relation_type:
+        edges = edges.filter(F.col("relation_type") == relation_type)
+    return edges.distinct()
 
 
 def shortest_path(relation: DataFrame, source: DataFrame, target: DataFrame, relation_in: DataFrame | None = None) -> DataFrame:
@@ -129,23 +136,28 @@ def expand(relation: DataFrame, seeds: DataFrame, depth: int | None = None, rela
     """(nodes, relations) around ``seeds`` for a viewer: one to three hops."""
     n = clamp(depth, 1, 3)
     nodes = reach(relation, seeds, n, relation_in=relation_in)
-    return nodes, scanned_edges(relation, nodes, n)
+    return nodes, scanned_edges(relation, nodes, n, relation_in=relation_in)
 
 
-def all_paths(relation: DataFrame, source: int, target: int, depth: int, limit: int | None = None) -> DataFrame:
+def all_paths(relation: DataFrame, source: int, target: int, depth: int, limit: int | None = None, relation_in: DataFrame | None = None) -> DataFrame:
     """(path, hops): simple undirected paths of at most ``depth`` edges, shortest first if cut to ``limit``.
 
     Parallel and reciprocal relations give the same path again. Equal ends give the path
-    of one node. A path that reaches the target is not continued.
+    of one node. A path that reaches the target is not continued. Nodes are first labelled
+    with their distance to the target, and a path goes on only where it can still arrive.
     """
     spark = relation.sparkSession
     if source == target:
         return spark.createDataFrame([([source], 0)], "path array<bigint>, hops int")
-    edges = durable(hops(relation).select("src", "dst"), "edges")
+    if depth < 1:
+        return spark.createDataFrame([], "path array<bigint>, hops int")
+    near = reach(relation, spark.createDataFrame([(target,)], "id long"), max(depth - 1, 0), relation_in=relation_in)
+    near = durable(near.select(F.col("id").alias("dst"), "level"), "near")
+    edges = durable(hops(relation).select("src", "dst").join(near, "dst"), "edges")
     open_ = spark.createDataFrame([(source, [source])], "src long, path array<bigint>")
     found = None
     for n in range(1, depth + 1):
-        onward = edges if n < depth else edges.filter(F.col("dst") == target)
+        onward = edges.filter(F.col("level") <= depth - n)
         step = open_.join(onward, "src").select("dst", "path")
         done = step.filter(F.col("dst") == target).select(F.concat("path", F.array("dst")).alias("path"), F.lit(n).alias("hops"))
         found = done if found is None else found.union(done)

@@ -45,7 +45,7 @@ def neighbors_typed_d2(g):
 
 @query("neighbors_edges_d2", _levels(f"({SUPPLIER})", 2) + ";;SELECT DISTINCT from_id, to_id, relation_type FROM hop WHERE src IN (SELECT id FROM all1)")
 def neighbors_edges_d2(g):
-    return P.scanned_edges(g.relation, P.reach(g.relation, _seed(g, SUPPLIER), 2, relation_in=g.relation_in), 2)
+    return P.scanned_edges(g.relation, P.reach(g.relation, _seed(g, SUPPLIER), 2, relation_in=g.relation_in), 2, relation_in=g.relation_in)
 
 
 @query("subgraph_d1", _levels(f"({SUPPLIER}), ({CUSTOMER}), (1000000001), (42)", 1) + ";;SELECT id, level FROM all1 WHERE id IN (SELECT id FROM entity)")
@@ -97,4 +97,4 @@ SELECT array_to_string(path, '>') AS path, hops FROM w WHERE id = {end}"""
 
 for _depth, _end in ((3, 2_000_000_003), (4, OTHER)):
     query(f"all_paths_d{_depth}", _paths(_depth, _end))(
-        lambda g, n=_depth, end=_end: P.all_paths(g.relation, CUSTOMER, end, n).select(F.array_join("path", ">").alias("path"), "hops"))
+        lambda g, n=_depth, end=_end: P.all_paths(g.relation, CUSTOMER, end, n, relation_in=g.relation_in).select(F.array_join("path", ">").alias("path"), "hops"))
