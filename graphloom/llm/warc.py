@@ -6,9 +6,10 @@ the blank line that ends a record; Spark's committer makes lost tasks harmless.
 Reading: the text reader splits archives at the version mark that opens each
 record, of version 1.0 or 1.1. Every piece is a candidate record with an offset, and its header names its
 successor's offset. Candidates that stand inside a payload are told from records
-by pointer jumping: from the start of each file, jumps of doubling length reach all
-true records in a logarithmic number of rounds. A record whose payload holds the
-version mark has its pieces joined again.
+by pointer jumping over runs of candidates that each name the following one: from the
+start of each file, jumps of doubling length reach all true runs in a logarithmic number of
+rounds, one if no payload holds the version mark. A record whose payload holds it has its
+pieces joined again.
 """
 
 from __future__ import annotations
@@ -99,12 +100,30 @@ def reachable(chain: DataFrame) -> DataFrame:
         found = state.join(ended, "file", "left_semi").filter("seen").select("file", "at")
         done = found if done is None else done.union(found)
         state = state.join(ended, "file", "left_anti")
+        if state.filter("next IS NOT NULL").isEmpty():
+            return done
         ahead = state.select("file", F.col("at").alias("next"), F.col("next").alias("far"))
         marks = state.filter("seen").select("file", F.col("next").alias("at"), F.lit(True).alias("mark")).filter("at IS NOT NULL").distinct()
         moved = state.join(ahead, ["file", "next"], "left").join(marks, ["file", "at"], "left")
         state = durable(moved.select("file", "at", F.col("far").alias("next"), (F.col("seen") | F.coalesce("mark", F.lit(False))).alias("seen"), "last"), "chain")
-        if state.filter("next IS NOT NULL OR (seen AND last)").isEmpty():
-            return done
+
+
+def in_runs(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``placed`` (file, at, next and others) with column ``run``, and the chain of runs (file, at, next).
+
+    A run is a stretch of candidates that each name the following one, called by its first offset.
+    One that is named from elsewhere opens a run, so that a run is reached as a whole or not at all.
+    """
+    order = Window.partitionBy("file").orderBy("at")
+    near = durable(placed.withColumns({"following": F.lead("at").over(order), "open": ~F.coalesce(F.lag("next").over(order) == F.col("at"), F.lit(False))}), "placed")
+    far = near.filter("NOT next <=> following").select("file", F.col("next").alias("at")).filter("at IS NOT NULL").distinct().withColumn("far", F.lit(True))
+    opened = near.join(far, ["file", "at"], "left").withColumn("open", F.col("open") | F.coalesce("far", F.lit(False)))
+    run = F.max(F.when(F.col("open"), F.col("at"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    runs = durable(opened.withColumn("run", run).drop("open", "far", "following"), "runs")
+    ends = runs.groupBy("file", "run").agg(F.max("at").alias("tail")).withColumnRenamed("run", "at")
+    links = ends.join(runs.select("file", F.col("at").alias("tail"), "next"), ["file", "tail"]).select("file", "at", "next")
+    known = ends.select("file", F.col("at").alias("next"), F.col("at").alias("there"))
+    return runs, links.join(known, ["file", "next"], "left").select("file", "at", F.col("there").alias("next"))
 
 
 def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -122,11 +141,10 @@ def read_archives(spark: SparkSession, path: str, strict: bool = True) -> DataFr
     before = F.coalesce(F.sum(F.col("piece_bytes") + len(MARK)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # A piece follows the version mark that opens it.
     placed = light.withColumn("before", before).join(base, ["file", "split"]).withColumn("at", F.col("before") + F.col("base") - len(MARK)).filter("at >= 0")
-    placed = durable(placed.withColumn("next", F.col("at") + len(MARK) + F.col("head_bytes") + len(END) + F.col("block_bytes") + len(END)), "placed")
-    known = placed.select("file", "at", F.col("at").alias("there"))
-    chain = placed.select("file", "at", "next").join(known.select("file", F.col("at").alias("next"), "there"), ["file", "next"], "left").select("file", "at", F.col("there").alias("next"))
-    true = reachable(chain).withColumn("true", F.lit(True))
-    found = placed.join(true, ["file", "at"], "left")
+    placed = placed.withColumn("next", F.col("at") + len(MARK) + F.col("head_bytes") + len(END) + F.col("block_bytes") + len(END))
+    placed, chain = in_runs(placed)
+    true = reachable(chain).select("file", F.col("at").alias("run"), F.lit(True).alias("true"))
+    found = placed.join(true, ["file", "run"], "left")
     if strict:
         ends = found.filter(F.col("true")).groupBy("file").agg(F.max("next").alias("end"))
         torn = splits.groupBy("file").agg((F.sum("all") - len(MARK)).alias("bytes")).join(ends, "file", "left").filter("bytes > 0 AND NOT bytes <=> end")
