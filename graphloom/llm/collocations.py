@@ -9,8 +9,11 @@ other name a phrase of k + 1 words, both parts of which are frequent, by one exa
    The sum of these reaches it for frequent phrases only, which are the candidates.
 2. Candidates, in blocks of bounded size, get a minimal perfect hash: levels of bits with
    ranks below them, and the key of each slot, which rejects all other phrases.
-3. A pass over the streams looks slots up, counts them by ``bincount`` into one array a task,
-   and writes the streams of the next length. The arrays are added up as a tree, in chunks.
+3. A pass over the streams looks slots up, counts them in one array a task, and writes the
+   streams of the next length in short rows that end at breaks. The arrays are added up as a
+   tree, in chunks.
+
+A task takes up a bounded number of bytes or slots at a time, whatever the size of its batches.
 
 A slot's key holds the slots of its first and its last k words, so that the counts of
 both parts of every cut are read by slot. Words are told apart by 64-bit hashes of language
@@ -26,6 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +46,10 @@ INSIDE = 80
 BLOCK = 1 << 22
 CHUNK = 8192
 HELD = 1 << 19
+#: Bytes of texts, and slots of streams, that a task takes up at a time; slots of a row of a stream.
+BYTES = 1 << 21
+SLOTS = 1 << 18
+ROW = 256
 #: Branches of the tree in which the tasks' counts are added up.
 FAN = 8
 _SALT = 64
@@ -171,8 +179,9 @@ class _Distinct:
             self.size = len(begin)
 
     def report(self, force: bool) -> Iterator[pa.RecordBatch]:
-        self.merge()
-        if self.held and (force or self.size > HELD):
+        if force:
+            self.merge()
+        if self.held and (force or len(self.held) == 1 and self.size > HELD):
             [(keys, counts)] = self.held
             for low in range(0, len(keys), 1 << 16):
                 part = slice(low, low + (1 << 16))
@@ -191,13 +200,29 @@ def _row(kind: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*made.values()], names=[*_FIELDS])
 
 
+def _groups(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, number) of rows, PIECE_ROWS at most and with ``most`` in all, but for single larger rows."""
+    ends, low = np.cumsum(sizes, dtype=np.int64), 0
+    while low < len(ends):
+        high = int(np.searchsorted(ends, (ends[low - 1] if low else 0) + most, "right"))
+        high = min(max(high, low + 1), low + PIECE_ROWS)
+        yield low, high - low
+        low = high
+
+
 def _texts(parts: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Words, pa.RecordBatch]]:
     for p in parts:
-        for low in range(0, len(p), PIECE_ROWS):
-            b = p.slice(low, PIECE_ROWS)
+        for group in _groups(pc.fill_null(pc.binary_length(p["word"]), 0).to_numpy(zero_copy_only=False), BYTES):
+            b = p.slice(*group)
             yield _Words(b["word"].to_pylist(), b["lang"].to_pylist()), b
 
 
+def _streams(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.ListArray]:
+    for p in parts:
+        for group in _groups(np.diff(p["s"].offsets.to_numpy()), SLOTS):
+            yield p["s"].slice(*group)
+
+
 def _flat(s: pa.ListArray) -> np.ndarray:
     return s.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
 
@@ -214,12 +239,29 @@ def _dense(s: np.ndarray) -> np.ndarray:
     return s[(s >= 0) | (np.append(np.int32(-1), s[:-1]) >= 0)]
 
 
+def _cut_rows(s: np.ndarray) -> pa.ListArray:
+    """A dense stream in rows of about ROW slots that end at breaks; long rows would make large batches."""
+    breaks = np.flatnonzero(s < 0) + 1
+    last = np.append(breaks[1:] // ROW != breaks[:-1] // ROW, True)
+    return pa.ListArray.from_arrays(np.append(0, breaks[last]).astype(np.int32), s)
+
+
+def _beside(old: np.ndarray, new: np.ndarray, starts: np.ndarray) -> pa.ListArray:
+    """Rows of the old slots from ``starts`` on, each with the new ones after them."""
+    at = np.arange(len(old))
+    length = np.diff(starts)
+    out = np.empty(2 * len(old), np.int32)
+    out[at + np.repeat(starts[:-1], length)] = old
+    out[at + np.repeat(starts[1:], length)] = new
+    return pa.ListArray.from_arrays((2 * starts).astype(np.int32), out)
+
+
 def _screened(source: DataFrame, least: int, words: bool) -> DataFrame:
     """(key, n): distinct keys of each task, of words or of slots that follow each other, with counts capped at ``least``."""
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Distinct(least)
-        found = (w.key for w, _ in _texts(parts)) if words else (_pairs(_flat(p["s"].slice(low, PIECE_ROWS)))[1] for p in parts for low in range(0, len(p), PIECE_ROWS))
+        found = (w.key for w, _ in _texts(parts)) if words else (_pairs(_flat(s))[1] for s in _streams(parts))
         for keys in found:
             seen.add(keys)
             yield from seen.report(False)
@@ -242,33 +284,38 @@ def _counted(source: DataFrame, perfect, base: int, words: bool, first: bool, la
         known, total = np.zeros(n, bool), {}
         fan = TaskContext.get().partitionId() % FAN
 
+        def tally() -> None:
+            nonlocal held, size
+            if held:
+                slots, many = np.unique(np.concatenate(held), return_counts=True)
+                counts[slots] += many
+                held, size = [], 0
+
         def streams() -> Iterator[tuple]:
-            """Places, keys at them, new slots so far, old ones, words and texts."""
+            """Places, keys at them, new slots so far, old ones with the starts of their rows, words and texts."""
             if words:
                 for w, b in _texts(parts):
                     ends = np.diff(w.piece) != 0
                     at = np.arange(len(w.key)) + np.concatenate([[0], np.cumsum(ends)])[: len(w.key)]
                     yield at, w.key, np.full(len(w.key) + int(ends.sum()), -1, np.int32) if first else _flat(b["s"]), None, w, b
                 return
-            for p in parts:
-                for low in range(0, len(p), PIECE_ROWS):
-                    s = p["s"].slice(low, PIECE_ROWS)
-                    flat = _flat(s)
-                    if first:
-                        yield *_pairs(flat), np.full(len(flat), -1, np.int32), flat, None, None
-                    else:  # both halves of each row
-                        length = np.diff(s.offsets.to_numpy()) // 2
-                        half = np.repeat(np.tile([True, False], len(length)), np.repeat(length, 2))
-                        yield *_pairs(flat[half]), flat[~half], flat[half], None, None
+            for s in _streams(parts):
+                flat, starts = _flat(s), s.offsets.to_numpy().astype(np.int64)
+                starts -= starts[0]
+                if first:
+                    yield *_pairs(flat), np.full(len(flat), -1, np.int32), (flat, starts), None, None
+                else:  # both halves of each row
+                    length = np.diff(starts) // 2
+                    half = np.repeat(np.tile([True, False], len(length)), np.repeat(length, 2))
+                    yield *_pairs(flat[half]), flat[~half], (flat[half], starts // 2), None, None
 
         for at, keys, new, old, w, b in streams():
             slot = table_.find(keys)
             ok = slot >= 0
             held.append(slot[ok])
             size += int(ok.sum())
-            if size > max(n, 1 << 18):
-                counts += np.bincount(np.concatenate(held), minlength=n)
-                held, size = [], 0
+            if size > SLOTS:
+                tally()
             new[at[ok]] = slot[ok] + base
             if words:
                 for i, many in enumerate(np.bincount(w.doc, minlength=len(w.langs)).tolist() if first else ()):
@@ -282,62 +329,66 @@ def _counted(source: DataFrame, perfect, base: int, words: bool, first: bool, la
             if last:
                 new = _dense(new)
                 if longer and len(new) > 1:
-                    yield _row(0, s=[new])
+                    yield _row(0, s=_cut_rows(new))
             elif words:
                 doc = np.full(len(new), -1)
                 doc[at] = w.doc
                 doc = np.maximum.accumulate(doc)
                 yield _row(0, s=pa.ListArray.from_arrays(np.searchsorted(doc, np.arange(len(b) + 1)).astype(np.int32), new), lang=b["lang"], word=b["word"])
-            elif len(old):
-                yield _row(0, s=[np.concatenate([old, new])])
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=n)
+            elif len(new):
+                yield _row(0, s=_beside(old[0], new, old[1]))
+        tally()
         if total:
             yield _row(4, lang=[*total], n=[*total.values()])
         for low in range(0, n, CHUNK):
             part = counts[low : low + CHUNK]
             if part.any():
-                yield _row(2, chunk=[low // CHUNK], fan=[fan], counts=[part.tobytes()])
+                yield _row(2, chunk=[low // CHUNK], fan=[fan], counts=[_packed(part)])
 
     return source.mapInArrow(rows, _OUT)
 
 
-def _added_up(counts: DataFrame, keys: list[str]) -> DataFrame:
-    """Arrays of equal ``keys`` added up; a task holds one at a time."""
-    schema = ", ".join(f"{k} int" for k in keys) + ", counts binary"
+def _packed(counts: np.ndarray) -> bytes:
+    """Bytes of one count, and the counts: most are small, and the batches of Arrow with them."""
+    size = next(x for x in (1, 2, 4, 8) if int(counts.max()) < 256**x)
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+
+
+def _unpacked(raw) -> np.ndarray:
+    size = np.frombuffer(raw, np.uint8, 1)[0]
+    return np.frombuffer(raw, f"<u{size}", offset=1).astype(np.int64)
+
+
+def _added_up(counts: DataFrame, keys: list[str], perfect=None, base: int = 0) -> DataFrame:
+    """Arrays of equal ``keys`` added up, or (slot, a, key) of the sums by chunk; a task holds one array at a time.
+
+    Both in one function: a second one on its rows would hold a Python worker more for each task.
+    """
+    schema = "slot long, a long, key long" if perfect else ", ".join(f"{k} int" for k in keys) + ", counts binary"
+
+    def done(of: tuple, total: np.ndarray) -> pa.RecordBatch:
+        if perfect:
+            slot = np.arange(of[0] * CHUNK, of[0] * CHUNK + len(total))
+            return pa.RecordBatch.from_arrays([pa.array(slot + base), pa.array(total), pa.array(perfect.value.keys[slot].view(np.int64))], ["slot", "a", "key"])
+        return pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in of), pa.array([_packed(total)], pa.binary())], [*keys, "counts"])
 
     def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, total = None, None
-        done = lambda: pa.RecordBatch.from_arrays([*(pa.array([k], pa.int32()) for k in of), pa.array([total.tobytes()], pa.binary())], [*keys, "counts"])
         for p in parts:
-            for x in p.to_pylist():
-                key, array = tuple(x[k] for k in keys), np.frombuffer(x["counts"], np.int64)
+            for i, key in enumerate(zip(*(p[k].to_pylist() for k in keys), strict=True)):
+                array = _unpacked(p["counts"][i].as_buffer())
                 if key == of:
                     total += array
                 else:
                     if of is not None:
-                        yield done()
-                    of, total = key, array.copy()
+                        yield done(of, total)
+                    of, total = key, array
         if of is not None:
-            yield done()
+            yield done(of, total)
 
     return counts.select(*keys, "counts").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(rows, schema)
 
 
-def _by_slot(counts: DataFrame, perfect, base: int) -> DataFrame:
-    """(slot, a, key) from chunks of counts."""
-
-    def rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = perfect.value.keys
-        for p in parts:
-            for chunk, raw in zip(p["chunk"].to_pylist(), p["counts"].to_pylist(), strict=True):
-                a = np.frombuffer(raw, np.int64)
-                slot = np.arange(chunk * CHUNK, chunk * CHUNK + len(a))
-                yield pa.RecordBatch.from_arrays([pa.array(slot + base), pa.array(a), pa.array(keys[slot].view(np.int64))], ["slot", "a", "key"])
-
-    return counts.mapInArrow(rows, "slot long, a long, key long")
-
-
 def _length(source: DataFrame, least: int, words: bool, longer: bool) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """Phrases (slot, a, key) of one length, their streams, and the tables of all passes."""
     spark = source.sparkSession
@@ -352,8 +403,7 @@ def _length(source: DataFrame, least: int, words: bool, longer: bool) -> tuple[D
         keys = frequent.filter(F.pmod(F.xxhash64("key"), F.lit(blocks)) == b).toArrow()["key"].to_numpy().view(np.uint64)
         perfect = spark.sparkContext.broadcast(PerfectHash(np.sort(keys)))
         made = durable(_counted(source, perfect, base, words, b == 0, b == blocks - 1, longer), "pass")
-        summed = _added_up(_added_up(made.filter("kind = 2"), ["chunk", "fan"]), ["chunk"])
-        own = durable(_by_slot(summed, perfect, base), "phrases")
+        own = durable(_added_up(_added_up(made.filter("kind = 2"), ["chunk", "fan"]), ["chunk"], perfect, base), "phrases")
         phrases = own if phrases is None else phrases.union(own)
         passes.append(made)
         base += len(keys)
