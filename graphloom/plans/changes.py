@@ -8,6 +8,7 @@ from graphloom.operators import changelog as C
 from graphloom.operators import mutate as M
 from graphloom.operators.log import apply_log
 from graphloom.plans.registry import also, query
+from graphloom.sources.derived import Graph
 
 _NEW = "new AS (SELECT CAST(c_custkey AS BIGINT) AS pos, CASE WHEN c_custkey % 3 = 0 THEN c_name WHEN c_custkey % 3 = 1 THEN 'new:' || CAST(c_custkey % 50 AS VARCHAR) ELSE '' END AS name, CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS entity_type FROM customer)"
 
@@ -522,7 +523,9 @@ def _log(g) -> dict:
         op = F.when(kind == "signup", "create").when(kind == "error", "delete").when(kind == "click", "rename").when(kind == "purchase", "unrelate").otherwise(F.when(F.col("event_id") % 2 == 0, "annotate").otherwise("relate"))
         named = lambda n: F.concat(F.lit("Customer#"), F.lpad(n.cast("string"), 9, "0"))
         log = e.select(F.col("event_id").alias("pos"), op.alias("op"), named(F.col("user_id")).alias("name"), named(F.col("event_id") * 7 % 200).alias("other"), F.when(kind == "signup", "account").otherwise("knows").alias("kind"))
-        g.__dict__["mutation_log"] = apply_log(g.entity, g.relation, log, 8_000_000_000)
+        # Entities and relations are read once or not at all, so they needn't be stored first.
+        entity, relation = (g.__dict__[t] if t in g.__dict__ else getattr(Graph(g.spark, g.sf_dir), t) for t in ("entity", "relation"))
+        g.__dict__["mutation_log"] = apply_log(entity, relation, log, 8_000_000_000)
     return g.__dict__["mutation_log"]
 
 

@@ -7,6 +7,8 @@ import pytest
 
 from graphloom.operators import log as L
 from graphloom.operators import mutate
+from graphloom.plans import changes
+from graphloom.sources.derived import StoredGraph
 
 LOG = "pos long, op string, name string, other string, kind string"
 ENTITY, RELATION = "id long, name string, entity_type string", "from_id long, to_id long, relation_type string"
@@ -83,6 +85,35 @@ def test_log_equals_a_fold(spark, monkeypatch, stretch):
     assert set(Counter(said.values())) == {"done", "known", "unknown", "absent", "taken", "empty", "invalid"}
 
 
+@pytest.mark.parametrize(("stretch", "most"), [(65_536, 12), (10, 24)])
+def test_renames_that_hang_on_each_other_take_few_rounds(spark, monkeypatch, stretch, most):
+    monkeypatch.setattr(L, "STRETCH", stretch)
+    written, durable = [], L.durable
+    monkeypatch.setattr(L, "durable", lambda df, name: written.append(name) or durable(df, name))
+    entities = [(i, f"n{i}", "t") for i in range(1, 61)]
+    log = [(2 * i, "rename", f"n{i + 1}", f"n{i}", None) for i in range(60)]  # each is done because the one before is
+    for taken in ([], [(99, "n0", "t")]):  # or isn't, because that isn't
+        written.clear()
+        got = L.apply_log(spark.createDataFrame(entities + taken, ENTITY), spark.createDataFrame([], RELATION), spark.createDataFrame(log, LOG), 1000)
+        said, names, *_ = fold(entities + taken, [], log, 1000)
+        assert {r.pos: r.outcome for r in got["outcome"].collect()} == said and {tuple(r) for r in got["entity"].collect()} == names
+        assert set(said.values()) == {"taken" if taken else "done"} and len(written) <= most
+
+
+def test_counts_of_relations_that_are_there_twice_or_without_type(spark):
+    entity = spark.createDataFrame([(1, "a", "t"), (2, "b", "t"), (3, "c", "t")], ENTITY)
+    relation = spark.createDataFrame([(1, 2, "x"), (1, 2, "x"), (2, 3, "x"), (1, 1, None), (2, 3, None), (2, 3, "y"), (2, 1, "y")], RELATION)
+    got = L.apply_log(entity, relation, spark.createDataFrame([(1, "delete", "a", None, None), (2, "relate", "b", "c", "y"), (3, "unrelate", "b", "c", "y"), (4, "relate", "c", "b", "y")], LOG), 10)
+    assert {tuple(r) for r in got["relation"].collect()} == {(2, 3, "x"), (2, 3, None), (3, 2, "y")} and got["relation"].count() == 3
+    assert {(r.kind, r.type): r.change for r in got["counter"].collect()} == {("entity", "t"): -1, ("relation", "x"): -1, ("relation", None): -1, ("relation", "y"): -1}
+    assert {r.pos: r.outcome for r in got["outcome"].collect()} == {1: "done", 2: "known", 3: "done", 4: "done"}
+
+
+def test_the_log_stores_no_tables_it_reads_once(spark):
+    g = StoredGraph(spark, "/root/testdata/sf0.001")
+    assert changes.mut_log_outcome(g).count() == 1000 and "relation" not in g.__dict__
+
+
 def test_no_requests_and_requests_without_position(spark):
     entity, relation = spark.createDataFrame([(1, "a", "t")], ENTITY), spark.createDataFrame([(1, 1, "x")], RELATION)
     got = L.apply_log(entity, relation, spark.createDataFrame([], LOG), 10)
