@@ -13,16 +13,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphloom.operators.vectors import DEALS, PACK, QUERY_BLOCK, _unit, knn
+from graphloom.operators.vectors import PACK, QUERY_BLOCK, _unit
 from graphloom.sources.shared import durable
 
 #: Rows from which cells are learned, cells at most, rounds of k-means.
 SAMPLE, MOST_CELLS, ROUNDS = 100_000, 4096, 8
 #: Queries on which probes are measured, and what is added to the recall asked for.
 MEASURED, MARGIN = 200, 0.02
+#: Rows of a shard (about so many, cut by samples) and queries of a block: what a task holds when they meet. Candidates it gathers.
+SHARD, QUERIES, KEPT = 16_384, 16_384, 1_000_000
+#: Distances are rounded to steps of this.
+STEP = 1e-6
 
 
 def whole(rows: DataFrame, vector: str) -> DataFrame:
@@ -50,7 +56,8 @@ def learn_cells(chunks: DataFrame, cells: int, rounds: int = ROUNDS, sample: int
                     np.add.at(total, at, v)
                     n += np.bincount(at, minlength=len(sent))
             own = np.flatnonzero(n)
-            yield pd.DataFrame({"cell": own, "total": total[own].tolist()})
+            if len(own):  # an empty list would pass for a number
+                yield pd.DataFrame({"cell": own, "total": total[own].tolist()})
 
         made = part.mapInPandas(sums, "cell long, total array<double>")
         added = made.select("cell", F.posexplode("total").alias("at", "x")).groupBy("cell", "at").agg(F.sum("x").alias("x")).groupBy("cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda s: s["x"]).alias("total")).toPandas()
@@ -73,8 +80,63 @@ def _nearest_cells(rows: DataFrame, vector: str, centres: np.ndarray, n: int) ->
     return rows.withColumn("cells", F.pandas_udf(near, "array<int>")(F.col(vector).cast("array<double>")))
 
 
+def _matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of norm 1, or 0."""
+    length = pc.list_value_length(vectors)
+    if len(length) and pc.min(length).as_py() != pc.max(length).as_py():
+        raise ValueError("dimensions differ")
+    v = np.asarray(pc.list_flatten(vectors).to_numpy(), float).reshape(len(length), -1)
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+
+
+def _best(rows: pa.Table, asked: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the query in ``asked``, vec_id, distance): its ``k`` nearest of ``rows``, sorted by cell, that lie in one of its cells.
+
+    Products by blocks; of a block only rows that may still belong to a list are kept.
+    """
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if not rows.num_rows or not asked.num_rows:
+        return found[0]
+    v, q, ids, cell = _matrix(rows["embedding"]), _matrix(asked["q"]), rows["vec_id"].to_numpy(), rows["cell"].to_numpy()
+    if v.shape[1] != q.shape[1]:
+        raise ValueError("dimensions differ")
+    at = np.repeat(np.arange(len(q)), pc.list_value_length(asked["cells"]).to_numpy())
+    wanted = pc.list_flatten(asked["cells"]).to_numpy()
+    order = np.argsort(wanted, kind="stable")
+    at, wanted = at[order], wanted[order]
+    least, size = np.full(len(q), -np.inf), 0  # likeness that the k-th of a list has at least
+
+    def cut(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        n, i, d = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((i, d, n))
+        n, i, d = n[order], i[order], d[order]
+        place = np.arange(len(n)) - np.searchsorted(n, n)
+        last = place == k - 1
+        least[n[last]] = np.maximum(least[n[last]], 1 - d[last] - STEP)
+        return n[place < k], i[place < k], d[place < k]
+
+    for c in np.unique(cell):
+        begin, end = np.searchsorted(cell, [c, c + 1])
+        one, two = np.searchsorted(wanted, [c, c + 1])
+        for i in range(begin, end, PACK):
+            pack = slice(i, min(i + PACK, end))
+            for j in range(one, two, QUERY_BLOCK):
+                here = at[j : min(j + QUERY_BLOCK, two)]
+                like = q[here] @ v[pack].T
+                if like.shape[1] >= k and np.isneginf(least[here]).any():
+                    least[here] = np.maximum(least[here], np.partition(like, -k, axis=1)[:, -k])
+                # Rounded distances tie: what is less than a step below may still belong to a list.
+                x, y = np.nonzero(like >= (least[here] - 2 * STEP)[:, None])
+                found.append((here[x], ids[pack][y], np.round(1 - like[x, y], 6) + 0.0))  # no negative zero
+                size += len(x)
+                if size > KEPT:
+                    found, size = [cut(found)], 0
+    return cut(found)
+
+
 class VectorIndex:
-    """The inverted file ``rows`` (cell and the columns of ``chunks``), in order of cells, and its ``centres``.
+    """The inverted file ``rows`` (cell, shard and the columns of ``chunks``), in order of cells, and its ``centres``.
 
     ``chunks`` (vec_id, embedding, ...) may hold null or broken vectors, which are left
     out. With about the square root of their number in cells, a probe reads as much.
@@ -85,13 +147,14 @@ class VectorIndex:
         self.size = chunks.count()
         self.centres = learn_cells(chunks, cells or max(1, min(MOST_CELLS, round(self.size**0.5))))
         rows = _nearest_cells(chunks, "embedding", self.centres, 1).withColumn("cell", F.get("cells", F.lit(0))).drop("cells")
-        self.rows = durable(rows.repartitionByRange("cell", "vec_id").sortWithinPartitions("cell", "vec_id"), "inverted")
+        rows = rows.repartitionByRange(max(1, -(-self.size // SHARD)), "cell", "vec_id").withColumn("shard", F.spark_partition_id())
+        self.rows = durable(rows.sortWithinPartitions("cell", "vec_id"), "inverted")
 
     def probes_for(self, queries: DataFrame, k: int, recall: float = 0.9) -> int:
         """Cells to probe so that ``recall`` of the true ``k`` nearest are found, measured on at most ``MEASURED`` queries."""
         asked = whole(queries, "q").orderBy(F.xxhash64("query_id"), "query_id").limit(MEASURED)
         asked = durable(_nearest_cells(asked.select("query_id", "q"), "q", self.centres, len(self.centres)), "asked")
-        found = knn(self.rows, asked, k).join(self.rows.select("vec_id", "cell"), "vec_id").join(asked.select("query_id", "cells"), "query_id")
+        found = self.search(asked, k, len(self.centres)).join(self.rows.select("vec_id", "cell"), "vec_id").join(asked.select("query_id", "cells"), "query_id")
         place = F.array_position("cells", F.col("cell")).alias("place")
         at = found.select(place).groupBy("place").count().orderBy("place").toPandas()  # a row for each cell at most
         share = at["count"].cumsum() / max(at["count"].sum(), 1)
@@ -113,33 +176,22 @@ class VectorIndex:
     def search(self, queries: DataFrame, k: int, probes: int, where: Column | None = None) -> DataFrame:
         """(query_id, vec_id, distance): the ``k`` nearest, by cosine, in the ``probes`` nearest cells of each of ``queries`` (query_id, q).
 
-        ``where`` is tested before the ranking. A cell's queries and rows meet in blocks; rows
-        of one cell are dealt over tasks. Broken queries find nothing.
+        ``where`` is tested before the ranking. A query goes once to each shard that holds rows of its
+        cells, and each row to each block of queries, where they meet by cells. Broken queries find nothing.
         """
-        asked = _nearest_cells(whole(queries, "q").select("query_id", F.col("q").cast("array<double>").alias("q")), "q", self.centres, probes)
-        asked = asked.select("query_id", "q", F.explode("cells").alias("cell")).withColumn("__place", F.pmod(F.xxhash64("query_id"), F.lit(DEALS)))
-        many = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("blocks"))
-        asked = asked.join(many, "cell").withColumn("block", F.pmod("__place", "blocks").cast("int"))
-        asked = asked.groupBy("cell", "block").agg(F.collect_list(F.struct("query_id", "q")).alias("asked"))
-        rows = self.rows.filter(where) if where is not None else self.rows
-
-        def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in parts:
-                cuts = [c.iloc[i : i + PACK] for _, c in p.groupby("cell") for i in range(0, len(c), PACK)]
-                yield pd.DataFrame({"cell": [c["cell"].iloc[0] for c in cuts], "ids": [c["vec_id"].tolist() for c in cuts], "vectors": [[list(map(float, x)) for x in c["embedding"]] for c in cuts]})
-
-        packs = rows.select("cell", "vec_id", "embedding").mapInPandas(pack, "cell int, ids array<long>, vectors array<array<double>>")
-        packs = packs.withColumn("deal", F.pmod(F.xxhash64("ids"), F.lit(DEALS)).cast("int"))
-        asked = asked.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1))))
-
-        def best(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for p in parts:
-                for ids, vectors, block in zip(p["ids"], p["vectors"], p["asked"], strict=True):
-                    ids = np.asarray(ids)
-                    far = np.round(1 - _unit([x["q"] for x in block]) @ _unit(list(vectors)).T, 6) + 0.0
-                    at = np.array([np.lexsort((ids, row))[:k] for row in far])
-                    yield pd.DataFrame({"query_id": np.repeat([x["query_id"] for x in block], at.shape[1]), "vec_id": ids[at].ravel(), "distance": np.take_along_axis(far, at, 1).ravel()})
-
-        near = packs.join(asked, ["cell", "deal"]).select("ids", "vectors", "asked").mapInPandas(best, "query_id long, vec_id long, distance double")
+        asked = durable(_nearest_cells(whole(queries, "q").select("query_id", "q"), "q", self.centres, probes), "asked")
+        blocks = max(1, -(-asked.count() // QUERIES))
+        # Which shards hold rows of a cell: a row for each cell, and one more for each shard at most.
+        held = self.rows.select("cell", F.col("shard").alias("part")).distinct()
+        wanted = asked.select("query_id", F.explode("cells").alias("cell")).join(F.broadcast(held), "cell").groupBy("query_id", "part").agg(F.collect_list("cell").alias("cells"))
+        group = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("group")
+        asked = asked.select("query_id", "q").join(wanted, "query_id").select("part", group, "query_id", "q", "cells")
+        rows = (self.rows.filter(where) if where is not None else self.rows).select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "cell", "vec_id", "embedding")
+
+        def best(rows: pa.Table, asked: pa.Table) -> pa.Table:
+            at, ids, far = _best(rows.sort_by([("cell", "ascending"), ("vec_id", "ascending")]), asked, k)
+            return pa.table({"query_id": asked["query_id"].to_numpy()[at], "vec_id": ids, "distance": far})
+
+        near = rows.groupBy("shard", "block").cogroup(asked.groupBy("part", "group")).applyInArrow(best, "query_id long, vec_id long, distance double")
         order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
         return near.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k).drop("at")

@@ -115,6 +115,23 @@ def test_vector_index_recall_filters_and_broken_rows(spark):
     assert ann.VectorIndex(chunks.limit(0)).search(queries, 3, 2).count() == 0
 
 
+def test_vector_index_of_many_shards_with_empty_tasks(spark, monkeypatch):
+    for name, value in (("SHARD", 100), ("QUERIES", 7), ("PACK", 64), ("QUERY_BLOCK", 5), ("KEPT", 50)):
+        monkeypatch.setattr(ann, name, value, raising=False)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(600)] + [(1000 + i, [1.0] + [0.0] * 7) for i in range(300)]  # a cell that fills shards
+    chunks = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    durable = ann.durable
+    monkeypatch.setattr(ann, "durable", lambda df, name: durable(df, name).limit(7).repartition(40) if name == "sample" else durable(df, name))
+    made = ann.VectorIndex(chunks, 5)
+    assert len(made.centres) == 5 and made.rows.select("shard").distinct().count() > 5
+    queries = chunks.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    got, want = ({tuple(r) for r in df.select("query_id", "vec_id", "distance").collect()} for df in (made.search(queries, 4, 5), vectors.knn(chunks, queries, 4)))
+    assert got == want and len(got) == 4 * 45
+    few = made.search(queries, 4, 1).join(made.rows.select("vec_id", "cell"), "vec_id").groupBy("query_id").agg(F.count_distinct("cell").alias("n"))
+    assert few.count() == 45 and few.filter("n > 1").isEmpty()
+
+
 def test_block_bounds_give_the_same_best_texts(spark, texts):
     from graphloom.operators import topk
 
