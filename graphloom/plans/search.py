@@ -57,7 +57,8 @@ _BLOCK_SQL = _BM25.replace("('the', 'que', 'hend')", str(_BLOCK_TERMS))
 @query("fts_bm25_blocks", _BLOCK_SQL + ";;SELECT owner, idx, round(score, 6) AS score FROM r ORDER BY round(score, 6) DESC, owner, idx LIMIT 20")
 def fts_bm25_blocks(g):
     """The best twenty from the blocks whose bounds reach them."""
-    return bm25_topk(g.word_block, g.word_totals, _BLOCK_TERMS, 20)[0]
+    blocks, texts = g.word_block
+    return bm25_topk(blocks, g.block_totals, _BLOCK_TERMS, 20, texts=texts)[0]
 
 
 @query("fts_postings", f"{_OBS};;SELECT owner, token, count(*) AS tf FROM (SELECT owner, unnest(t) AS token FROM obs) GROUP BY owner, token")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.text import index
 from graphloom.operators.ann import VectorIndex
 from graphloom.operators.search import index_totals
-from graphloom.operators.topk import blocks
+from graphloom.operators.topk import packed, unpacked
 from graphloom.sources.shared import durable
 
 KIND = {"region": 1, "nation": 2, "customer": 3, "supplier": 4, "part": 5, "document": 6}
@@ -186,10 +186,15 @@ class StoredGraph(Graph):
         return index_totals(self.word, self.observation.count())
 
     @cached_property
-    def word_block(self) -> DataFrame:
-        """(token, bin, bound, size, entries): the words of observations in blocks with their bounds"""
-        rows = blocks(self.word, self.word_totals).withColumn("falling", -F.col("bound"))
-        return self._stored(rows, "word-block", "token", "falling")
+    def word_block(self) -> tuple[DataFrame, DataFrame]:
+        """The words of observations in blocks of few texts, and the texts of these, as ``topk.unpacked`` gives them."""
+        return unpacked(durable(packed(self.observation, "entity_id", "idx", self.observation.count()), "word-block", "zstd"))
+
+    @cached_property
+    def block_totals(self) -> tuple[int, float]:
+        """(observations, their mean number of words), without the words themselves"""
+        texts = self.observation.count()
+        return texts, (self.word_block[1].agg(F.sum("n")).first()[0] or 0) / max(texts, 1)
 
     @cached_property
     def vector_index(self) -> VectorIndex:

@@ -148,3 +148,28 @@ def test_block_bounds_give_the_same_best_texts(spark, texts):
         assert [tuple(r) for r in best.select("owner", "idx", "score").collect()] == [(r.owner, r.idx, r.score) for r in want], terms
         shares = {r.token: r.read / r["size"] for r in read.collect()}
         assert terms != ["the"] or shares["the"] < 0.25
+
+
+def test_packed_blocks_give_the_same_best_texts(spark, monkeypatch):
+    from graphloom.operators import topk
+    from graphloom.plans import search as plans
+    from graphloom.sources.derived import StoredGraph
+
+    rng = random.Random(9)
+    bodies = [" ".join(rng.choices(["The", "of", "rare", "seldom", "common"], [90, 60, 1, 2, 30], k=rng.randint(1, 60))) for _ in range(900)] + ["the the rare"] * 40 + [None, "", "- -"]
+    texts = spark.createDataFrame(list(enumerate(bodies)), "id long, body string").withColumn("idx", F.lit(0)).repartition(3)
+    made = index(texts, "id", "idx").persist()
+    totals = search.index_totals(made, len(bodies))
+    for part, slice_ in ((50, 512), (10_000, 24)):
+        monkeypatch.setattr(topk, "PART", part)
+        monkeypatch.setattr(topk, "SLICE", slice_)
+        stored, named = topk.unpacked(topk.packed(texts, "id", "idx", len(bodies)).persist())
+        assert stored.agg(F.sum("size")).first()[0] == made.count() and named.agg(F.sum("n")).first()[0] == made.agg(F.sum("tf")).first()[0]
+        for terms, k in ((["the", "rare"], 30), (["seldom", "rare", "of"], 25), (["absent"], 5), (["seldom"], 5000), ([], 3)):
+            want = search.bm25_index(made, totals, terms).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "owner", "idx").limit(k).collect()
+            best, read = topk.bm25_topk(stored, totals, terms, k, texts=named)
+            assert [tuple(r) for r in best.select("owner", "idx", "score").collect()] == [(r.owner, r.idx, r.score) for r in want], terms
+            assert {r.token: r["size"] for r in read.collect()} == {r.token: r.n for r in made.filter(F.col("token").isin(terms)).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
+    g = StoredGraph(spark, "/root/testdata/sf0.001")
+    assert plans.fts_bm25_blocks(g).count() == 20 and "word" not in g.__dict__
+    assert g.block_totals == g.word_totals
